@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .hashing import passes
-from .tokens import Encoder
+from .tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group.
@@ -128,7 +128,7 @@ def grouped(sequences: list[tuple[int, list[Piece]]], step_tokens: int, first: i
 
 
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, tiers: tuple[int, ...], end_id: int, step_tokens: int) -> Iterator[pa.RecordBatch]:
-    encode, packer = Encoder(tokenizer), Packer(tiers)
+    encode, packer = encoder(tokenizer), Packer(tiers)
     base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     end = end_id.to_bytes(4, "little")
     made, groups, docs = 0, 0, 0

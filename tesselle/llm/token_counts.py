@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import passes
-from .tokens import Encoder
+from .tokens import encoder
 
 BLOCK_TOKENS = 1 << 16
 FILES = "file_id long, block long, content binary, first_ordinal long, doc_ids array<long>"
@@ -27,7 +27,7 @@ _ARROW = pa.schema([("file_id", pa.int64()), ("block", pa.int64()), ("content",
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: str, block: int) -> Iterator[pa.RecordBatch]:
-    encode, file = Encoder(path, specials_as_text=True), TaskContext.get().partitionId()
+    encode, file = encoder(path, specials_as_text=True), TaskContext.get().partitionId()
     end, size = np.array([end_id], width).tobytes(), block * np.dtype(width).itemsize
     blocks, ordinal, waiting = 0, 0, bytearray()
     for whole in batches:
