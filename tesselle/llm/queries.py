@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, packing, quality, sharding, token_counts, toxicity
+from . import decontamination, jaccard, license_scan, packing, quality, sharding, token_counts, topk, toxicity
 from .scratch import prepare, saved
 from .tokens import public_path
 
@@ -28,6 +28,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -42,6 +50,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(named.select("file_id", (F.col("first_ordinal") + F.col("k")).alias("ordinal"), "doc_id"), ["file_id", "ordinal"], "left").select("doc_id", "file_id", "ordinal", "n_tokens", "ended")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
@@ -54,8 +66,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_resampling": op1_quality_resampling,
         "op2_license_scan": op2_license_scan,
+        "op3_decontamination": op3_decontamination,
+        "op4_exact_top_k": op4_exact_top_k,
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,
     }
