@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, license_scan, packing, quality, sharding, token_counts, topk, toxicity
+from . import decontamination, jaccard, license_scan, packing, quality, repeats, sharding, token_counts, topk, toxicity
 from .scratch import prepare, saved
 from .tokens import public_path
 
@@ -62,6 +62,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_path(TOKENIZER))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_resampling": op1_quality_resampling,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
