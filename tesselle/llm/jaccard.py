@@ -256,3 +256,19 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     none = root.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(none)
+
+
+def without_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Of each component of :func:`linked` the rows of ``docs`` with the smallest doc_id, with all their columns.
+
+    Of rows equal in doc_id and text one stays; rows of one doc_id with other texts go or stay together. Rows with a null doc_id or
+    without words stay.
+    """
+    names = docs.columns
+    found = linked(docs, size, percent).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__gone"))
+    kept = docs.join(found.distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "again")
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    return single.unionByName(kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"])).select(*[F.col(f"`{n}`") for n in names])

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import BYTE, U, between, mix, passes, prefix, signed, text_bytes
 from .induced import MEMORY, suffix_order
@@ -295,8 +296,8 @@ def _marked(docs: DataFrame, length: int, memory: int) -> DataFrame:
     found = spans(docs.select("doc_id", "text"), length, memory)
     pair: Column = F.array("start", "stop")
     listed = found.groupBy(F.col("key").alias("__of")).agg(F.flatten(F.collect_set(pair)).alias("__spans"))  # a document's own spans
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_keyed, f"{fields}, __key long").join(listed, F.col("__key") == F.col("__of"), "left").drop("__of", "__key")
+    keyed = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())])
+    return docs.mapInArrow(_keyed, keyed).join(listed, F.col("__key") == F.col("__of"), "left").drop("__of", "__key")
 
 
 def digest(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY) -> DataFrame:
