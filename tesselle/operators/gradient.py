@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.color import luminance
 from ..schema import KEY
 
-_ROW, _COLUMN = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-
 
 def sobel(pixels: DataFrame) -> DataFrame:
     """``pixels`` with gx and gy, null on the image's edge: a difference along one axis and a weighted sum along the other."""
+    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
     lum = pixels.withColumn("__lum", luminance())
-    before, after = F.lag("__lum").over(_ROW), F.lead("__lum").over(_ROW)
+    before, after = F.lag("__lum").over(row), F.lead("__lum").over(row)
     lum = lum.withColumn("__d", after - before).withColumn("__s", before + 2 * F.col("__lum") + after)
-    gx = F.lag("__d").over(_COLUMN) + 2 * F.col("__d") + F.lead("__d").over(_COLUMN)
-    gy = F.lead("__s").over(_COLUMN) - F.lag("__s").over(_COLUMN)
+    gx = F.lag("__d").over(column) + 2 * F.col("__d") + F.lead("__d").over(column)
+    gy = F.lead("__s").over(column) - F.lag("__s").over(column)
     return lum.withColumn("gx", gx).withColumn("gy", gy).drop("__lum", "__d", "__s")
 
 
