@@ -23,8 +23,8 @@ from .hashing import LOWER, U, mix, passes, text_bytes
 #: Edits allowed, in parts of the item's characters.
 SHARE = 0.1
 #: Repetitions, and places each samples: a window whose embedding differs from the item's in a third of its places agrees
-#: with it in one of them by 1 - (1 - (2/3)**3)**24, over 0.999.
-REPEATS, PLACES = 24, 3
+#: with it in one of them by 1 - (1 - (2/3)**3)**96, and one that differs in three quarters still by 0.78.
+REPEATS, PLACES = 96, 3
 #: Items that one pass over the texts looks for; more take more passes.
 ITEMS = 10_000
 #: Bytes that find a piece.
