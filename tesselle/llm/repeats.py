@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import BYTE, U, between, mix, passes, prefix, signed, text_bytes
+from .hashing import U, between, mix, passes, prefix, signed, text_bytes, trimmed
 from .induced import MEMORY, suffix_order
 from .scratch import saved
 
@@ -32,7 +32,9 @@ LENGTH = 200
 #: Bytes of a pick.
 PICK = 48
 #: Bytes of text that a shard is planned for; a frequent pick can make one larger.
-SHARD = 4 << 20
+SHARD = 1 << 20
+#: Bytes of text of one vectorised pass.
+PASS = 1 << 18
 #: Bits of the table of kinds to send, eight for each up to this power of two; beyond it, more is sent than need be.
 MOST_BITS = 27
 PICKS = "pick long, kind long, key long, start long, stop long"
@@ -88,9 +90,10 @@ def _owned(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
     return data, bounds, signed(pick), signed(kind), signed(row_keys(batch, data, bounds, sums)[row]), row, first, last + length
 
 
+@trimmed
 def _picked(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in passes(whole):
+        for batch in passes(whole, most=PASS):
             _, bounds, pick, kind, key, row, start, stop = _owned(batch, length)
             if len(pick):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pick, kind, key, start - bounds[row], stop - bounds[row])], names=_PICK_NAMES)
@@ -153,11 +156,12 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made
 
 
+@trimmed
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, wanted) -> Iterator[pa.RecordBatch]:
     table = wanted.value
     cells = U(len(table) * 64 - 1)
     for whole in batches:
-        for batch in passes(whole):
+        for batch in passes(whole, most=PASS):
             data, bounds, pick, kind, key, row, start, stop = _owned(batch, length)
             if not len(pick):
                 continue
@@ -183,6 +187,7 @@ def repeated(text: np.ndarray, owned: np.ndarray, length: int, memory: int = MEM
     return out
 
 
+@trimmed
 def _shard(batches: Iterator[pa.RecordBatch], length: int, memory: int) -> Iterator[pa.RecordBatch]:
     """Suffix-sorts the bytes of a shard, kept in a file, and gives the bytes [start, stop) of ``key`` that repeat."""
     keys, starts, sizes = [], [], []
@@ -238,9 +243,10 @@ def spans(texts: DataFrame, length: int = LENGTH, memory: int = MEMORY) -> DataF
     return out.where("sent is null").select("key", "start", "stop").unionByName(repeats)
 
 
+@trimmed
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in passes(whole):
+        for batch in passes(whole, most=PASS):
             data, bounds = text_bytes(batch.column("text"))
             key = signed(row_keys(batch, data, bounds, prefix(data)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, "__key"])
