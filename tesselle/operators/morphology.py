@@ -36,23 +36,34 @@ def _pass(mask: DataFrame, column: str, line: str, along: str, radius: int, deci
     return mask.withColumn(column, decide(upto - under, here)).drop("__run", "__last")
 
 
-def dilate(mask: DataFrame, radius: int, column: str = "active") -> DataFrame:
-    """Cells with an active one in their square; the square is cut at the image's edge. A radius of 0 or less changes nothing."""
-    if radius <= 0:
-        return mask
+def squares(mask: DataFrame, wanted: dict[str, tuple[str, int]], border: str = "inactive") -> DataFrame:
+    """Columns dilated or eroded, each by a radius of its own, in one pass over lines and one over columns.
+
+    ``wanted`` gives ``("dilate" or "erode", radius)`` for a column; a radius of 0 or less leaves it.
+    """
     for line, along in AXES:
-        mask = _pass(mask, column, line, along, radius, lambda found, cells: found > 0)
+        for column, (how, radius) in wanted.items():
+            if radius <= 0:
+                continue
+            side = 2 * radius + 1
+            if how == "dilate":
+                decide = lambda found, cells: found > 0
+            elif border == "inactive":
+                decide = lambda found, cells, side=side: found == side
+            else:
+                decide = lambda found, cells: found == cells
+            mask = _pass(mask, column, line, along, radius, decide)
     return mask
 
 
+def dilate(mask: DataFrame, radius: int, column: str = "active") -> DataFrame:
+    """Cells with an active one in their square; the square is cut at the image's edge. A radius of 0 or less changes nothing."""
+    return squares(mask, {column: ("dilate", radius)})
+
+
 def erode(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive") -> DataFrame:
     """Cells whose whole square is active. Outside the image counts as inactive, or with ``border="ignore"`` does not count."""
-    if radius <= 0:
-        return mask
-    side = 2 * radius + 1
-    for line, along in AXES:
-        mask = _pass(mask, column, line, along, radius, (lambda found, cells: found == side) if border == "inactive" else (lambda found, cells: found == cells))
-    return mask
+    return squares(mask, {column: ("erode", radius)}, border)
 
 
 def close(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import ClipConfig
 from ..schema import KEY, MASK
-from .morphology import dilate, erode
+from .morphology import dilate, squares
 
 
 def labels(domain: np.ndarray) -> np.ndarray:
@@ -88,18 +88,18 @@ def radii(first: int) -> list[int]:
     return out
 
 
-def with_seed(mask: DataFrame, radius: int, column: str = "active", into: str = "seed", border: str = "inactive") -> DataFrame:
-    """``mask`` with the seed: eroded by the largest radius of :func:`radii` that leaves a cell of the image, or unchanged if none does."""
-    tried = radii(radius)
-    for r in tried:
-        mask = erode(mask.withColumn(f"__{r}", F.col(column)), r, f"__{r}", border)
-    image = Window.partitionBy("image_id")
-    for r in tried:
-        mask = mask.withColumn(f"__any{r}", F.max(F.col(f"__{r}").cast("int")).over(image) > 0)
-    seed = F.col(column)
+def with_seed(mask: DataFrame, radius: int, distance: int = 0, border: str = "inactive") -> DataFrame:
+    """``mask`` with ``seed``: eroded by the largest radius of :func:`radii` that leaves a cell of the image, or unchanged if none does;
+    and with ``allowed``: dilated by ``distance``. All radii are tried in the same two passes."""
+    tried, image = radii(radius), Window.partitionBy("image_id")
+    for name in (*(f"__{r}" for r in tried), "allowed"):
+        mask = mask.withColumn(name, F.col("active"))
+    mask = squares(mask, {f"__{r}": ("erode", r) for r in tried} | {"allowed": ("dilate", distance)}, border)
+    seed = F.col("active")
     for r in reversed(tried):
+        mask = mask.withColumn(f"__any{r}", F.max(F.col(f"__{r}").cast("int")).over(image) > 0)
         seed = F.when(F.col(f"__any{r}"), F.col(f"__{r}")).otherwise(seed)
-    return mask.withColumn(into, seed).drop(*(f"__{r}" for r in tried), *(f"__any{r}" for r in tried))
+    return mask.withColumn("seed", seed).drop(*(f"__{r}" for r in tried), *(f"__any{r}" for r in tried))
 
 
 def adaptive_seed(mask: DataFrame, radius: int, border: str = "inactive") -> DataFrame:
@@ -113,10 +113,41 @@ def allowed_zone(mask: DataFrame, distance: int) -> DataFrame:
 
 def zones(rough: DataFrame, barrier: DataFrame, config: ClipConfig) -> DataFrame:
     """Cells with rough, seed, allowed and barrier; a cell the barrier does not have is free."""
-    cells = with_seed(rough.select(*KEY, "active"), config.seed_erosion_radius, border=config.border)
-    cells = dilate(cells.withColumn("allowed", F.col("active")), config.snap_distance, "allowed")
-    wall = barrier.select(*KEY, F.col("active").alias("barrier"))
-    return cells.join(wall, list(KEY), "left").withColumn("barrier", F.coalesce("barrier", F.lit(False)))
+    cells = with_seed(rough.select(*KEY, "active"), config.seed_erosion_radius, config.snap_distance, config.border).withColumnRenamed("active", "rough")
+    return cells.join(_walled(rough, barrier).drop("rough"), list(KEY))
+
+
+def in_square(mask: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Active cells in the square around each cell, and how many cells of it lie in the image; by running sums."""
+    height, width = mask.shape
+    sums = np.zeros((height + 1, width + 1), np.int64)
+    sums[1:, 1:] = mask.cumsum(0).cumsum(1)
+    y, x = np.arange(height), np.arange(width)
+    top, bottom = np.maximum(y - radius, 0)[:, None], np.minimum(y + radius + 1, height)[:, None]
+    left, right = np.maximum(x - radius, 0)[None, :], np.minimum(x + radius + 1, width)[None, :]
+    return sums[bottom, right] - sums[top, right] - sums[bottom, left] + sums[top, left], (bottom - top) * (right - left)
+
+
+def dilated(mask: np.ndarray, radius: int) -> np.ndarray:
+    return in_square(mask, radius)[0] > 0 if radius > 0 else mask
+
+
+def eroded(mask: np.ndarray, radius: int, border: str = "inactive") -> np.ndarray:
+    if radius <= 0:
+        return mask
+    found, cells = in_square(mask, radius)
+    return found == ((2 * radius + 1) ** 2 if border == "inactive" else cells)
+
+
+def grown(seed: np.ndarray, allowed: np.ndarray, barrier: np.ndarray, policy: str) -> np.ndarray:
+    """:func:`grow` on the planes of one image."""
+    free, seed = allowed & ~barrier, seed & ~barrier
+    if policy == "largest" and seed.any():
+        parts = labels(seed)
+        names, sizes = np.unique(parts[seed], return_counts=True)
+        seed = parts == names[np.argmax(sizes)]  # the first of equal sizes has the smallest place
+    region = labels(free)
+    return np.isin(region, np.unique(region[seed & free])) & free
 
 
 def grow(cells: DataFrame, policy: str = "largest") -> DataFrame:
@@ -124,19 +155,35 @@ def grow(cells: DataFrame, policy: str = "largest") -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, shape = _grid(pdf)
-        free = _plane(pdf["allowed"].to_numpy() & ~pdf["barrier"].to_numpy(), x, y, shape)
-        seed = _plane(pdf["seed"].to_numpy() & ~pdf["barrier"].to_numpy(), x, y, shape)
-        if policy == "largest" and seed.any():
-            parts = labels(seed)
-            names, sizes = np.unique(parts[seed], return_counts=True)
-            seed = parts == names[np.argmax(sizes)]  # the first of equal sizes has the smallest place
-        region = labels(free)
-        out = np.isin(region, np.unique(region[seed & free])) & free
-        return pd.DataFrame({"image_id": pdf["image_id"], "x": x, "y": y, "active": out[y, x]})
+        planes = (_plane(pdf[c].to_numpy(), x, y, shape) for c in ("seed", "allowed", "barrier"))
+        return pd.DataFrame({"image_id": pdf["image_id"], "x": x, "y": y, "active": grown(*planes, policy)[y, x]})
 
     return cells.select(*KEY, "seed", "allowed", "barrier").groupBy("image_id").applyInPandas(one, MASK)
 
 
+def _walled(rough: DataFrame, barrier: DataFrame) -> DataFrame:
+    """Cells with rough and barrier; a cell the barrier does not have is free."""
+    wall = barrier.select(*KEY, F.col("active").alias("barrier"))
+    return rough.select(*KEY, F.col("active").alias("rough")).join(wall, list(KEY), "left").withColumn("barrier", F.coalesce("barrier", F.lit(False)))
+
+
+def snap_stages(rough: DataFrame, barrier: DataFrame, config: ClipConfig) -> DataFrame:
+    """Cells with rough, barrier, active (the grown region) and core (it, eroded by the smoothing radius), each image in one task.
+
+    An image that is in one place for the growth gets its seed, zone and core there too, from running sums.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, shape = _grid(pdf)
+        start, wall = (_plane(pdf[c].to_numpy(), x, y, shape) for c in ("rough", "barrier"))
+        seed = next((s for r in radii(config.seed_erosion_radius) if (s := eroded(start, r, config.border)).any()), start)
+        region = grown(seed, dilated(start, config.snap_distance), wall, config.seed_policy)
+        core = eroded(region, config.smooth_radius)
+        return pd.DataFrame({"image_id": pdf["image_id"], "x": x, "y": y, "rough": pdf["rough"], "barrier": pdf["barrier"], "active": region[y, x], "core": core[y, x]})
+
+    return _walled(rough, barrier).groupBy("image_id").applyInPandas(one, "image_id long, x int, y int, rough boolean, barrier boolean, active boolean, core boolean")
+
+
 def runs(domain: DataFrame, column: str = "active") -> DataFrame:
     """Maximal horizontal runs of active cells: image_id, y, x0, x1, and run, the id y * width + x0 of the first cell."""
     line = Window.partitionBy("image_id", "y").orderBy("x")
@@ -199,4 +246,6 @@ def grow_wide(cells: DataFrame, policy: str = "largest") -> DataFrame:
 def snap(rough: DataFrame, barrier: DataFrame, config: ClipConfig | None = None, wide: bool = False) -> DataFrame:
     """The rough selection grown from its core to the barrier, no farther than the snap distance."""
     config = config or ClipConfig()
-    return (grow_wide if wide else grow)(zones(rough, barrier, config), config.seed_policy)
+    if wide:
+        return grow_wide(zones(rough, barrier, config), config.seed_policy)
+    return snap_stages(rough, barrier, config).select(*KEY, "active")

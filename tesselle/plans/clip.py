@@ -12,7 +12,7 @@ from ..functions.color import is_green, is_road
 from ..operators.gradient import sobel, threshold
 from ..operators.grid import count_active
 from ..operators.morphology import close, open_
-from ..operators.region import snap
+from ..operators.region import snap, snap_stages
 from ..operators.render import clip_smooth, mask_image
 from ..schema import KEY
 
@@ -57,11 +57,12 @@ def without_green(green: DataFrame) -> DataFrame:
     return count_active(green).where("n_active = 0").select("image_id")
 
 
-def counts(made: Clip) -> DataFrame:
-    """Active cells of each stage and opaque, half-transparent pixels of the result, for each image."""
-    stages = [count_active(m).withColumnRenamed("n_active", f"n_{name}") for name, m in (("green", made.green), ("roads", made.roads), ("region", made.region))]
-    alpha = made.clipped.groupBy("image_id").agg(F.count_if(F.col("a") == 255).alias("n_opaque"), F.count_if(F.col("a").between(1, 254)).alias("n_ring"))
-    out = stages[0]
-    for s in (*stages[1:], alpha):
-        out = out.join(s, "image_id")
-    return out
+def counts(pixels: DataFrame, overlay: DataFrame, config: ClipConfig | None = None) -> DataFrame:
+    """Active cells of each stage of :func:`clip`, and opaque and half-transparent pixels of the result, for each image.
+
+    Every stage is computed once: the masks stay side by side in one relation of cells.
+    """
+    config = config or ClipConfig()
+    made = snap_stages(extract_green(overlay), detect_roads(pixels, config), config)
+    numbers = {"n_green": F.col("rough"), "n_roads": F.col("barrier"), "n_region": F.col("active"), "n_opaque": F.col("core"), "n_ring": F.col("active") & ~F.col("core")}
+    return made.groupBy("image_id").agg(*(F.count_if(c).alias(name) for name, c in numbers.items()))

@@ -50,7 +50,7 @@ def _snap_split(config: ClipConfig) -> Query:
 
 
 def _clip_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return clip.counts(clip.clip(tiles.maps(spark, sf), tiles.overlays(spark, sf), CONFIG))
+    return clip.counts(tiles.maps(spark, sf), tiles.overlays(spark, sf), CONFIG)
 
 
 def _greeting(spark: SparkSession, sf: str) -> DataFrame:

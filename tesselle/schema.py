@@ -6,7 +6,7 @@ Pixels and masks are dense: false cells have rows too, without which complement
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 IMAGES = "image_id long, origin string, width int, height int, n_channels int, data binary"
 PIXELS = "image_id long, x int, y int, a int, r int, g int, b int"
@@ -14,9 +14,15 @@ MASK = "image_id long, x int, y int, active boolean"
 KEY = ("image_id", "x", "y")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Let joins by cell use the partitions by image that their sides already have, instead of dealing both out anew."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def by_image(df: DataFrame) -> DataFrame:
     """All rows of an image in one partition: every window over its lines and columns then needs no further exchange.
 
     For images too large for one task leave this out; the windows then exchange by line and by column.
     """
+    prepare(df.sparkSession)
     return df.repartition("image_id")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import cells
+from ..schema import by_image
 
 SIDE, SPLIT_SIDE = 64, 40
 #: Colours of the ground, of the two kinds of road, and of the overlay.
@@ -18,7 +19,7 @@ GROUND, ORANGE, YELLOW, GREEN = (230, 226, 219), (245, 165, 100), (250, 230, 140
 
 def images(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("image_id"), F.col("s_nationkey").cast("int").alias("nation"))
-    return rows.select("image_id", "nation", F.lit(side).alias("width"), F.lit(side).alias("height")).repartition("image_id")
+    return by_image(rows.select("image_id", "nation", F.lit(side).alias("width"), F.lit(side).alias("height")))
 
 
 def _cells(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
