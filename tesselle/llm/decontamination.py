@@ -1,8 +1,8 @@
 """Benchmark decontamination by edit distance.
 
-A text holds an item where some stretch of it is within a tenth of the item's length in edits. An item is cut into one
-piece more than it may have edits, so one piece of it stands unchanged in any such stretch; where a piece stands, a window of
-the item's size is taken. Windows and items are embedded by a shared random walk that maps a small edit distance to a small
+A text holds an item where some stretch of it is within a tenth of the item's length in edits. An edit spoils no more of an item's
+KEY-byte substrings than cover a character, so a known number of them stands unchanged in any such stretch, at nearly the same shift;
+where half as many do in a band of shifts, a window of the item's size is taken. Windows and items are embedded by a shared random walk that maps a small edit distance to a small
 Hamming distance, and a window goes on where, in one of the repeated samples of places, it agrees with the item in every sampled place.
 What goes on is verified by the exact edit distance.
 """
@@ -27,9 +27,10 @@ SHARE = 0.1
 REPEATS, PLACES = 96, 3
 #: Items that one pass over the texts looks for; more take more passes.
 ITEMS = 10_000
-#: Bytes that find a piece.
+#: Bytes of the substrings that find an item.
 KEY = 8
-_TABLE_BITS = 20
+#: Windows embedded at once.
+WALKED = 8192
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -66,21 +67,16 @@ def walk_bits(steps: int, seed: int = 5) -> np.ndarray:
     return (mix(values) & U(1)).astype(np.int8).reshape(steps, 256)
 
 
-def embedded(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: int, wanted: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The sampled places of the random-walk embedding of the stretches of ``text``: a row each, a column for each of ``wanted``."""
-    at, end = starts.copy(), starts + sizes
-    padded = np.concatenate([text, np.zeros(1, np.uint8)])
-    out = np.zeros((len(starts), len(wanted)), np.uint8)
-    columns: dict[int, list[int]] = {}
-    for column, step in enumerate(wanted.tolist()):
-        columns.setdefault(step, []).append(column)
-    nothing = len(text)
-    for step in range(min(steps, int(wanted.max(initial=-1)) + 1)):
+def walked(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: int, bits: np.ndarray) -> np.ndarray:
+    """The first ``steps`` places of the random-walk embedding of the stretches of ``text``, a row each."""
+    at, end, nothing = starts.copy(), starts + sizes, len(text)
+    padded = np.append(text, np.uint8(0))
+    out = np.empty((steps, len(starts)), np.uint8)
+    for step in range(steps):
         now = padded[np.where(at < end, at, nothing)]
-        for column in columns.get(step, ()):
-            out[:, column] = now
+        out[step] = now
         at += bits[step][now]
-    return out
+    return out.T
 
 
 def nearest(pattern: str, text: str) -> int:
@@ -104,6 +100,15 @@ def nearest(pattern: str, text: str) -> int:
     return least
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The KEY bytes from each place on, as one integer."""
+    if len(data) < KEY:
+        return np.zeros(0, U)
+    two = data[:-1].astype(np.uint16) | data[1:].astype(np.uint16) << 8
+    four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << 16
+    return four[:-4].astype(U) | four[4:].astype(U) << U(32)
+
+
 class Finder:
     """Finds the items in batches of texts."""
 
@@ -113,88 +118,85 @@ class Finder:
             text = plain(text or "")
             if text:
                 self.items.append(Item(item_id, text, np.frombuffer(text.encode(), np.uint8), int(share * len(text))))
-        keys, tails, owner, offset, length = [], [], [], [], []
+        keys, owner, offset = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.short: list[int] = []
+        self.least, self.band = np.ones(len(self.items), np.int64), np.ones(len(self.items), np.int64)
         for number, item in enumerate(self.items):
-            pieces = item.edits + 1
-            cuts = [len(item.text) * i // pieces for i in range(pieces + 1)]
-            at = [len(item.text[:c].encode()) for c in cuts]
-            if min(b - a for a, b in zip(at, at[1:])) < KEY:
-                self.short.append(number)  # pieces too short to look up: verified in every text
+            widest = max(len(c.encode()) for c in item.text)
+            stand = len(item.raw) - KEY + 1 - (KEY + widest - 1) * item.edits
+            if stand < 1:
+                self.short.append(number)  # edits can spoil all: verified in every text
                 continue
-            for a, b in zip(at, at[1:]):
-                raw = item.raw[a:b].tobytes()
-                keys.append(int.from_bytes(raw[:KEY], "little"))
-                tails.append(int.from_bytes(raw[-KEY:], "little"))
-                owner.append(number)
-                offset.append(a)
-                length.append(b - a)
-        order = np.argsort(np.array(keys, U), kind="stable")
-        self.keys, self.tails = np.array(keys, U)[order], np.array(tails, U)[order]
-        self.owner, self.offset, self.length = (np.array(x, np.int64)[order] for x in (owner, offset, length))
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
+            # a stretch's shifts differ by no more than its edits move them, so they fall into two bands at most
+            self.least[number], self.band[number] = (stand + 1) // 2, 4 * item.edits + 1
+            own = eights(item.raw)
+            keys.append(own)
+            owner.append(np.full(len(own), number))
+            offset.append(np.arange(len(own)))
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        self.keys, self.owner, self.offset = (np.concatenate(x)[order] for x in (keys, owner, offset))
+        self.table_bits = min(26, max(20, (8 * len(self.keys)).bit_length()))
+        self.table = np.zeros(1 << self.table_bits, bool)
         self.table[self._cell(self.keys)] = True
-        longest = max((len(i.raw) for i in self.items), default=0)
-        self.bits = walk_bits(3 * longest)
-        self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.places, self.repeats = places, repeats
-        self.sampled = [self._sample(n) for n in range(len(self.items))]
-
-    @staticmethod
-    def _cell(keys: np.ndarray) -> np.ndarray:
+        self.sizes = np.array([len(i.raw) for i in self.items], np.int64)
+        self.repeats, self.places = repeats, places
+        self.bits = walk_bits(2 * int(self.sizes.max(initial=0)))
+        whole = np.concatenate([np.zeros(0, np.uint8), *(i.raw for i in self.items)])
+        self.steps = np.stack([self._steps(n) for n in self.sizes.tolist()]) if self.items else np.zeros((0, repeats * places), np.int64)
+        self.own = self._sampled(whole, np.arange(len(self.items)), np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def _cell(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - _TABLE_BITS)).astype(np.int64)
-
-    def _sample(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled steps of an item's size class, and the item's embedding there."""
-        item = self.items[number]
-        n = len(item.raw)
-        steps = np.sort((mix(np.arange(self.repeats * self.places, dtype=U) + U(n << 20)) % U(max(1, 2 * n))).astype(np.int64))
-        steps = steps[np.argsort(mix(np.arange(len(steps), dtype=U)), kind="stable")]
-        return steps, embedded(item.raw, np.zeros(1, np.int64), np.array([n]), 3 * n, steps, self.bits)[0]
+            return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.table_bits)).astype(np.int64)
+
+    def _steps(self, size: int) -> np.ndarray:
+        """The places that the repetitions sample for items of a size, one repetition after another."""
+        return (mix(np.arange(self.repeats * self.places, dtype=U) + U(size << 20)) % U(2 * size)).astype(np.int64)
+
+    def _sampled(self, text: np.ndarray, item: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The places that each item samples, of the embeddings of stretches of the text."""
+        out = np.empty((len(item), self.repeats * self.places), np.uint8)
+        for at in range(0, len(item), WALKED):
+            own = slice(at, at + WALKED)
+            trace = walked(text, starts[own], sizes[own], int(2 * self.sizes[item[own]].max()), self.bits)
+            out[own] = np.take_along_axis(trace, self.steps[item[own]], 1)
+        return out
 
     def windows(self, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, row and start of the windows of an item's size where a piece of it stands, each once."""
+        """Item, row and start of the windows of an item's size where enough of it stands, each once."""
         none = np.zeros(0, np.int64)
         if len(text) < KEY or not len(self.keys):
             return none, none, none
-        two = text[:-1].astype(np.uint16) | text[1:].astype(np.uint16) << 8
-        four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << 16
-        eight = four[:-4].astype(U) | four[4:].astype(U) << U(32)
+        eight = eights(text)
         hit = np.flatnonzero(self.table[self._cell(eight)])
-        low, high = np.searchsorted(self.keys, eight[hit]), np.searchsorted(self.keys, eight[hit], "right")
-        count = high - low
+        low = np.searchsorted(self.keys, eight[hit])
+        hit, low = (x[self.keys[np.minimum(low, len(self.keys) - 1)] == eight[hit]] for x in (hit, low))
+        count = np.searchsorted(self.keys, eight[hit], "right") - low
         place = np.repeat(hit, count)
-        piece = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        tail = place + self.length[piece] - KEY
-        ok = tail < len(eight)
-        ok[ok] = eight[tail[ok]] == self.tails[piece[ok]]
-        place, piece = place[ok], piece[ok]
+        found = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         row = np.searchsorted(bounds, place, "right") - 1
-        inside = place + self.length[piece] <= bounds[row + 1]
-        place, piece, row = place[inside], piece[inside], row[inside]
-        start = np.maximum(place - self.offset[piece], bounds[row])
+        inside = place + KEY <= bounds[row + 1]
+        place, found, row = place[inside], found[inside], row[inside]
+        item, shift = self.owner[found], place - self.offset[found]
+        key = (row * len(self.items) + item) << 32 | (shift + (1 << 30)) // self.band[item]
+        _, first, count = np.unique(key, return_index=True, return_counts=True)
+        first = first[count >= self.least[item[first]]]
+        if not len(first):
+            return none, none, none
+        item, row, start = item[first], row[first], np.maximum(shift[first], bounds[row[first]])
         # items begin with a word: go to the next word start on either side, as far as edits can shift it
         word = np.flatnonzero(np.concatenate(([True], text[:-1] == 32)))
         after = np.minimum(np.searchsorted(word, start), len(word) - 1)
         found = np.concatenate([start, word[after], word[np.maximum(after - 1, 0)]])
-        item, row = np.tile(self.owner[piece], 3), np.tile(row, 3)
-        edits = np.array([4 * i.edits for i in self.items])
-        near = (np.abs(found - np.tile(start, 3)) <= edits[item]) & (found >= bounds[row]) & (found < bounds[row + 1])
-        item, row, found = (np.unique(np.stack([item[near], row[near], found[near]]), axis=1)) if near.any() else (none, none, none)
-        return item, row, found
+        item, row = np.tile(item, 3), np.tile(row, 3)
+        near = (np.abs(found - np.tile(start, 3)) <= self.band[item]) & (found >= bounds[row]) & (found < bounds[row + 1])
+        return tuple(np.unique(np.stack([item[near], row[near], found[near]]), axis=1))
 
     def alike(self, text: np.ndarray, bounds: np.ndarray, item: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Which windows agree with their item in all places of one repetition."""
-        ok = np.zeros(len(item), bool)
-        size = np.array([len(i.raw) for i in self.items])
-        for n in np.unique(size[item]):  # items of one size share sampled places
-            own = np.flatnonzero(size[item] == n)
-            steps = self.sampled[item[own[0]]][0]
-            sizes = np.minimum(n, bounds[row[own] + 1] - start[own])
-            same = embedded(text, start[own], sizes, 3 * n, steps, self.bits) == np.array([self.sampled[i][1] for i in item[own]])
-            ok[own] = same.reshape(len(own), self.repeats, self.places).all(2).any(1)
-        return ok
+        sizes = np.minimum(self.sizes[item], bounds[row + 1] - start)
+        same = self._sampled(text, item, start, sizes) == self.own[item]
+        return same.reshape(len(item), self.repeats, self.places).all(2).any(1)
 
     def __call__(self, batch: pa.RecordBatch) -> dict[tuple[int, int], int]:
         """Edit distance by (row, number of the item)."""
@@ -256,8 +258,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     """doc_id, item_id, distance, allowed, item_chars for each row of ``docs`` and item that its whole text holds within ``share`` edits.
 
     A-Z and a-z are the same and so is all white space. Null and empty texts and items match nothing; a repeated row or an item
-    with several texts has a row for each; null ids stay null; without items or rows there are none. Items with pieces shorter than
-    KEY bytes are verified in every text.
+    with several texts has a row for each; null ids stay null; without items or rows there are none. Items so short that edits can
+    spoil every substring of KEY bytes are verified in every text.
     """
     out = None
     for finder in finders(benchmark, share=share):
