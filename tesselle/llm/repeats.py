@@ -20,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +38,8 @@ SHARD = 1 << 20
 PASS = 1 << 18
 #: Bits of the table of kinds to send, eight for each up to this power of two; beyond it, more is sent than need be.
 MOST_BITS = 27
-PICKS = "pick long, kind long, key long, start long, stop long"
-_PICK_NAMES = [x.split()[0] for x in PICKS.split(", ")]
+PICKS = "pick long, kind long, key long, start long, stop long, sure boolean"
+_PICK_NAMES = ["pick", "kind", "key", "start", "stop"]
 
 
 def row_keys(batch: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -92,11 +93,20 @@ def _owned(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
 
 @trimmed
 def _picked(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """What the picks own. Of equal kinds that one pass sees, one meets the other passes' under its pick; all are known to repeat
+    at once (``sure``) and go wherever there is room, so that a pick that is everywhere sends each task few rows."""
     for whole in batches:
         for batch in passes(whole, most=PASS):
             _, bounds, pick, kind, key, row, start, stop = _owned(batch, length)
-            if len(pick):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pick, kind, key, start - bounds[row], stop - bounds[row])], names=_PICK_NAMES)
+            if not len(pick):
+                continue
+            own = np.stack([pick, kind, key, start - bounds[row], stop - bounds[row]])[:, np.lexsort((kind, pick))]
+            same = (own[0, 1:] == own[0, :-1]) & (own[1, 1:] == own[1, :-1])
+            head, sure = np.append(True, ~same), np.append(same, False) | np.append(False, same)
+            known = own[:, sure]
+            known[0] = sent_id(*known[:4])
+            rows = np.concatenate([own[:, head], known], 1)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.arange(rows.shape[1]) >= head.sum())], names=[*_PICK_NAMES, "sure"])
 
 
 def sent_id(pick: np.ndarray, kind: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -105,7 +115,7 @@ def sent_id(pick: np.ndarray, kind: np.ndarray, key: np.ndarray, start: np.ndarr
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (pick, kind): ``key`` and its bytes for those of which there are several of a kind, ``sent`` for one of each
+    """``key`` and its bytes for rows that are sure, and of the others, sorted by (pick, kind): ``key`` and its bytes for those of which there are several of a kind, ``sent`` for one of each
     kind where a pick has several kinds. One row of each is remembered from batch to batch."""
     held: dict[str, np.ndarray] | None = None  # the last row, which the next may resemble
     alone: np.ndarray | None = None  # a pick's first kind, as long as it has no other
@@ -143,6 +153,12 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(known, mask=np.arange(m + len(ids)) < m)], names=["key", "start", "stop", "sent"])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        known = batch.filter(batch.column("sure"))
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays([*(known.column(c) for c in ("key", "start", "stop")), pa.nulls(known.num_rows, pa.int64())], names=["key", "start", "stop", "sent"])
+        batch = batch.filter(pc.invert(batch.column("sure")))
         if not batch.num_rows:
             continue
         now = {c: batch.column(c).to_numpy() for c in _PICK_NAMES}

@@ -141,7 +141,7 @@ def test_kinds_are_sorted_out_across_batches(rows):
         kind = rng.integers(0, 3, n)
         order = np.lexsort((kind, pick))
         table = {"pick": pick[order], "kind": kind[order], "key": np.arange(n), "start": np.arange(n) * 3, "stop": np.arange(n) * 3 + 9}
-        batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in table.items()})
+        batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in table.items()} | {"sure": pa.array([False] * n)})
         out = pa.Table.from_batches(list(repeats._sorted_out(iter(batch.slice(i, rows) for i in range(0, n, rows)))) or [pa.RecordBatch.from_pydict({k: pa.array([], pa.int64()) for k in ("key", "start", "stop", "sent")})]).to_pylist()
         pairs = list(zip(table["pick"].tolist(), table["kind"].tolist(), strict=True))
         assert sorted(r["key"] for r in out if r["sent"] is None) == [i for i in range(n) if pairs.count(pairs[i]) > 1]
