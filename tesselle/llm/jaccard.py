@@ -5,9 +5,9 @@ similar enough. The domain of hashed n-grams is cut into first-level partitions,
 most one element differs; that one is cut again, and every choice of all but one of its parts is a signature.
 Sets that are similar enough thus share a signature. Sets that share one are compared on their whole elements.
 
-Copies are one set from the start. Within the sets that share a signature not all pairs are made: each is compared with
-the smallest; only where that leaves several components are the pairs across them compared, unless a parity sketch
-proves that they differ too much. So no link that joins two components is lost.
+Copies are one set from the start. Within the sets that share a signature not all pairs are made: each set is compared with one
+that leads a signature of its own; only where that leaves several components are the pairs across them compared, unless
+a parity sketch proves that they differ too much. So no link that joins two components is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ PARTS = 3
 FILTER_BITS = 24
 #: Members of a signature compared at once with as many others.
 BLOCK = 2048
-SKETCH = 4
+#: Words of 64 bits of a parity sketch.
+SKETCH = 16
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
 
@@ -209,6 +210,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
+def stars(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each set, the smallest set (a) of one of its signatures whose sketch is nearest to its own (b), unless all are too far.
+
+    Any choice will do, as what it leaves apart is compared later; a near one joins most.
+    """
+    of = lambda name: sets.select(F.col("sid").alias(name), F.col("n").alias(f"n{name}"), *(F.col(f"k{i}").alias(f"{name}{i}") for i in range(SKETCH)))
+    pairs = shared.where("sid != lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b")
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    near = pairs.select("a", "b", apart.alias("apart"), (F.col("na") + F.col("nb")).alias("total")).where(F.col("apart") * (100 + percent) <= F.col("total") * (100 - percent))
+    return near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+
+
 def bit_table(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A table of 2**bits bits in which those of the ids are set: at most 2**(bits - 6) rows reach the driver."""
     low = F.col("sid").bitwiseAND((1 << bits) - 1)
@@ -234,8 +247,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     wanted = spark.sparkContext.broadcast(bit_table(shared.select("sid")))
     found = texts.mapInArrow(partial(_elements, size=size, wanted=wanted), f"sid long, n long, {', '.join(f'k{i} long' for i in range(SKETCH))}, elements array<long>")
     sets = saved(found.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", *(f"k{i}" for i in range(SKETCH)), "elements")]), "elements")
-    stars = shared.where("sid != lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    links = saved(verified(stars, sets, percent), "pairs")
+    links = saved(verified(stars(shared, sets, percent), sets, percent), "pairs")
     roots = components(links)
 
     members = shared.select("sig", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
