@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import FOLDED, U, between, grams, mix, passes, prefix, signed, text_bytes, words
-from .scratch import drop, saved
+from .scratch import bucketed, drop, saved
 
 SHINGLE = 4
 PERCENT = 85
@@ -246,7 +246,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     shared = saved(signs.repartition(dealt, "sig").sortWithinPartitions("sig", "sid").mapInArrow(_shared, "sig long, sid long, lead long"), "shared")
     wanted = spark.sparkContext.broadcast(bit_table(shared.select("sid")))
     found = texts.mapInArrow(partial(_elements, size=size, wanted=wanted), f"sid long, n long, {', '.join(f'k{i} long' for i in range(SKETCH))}, elements array<long>")
-    sets = saved(found.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", *(f"k{i}" for i in range(SKETCH)), "elements")]), "elements")
+    sets = bucketed(found.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", *(f"k{i}" for i in range(SKETCH)), "elements")]), "elements", "sid")
     links = saved(verified(stars(shared, sets, percent), sets, percent), "pairs")
     roots = components(links)
 

@@ -34,8 +34,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``column`` and read again: joins on it move only their other side."""
+    spark, table = df.sparkSession, f"tesselle_{name}_{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{table}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).sortBy(column).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._tesselle_path, out._tesselle_table = path, table
+    return out
+
+
 def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`saved` that no later result reads."""
+    """Delete a table made by :func:`saved` or :func:`bucketed` that no later result reads."""
+    if hasattr(df, "_tesselle_table"):
+        df.sparkSession.sql(f"drop table if exists {df._tesselle_table}")
     jvm, path = df.sparkSession._jvm, df._tesselle_path
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
