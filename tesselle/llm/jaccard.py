@@ -6,8 +6,8 @@ most one element differs; that one is cut again, and every choice of all but one
 Sets that are similar enough thus share a signature. Sets that share one are compared on their whole elements.
 
 Copies are one set from the start. Within the sets that share a signature not all pairs are made: each set is compared with one
-that leads a signature of its own; only where that leaves several components are the pairs across them compared, unless
-a parity sketch proves that they differ too much. So no link that joins two components is lost.
+that leads a signature of its own, then twice with the nearest one of another component; only where that leaves several components are
+all pairs across them compared, unless a parity sketch proves that they differ too much. So no link that joins two components is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ FILTER_BITS = 24
 BLOCK = 2048
 #: Words of 64 bits of a parity sketch.
 SKETCH = 16
+#: Rounds in which a set is compared with the nearest one of another component, before all others are.
+NEAREST = 2
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
 
@@ -109,6 +111,31 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(elements: np.ndarray) -> bytes:
+    """As :func:`sketch`, with four to eight cells an element, a power of two of them: halves laid over each other are the sketch of half the cells."""
+    cells = 1 << max(6, (4 * len(elements) - 1).bit_length())
+    odd = np.bincount((mix(elements) % U(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """In how many cells two wide sketches differ, at the size of the smaller."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that their wide sketches do not rule out."""
+    for batch in batches:
+        total = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist()
+        ok = [_apart(a.as_buffer(), b.as_buffer()) * (100 + percent) <= t * (100 - percent) for a, b, t in zip(batch.column("wa"), batch.column("wb"), total, strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def _named(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in passes(whole):
@@ -171,13 +198,14 @@ def _elements(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[
             if seen:
                 sketches = np.array([sketch(s) for s in seen.values()])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(seen), pa.int64()), pa.array([len(s) for s in seen.values()], pa.int64()), *(pa.array(sketches[:, i]) for i in range(SKETCH)), pa.array([signed(s) for s in seen.values()], pa.list_(pa.int64()))],
-                    names=["sid", "n", *(f"k{i}" for i in range(SKETCH)), "elements"],
+                    [pa.array(list(seen), pa.int64()), pa.array([len(s) for s in seen.values()], pa.int64()), *(pa.array(sketches[:, i]) for i in range(SKETCH)), pa.array([wide_sketch(s) for s in seen.values()], pa.binary()), pa.array([signed(s) for s in seen.values()], pa.list_(pa.int64()))],
+                    names=["sid", "n", *(f"k{i}" for i in range(SKETCH)), "wide", "elements"],
                 )
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig: pairs of sets in different components whose sizes and sketches do not rule them out."""
+def _across(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by sig: pairs of sets in different components whose sizes and sketches do not rule them out; or of each set the
+    nearest such set of a block alone."""
     for now in runs(batches, "sig"):
         sig = now["sig"]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
@@ -195,18 +223,25 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                         apart += np.bitwise_count(bits[x, c][:, None] ^ bits[y, c][None, :])
                     ok = (root[x][:, None] != root[y][None, :]) & (apart * (100 + percent) <= total * (100 - percent))
                     ok &= np.minimum(n[x][:, None], n[y][None, :]) * 100 >= np.maximum(n[x][:, None], n[y][None, :]) * percent
-                    left, right = np.nonzero(np.triu(ok, 1) if i == j else ok)
+                    if nearest:
+                        left = np.flatnonzero(ok.any(1))
+                        right = np.where(ok[left], apart[left], 1 << 40).argmin(1)
+                    else:
+                        left, right = np.nonzero(np.triu(ok, 1) if i == j else ok)
                     if len(left):
                         p, q = sid[x][left], sid[y][right]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(apart[left, right])], names=["a", "b", "apart"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by exact integer arithmetic on whole sets."""
+    """The pairs (a, b) whose sets are similar enough, by exact integer arithmetic on whole sets, which only pairs that wide sketches leave open fetch."""
+    sizes = [sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab"]
+    pairs = pairs.join(sizes[0], "a").join(sizes[1], "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "na", "nb", "wa", "wb")
+    pairs = pairs.mapInArrow(partial(_close, percent=percent), "a long, b long")
     left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
     right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
-    joined = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    joined = pairs.join(left, "a").join(right, "b")
     return joined.where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
@@ -245,22 +280,30 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = saved(signs.repartition(dealt, "sig").sortWithinPartitions("sig", "sid").mapInArrow(_shared, "sig long, sid long, lead long"), "shared")
     wanted = spark.sparkContext.broadcast(bit_table(shared.select("sid")))
-    found = texts.mapInArrow(partial(_elements, size=size, wanted=wanted), f"sid long, n long, {', '.join(f'k{i} long' for i in range(SKETCH))}, elements array<long>")
-    sets = bucketed(found.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", *(f"k{i}" for i in range(SKETCH)), "elements")]), "elements", "sid")
+    columns = {"n": "long"} | {f"k{i}": "long" for i in range(SKETCH)} | {"wide": "binary", "elements": "array<long>"}
+    found = texts.mapInArrow(partial(_elements, size=size, wanted=wanted), ", ".join(f"{n} {t}" for n, t in ({"sid": "long"} | columns).items()))
+    sets = bucketed(found.groupBy("sid").agg(*[F.first(c).alias(c) for c in columns]), "elements", "sid")
+    small = sets.drop("wide", "elements")
+
+    def across(roots: DataFrame, nearest: bool) -> DataFrame:
+        members = shared.select("sig", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
+        mixed = members.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("sig")
+        rest = members.join(mixed, "sig", "left_semi").join(small, "sid").repartition(dealt, "sig").sortWithinPartitions("sig", "sid")
+        found = rest.mapInArrow(partial(_across, percent=percent, nearest=nearest), "a long, b long, apart long")
+        if not nearest:
+            return found.select("a", "b").distinct()
+        return found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+
     links = saved(verified(stars(shared, sets, percent), sets, percent), "pairs")
-    roots = components(links)
-
-    members = shared.select("sig", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
-    mixed = members.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("sig")
-    small = sets.drop("elements")
-    rest = members.join(mixed, "sig", "left_semi").join(small, "sid").repartition(dealt, "sig").sortWithinPartitions("sig", "sid")
-    across = rest.mapInArrow(partial(_across, percent=percent), "a long, b long").distinct()
-    more = saved(verified(across, sets, percent), "pairs")
-    if more.isEmpty():
-        final = roots
-    else:
-        final = components(links.unionByName(more))
-    for table in (shared, sets, links, more):
+    final = components(links)
+    for nearest in (*[True] * NEAREST, False):
+        more = saved(verified(across(final, nearest), sets, percent), "pairs")
+        if not more.isEmpty():
+            links, old = saved(links.unionByName(more), "pairs"), links
+            final = components(links)
+            drop(old)
+        drop(more)
+    for table in (shared, sets, links):
         drop(table)
 
     root = named.join(final, F.col("sid") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root"))
