@@ -1,10 +1,9 @@
 """Benchmark decontamination by edit distance.
 
 A text holds an item where some stretch of it is within a tenth of the item's length in edits. An edit spoils no more of an item's
-KEY-byte substrings than cover a character, so a known number of them stands unchanged in any such stretch, at nearly the same shift;
-where half as many do in a band of shifts, a window of the item's size is taken. Windows and items are embedded by a shared random walk that maps a small edit distance to a small
-Hamming distance, and a window goes on where, in one of the repeated samples of places, it agrees with the item in every sampled place.
-What goes on is verified by the exact edit distance.
+KEY-byte substrings than cover a character, so a known number of them stands unchanged in any such stretch, at shifts that differ by
+no more than the edits move them. Wherever as many stand that near to each other, the exact edit distance decides, over all that the
+stretch can cover: what goes on is never less than what holds an item.
 """
 
 from __future__ import annotations
@@ -18,19 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import LOWER, U, mix, passes, text_bytes
+from .hashing import LOWER, U, passes, text_bytes
 
 #: Edits allowed, in parts of the item's characters.
 SHARE = 0.1
-#: Repetitions, and places each samples: a window whose embedding differs from the item's in a third of its places agrees
-#: with it in one of them by 1 - (1 - (2/3)**3)**96, and one that differs in three quarters still by 0.78.
-REPEATS, PLACES = 96, 3
 #: Items that one pass over the texts looks for; more take more passes.
 ITEMS = 10_000
 #: Bytes of the substrings that find an item.
 KEY = 8
-#: Windows embedded at once.
-WALKED = 8192
+#: Bytes of the character that each byte begins; of a byte within one, 1.
+_WIDTH = np.repeat(np.array([1, 2, 3, 4]), [0xC0, 0x20, 0x10, 0x10])
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -61,24 +57,6 @@ def folded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[~again], kept[bounds]
 
 
-def walk_bits(steps: int, seed: int = 5) -> np.ndarray:
-    """For each step and byte, whether the walk moves on."""
-    values = np.arange(steps * 256, dtype=U) + U(seed << 32)
-    return (mix(values) & U(1)).astype(np.int8).reshape(steps, 256)
-
-
-def walked(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: int, bits: np.ndarray) -> np.ndarray:
-    """The first ``steps`` places of the random-walk embedding of the stretches of ``text``, a row each."""
-    at, end, nothing = starts.copy(), starts + sizes, len(text)
-    padded = np.append(text, np.uint8(0))
-    out = np.empty((steps, len(starts)), np.uint8)
-    for step in range(steps):
-        now = padded[np.where(at < end, at, nothing)]
-        out[step] = now
-        at += bits[step][now]
-    return out.T
-
-
 def nearest(pattern: str, text: str) -> int:
     """The smallest edit distance of the pattern to a stretch of the text, by bit-parallel dynamic programming."""
     m = len(pattern)
@@ -112,7 +90,7 @@ def eights(data: np.ndarray) -> np.ndarray:
 class Finder:
     """Finds the items in batches of texts."""
 
-    def __init__(self, rows: list[tuple[int, str]], share: float = SHARE, repeats: int = REPEATS, places: int = PLACES):
+    def __init__(self, rows: list[tuple[int, str]], share: float = SHARE):
         self.items = []
         for item_id, text in rows:
             text = plain(text or "")
@@ -120,15 +98,14 @@ class Finder:
                 self.items.append(Item(item_id, text, np.frombuffer(text.encode(), np.uint8), int(share * len(text))))
         keys, owner, offset = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.short: list[int] = []
-        self.least, self.band = np.ones(len(self.items), np.int64), np.ones(len(self.items), np.int64)
+        self.stand, self.wide = np.ones(len(self.items), np.int64), np.ones(len(self.items), np.int64)
         for number, item in enumerate(self.items):
             widest = max(len(c.encode()) for c in item.text)
             stand = len(item.raw) - KEY + 1 - (KEY + widest - 1) * item.edits
             if stand < 1:
                 self.short.append(number)  # edits can spoil all: verified in every text
                 continue
-            # a stretch's shifts differ by no more than its edits move them, so they fall into two bands at most
-            self.least[number], self.band[number] = (stand + 1) // 2, 4 * item.edits + 1
+            self.stand[number], self.wide[number] = stand, widest
             own = eights(item.raw)
             keys.append(own)
             owner.append(np.full(len(own), number))
@@ -139,34 +116,17 @@ class Finder:
         self.table = np.zeros(1 << self.table_bits, bool)
         self.table[self._cell(self.keys)] = True
         self.sizes = np.array([len(i.raw) for i in self.items], np.int64)
-        self.repeats, self.places = repeats, places
-        self.bits = walk_bits(2 * int(self.sizes.max(initial=0)))
-        whole = np.concatenate([np.zeros(0, np.uint8), *(i.raw for i in self.items)])
-        self.steps = np.stack([self._steps(n) for n in self.sizes.tolist()]) if self.items else np.zeros((0, repeats * places), np.int64)
-        self.own = self._sampled(whole, np.arange(len(self.items)), np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.edits = np.array([i.edits for i in self.items], np.int64)
 
     def _cell(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.table_bits)).astype(np.int64)
 
-    def _steps(self, size: int) -> np.ndarray:
-        """The places that the repetitions sample for items of a size, one repetition after another."""
-        return (mix(np.arange(self.repeats * self.places, dtype=U) + U(size << 20)) % U(2 * size)).astype(np.int64)
-
-    def _sampled(self, text: np.ndarray, item: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The places that each item samples, of the embeddings of stretches of the text."""
-        out = np.empty((len(item), self.repeats * self.places), np.uint8)
-        for at in range(0, len(item), WALKED):
-            own = slice(at, at + WALKED)
-            trace = walked(text, starts[own], sizes[own], int(2 * self.sizes[item[own]].max()), self.bits)
-            out[own] = np.take_along_axis(trace, self.steps[item[own]], 1)
-        return out
-
-    def windows(self, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, row and start of the windows of an item's size where enough of it stands, each once."""
+    def stretches(self, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, item, start and end of the stretches that cover all places where enough of an item stands; they do not overlap."""
         none = np.zeros(0, np.int64)
         if len(text) < KEY or not len(self.keys):
-            return none, none, none
+            return none, none, none, none
         eight = eights(text)
         hit = np.flatnonzero(self.table[self._cell(eight)])
         low = np.searchsorted(self.keys, eight[hit])
@@ -178,46 +138,32 @@ class Finder:
         inside = place + KEY <= bounds[row + 1]
         place, found, row = place[inside], found[inside], row[inside]
         item, shift = self.owner[found], place - self.offset[found]
-        key = (row * len(self.items) + item) << 32 | (shift + (1 << 30)) // self.band[item]
-        _, first, count = np.unique(key, return_index=True, return_counts=True)
-        first = first[count >= self.least[item[first]]]
-        if not len(first):
-            return none, none, none
-        item, row, start = item[first], row[first], np.maximum(shift[first], bounds[row[first]])
-        # items begin with a word: go to the next word start on either side, as far as edits can shift it
-        word = np.flatnonzero(np.concatenate(([True], text[:-1] == 32)))
-        after = np.minimum(np.searchsorted(word, start), len(word) - 1)
-        found = np.concatenate([start, word[after], word[np.maximum(after - 1, 0)]])
-        item, row = np.tile(item, 3), np.tile(row, 3)
-        near = (np.abs(found - np.tile(start, 3)) <= self.band[item]) & (found >= bounds[row]) & (found < bounds[row + 1])
-        return tuple(np.unique(np.stack([item[near], row[near], found[near]]), axis=1))
-
-    def alike(self, text: np.ndarray, bounds: np.ndarray, item: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Which windows agree with their item in all places of one repetition."""
-        sizes = np.minimum(self.sizes[item], bounds[row + 1] - start)
-        same = self._sampled(text, item, start, sizes) == self.own[item]
-        return same.reshape(len(item), self.repeats, self.places).all(2).any(1)
+        key = np.sort((row * len(self.items) + item) << 32 | (shift + (1 << 30)))
+        pair, shift = key >> 32, (key & 0xFFFFFFFF) - (1 << 30)
+        row, item = pair // len(self.items), pair % len(self.items)
+        # an edit moves what follows by a character of the item or of the text at most
+        wide, full = np.ones(len(bounds) - 1, np.int64), bounds[:-1] < bounds[1:]
+        wide[full] = np.maximum.reduceat(_WIDTH[text], bounds[:-1][full])
+        reach = np.maximum(self.wide[item], wide[row]) * self.edits[item]
+        last = np.arange(len(key)) + self.stand[item] - 1
+        enough = last < len(key)
+        enough[enough] = key[last[enough]] - key[enough] <= reach[enough]
+        pair, row, item, shift, reach = (x[enough] for x in (pair, row, item, shift, reach))
+        # the least shift that stands is no further from the stretch's start, nor the start from where its end would be
+        start, end = np.maximum(bounds[row], shift - reach), np.minimum(bounds[row + 1], shift + self.sizes[item] + 2 * reach)
+        head = np.ones(len(pair), bool)
+        head[1:] = (pair[1:] != pair[:-1]) | (start[1:] > end[:-1])
+        tail = np.append(head[1:], True)[: len(head)]
+        return row[head], item[head], start[head], end[tail]
 
     def __call__(self, batch: pa.RecordBatch) -> dict[tuple[int, int], int]:
         """Edit distance by (row, number of the item)."""
         text, bounds = folded(*text_bytes(batch.column("text")))
-        item, row, start = self.windows(text, bounds)
         out: dict[tuple[int, int], int] = {}
-        if len(item):
-            go = self.alike(text, bounds, item, row, start)
-            spans: dict[tuple[int, int], list[list[int]]] = {}
-            for i, r, s in zip(item[go].tolist(), row[go].tolist(), start[go].tolist(), strict=True):
-                reach = 8 * self.items[i].edits
-                a, b = max(int(bounds[r]), s - reach), min(int(bounds[r + 1]), s + len(self.items[i].raw) + reach)
-                own = spans.setdefault((r, i), [])
-                if own and a <= own[-1][1]:
-                    own[-1][1] = max(b, own[-1][1])
-                else:
-                    own.append([a, b])
-            for (r, i), own in spans.items():
-                least = min(nearest(self.items[i].text, text[a:b].tobytes().decode(errors="ignore")) for a, b in own)
-                if least <= self.items[i].edits:
-                    out[r, i] = least
+        for r, i, a, b in zip(*(x.tolist() for x in self.stretches(text, bounds)), strict=True):
+            least = nearest(self.items[i].text, text[a:b].tobytes().decode(errors="ignore"))
+            if least <= self.items[i].edits:
+                out[r, i] = min(least, out.get((r, i), least))
         for i in self.short:
             for r in range(batch.num_rows):
                 least = nearest(self.items[i].text, text[bounds[r] : bounds[r + 1]].tobytes().decode())

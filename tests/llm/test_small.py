@@ -201,6 +201,29 @@ def test_recall_of_edited_items():
     assert held >= 100 and hit >= 0.98 * held
 
 
+def _prose(rng, size):
+    """Prose whose words are shared by all texts, cut to a number of characters."""
+    words = "the of and a to in is was water people number sound other through following government development information important together".split()
+    out = ""
+    while len(out) < size:
+        out += rng.choice(words) + " "
+    return out[:size].strip()
+
+
+@pytest.mark.parametrize("size", [100, 250, 600, 1000, 2000])
+def test_items_cut_at_a_documents_start_or_end_are_found(size):
+    rng = random.Random(size)
+    items = [_prose(rng, size) for _ in range(6)]
+    find = decontamination.Finder(list(enumerate(items)))
+    docs = []
+    for text in (i.text for i in find.items):
+        cut = len(text) // 10
+        docs += [text[cut:] + f" {_prose(rng, 300)}", f"{_prose(rng, 300)} {text[:-cut]}", text[cut:], text[cut // 2 :] + "."]
+    found = find(_batch(docs))
+    for at, doc in enumerate(docs):
+        assert found[at, at // 4] == decontamination.nearest(find.items[at // 4].text, doc)
+
+
 def test_lists_stop_early_and_right():
     rng = np.random.default_rng(3)
     centre = rng.normal(0, 1, (4, 16))
