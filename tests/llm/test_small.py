@@ -224,6 +224,22 @@ def test_items_cut_at_a_documents_start_or_end_are_found(size):
         assert found[at, at // 4] == decontamination.nearest(find.items[at // 4].text, doc)
 
 
+@pytest.mark.parametrize("size", [100, 250, 600, 1000, 2000])
+def test_items_within_the_limit_are_all_found(size):
+    rng = random.Random(size + 1)
+    items = [_prose(rng, size) for _ in range(6)]
+    find = decontamination.Finder(list(enumerate(items)))
+    docs = []
+    for number, text in enumerate(i.text for i in find.items):
+        edits = find.items[number].edits
+        for changed in (text, _mutated(rng, text, edits), _mutated(rng, text, edits // 2), "z" * edits + text[edits:], text[:size // 2] + "é" * edits + text[size // 2 :]):
+            docs.append(f"{_prose(rng, 200)} {text[: size // 3]} {_prose(rng, 50)} {changed} {_prose(rng, 200)}")
+    found = find(_batch(docs))
+    for at, doc in enumerate(docs):
+        least = decontamination.nearest(find.items[at // 5].text, decontamination.plain(doc))
+        assert found.get((at, at // 5)) == (least if least <= find.items[at // 5].edits else None)
+
+
 def test_lists_stop_early_and_right():
     rng = np.random.default_rng(3)
     centre = rng.normal(0, 1, (4, 16))
