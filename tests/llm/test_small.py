@@ -288,3 +288,29 @@ def test_families_have_what_tests_need():
     rows = families()
     raw, gone = removed([t for _, t in rows], 200)
     assert any(map(any, gone)) and not all(map(all, gone)) and len(raw) == len(rows)
+
+
+def test_words_are_spelt_to_their_end():
+    rng = random.Random(9)
+    letters = "天地人日月山水火木金土上下"
+    plain = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    words = [plain(200).encode() for _ in range(60)] + [f"{plain(rng.randrange(200))}毒蛇咬{plain(100)}".encode() for _ in range(60)]
+    model = toxicity.fit(words, np.array([0.0] * 60 + [1.0] * 60), np.array([1.0] * 60 + [0.0] * 60))
+    for text in ("毒蛇咬{}", "{}毒蛇咬", "{0}毒蛇咬{0}", "{0}、{0}毒蛇咬{0}"):
+        text = text.format(plain(300))
+        clean, bad = toxicity.features(model, _batch([text.replace("毒蛇咬", "天地人"), text]))
+        assert not np.isclose(bad[0], clean[0]) and bad[4] == clean[4] == 1 + text.count("、")
+        # the pieces of a word add up to the whole
+        text = text.replace("、", "")
+        raw = np.frombuffer(text.encode(), np.uint8)
+        word, start, end = toxicity.pieces(np.array([0]), np.array([len(raw)]))
+        parts = toxicity.word_ratios(model, raw, start, end, np.zeros(len(word), np.int64), np.full(len(word), len(raw)))
+        assert len(parts) > 10 and np.isclose(parts.sum(), toxicity.word_ratios(model, raw, np.array([0]), np.array([len(raw)]))[0])
+
+
+def test_other_spaces_and_punctuation_end_words():
+    texts = ["bad word.", "bad\u00a0word", "bad\u3000word", "bad，word。", "«bad» – word", "bad\u2028word\u0085", "bad, word"]
+    model = toxicity.fit([b"bad", b"word"], np.array([9.0, 1]), np.array([1.0, 9]))
+    x = toxicity.features(model, _batch(texts))
+    assert (x == x[0]).all() and x[0, 4] == 2
+    assert toxicity.features(model, _batch(["é", "", "日本", "🙂", "naïve\u200dx"]))[:, 4].tolist() == [1, 0, 1, 1, 1]
