@@ -3,11 +3,11 @@
 Every stretch of ``length`` bytes picks the least of its short substrings (by hash); equal stretches pick the same one at
 the same place, so they meet where picks meet. A pick owns the run of stretches that picked it, and so the bytes these span. Picks that
 occur once are done with. Where all that picks own is equal, all their stretches repeat. Where it differs, one of each kind is sent,
-with its bytes, to the shard of its pick; there the suffixes of all of them are put in order by external induced sorting, and the
+with its bytes, to the shard of its pick; there the suffixes of all of them are put in order by induced sorting, and the
 stretches whose neighbour in that order begins with the same ``length`` bytes repeat.
 
-No step gathers a group: rows of a pick are read as a sorted stream with one row of memory, and a shard's waiting
-suffixes go to disk beyond a bound.
+Rows of a pick are read as a sorted stream with one row of memory. All different contexts of a pick meet in one shard, which is sorted in
+memory, its waiting suffixes alone going to disk beyond a bound; a shard larger than a task's memory allows ends the query (README, Limits).
 """
 
 from __future__ import annotations
