@@ -85,6 +85,20 @@ def _rows(batches: Iterator[pa.RecordBatch], scale: int, centres: np.ndarray) ->
             yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(ids), pa.array([packed(v) for v in vectors], pa.binary())], names=["near", "vec_id", "vector"])
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One query of each id: of different vectors the sum of the different components of each dimension."""
+    for batch in batches:
+        queries = []
+        for vectors in batch.column("vectors").to_pylist():
+            if len(vectors) > 1:
+                own = [unpacked(v, 1)[0] for v in vectors]
+                matrix = np.sort(stacked(own, max(map(len, own))), 0)
+                matrix[1:][matrix[1:] == matrix[:-1]] = 0
+                vectors = [packed(matrix.sum(0))]
+            queries.append(vectors[0])
+        yield pa.RecordBatch.from_arrays([batch.column("near"), batch.column("vec_id"), pa.array(queries, pa.binary())], names=["near", "vec_id", "vector"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], size: int, dims: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -190,7 +204,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     product of floor(scale * x), the query's own id left out; all, if fewer; ties go to the smaller id.
 
     Null ids, and vectors that are null or hold a null or non-finite component, take no part. Shorter vectors are continued with
-    zeros. Repeated rows each count as candidates, and a repeated query is asked once. An empty table gives no rows.
+    zeros. Repeated rows each count as candidates, and a repeated query is asked once; where an id stands with different vectors, the
+    query has in each dimension the sum of their different components, as in the SQL. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null")
@@ -207,7 +222,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     make = lambda df, size, parts: df.repartitionByRange(max(1, min(tasks, parts)), "near", "vec_id").sortWithinPartitions("near", "vec_id").select("vec_id", "vector").mapInArrow(partial(_blocks, size=size, dims=dims), BLOCKS)
     data = saved(make(near, BLOCK, n // BLOCK + 1), "blocks")
-    asked = near.where(f"vec_id % {every} = 0").dropDuplicates(["vec_id"])
+    each = near.where(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min("near").alias("near"), F.collect_set("vector").alias("vectors"))
+    asked = each.mapInArrow(_asked, "near long, vec_id long, vector binary")
     queries = saved(make(asked, QUERIES, n // every // QUERIES + 1).mapInArrow(partial(_first_bounds, sample=sample, k=k), f"{BLOCKS}, low binary"), "queries")
     q = queries.select(F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "low")
     blocks = [r[0] for r in data.select("block").collect()]  # one number for each of the blocks

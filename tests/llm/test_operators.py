@@ -147,6 +147,24 @@ def test_top_k(spark):
     assert len(topk.top_k(few).collect()) == 3 and topk.top_k(few.limit(0)).count() == 0
 
 
+def test_top_k_of_an_id_with_different_vectors(spark):
+    import duckdb
+
+    from tesselle.llm import oracle
+
+    rng = np.random.default_rng(1)
+    out = [(i, v) for i, v in enumerate(rng.normal(0, 0.2, (200, 8)).astype(np.float32).tolist())]
+    out += [(20, out[21][1]), (20, out[22][1][:5]), (40, out[40][1]), (60, [*out[60][1][:7], 0.5]), (60, out[60][1])]
+    table = spark.createDataFrame(out, "vec_id long, embedding array<float>").toArrow()
+    con = duckdb.connect()
+    con.register("embeddings", table)
+    expected = sorted(con.execute(oracle.top_k_sql()).fetchall())
+    for parts in (1, 5):
+        for rows in (out, out[::-1]):
+            got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)).select("query_id", "rank", "vec_id", "score").collect()
+            assert sorted(map(tuple, got)) == expected
+
+
 def test_license_scan(spark):
     words = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     rng, some = random.Random(2), "MIT license apache GENERAL public License, gnu Kit é mit-license".split()
