@@ -238,6 +238,17 @@ def test_toxicity(spark):
     assert toxicity.score(frame_.limit(0), model).count() == 0
 
 
+def test_held_out_and_repeated_labels_do_not_weigh(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["plain", "text", "good", "vilix" if i % 5 == 1 else "day"]) for _ in range(12))) for i in range(150)]
+    kept = [(i, int(i % 5 == 1)) for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    more = [(i, 1) for i in range(150, 400) if zlib.crc32(str(i).encode()) % 5 == 0] + kept[:40] + [(i, 0) for i, t in kept if t] + [(None, 1)]
+    marks = [spark.createDataFrame(x, "doc_id long, toxic int") for x in (kept, kept + more)]
+    assert toxicity.label_shares(marks[0]) == toxicity.label_shares(marks[1]) == {t: sum(x == t for _, x in kept) for t in (0, 1)}
+    one, other = (toxicity.train(frame(spark, rows), m)["weights"] for m in marks)
+    assert (one == other).all()
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     marks = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
     from tesselle.llm.labelled import sample_ids
