@@ -1,5 +1,7 @@
 """The driver's contract: every raster query against its SQL."""
 
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -26,6 +28,19 @@ def test_names():
     assert set(raster.oracle_sql()) == set(raster.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("gone", [["tesselle/llm", "tests/llm"], ["tesselle/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_the_rest_stands_alone(tmp_path, gone):
+    """Without the training-data operators, with and without their pipeline's file, the raster queries are there."""
+    root, copy = Path(__file__).parents[1], tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for name in gone:
+        path = copy / name
+        shutil.rmtree(path) if path.is_dir() else path.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; import tesselle.cli, tesselle.streaming; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith(('op', 'pipeline')) and n not in ('opaque', 'open_r1') for n in e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == [str(len(raster.queries())), str(len(raster.oracle_sql())), "False"], done.stderr
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
 
