@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from unicodedata import normalize, ucd_3_2_0
 
 import numpy as np
 
@@ -24,6 +25,17 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(spelling[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+def lettered(word: str) -> bool:
+    """Whether a word is letters to every tokenizer and stays so when composed and in lower case.
+
+    A capital I with a dot, and some composed letters, become a letter and a mark. The letters of Unicode 3.2 are letters in all
+    later versions.
+    """
+    if word.isascii():
+        return word.isalpha()
+    return all(ucd_3_2_0.category(c)[0] == "L" for c in word) and normalize("NFC", word).lower().isalpha()
+
+
 class _Known(dict):
     """Ids of pieces, made when first asked for."""
 
@@ -42,9 +54,9 @@ class _Known(dict):
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of the pieces
-    between its spaces and line feeds, one after another. Where the file's model is known to treat letters and marks
-    apart, a plain word's ids come from the model directly; every other piece goes through the whole tokenizer.
+    A tokenizer whose steps are known to drop white space, never to join across it, and to treat letters and marks apart
+    gives a text the ids of the pieces between its spaces and line feeds, one after another; a plain word's ids then come
+    from the model directly, and every other piece goes through the whole tokenizer. All other tokenizers get whole texts.
     """
 
     def __init__(self, path: str, specials_as_text: bool = False):
@@ -78,11 +90,13 @@ class Encoder:
             word = piece
             while word and word[-1] in _MARKS:
                 word = word[:-1]
-            if word and len(word) < len(piece) and word.isalpha():
+            if word and len(word) < len(piece) and lettered(word):
                 return self.known[word] + self.known[piece[len(word) :]]
         return self._whole(piece)
 
     def _split(self, text: str | None) -> list[str]:
+        if not self.direct:
+            return [text or ""]
         text = (text or "").replace("\n", " ")
         if self.folds:
             try:  # beyond Latin-1, lower case can depend on a letter's neighbours

@@ -33,13 +33,38 @@ def test_ids_are_the_tokenizers(plain, text):
 
 
 @needs_file
-@settings(max_examples=60, deadline=None)
-@given(st.text(st.one_of(st.sampled_from(" \n.,'AbÉéß!<|>"), st.characters(codec="utf-8")), max_size=60))
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n.,'AbÉéß!<|>İıΣς日가٣"), st.characters(codec="utf-8")), max_size=60))
 def test_ids_of_any_text(text):
     encode = tokens.encoder(PATH)
     assert np.frombuffer(encode([text])[0], "<u4").tolist() == encode.inner.encode(text, add_special_tokens=False).ids
 
 
+@needs_file
+def test_ids_of_letters_before_marks(plain):
+    """Every letter of the basic plane before and after marks, as a word's last letter."""
+    encode, wrong = tokens.Encoder(PATH), []
+    letters = [chr(c) for c in range(0x80, 0x10000) if chr(c).isalpha()]
+    for at in range(0, len(letters), 40):
+        text = " ".join(f"ab{c}. {c}, A{c}{c}!" for c in letters[at : at + 40])
+        if np.frombuffer(encode([text])[0], "<u4").tolist() != plain.encode(text, add_special_tokens=False).ids:
+            wrong.append(at)
+    assert not wrong
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_each_tokenizer(name):
+    """White space counts to some tokenizers; texts are cut only where it does not."""
+    from tokenizers import Tokenizer
+
+    path = tokens.public_path(name)
+    if not Path(path).exists():
+        pytest.skip("no tokenizer file")
+    inner, encode = Tokenizer.from_file(path), tokens.Encoder(path)
+    for text in ("two  spaces and\n\na line", " a b", "KALİTESİ, ANALİZİ.", "it's\tDon't", "", "日本 語 x", "Ünï\u0301code \u00a0x"):
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == inner.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 9000), max_size=60), st.integers(1, 30))
 def test_packer(sizes, per):
