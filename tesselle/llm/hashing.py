@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that one vectorised pass holds arrays for (a longer single text stands alone).
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 

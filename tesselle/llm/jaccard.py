@@ -5,9 +5,14 @@ similar enough. The domain of hashed n-grams is cut into first-level partitions,
 most one element differs; that one is cut again, and every choice of all but one of its parts is a signature.
 Sets that are similar enough thus share a signature. Sets that share one are compared on their whole elements.
 
+Parts without elements say nothing, and unrelated sets would share them. A signature that keeps only such parts goes on with an element:
+the smallest that two similar sets have in common is, in either, preceded by no more elements than the other may lack, so each set puts
+one signature for each of its first elements in the empty one's place (:func:`signatures`).
+
 Copies are one set from the start. Within the sets that share a signature not all pairs are made: each set is compared with one
 that leads a signature of its own, then twice with the nearest one of another component; only where that leaves several components are
 all pairs across them compared, unless a parity sketch proves that they differ too much. So no link that joins two components is lost.
+Signatures of more than BLOCK sets are cut into blocks there, and each two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .hashing import FOLDED, U, between, grams, mix, passes, prefix, signed, text_bytes, words
+from .hashing import FOLDED, U, between, grams, mix, passes, prefix, signed, text_bytes, trimmed, words
 from .scratch import bucketed, drop, saved
 
 SHINGLE = 4
@@ -31,7 +36,7 @@ PARTS = 3
 #: Bits of the table that keeps most sets without candidates out of the second pass.
 FILTER_BITS = 24
 #: Members of a signature compared at once with as many others.
-BLOCK = 2048
+BLOCK = 512
 #: Words of 64 bits of a parity sketch.
 SKETCH = 16
 #: Rounds in which a set is compared with the nearest one of another component, before all others are.
@@ -81,27 +86,34 @@ def differing(percent: int, largest: int) -> int:
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set in the instances of its band and of the band below."""
+    """Signatures of a sorted set in the instances of its band and of the band below; each is of one element at least.
+
+    No pair is lost: where two similar sets share a signature of empty parts, both have it with each of their first elements, so far as
+    they may differ and one further; the smallest element they share is among these in both.
+    """
     n, out = len(elements), []
     ends = bands(percent, 1 << max(4, n.bit_length()))
     band = int(np.searchsorted(ends, n, "right")) - 1
     value = mix(elements ^ U(0x5BD1E995))
+    firsts = value[: n + percent * n // -100 + 1]
     high, low = (value >> U(32)).astype(float), (value & U(0xFFFFFFFF)).astype(float)
     for instance in (band, band - 1):
         if instance < 0:
             continue
         k = differing(percent, ends[instance + 1] - 1)
-        first = (k + 2) // 2  # so many partitions that one has at most one differing element
-        if k == 0:
-            parts, first = 1, 1
-        else:
-            parts = PARTS
+        first = 1 if k == 0 else (k + 2) // 2  # so many partitions that one has at most one differing element
+        parts = 1 if k == 0 else PARTS
         place = (elements % U(first * parts)).astype(np.int64)
         sums = (np.bincount(place, high, first * parts).astype(U) << U(32)) + np.bincount(place, low, first * parts).astype(U)
         sums = sums.reshape(first, parts)
         kept = sums if parts == 1 else sums.sum(1, dtype=U, keepdims=True) - sums
         number = np.arange(first * parts, dtype=U) + U((instance + 1) << 40)
-        out.append(mix(mix(kept.ravel()) + mix(number)))
+        own = mix(mix(kept.ravel()) + mix(number))
+        counts = np.bincount(place, minlength=first * parts).reshape(first, parts)
+        empty = (counts.sum(1, keepdims=True) == counts).ravel() & (parts > 1)
+        out.append(own[~empty])
+        if empty.any():
+            out.append(mix(own[empty][:, None] + firsts[None, :]).ravel())
     return np.concatenate(out)
 
 
@@ -128,6 +140,7 @@ def _apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+@trimmed
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that their wide sketches do not rule out."""
     for batch in batches:
@@ -136,6 +149,7 @@ def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+@trimmed
 def _named(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in passes(whole):
@@ -143,6 +157,7 @@ def _named(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "sid"])
 
 
+@trimmed
 def _signed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in passes(whole):
@@ -155,7 +170,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of sorted batches, cut where ``key`` changes."""
+    """Columns of sorted batches, cut where ``key`` changes: the rows of one key or more."""
     held: list[dict[str, np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
@@ -171,19 +186,36 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.n
         yield {n: np.concatenate([p[n] for p in held]) for n in held[0]}
 
 
+@trimmed
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, sid): those whose signature several sets have, with the smallest of these."""
-    for now in runs(batches, "sig"):
-        sig, sid = now["sig"], now["sid"]
-        fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])))
-        sig, sid = sig[fresh], sid[fresh]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
-        length = np.diff(np.append(first, len(sig)))
-        several, lead = np.repeat(length > 1, length), np.repeat(sid[first], length)
-        if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (sig, sid, lead)], names=["sig", "sid", "lead"])
-
-
+    """Of rows sorted by (sig, sid): those whose signature several sets have, with the smallest of these. One row is remembered."""
+    before: tuple[int, int, int] | None = None  # the last row's signature, set and smallest set
+    waiting = False  # whether that row is its signature's only one so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, sid = batch.column("sig").to_numpy(), batch.column("sid").to_numpy()
+        same = np.zeros(len(sig), bool)
+        same[1:] = (sig[1:] == sig[:-1]) & (sid[1:] == sid[:-1])
+        same[0] = before is not None and (sig[0], sid[0]) == before[:2]
+        sig, sid = sig[~same], sid[~same]
+        if not len(sig):
+            continue
+        head = np.ones(len(sig), bool)
+        head[1:] = sig[1:] != sig[:-1]
+        head[0] = before is None or sig[0] != before[0]
+        at = np.maximum.accumulate(np.where(head, np.arange(len(sig)), -1))
+        lead = np.where(at >= 0, sid[at], before[2] if before else 0)
+        kept = ~head | np.append(~head[1:], False)
+        rows = [x[kept] for x in (sig, sid, lead)]
+        if waiting and not head[0]:
+            rows = [np.append(x, v) for x, v in zip(rows, (before[0], before[2], before[2]), strict=True)]
+        before, waiting = (sig[-1], sid[-1], lead[-1]), bool(head[-1])
+        if len(rows[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["sig", "sid", "lead"])
+
+
+@trimmed
 def _elements(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.RecordBatch]:
     table = wanted.value
     for whole in batches:
@@ -203,34 +235,45 @@ def _elements(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[
                 )
 
 
+@trimmed
 def _across(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig: pairs of sets in different components whose sizes and sketches do not rule them out; or of each set the
-    nearest such set of a block alone."""
-    for now in runs(batches, "sig"):
-        sig = now["sig"]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        for a, b in zip(first, np.append(first[1:], len(sig)), strict=True):
-            sid, root, n = now["sid"][a:b], now["root"][a:b], now["n"][a:b]
-            if (root == root[0]).all():
-                continue
-            bits = np.column_stack([now[f"k{i}"][a:b] for i in range(SKETCH)]).view(U)
-            for i in range(0, b - a, BLOCK):
-                for j in range(i, b - a, BLOCK):
-                    x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
-                    total = n[x][:, None] + n[y][None, :]
-                    apart = np.zeros(total.shape, np.int64)
-                    for c in range(SKETCH):
-                        apart += np.bitwise_count(bits[x, c][:, None] ^ bits[y, c][None, :])
-                    ok = (root[x][:, None] != root[y][None, :]) & (apart * (100 + percent) <= total * (100 - percent))
-                    ok &= np.minimum(n[x][:, None], n[y][None, :]) * 100 >= np.maximum(n[x][:, None], n[y][None, :]) * percent
-                    if nearest:
-                        left = np.flatnonzero(ok.any(1))
-                        right = np.where(ok[left], apart[left], 1 << 40).argmin(1)
-                    else:
-                        left, right = np.nonzero(np.triu(ok, 1) if i == j else ok)
-                    if len(left):
-                        p, q = sid[x][left], sid[y][right]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(apart[left, right])], names=["a", "b", "apart"])
+    """Of rows sorted by ``meet``, those of a block of a signature and of another or the same: pairs of sets in different components
+    whose sizes and sketches do not rule them out; or of each set of the first block the nearest such set alone."""
+    def groups() -> Iterator[dict[str, np.ndarray]]:
+        for now in runs(batches, "meet"):
+            cuts = np.flatnonzero(now["meet"][1:] != now["meet"][:-1]) + 1
+            for a, b in zip(np.append(0, cuts), np.append(cuts, len(now["meet"])), strict=True):
+                if b - a > 1:
+                    yield {n: v[a:b] for n, v in now.items()}
+
+    for now in groups():
+        if (now["root"] == now["root"][0]).all():
+            continue
+        first = now["block"] == now["block"].min()
+        x, y = (first, first) if first.all() else (first, ~first)
+        bits = np.column_stack([now[f"k{i}"] for i in range(SKETCH)]).view(U)
+        n, root, sid = now["n"], now["root"], now["sid"]
+        total = n[x][:, None] + n[y][None, :]
+        apart = np.zeros(total.shape, np.int64)
+        for c in range(SKETCH):
+            apart += np.bitwise_count(bits[x, c][:, None] ^ bits[y, c][None, :])
+        ok = (root[x][:, None] != root[y][None, :]) & (apart * (100 + percent) <= total * (100 - percent))
+        ok &= np.minimum(n[x][:, None], n[y][None, :]) * 100 >= np.maximum(n[x][:, None], n[y][None, :]) * percent
+        if nearest:
+            left = np.flatnonzero(ok.any(1))
+            right = np.where(ok[left], apart[left], 1 << 40).argmin(1)
+        else:
+            left, right = np.nonzero(np.triu(ok, 1) if first.all() else ok)
+        if len(left):
+            p, q = sid[x][left], sid[y][right]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(apart[left, right])], names=["a", "b", "apart"])
+
+
+def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of signatures (sig, sid, count) with the block each is in and ``meet``, a key for each two blocks of a signature that must meet."""
+    blocks = F.ceil(F.col("count") / block).cast("long")
+    own = members.withColumn("block", F.pmod(F.xxhash64("sid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return own.withColumn("meet", F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other"))).drop("other", "count")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -287,8 +330,8 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
 
     def across(roots: DataFrame, nearest: bool) -> DataFrame:
         members = shared.select("sig", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
-        mixed = members.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("sig")
-        rest = members.join(mixed, "sig", "left_semi").join(small, "sid").repartition(dealt, "sig").sortWithinPartitions("sig", "sid")
+        mixed = members.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("count")).where("x != y").select("sig", "count")
+        rest = in_blocks(members.join(mixed, "sig")).join(small, "sid").repartition(dealt, "meet").sortWithinPartitions("meet", "sid")
         found = rest.mapInArrow(partial(_across, percent=percent, nearest=nearest), "a long, b long, apart long")
         if not nearest:
             return found.select("a", "b").distinct()
@@ -308,7 +351,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
 
     root = named.join(final, F.col("sid") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root"))
     some = root.where("n_shingles > 0")
-    least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = saved(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")  # a table, so that rows of a frequent root can be split
     none = root.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(none)
 

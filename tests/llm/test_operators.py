@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -72,6 +73,25 @@ def test_links_beyond_the_first_star(spark):
     assert [got[i] for i in range(60)] == components(out, 4, 85) and 1 < len({c for _, c in got.values()}) < 60
 
 
+def test_blocks_of_a_frequent_signature(spark, monkeypatch):
+    """Each two rows of a signature meet once, however many blocks they are dealt to, and links are the same."""
+    frequent = spark.range(50).select(F.lit(7).cast("long").alias("sig"), F.col("id").alias("sid"), F.lit(50).cast("long").alias("count"))
+    met = {}
+    for r in jaccard.in_blocks(frequent, 8).collect():
+        met.setdefault(r.meet, []).append((r.block, r.sid))
+    pairs = [tuple(sorted((x, y))) for own in met.values() for i, (a, x) in enumerate(own) for b, y in own[:i] if a != b or len({c for c, _ in own}) == 1]
+    assert sorted(pairs) == [(x, y) for x in range(50) for y in range(x + 1, 50)] and max(map(len, met.values())) < 30
+    rng = random.Random(5)
+    base = prose(rng, 60).split()
+    out = [(i, " ".join(base[:20] + [f"v{i % 7}"] + base[20 + i % 5 :] + prose(rng, i % 9).split())) for i in range(60)]
+    expected = components(out, 4, 85)
+    small, whole = partial(jaccard.in_blocks, block=4), jaccard.in_blocks
+    for blocks in (small, whole):
+        monkeypatch.setattr(jaccard, "in_blocks", blocks)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(frame(spark, out)).collect()}
+        assert [got[i] for i in range(60)] == expected
+
+
 def test_one_of_each_group_stays(rows, docs):
     extra = docs.withColumn("sid", F.lit(1)).withColumn("sig", F.lit("x"))
     kept = jaccard.without_copies(extra, 5, 80)

@@ -132,6 +132,40 @@ def test_similar_sets_share_a_signature(percent):
     assert close > 20
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_small_similar_sets_share_a_signature(percent):
+    """Sets so small that parts are often empty: whatever differs within the limit, a signature is shared."""
+    rng = np.random.default_rng(percent)
+    for n in range(1, 40):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 2**62, n).astype(np.uint64))
+            gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**62, int(rng.integers(0, n))).astype(np.uint64)[: n * (100 - percent) // 100 - gone + 1]]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                assert len(np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)))
+
+
+@pytest.mark.parametrize("size", [6, 12, 24, 60])
+def test_unrelated_sets_share_no_signature(size):
+    rng, seen = np.random.default_rng(size), {}
+    for i in range(1500):
+        for sig in set(jaccard.signatures(np.unique(rng.integers(0, 2**62, size).astype(np.uint64)), 85).tolist()):
+            seen.setdefault(sig, set()).add(i)
+    assert max(map(len, seen.values())) == 1
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 50])
+def test_shared_signatures_across_batches(rows):
+    rng = np.random.default_rng(rows)
+    for _ in range(30):
+        pairs = sorted(zip(rng.integers(0, 6, 25).tolist(), rng.integers(0, 5, 25).tolist(), strict=True))
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["sig", "sid"])
+        got = [tuple(r.values()) for b in jaccard._shared(iter(batch.slice(i, rows) for i in range(0, 25, rows))) for r in b.to_pylist()]
+        sets = {s: sorted({d for x, d in pairs if x == s}) for s, _ in pairs}
+        assert sorted(got) == sorted((s, d, own[0]) for s, own in sets.items() if len(own) > 1 for d in own)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=150), st.integers(1, 9), st.booleans())
 def test_suffix_order(symbols, times, dense):
