@@ -33,6 +33,9 @@ SHINGLE = 4
 PERCENT = 85
 #: Second-level parts of a partition; a signature leaves out one.
 PARTS = 3
+#: Instances of at most so many differences put elements in the place of empty parts; of more, so many elements would be needed that
+#: signatures grew with the square of the set. Larger sets are rare, and their frequent signatures go in blocks.
+FEW = 48
 #: Bits of the table that keeps most sets without candidates out of the second pass.
 FILTER_BITS = 24
 #: Members of a signature compared at once with as many others.
@@ -86,7 +89,7 @@ def differing(percent: int, largest: int) -> int:
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a sorted set in the instances of its band and of the band below; each is of one element at least.
+    """Signatures of a sorted set in the instances of its band and of the band below; of small sets each is of one element at least.
 
     No pair is lost: where two similar sets share a signature of empty parts, both have it with each of their first elements, so far as
     they may differ and one further; the smallest element they share is among these in both.
@@ -110,7 +113,7 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         number = np.arange(first * parts, dtype=U) + U((instance + 1) << 40)
         own = mix(mix(kept.ravel()) + mix(number))
         counts = np.bincount(place, minlength=first * parts).reshape(first, parts)
-        empty = (counts.sum(1, keepdims=True) == counts).ravel() & (parts > 1)
+        empty = (counts.sum(1, keepdims=True) == counts).ravel() & (1 <= k <= FEW)
         out.append(own[~empty])
         if empty.any():
             out.append(mix(own[empty][:, None] + firsts[None, :]).ravel())
