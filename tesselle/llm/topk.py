@@ -1,12 +1,13 @@
-"""Exact top-k inner products by the threshold algorithm over blocks.
+"""Exact top-k inner products by Fagin's threshold algorithm over blocks.
 
-Vectors of like direction are put together and cut into blocks. In a block every dimension has a list of the rows in
-order of its component. Reading a query's lists to some depth, no unread row can score more than the sum of the components
-at that depth, each times the query's; where that bound falls below a score that k rows are known to reach, reading stops
-and the rows read are scored whole. The first such score comes from a bounded sample of rows, so a block whose best components
-cannot reach it is not read at all, and a block whose lists would be read nearly whole is scored in one matrix product.
+Vectors of like direction are put together and cut into blocks. In a block every dimension has a list of all its rows in
+order of their component. A query reads the lists of its dimensions side by side, from the end that its sign asks for; each row met
+for the first time is scored whole. No row that is still unread can score more than the sum of the components where reading
+stands, each times the query's, so reading stops when that bound cannot beat the k-th best score so far.
 
-The query set meets the blocks as blocks: neither grows with the other, and only a query's best of a block leave it.
+The query set meets the blocks as blocks: neither grows with the other, and only a query's best of a block leave it. A query goes
+to a block only where the largest and smallest component of each dimension let it reach a score that k rows of a bounded sample do; the
+vectors of the two meet after that. Where the sample would be the whole table there is none.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BATCH_ROWS, saved
+from .scratch import drop, saved
 
 SCALE = 64
 EVERY = 20
@@ -28,27 +30,31 @@ K = 20
 BLOCK, QUERIES = 8192, 256
 #: Rows of the sample that gives first bounds, and those of them that the directions are fitted on.
 SAMPLE, FITTED, DIRECTIONS = 16384, 2048, 32
-#: Depths to which lists may be read.
-DEPTHS = (0, 1, 2, 4, 8, 16, 32)
-#: Pairs of blocks that a Python worker gets at once.
-PAIRS = 4
+#: Query blocks, and edges of data blocks, that one task compares at once.
+QUERY_PAGE, EDGE_PAGE = 32, 1024
+#: Places of each list that are read at first; every time as many more as have been read.
+STEP = 4
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 BLOCKS = "block long, n long, dims long, ids binary, vectors binary"
+ASKED = "block long, qpage long, q_n long, q_ids binary, q_vectors binary, low binary"
+FOUND = "query_id long, vec_id long, score long"
+_BLOCKS = pa.schema([*((n, pa.int64()) for n in ("block", "n", "dims")), *((n, pa.binary()) for n in ("ids", "vectors"))])
+_ASKED = pa.schema([*((n, pa.int64()) for n in ("block", "qpage", "q_n")), *((n, pa.binary()) for n in ("q_ids", "q_vectors", "low"))])
+_FOUND = pa.schema([(n, pa.int64()) for n in ("query_id", "vec_id", "score")])
 
 
 def whole(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids and vectors floor(scale * x) of the rows that take part: no null or non-finite component, no null vector or id."""
-    ids, out = [], []
-    for key, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        if key is None or not vector.is_valid:
-            continue
-        values = vector.values
-        if values.null_count:
-            continue
-        x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-        if np.isfinite(x).all():
-            ids.append(key)
-            out.append(np.floor(scale * x))
-    return np.array(ids, np.int64), out
+    """Ids and vectors floor(scale * x) of the rows that take part: no null id, no null or empty vector, no null or non-finite component."""
+    ids, lists = batch.column(0), batch.column(1)
+    if not len(ids):
+        return np.zeros(0, np.int64), []
+    bounds = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)  # a null is no number
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(values))))
+    keep = np.array(lists.is_valid()) & np.array(ids.is_valid()) & (bounds[1:] > bounds[:-1]) & (bad[bounds[1:]] == bad[bounds[:-1]])
+    scaled = np.floor(scale * values)
+    rows = np.flatnonzero(keep)
+    return ids.take(pa.array(rows)).to_numpy().astype(np.int64), [scaled[a:b] for a, b in zip(bounds[rows], bounds[rows + 1], strict=True)]
 
 
 def stacked(vectors: list[np.ndarray], dims: int) -> np.ndarray:
@@ -71,10 +77,14 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products as integers: in floating point where no sum can pass 2**53."""
-    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= 2**53:
+    """Exact inner products as integers; those beyond 64 bits become the outermost value."""
+    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] if a.size and b.size else 0
+    if most < 2**53:  # no sum can be more than floating point holds
+        return (a @ b.T).astype(np.int64)
+    if most < 2**62:
         return a.astype(np.int64) @ b.astype(np.int64).T
-    return (a @ b.T).astype(np.int64)
+    exact = np.vectorize(int, otypes=[object])
+    return np.clip(exact(a) @ exact(b).T, LOWEST, HIGHEST).astype(np.int64)
 
 
 def _rows(batches: Iterator[pa.RecordBatch], scale: int, centres: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -112,7 +122,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, dims: int) -> Iterator
         matrix = stacked([unpacked(v, 1)[0] for v in vectors[:size]], dims)
         row = [base + made - 1, len(ids[:size]), dims, np.array(ids[:size], np.int64).tobytes(), packed(matrix)]
         del ids[:size], vectors[:size]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(),) * 3 + (pa.binary(),) * 2, strict=True)], names=["block", "n", "dims", "ids", "vectors"])
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
     for batch in batches:
         ids += batch.column("vec_id").to_pylist()
@@ -123,69 +133,110 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, dims: int) -> Iterator
         yield out()
 
 
+def _with_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the largest and the smallest component of each dimension."""
+    for batch in batches:
+        edges = []
+        for n, data in zip(batch.column("n").to_pylist(), batch.column("vectors").to_pylist(), strict=True):
+            matrix = unpacked(data, n)
+            edges.append(packed(np.stack([matrix.max(0), matrix.min(0)])))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edges, pa.binary())], names=[*batch.schema.names, "edges"])
+
+
 def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id."""
     return np.lexsort((ids, -score))[:k]
 
 
 def _first_bounds(batches: Iterator[pa.RecordBatch], sample, k: int) -> Iterator[pa.RecordBatch]:
-    """Each query of a block with a score that k rows of the sample, itself left out, reach."""
-    ids, matrix = sample.value
+    """Each query of a block with a score that k rows of the sample, itself left out, reach; the lowest of all without a sample."""
     for batch in batches:
         for row in batch.to_pylist():
             own = np.frombuffer(row["ids"], np.int64)
-            low = np.full(len(own), np.iinfo(np.int64).min)
-            scores = products(unpacked(row["vectors"], row["n"]), matrix)
-            for i in range(len(own)):
-                s = scores[i][ids != own[i]]
-                if len(s) >= k:
-                    low[i] = np.partition(s, len(s) - k)[len(s) - k]
-            yield pa.RecordBatch.from_pylist([row | {"low": low.tobytes()}], schema=pa.schema([*((n, pa.int64()) for n in ("block", "n", "dims")), *((n, pa.binary()) for n in ("ids", "vectors", "low"))]))
+            low = np.full(len(own), LOWEST)
+            if sample is not None:
+                ids, matrix = sample.value
+                scores = products(unpacked(row["vectors"], row["n"]), matrix)
+                for i in range(len(own)):
+                    s = scores[i][ids != own[i]]
+                    if len(s) >= k:
+                        low[i] = np.partition(s, len(s) - k)[len(s) - k]
+            yield pa.RecordBatch.from_pylist([row | {"low": low.tobytes()}], schema=_BLOCKS.append(pa.field("low", pa.binary())))
+
+
+def _reaching(key: tuple, queries: pa.Table, edges: pa.Table) -> pa.Table:
+    """For each data block of a page, of each query block of a page the queries that it may hold a row for."""
+    out = []
+    blocks, dims = edges.column("block").to_pylist(), 0
+    if blocks:
+        edge = np.stack([unpacked(e, 2) for e in edges.column("edges").to_pylist()])
+        dims = edge.shape[2]
+        edge = edge.reshape(len(edge), 2 * dims)
+    for row in queries.to_pylist() if blocks else []:
+        q, ids, low = unpacked(row["vectors"], row["n"]), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["low"], np.int64)
+        most = products(np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], 1), edge)
+        for at, block in enumerate(blocks):
+            open_ = most[:, at] >= low
+            if open_.any():
+                out.append((block, row["qpage"], int(open_.sum()), ids[open_].tobytes(), packed(q[open_]), low[open_].tobytes()))
+    return pa.Table.from_pydict(dict(zip(_ASKED.names, map(list, zip(*out, strict=True)), strict=True)), schema=_ASKED) if out else _ASKED.empty_table()
 
 
 class Lists:
-    """A block with its sorted list for every dimension, falling and rising."""
+    """A block with a sorted list of all its rows for every dimension."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         self.ids, self.matrix = ids, matrix
-        order = np.argsort(matrix, 0, kind="stable")
-        self.depths = [d for d in DEPTHS if d < len(ids)]
-        self.falling, self.rising = order[::-1][: self.depths[-1] + 1], order[: self.depths[-1] + 1]
-        at = np.arange(matrix.shape[1])
-        self.edge = np.concatenate([matrix[self.falling[self.depths], at], matrix[self.rising[self.depths], at]], 1)
-
-    def search(self, own: np.ndarray, queries: np.ndarray, low: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each query: its place and the ids and scores of its k best rows of the block that reach ``low``."""
-        bounds = products(np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], 1), self.edge)
-        beaten = bounds < low[:, None]
-        stop = np.where(beaten.any(1), beaten.argmax(1), len(self.depths))
-        for i in np.flatnonzero((stop > 0) & (stop < len(self.depths))):
-            depth, up = self.depths[stop[i]], queries[i] > 0
-            rows = np.unique(np.concatenate([self.falling[:depth, up].ravel(), self.rising[:depth, ~up].ravel()]))
-            yield self._kept(i, own, rows, products(queries[i : i + 1], self.matrix[rows])[0], low, k)
-        if len(full := np.flatnonzero(stop == len(self.depths))):
-            for i, scores in zip(full, products(queries[full], self.matrix), strict=True):
-                rows = np.flatnonzero(scores >= low[i])
-                yield self._kept(i, own, rows, scores[rows], low, k)
-
-    def _kept(self, i: int, own: np.ndarray, rows: np.ndarray, scores: np.ndarray, low: np.ndarray, k: int) -> tuple[int, np.ndarray, np.ndarray]:
-        keep = (scores >= low[i]) & (self.ids[rows] != own[i])
-        rows, scores = rows[keep], scores[keep]
-        top = best(self.ids[rows], scores, k)
-        return i, self.ids[rows[top]], scores[top]
-
-
-def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    last, lists = None, None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["block"] != last:
-                last, lists = row["block"], Lists(np.frombuffer(row["ids"], np.int64), unpacked(row["vectors"], row["n"]))
-            own = np.frombuffer(row["q_ids"], np.int64)
-            found = list(lists.search(own, unpacked(row["q_vectors"], row["q_n"]), np.frombuffer(row["low"], np.int64), k))
-            if found:
-                query = np.concatenate([np.repeat(own[i], len(ids)) for i, ids, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([x for _, x, _ in found])), pa.array(np.concatenate([x for _, _, x in found]))], names=["query_id", "vec_id", "score"])
+        self.rising = np.argsort(matrix, 0, kind="stable").T.astype(np.int32)
+        self.falling = self.rising[:, ::-1]
+        self.reads = 0
+
+    def search(self, own: int, query: np.ndarray, low: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows of the block that reach ``low``, ``own`` left out; ``reads`` counts places of lists."""
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        weights = query[np.concatenate([up, down])][None, :]
+        n, depth, seen = len(self.ids), 0, self.ids == own
+        ids, scores = self.ids[:0], np.zeros(0, np.int64)
+        if not weights.size and low <= 0:  # all rows score 0 and no list tells them apart
+            places = np.flatnonzero(~seen)
+            top = best(self.ids[places], np.zeros(len(places), np.int64), k)
+            return self.ids[places[top]], np.zeros(len(top), np.int64)
+        while depth < n and not seen.all():
+            upto = min(n, max(STEP, 2 * depth))
+            places = np.concatenate([self.falling[up, depth:upto].ravel(), self.rising[down, depth:upto].ravel()])
+            self.reads += len(places)
+            places = np.unique(places[~seen[places]])
+            seen[places] = True
+            score = products(query[None, :], self.matrix[places])[0] if len(places) else np.zeros(0, np.int64)
+            keep = score >= low
+            ids, scores = np.concatenate([ids, self.ids[places][keep]]), np.concatenate([scores, score[keep]])
+            top = best(ids, scores, k)
+            ids, scores = ids[top], scores[top]
+            if len(ids) == k:
+                low = max(low, int(scores[-1]))
+            edge = np.concatenate([self.matrix[self.falling[up, upto - 1], up], self.matrix[self.rising[down, upto - 1], down]])
+            if products(weights, edge[None, :])[0, 0] < low:  # an unread row can no longer be among the best, not even tie
+                break
+            depth = upto
+        return ids, scores
+
+
+def _search(key: tuple, data: pa.Table, asked: pa.Table, k: int, counted: tuple[Accumulator, ...] | None) -> pa.Table:
+    """The best rows of a data block for each query that a page of queries has for it."""
+    found = []
+    for block in data.to_pylist():
+        lists = Lists(np.frombuffer(block["ids"], np.int64), unpacked(block["vectors"], block["n"]))
+        pairs = rows = 0
+        for row in asked.to_pylist():
+            ids, low = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["low"], np.int64)
+            for i, query in enumerate(unpacked(row["q_vectors"], row["q_n"])):
+                other, score = lists.search(int(ids[i]), query, int(low[i]), k)
+                pairs, rows = pairs + 1, rows + len(lists.ids) * int(np.count_nonzero(query))
+                found.append((np.full(len(other), ids[i]), other, score))
+        if counted is not None:
+            for counter, value in zip(counted, (pairs, lists.reads, rows), strict=True):
+                counter.add(value)
+    return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=_FOUND) if found else _FOUND.empty_table()
 
 
 def _centres(matrix: np.ndarray, n: int = DIRECTIONS, rounds: int = 5) -> np.ndarray:
@@ -199,13 +250,14 @@ def _centres(matrix: np.ndarray, n: int = DIRECTIONS, rounds: int = 5) -> np.nda
     return centres
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, scale: int = SCALE) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, scale: int = SCALE, counted: tuple[Accumulator, ...] | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each row whose id is divisible by ``every``, the k rows of highest integer inner
     product of floor(scale * x), the query's own id left out; all, if fewer; ties go to the smaller id.
 
-    Null ids, and vectors that are null or hold a null or non-finite component, take no part. Shorter vectors are continued with
+    Null ids, and vectors that are null, empty or hold a null or non-finite component, take no part. Shorter vectors are continued with
     zeros. Repeated rows each count as candidates, and a repeated query is asked once; where an id stands with different vectors, the
-    query has in each dimension the sum of their different components, as in the SQL. An empty table gives no rows.
+    query has in each dimension the sum of their different components, as in the SQL. A score beyond 64 bits is the outermost one. An
+    empty table gives no rows. ``counted`` are three accumulators: pairs of a query and a block, places read in lists, places there were.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null")
@@ -215,22 +267,26 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     if not dims or not len(ids):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     matrix = stacked(found, dims)
-    # a repeated row counts once here, so that a bound is one that different rows reach or exceed
-    sample = spark.sparkContext.broadcast((ids, matrix))
     near = saved(rows.mapInArrow(partial(_rows, scale=scale, centres=_centres(matrix[:FITTED])), "near long, vec_id long, vector binary"), "vectors")
     n = near.count()
+    sample = spark.sparkContext.broadcast((ids, matrix)) if n > SAMPLE else None
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     make = lambda df, size, parts: df.repartitionByRange(max(1, min(tasks, parts)), "near", "vec_id").sortWithinPartitions("near", "vec_id").select("vec_id", "vector").mapInArrow(partial(_blocks, size=size, dims=dims), BLOCKS)
-    data = saved(make(near, BLOCK, n // BLOCK + 1), "blocks")
+    data = saved(make(near, BLOCK, n // BLOCK + 1).mapInArrow(_with_edges, f"{BLOCKS}, edges binary"), "blocks")
     each = near.where(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min("near").alias("near"), F.collect_set("vector").alias("vectors"))
     asked = each.mapInArrow(_asked, "near long, vec_id long, vector binary")
     queries = saved(make(asked, QUERIES, n // every // QUERIES + 1).mapInArrow(partial(_first_bounds, sample=sample, k=k), f"{BLOCKS}, low binary"), "queries")
-    q = queries.select(F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "low")
-    blocks = [r[0] for r in data.select("block").collect()]  # one number for each of the blocks
-    meetings = q.select("*", F.explode(F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<long>")).alias("at"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS))
-    met = data.join(meetings.hint("shuffle_merge"), F.col("block") == F.col("at")).select("block", "n", "ids", "vectors", "q_n", "q_ids", "q_vectors", "low")
-    found = saved(met.mapInArrow(partial(_search, k=k), "query_id long, vec_id long, score long"), "found")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    page = lambda df, size: -(-df.count() // size) or 1
+    epages, qpages = page(data.select("block"), EDGE_PAGE), page(queries.select("block"), QUERY_PAGE)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    edges = data.select("block", "edges", F.pmod(F.xxhash64("block"), F.lit(epages)).alias("epage")).withColumn("qpage", all_of(qpages))
+    paged = queries.withColumn("qpage", F.pmod(F.xxhash64("block"), F.lit(qpages))).withColumn("epage", all_of(epages))
+    asks = saved(paged.groupBy("epage", "qpage").cogroup(edges.groupBy("epage", "qpage")).applyInArrow(_reaching, ASKED), "asks")
+    meets = asks.select(F.col("block").alias("at"), F.col("qpage").alias("page")).distinct()
+    sides = data.select("block", "n", "ids", "vectors").join(meets, F.col("block") == F.col("at")).drop("at")
+    searched = sides.groupBy("block", "page").cogroup(asks.groupBy("block", "qpage")).applyInArrow(partial(_search, k=k, counted=counted), FOUND)
+    out = saved(searched, "found")
+    for table in (near, data, queries, asks):
+        drop(table)
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best_first).cast("int")).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(best_first).cast("int")).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

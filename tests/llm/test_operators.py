@@ -163,10 +163,31 @@ def test_top_k(spark):
         best = sorted((-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != q)[:20]
         expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, got)) == sorted(expected)
-    few = spark.createDataFrame(out[:4], "vec_id long, embedding array<float>")
+    few = spark.createDataFrame([*out[:4], (60, [])], "vec_id long, embedding array<float>")
     assert len(topk.top_k(few).collect()) == 3 and topk.top_k(few.limit(0)).count() == 0
 
 
+def test_top_k_with_a_sample_and_many_blocks(spark, monkeypatch):
+    """First bounds, blocks that queries skip, and pages of blocks lose nothing; lists are read in part."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(0, 1, (6, 10))
+    m = (centre[rng.integers(0, 6, 900)] + rng.normal(0, 0.15, (900, 10))).astype(np.float32)
+    for name, value in (("BLOCK", 60), ("QUERIES", 7), ("SAMPLE", 200), ("QUERY_PAGE", 2), ("EDGE_PAGE", 4)):
+        monkeypatch.setattr(topk, name, value)
+    counted = tuple(spark.sparkContext.accumulator(0) for _ in range(3))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<float>").repartition(3)
+    got = topk.top_k(table, counted=counted).collect()
+    whole = np.floor(64 * m.astype(float)).astype(np.int64)
+    expected = []
+    for q in range(0, 900, 20):
+        scores = whole @ whole[q]
+        best = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:20]
+        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    pairs, reads, places = (c.value for c in counted)
+    assert 45 <= pairs < 45 * 15 and 0 < reads < places
+
+
 def test_top_k_of_an_id_with_different_vectors(spark):
     import duckdb
 

@@ -305,16 +305,33 @@ def test_lists_stop_early_and_right():
     matrix = np.floor(64 * (centre[rng.integers(0, 4, 900)] + rng.normal(0, 0.1, (900, 16))))
     matrix[5:9] = matrix[4]
     ids = rng.permutation(900)
-    lists = topk.Lists(ids, matrix)
-    for q in range(30):
-        scores = (matrix @ matrix[q]).astype(np.int64)
-        other = ids != ids[q]
-        order = topk.best(ids[other], scores[other], 20)
-        low = np.array([scores[other][order][-1]])
-        [(_, got, values)] = list(lists.search(ids[q : q + 1], matrix[q : q + 1], low, 20))
-        assert got.tolist() == ids[other][order].tolist() and values.tolist() == scores[other][order].tolist()
-    far = list(lists.search(np.array([-1]), np.zeros((1, 16)), np.array([1]), 20))
-    assert far == []
+    for low in (np.iinfo(np.int64).min, None):
+        lists = topk.Lists(ids, matrix)
+        for q in range(30):
+            scores = (matrix @ matrix[q]).astype(np.int64)
+            other = ids != ids[q]
+            order = topk.best(ids[other], scores[other], 20)
+            got, values = lists.search(ids[q], matrix[q], int(scores[other][order][-1]) if low is None else low, 20)
+            assert got.tolist() == ids[other][order].tolist() and values.tolist() == scores[other][order].tolist()
+        assert lists.reads < 0.9 * 30 * 900 * 16  # lists were not read to their ends
+    assert [len(x) for x in lists.search(-1, np.zeros(16), 1, 20)] == [0, 0]
+    assert lists.search(-1, np.zeros(16), 0, 3)[0].tolist() == [0, 1, 2]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(-3, 3), min_size=3, max_size=3), min_size=1, max_size=40), st.lists(st.integers(-3, 3), min_size=3, max_size=3), st.integers(1, 6))
+def test_threshold_algorithm_with_ties(rows, query, k):
+    matrix, query = np.array(rows, float), np.array(query, float)
+    ids = np.random.default_rng(len(rows)).permutation(len(rows))
+    scores = (matrix @ query).astype(np.int64)
+    order = topk.best(ids, scores, k)
+    got, values = topk.Lists(ids, matrix).search(-1, query, topk.LOWEST, k)
+    assert got.tolist() == ids[order].tolist() and values.tolist() == scores[order].tolist()
+
+
+def test_products_beyond_64_bits():
+    a = np.array([[2.0**60, 3.0]])
+    assert topk.products(a, np.array([[2.0**60, 1.0], [0.0, 5.0], [-(2.0**60), 0.0]])).tolist() == [[topk.HIGHEST, 15, topk.LOWEST]]
 
 
 def test_models_tell_words_apart():
