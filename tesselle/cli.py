@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import argparse
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.errors import PySparkException
@@ -11,54 +11,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ClipConfig
-from .plans.clip import clip
-from .schema import by_image
-from .sources.images import check_same_size, encode, pixels, save, scan
+from .plans.clip import clip_images
+from .sources.images import check_same_size, save, scan
 
+HELP = """usage: tesselle --map MAP --mask OVERLAY [options]
 
-def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="tesselle", description="Clip a region out of a map, its rough outline snapped to roads.")
-    p.add_argument("--map", required=True, help="the map image")
-    p.add_argument("--mask", required=True, help="the overlay, whose green pixels are the rough selection")
-    p.add_argument("--output", default="output.png", help="the clipped region")
-    p.add_argument("--mask-out", help="the final mask; by default mask_ and the output's name, beside it")
-    p.add_argument("--snap-distance", type=int, default=ClipConfig.snap_distance)
-    p.add_argument("--road-sensitivity", type=float, default=ClipConfig.road_sensitivity)
-    p.add_argument("--smooth", type=int, default=ClipConfig.smooth_radius)
-    return p
+Clips a region out of a map, its rough outline snapped to roads. Names of options may be in any case.
+
+  --map FILE               the map image
+  --mask FILE              the overlay, whose green pixels are the rough selection
+  --output FILE            the clipped region (clipped_output.png)
+  --mask-out FILE          the final mask (mask_ and the output's name, beside it)
+  --snap-distance N        how far the outline may move (40)
+  --road-sensitivity X     over 1 finds weaker edges (1.0)
+  --smooth N               width of the half-transparent edge (1)
+  --help, -h               this text
+"""
+
+
+def option(args: list[str], name: str, default: str | None = None) -> str | None:
+    """What follows an option, whatever it is; the default where the option is missing or last."""
+    return next((args[i + 1] for i in range(len(args) - 1) if args[i].lower() == name), default)
+
+
+def number(args: list[str], name: str, default: float, read: Callable[[str], float]) -> float:
+    """A number that follows an option; a warning and the default where it is none."""
+    given = option(args, name)
+    try:
+        return default if given is None else read(given)
+    except ValueError:
+        print(f"warning: {name} {given} is no number, {default} is taken", file=sys.stderr)
+        return default
 
 
 def _one(images: DataFrame) -> DataFrame:
     return images.withColumn("image_id", F.lit(0).cast("long"))
 
 
+def _place(path: str) -> tuple[str, str]:
+    """Folder and name of a path or URI."""
+    folder, _, name = (path if "://" in path else str(Path(path).absolute())).rpartition("/")
+    return folder, name
+
+
 def run(args: list[str], spark: SparkSession | None = None) -> int:
     """Exit code: 0, or 1 after a message on the error stream."""
-    if not args:
-        parser().print_help()
+    if not args or any(a.lower() in ("--help", "-h") for a in args):
+        print(HELP)
+        return 0 if args else 1
+    shown_at, over_at = option(args, "--map"), option(args, "--mask")
+    if not shown_at or not over_at:
+        print(f"error: --map and --mask are needed\n{HELP}", file=sys.stderr)
         return 1
+    output = option(args, "--output", "clipped_output.png")
+    folder, name = _place(output)
+    mask_out = option(args, "--mask-out") or f"{folder}/mask_{name}"
     try:
-        given = parser().parse_args(args)
-    except SystemExit as e:
-        return 0 if e.code in (0, None) else 1
-    try:
-        config = ClipConfig(given.snap_distance, given.road_sensitivity, given.smooth)
+        default = ClipConfig()
+        config = ClipConfig(number(args, "--snap-distance", default.snap_distance, int), number(args, "--road-sensitivity", default.road_sensitivity, float), number(args, "--smooth", default.smooth_radius, int))
         spark = spark or SparkSession.builder.appName("tesselle").getOrCreate()
-        for path in (given.map, given.mask):
+        for path in (shown_at, over_at):
             if "://" not in path and not Path(path).is_file():
                 raise FileNotFoundError(f"no such file: {path}")
-        shown, over = _one(scan(spark, given.map)), _one(scan(spark, given.mask))
+        shown, over = _one(scan(spark, shown_at)), _one(scan(spark, over_at))
         check_same_size(shown, over)
-        made = clip(by_image(pixels(shown)), by_image(pixels(over)), config)
-        n_green, n_roads = (m.where("active").count() for m in (made.green, made.roads))
-        if n_green == 0:
-            print("the overlay has no green pixel", file=sys.stderr)
+        made = clip_images(shown, over, config).persist()  # one image, asked for its numbers and for two files
+        numbers = made.select("n_green", "n_roads", "n_region").first()
+        if numbers.n_green == 0:
+            print("warning: the overlay has no green pixel, nothing is written", file=sys.stderr)
             return 1
-        output = Path(given.output).absolute()
-        mask_out = Path(given.mask_out).absolute() if given.mask_out else output.with_name(f"mask_{output.name}")
-        for path, picture in ((output, encode(made.clipped)), (mask_out, encode(made.mask, alpha=False))):
-            save(picture, str(path.parent), F.lit(path.name)).collect()
-        print(f"green {n_green}, roads {n_roads}, region {made.region.where('active').count()} pixels")
+        if numbers.n_roads == 0:
+            print("warning: no road was found; the region ends at the snap distance", file=sys.stderr)
+        for column, path in (("region", output), ("mask", mask_out)):
+            to, file = _place(path)
+            save(made.select("image_id", F.col(column).alias("png")), to, F.lit(file)).collect()
+        made.unpersist()
+        print(f"green {numbers.n_green}, roads {numbers.n_roads}, region {numbers.n_region} pixels")
     except (OSError, ValueError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.color import luminance
 from ..schema import KEY
+from .planes import Planes, gradients, per_image
 
 
-def sobel(pixels: DataFrame) -> DataFrame:
+def _sobel(planes: Planes) -> Planes:
+    return dict(zip(("gx", "gy"), gradients(planes["r"], planes["g"], planes["b"]), strict=True))
+
+
+def sobel(pixels: DataFrame, wide: bool = False) -> DataFrame:
     """``pixels`` with gx and gy, null on the image's edge: a difference along one axis and a weighted sum along the other."""
+    if not wide:
+        return per_image(pixels, _sobel, ["r", "g", "b"], {"gx": "int", "gy": "int"})
     row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
     lum = pixels.withColumn("__lum", luminance())
     before, after = F.lag("__lum").over(row), F.lead("__lum").over(row)
@@ -28,8 +35,8 @@ def threshold(sensitivity: float) -> int:
     return max(30, int(single(75.0 / single(sensitivity))))
 
 
-def edges(pixels: DataFrame, sensitivity: float) -> DataFrame:
+def edges(pixels: DataFrame, sensitivity: float, wide: bool = False) -> DataFrame:
     """Mask of the inner pixels whose gradient is as large as the threshold; squares are compared, so no root is taken."""
     t = threshold(sensitivity)
     strong = F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") >= t * t
-    return sobel(pixels).select(*KEY, F.coalesce(strong, F.lit(False)).alias("active"))
+    return sobel(pixels.select(*KEY, "r", "g", "b"), wide).select(*KEY, F.coalesce(strong, F.lit(False)).alias("active"))

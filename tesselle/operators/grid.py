@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import KEY, MASK
+from .planes import Planes, together
 
 
 def cells(images: DataFrame) -> DataFrame:
@@ -63,30 +64,58 @@ def count_active(mask: DataFrame) -> DataFrame:
     return mask.groupBy("image_id").agg(F.count_if("active").alias("n_active"))
 
 
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """image_id, width, height, other_width, other_height and ``same`` for each image of two relations with sizes; one that lacks it has nulls."""
+    right = b.select("image_id", F.col("width").alias("other_width"), F.col("height").alias("other_height"))
+    return a.select("image_id", "width", "height").join(right, "image_id", "full").withColumn("same", F.expr("width <=> other_width and height <=> other_height"))
+
+
 def check_same_size(a: DataFrame, b: DataFrame) -> None:
     """Raises where an image of one mask is missing in the other or has another size there."""
-    left, right = sizes(a), sizes(b).select(F.col("image_id").alias("other"), F.col("width").alias("w"), F.col("height").alias("h"))
-    bad = left.join(right, F.col("image_id") == F.col("other"), "full").where("image_id is null or other is null or width != w or height != h").first()
+    bad = compared(sizes(a), sizes(b)).where("not same").first()
     if bad is not None:
-        raise ValueError(f"masks differ in size: {bad.width}x{bad.height} and {bad.w}x{bad.h} (image {bad.image_id if bad.image_id is not None else bad.other})")
+        raise ValueError(f"masks differ in size: {bad.width}x{bad.height} and {bad.other_width}x{bad.other_height} (image {bad.image_id})")
+
+
+def _either(a: Planes, b: Planes) -> Planes:
+    return {"active": a["active"] | b["active"]}
+
+
+def _both(a: Planes, b: Planes) -> Planes:
+    return {"active": a["active"] & b["active"]}
+
+
+def _first_only(a: Planes, b: Planes) -> Planes:
+    return {"active": a["active"] & ~b["active"]}
+
+
+def _paired(a: DataFrame, b: DataFrame, function: Callable[[Planes, Planes], Planes], value: Column, wide: bool) -> DataFrame:
+    """Both masks cell by cell. An image of two sizes, or one that a mask lacks, raises when it is reached."""
+    if not wide:
+        return together(a, b, function, (["active"], ["active"]), {"active": "boolean"}, [*KEY], exact=True)
+    left, right = a.select(*KEY, F.col("active").alias("__a")), b.select(*KEY, F.col("active").alias("__b"))
+    alone = F.raise_error(F.concat(F.lit("sizes differ in image "), F.col("image_id").cast("string"))).cast("boolean")
+    return left.join(right, list(KEY), "full").select(*KEY, F.when(F.col("__a").isNull() | F.col("__b").isNull(), alone).otherwise(value).alias("active"))
 
 
-def _paired(a: DataFrame, b: DataFrame, value: Column) -> DataFrame:
-    other = b.select(*KEY, F.col("active").alias("__b"))
-    return a.select(*KEY, F.col("active").alias("__a")).join(other, list(KEY)).select(*KEY, value.alias("active"))
+def union(a: DataFrame, b: DataFrame, wide: bool = False) -> DataFrame:
+    """Cells active in either; masks of different sizes are an error."""
+    return _paired(a, b, _either, F.col("__a") | F.col("__b"), wide)
 
 
-def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Cells active in either; sizes must agree (:func:`check_same_size`)."""
-    return _paired(a, b, F.col("__a") | F.col("__b"))
+def intersection(a: DataFrame, b: DataFrame, wide: bool = False) -> DataFrame:
+    """Cells active in both; masks of different sizes are an error."""
+    return _paired(a, b, _both, F.col("__a") & F.col("__b"), wide)
 
 
-def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _paired(a, b, F.col("__a") & F.col("__b"))
+def difference(a: DataFrame, b: DataFrame, wide: bool = False) -> DataFrame:
+    """Cells active in the first alone; masks of different sizes are an error."""
+    return _paired(a, b, _first_only, F.col("__a") & ~F.col("__b"), wide)
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _paired(a, b, F.col("__a") & ~F.col("__b"))
+def copy(mask: DataFrame) -> DataFrame:
+    """The same cells: a DataFrame never changes, so a copy is the mask itself."""
+    return mask.select(*KEY, "active")
 
 
 def complement(mask: DataFrame) -> DataFrame:

@@ -1,10 +1,18 @@
-"""Dilation, erosion, closing and opening with a square of side 2r + 1, a line and then a column at a time."""
+"""Dilation, erosion, closing and opening with a square of side 2r + 1.
+
+Images are whole planes in a task; with ``wide=True`` windows pass over lines and then over columns instead.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .planes import Planes, closed, dilated, eroded, opened, per_image
+
 #: Radii over this use running sums, whose cost does not grow with the radius.
 FRAME_RADIUS = 4
 AXES = (("y", "x"), ("x", "y"))
@@ -56,21 +64,37 @@ def squares(mask: DataFrame, wanted: dict[str, tuple[str, int]], border: str = "
     return mask
 
 
-def dilate(mask: DataFrame, radius: int, column: str = "active") -> DataFrame:
+def _apply(planes: Planes, column: str, operator: Callable) -> Planes:
+    return {column: operator(planes[column])}
+
+
+def _on_planes(mask: DataFrame, column: str, operator: Callable) -> DataFrame:
+    return per_image(mask, partial(_apply, column=column, operator=operator), [column], {column: "boolean"})
+
+
+def dilate(mask: DataFrame, radius: int, column: str = "active", wide: bool = False) -> DataFrame:
     """Cells with an active one in their square; the square is cut at the image's edge. A radius of 0 or less changes nothing."""
-    return squares(mask, {column: ("dilate", radius)})
+    if wide or radius <= 0:
+        return squares(mask, {column: ("dilate", radius)})
+    return _on_planes(mask, column, partial(dilated, radius=radius))
 
 
-def erode(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive") -> DataFrame:
+def erode(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive", wide: bool = False) -> DataFrame:
     """Cells whose whole square is active. Outside the image counts as inactive, or with ``border="ignore"`` does not count."""
-    return squares(mask, {column: ("erode", radius)}, border)
+    if wide or radius <= 0:
+        return squares(mask, {column: ("erode", radius)}, border)
+    return _on_planes(mask, column, partial(eroded, radius=radius, border=border))
 
 
-def close(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive") -> DataFrame:
+def close(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive", wide: bool = False) -> DataFrame:
     """Dilation, then erosion. With an inactive border cells near the image's edge are lost."""
-    return erode(dilate(mask, radius, column), radius, column, border)
+    if wide or radius <= 0:
+        return erode(dilate(mask, radius, column, wide), radius, column, border, wide)
+    return _on_planes(mask, column, partial(closed, radius=radius, border=border))
 
 
-def open_(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive") -> DataFrame:
+def open_(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive", wide: bool = False) -> DataFrame:
     """Erosion, then dilation."""
-    return dilate(erode(mask, radius, column, border), radius, column)
+    if wide or radius <= 0:
+        return dilate(erode(mask, radius, column, border, wide), radius, column, wide)
+    return _on_planes(mask, column, partial(opened, radius=radius, border=border))

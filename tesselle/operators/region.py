@@ -2,94 +2,44 @@
 
 The growth needs no iteration over pixels in Spark: with D the allowed cells that are no barrier, the result is those
 4-connected components of D that hold a seed. An image's components are found in one task from runs of cells
-(:func:`grow`), or, for images too large for that, from a table of runs whose links contract in rounds (:func:`grow_wide`).
+(:func:`~tesselle.operators.planes.labels`), or, for images too large for that, from a table of runs whose links contract in rounds (:func:`grow_wide`).
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ClipConfig
-from ..schema import KEY, MASK
+from ..schema import KEY, shared_folder
 from .morphology import dilate, squares
+from .planes import Planes, dilated, grown, labels, largest, per_image, radii, seeded, together
 
 
-def labels(domain: np.ndarray) -> np.ndarray:
-    """4-connected components of a 2-D boolean array: the smallest row-by-row place of a cell's component, -1 off the domain."""
-    height, width = domain.shape
-    flat = np.zeros((height, width + 1), bool)
-    flat[:, :-1] = domain
-    steps = np.diff(np.concatenate(([False], flat.ravel(), [False])).astype(np.int8))
-    first, last = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)  # runs, in lines of width + 1
-    out = np.full((height, width), -1, np.int64)
-    if not len(first):
-        return out
-    # a run meets those of the line above whose columns overlap its own
-    low = np.searchsorted(last, first - (width + 1), "right")
-    high = np.searchsorted(first, last - (width + 1), "left")
-    count = np.maximum(high - low, 0)
-    a = np.repeat(np.arange(len(first)), count)
-    b = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    root = np.arange(len(first))
-    while True:  # hook the larger root under the smaller, then shorten all paths
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            break
-        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-        while (shorter := root[root] != root).any():
-            root = np.where(shorter, root[root], root)
-    start = first // (width + 1) * width + first % (width + 1)
-    out[domain] = np.repeat(start[root], last - first)
-    return out
-
-
-def _grid(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-    x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    return x, y, (int(y.max()) + 1, int(x.max()) + 1)
-
-
-def _plane(values: np.ndarray, x: np.ndarray, y: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    out = np.zeros(shape, bool)
-    out[y, x] = values.astype(bool)
-    return out
+def _components(planes: Planes) -> Planes:
+    found = labels(planes["active"])
+    return {"component": np.ma.masked_less(found, 0)}
 
 
 def components(mask: DataFrame) -> DataFrame:
     """``mask`` with ``component``: the smallest y * width + x of the cell's 4-connected component, null where inactive."""
+    return per_image(mask, _components, ["active"], {"component": "long"}, [*KEY, "active"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, shape = _grid(pdf)
-        found = labels(_plane(pdf["active"].to_numpy(), x, y, shape))[y, x]
-        named = pd.Series(found, dtype="Int64").mask(found < 0)
-        return pd.DataFrame({"image_id": pdf["image_id"].to_numpy(), "x": x, "y": y, "active": pdf["active"].to_numpy(), "component": named})
 
-    return mask.select(*KEY, "active").groupBy("image_id").applyInPandas(one, MASK + ", component long")
+def _largest(planes: Planes) -> Planes:
+    return {"active": largest(planes["active"])}
 
 
 def largest_component(mask: DataFrame) -> DataFrame:
     """Each image's largest component alone; of equal ones, the one with the smallest place."""
-    found = components(mask)
-    size = found.withColumn("n", F.count("component").over(Window.partitionBy("image_id", "component")))
-    best = Window.partitionBy("image_id")
-    top = F.max(F.when(F.col("active"), F.struct(F.col("n"), (-F.col("component")).alias("least")))).over(best)
-    return size.withColumn("top", top).select(*KEY, (F.col("active") & (F.col("component") == -F.col("top.least"))).alias("active"))
-
-
-def radii(first: int) -> list[int]:
-    """A radius and its halves, down to 1."""
-    out = []
-    while first > 0:
-        out.append(first)
-        first //= 2
-    return out
+    return per_image(mask, _largest, ["active"], {"active": "boolean"}, [*KEY, "active"])
 
 
 def with_seed(mask: DataFrame, radius: int, distance: int = 0, border: str = "inactive") -> DataFrame:
-    """``mask`` with ``seed``: eroded by the largest radius of :func:`radii` that leaves a cell of the image, or unchanged if none does;
+    """By windows: ``mask`` with ``seed``: eroded by the largest radius of :func:`radii` that leaves a cell of the image, or unchanged if none does;
     and with ``allowed``: dilated by ``distance``. All radii are tried in the same two passes."""
     tried, image = radii(radius), Window.partitionBy("image_id")
     for name in (*(f"__{r}" for r in tried), "allowed"):
@@ -102,13 +52,20 @@ def with_seed(mask: DataFrame, radius: int, distance: int = 0, border: str = "in
     return mask.withColumn("seed", seed).drop(*(f"__{r}" for r in tried), *(f"__any{r}" for r in tried))
 
 
-def adaptive_seed(mask: DataFrame, radius: int, border: str = "inactive") -> DataFrame:
-    return with_seed(mask, radius, border=border).select(*KEY, F.col("seed").alias("active"))
+def _seeded(planes: Planes, radius: int, border: str) -> Planes:
+    return {"active": seeded(planes["active"], radius, border)}
+
+
+def adaptive_seed(mask: DataFrame, radius: int, border: str = "inactive", wide: bool = False) -> DataFrame:
+    """The mask eroded by the largest of ``radius`` and its halves that leaves a cell of the image; where none does, the mask itself."""
+    if wide:
+        return with_seed(mask.select(*KEY, "active"), radius, border=border).select(*KEY, F.col("seed").alias("active"))
+    return per_image(mask, partial(_seeded, radius=radius, border=border), ["active"], {"active": "boolean"}, [*KEY, "active"])
 
 
-def allowed_zone(mask: DataFrame, distance: int) -> DataFrame:
+def allowed_zone(mask: DataFrame, distance: int, wide: bool = False) -> DataFrame:
     """How far the selection may grow: a square around each of its cells."""
-    return dilate(mask, distance)
+    return dilate(mask, distance, wide=wide)
 
 
 def zones(rough: DataFrame, barrier: DataFrame, config: ClipConfig) -> DataFrame:
@@ -117,71 +74,20 @@ def zones(rough: DataFrame, barrier: DataFrame, config: ClipConfig) -> DataFrame
     return cells.join(_walled(rough, barrier).drop("rough"), list(KEY))
 
 
-def in_square(mask: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Active cells in the square around each cell, and how many cells of it lie in the image; by running sums."""
-    height, width = mask.shape
-    sums = np.zeros((height + 1, width + 1), np.int64)
-    sums[1:, 1:] = mask.cumsum(0).cumsum(1)
-    y, x = np.arange(height), np.arange(width)
-    top, bottom = np.maximum(y - radius, 0)[:, None], np.minimum(y + radius + 1, height)[:, None]
-    left, right = np.maximum(x - radius, 0)[None, :], np.minimum(x + radius + 1, width)[None, :]
-    return sums[bottom, right] - sums[top, right] - sums[bottom, left] + sums[top, left], (bottom - top) * (right - left)
-
-
-def dilated(mask: np.ndarray, radius: int) -> np.ndarray:
-    return in_square(mask, radius)[0] > 0 if radius > 0 else mask
-
-
-def eroded(mask: np.ndarray, radius: int, border: str = "inactive") -> np.ndarray:
-    if radius <= 0:
-        return mask
-    found, cells = in_square(mask, radius)
-    return found == ((2 * radius + 1) ** 2 if border == "inactive" else cells)
-
-
-def grown(seed: np.ndarray, allowed: np.ndarray, barrier: np.ndarray, policy: str) -> np.ndarray:
-    """:func:`grow` on the planes of one image."""
-    free, seed = allowed & ~barrier, seed & ~barrier
-    if policy == "largest" and seed.any():
-        parts = labels(seed)
-        names, sizes = np.unique(parts[seed], return_counts=True)
-        seed = parts == names[np.argmax(sizes)]  # the first of equal sizes has the smallest place
-    region = labels(free)
-    return np.isin(region, np.unique(region[seed & free])) & free
-
-
-def grow(cells: DataFrame, policy: str = "largest") -> DataFrame:
-    """The components of allowed cells off the barrier that hold a seed; with ``largest``, of the seed's largest component alone."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, shape = _grid(pdf)
-        planes = (_plane(pdf[c].to_numpy(), x, y, shape) for c in ("seed", "allowed", "barrier"))
-        return pd.DataFrame({"image_id": pdf["image_id"], "x": x, "y": y, "active": grown(*planes, policy)[y, x]})
-
-    return cells.select(*KEY, "seed", "allowed", "barrier").groupBy("image_id").applyInPandas(one, MASK)
-
-
 def _walled(rough: DataFrame, barrier: DataFrame) -> DataFrame:
     """Cells with rough and barrier; a cell the barrier does not have is free."""
     wall = barrier.select(*KEY, F.col("active").alias("barrier"))
     return rough.select(*KEY, F.col("active").alias("rough")).join(wall, list(KEY), "left").withColumn("barrier", F.coalesce("barrier", F.lit(False)))
 
 
-def snap_stages(rough: DataFrame, barrier: DataFrame, config: ClipConfig) -> DataFrame:
-    """Cells with rough, barrier, active (the grown region) and core (it, eroded by the smoothing radius), each image in one task.
-
-    An image that is in one place for the growth gets its seed, zone and core there too, from running sums.
-    """
+def snapped(rough: np.ndarray, barrier: np.ndarray, config: ClipConfig) -> np.ndarray:
+    """The region that grows from the seed of a rough selection, on the planes of one image."""
+    seed = seeded(rough, config.seed_erosion_radius, config.border)
+    return grown(seed, dilated(rough, config.snap_distance), barrier, config.seed_policy)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, shape = _grid(pdf)
-        start, wall = (_plane(pdf[c].to_numpy(), x, y, shape) for c in ("rough", "barrier"))
-        seed = next((s for r in radii(config.seed_erosion_radius) if (s := eroded(start, r, config.border)).any()), start)
-        region = grown(seed, dilated(start, config.snap_distance), wall, config.seed_policy)
-        core = eroded(region, config.smooth_radius)
-        return pd.DataFrame({"image_id": pdf["image_id"], "x": x, "y": y, "rough": pdf["rough"], "barrier": pdf["barrier"], "active": region[y, x], "core": core[y, x]})
 
-    return _walled(rough, barrier).groupBy("image_id").applyInPandas(one, "image_id long, x int, y int, rough boolean, barrier boolean, active boolean, core boolean")
+def _snapped(rough: Planes, barrier: Planes, config: ClipConfig) -> Planes:
+    return {"active": snapped(rough["active"], barrier["active"], config)}
 
 
 def runs(domain: DataFrame, column: str = "active") -> DataFrame:
@@ -194,13 +100,13 @@ def runs(domain: DataFrame, column: str = "active") -> DataFrame:
 
 
 def grow_wide(cells: DataFrame, policy: str = "largest") -> DataFrame:
-    """As :func:`grow`, with no image in one task: runs are linked to those they touch and contract to their smallest in rounds.
+    """The components of allowed cells off the barrier that hold a seed, with ``largest`` of the seed's largest component alone, and no image in one task: runs are linked to those they touch and contract to their smallest in rounds.
 
     Rounds are written under ``spark.checkpoint.dir``, which must be set.
     """
     spark = cells.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
     def named(domain: DataFrame) -> DataFrame:
         own = runs(domain).checkpoint()
@@ -244,8 +150,8 @@ def grow_wide(cells: DataFrame, policy: str = "largest") -> DataFrame:
 
 
 def snap(rough: DataFrame, barrier: DataFrame, config: ClipConfig | None = None, wide: bool = False) -> DataFrame:
-    """The rough selection grown from its core to the barrier, no farther than the snap distance."""
+    """The rough selection grown from its core to the barrier, no farther than the snap distance; a cell the barrier does not have is free."""
     config = config or ClipConfig()
     if wide:
         return grow_wide(zones(rough, barrier, config), config.seed_policy)
-    return snap_stages(rough, barrier, config).select(*KEY, "active")
+    return together(rough, barrier, partial(_snapped, config=config), (["active"], ["active"]), {"active": "boolean"}, [*KEY, "active"])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY
 from .morphology import erode
+from .planes import Planes, alphas, eroded, per_image, together
 
 #: Alpha of the ring between the eroded and the whole mask.
 RING_ALPHA = 160
@@ -27,58 +31,87 @@ def _masked(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     return pixels.join(mask, list(KEY), "left")
 
 
-def clip_hard(pixels: DataFrame, mask: DataFrame) -> DataFrame:
+_ARGB = {c: "int" for c in "argb"}
+
+
+def cut(planes: Planes, alpha: np.ndarray) -> Planes:
+    """The channels with an alpha, nothing where that is 0."""
+    return {"a": alpha, **{c: np.where(alpha > 0, planes[c], 0).astype(np.int32) for c in "rgb"}}
+
+
+def _cut_smooth(pixels: Planes, mask: Planes, radius: int) -> Planes:
+    return cut(pixels, alphas(mask["active"], eroded(mask["active"], radius), RING_ALPHA))
+
+
+def _cut_progressive(pixels: Planes, mask: Planes, radius: int) -> Planes:
+    depth = sum((eroded(mask["active"], r).astype(np.int32) for r in range(1, radius + 1)), mask["active"].astype(np.int32))
+    return cut(pixels, depth * 255 // (radius + 1))
+
+
+def clip_hard(pixels: DataFrame, mask: DataFrame, wide: bool = False) -> DataFrame:
     """Pixels opaque where the mask is active and gone elsewhere; their own alpha is not used."""
+    if not wide:
+        return together(pixels, mask, partial(_cut_smooth, radius=0), (["r", "g", "b"], ["active"]), _ARGB, [*KEY])
     return _shown(_masked(pixels.drop("a"), mask.select(*KEY, "active")), F.when(F.col("active"), 255).otherwise(0))
 
 
-def clip_smooth(pixels: DataFrame, mask: DataFrame, radius: int = 1) -> DataFrame:
+def clip_smooth(pixels: DataFrame, mask: DataFrame, radius: int = 1, wide: bool = False) -> DataFrame:
     """As :func:`clip_hard`, with a half-transparent ring ``radius`` wide within the mask's edge."""
+    if not wide:
+        return together(pixels, mask, partial(_cut_smooth, radius=radius), (["r", "g", "b"], ["active"]), _ARGB, [*KEY])
     if radius <= 0:
-        return clip_hard(pixels, mask)
-    core = erode(mask.select(*KEY, "active").withColumn("core", F.col("active")), radius, "core")
+        return clip_hard(pixels, mask, wide)
+    core = erode(mask.select(*KEY, "active").withColumn("core", F.col("active")), radius, "core", wide=True)
     alpha = F.when(F.col("core"), 255).when(F.col("active"), RING_ALPHA).otherwise(0)
     return _shown(_masked(pixels.drop("a"), core), alpha)
 
 
-def clip_progressive(pixels: DataFrame, mask: DataFrame, radius: int = 2) -> DataFrame:
+def clip_progressive(pixels: DataFrame, mask: DataFrame, radius: int = 2, wide: bool = False) -> DataFrame:
     """As :func:`clip_hard`, with alpha rising from the mask's edge over ``radius`` rings to opaque."""
+    if not wide:
+        return together(pixels, mask, partial(_cut_progressive, radius=radius), (["r", "g", "b"], ["active"]), _ARGB, [*KEY])
     cells = mask.select(*KEY, "active")
     for r in range(1, radius + 1):
-        cells = erode(cells.withColumn(f"__{r}", F.col("active")), r, f"__{r}")
+        cells = erode(cells.withColumn(f"__{r}", F.col("active")), r, f"__{r}", wide=True)
     depth = sum((F.col(f"__{r}").cast("int") for r in range(1, radius + 1)), F.col("active").cast("int"))
     return _shown(_masked(pixels.drop("a"), cells), F.floor(depth * 255 / (radius + 1)).cast("int"))
 
 
-def overlay_preview(pixels: DataFrame, overlay: DataFrame | None, strength: float = 0.45) -> DataFrame:
+def _laid_over(pixels: Planes, overlay: Planes, strength: float) -> Planes:
+    k = strength * overlay["a"] / 255.0
+    return {c: np.floor(overlay[c] * k + pixels[c] * (1.0 - k) + 0.5).astype(np.int32) for c in "rgb"}
+
+
+def overlay_preview(pixels: DataFrame, overlay: DataFrame | None, strength: float = 0.45, wide: bool = False) -> DataFrame:
     """The overlay laid over the pixels at a strength times its own alpha; without one, the pixels."""
     if overlay is None:
         return pixels.select(*KEY, "a", "r", "g", "b")
+    if not wide:
+        return together(pixels, overlay, partial(_laid_over, strength=strength), (["r", "g", "b"], ["a", "r", "g", "b"]), {c: "int" for c in "rgb"}, [*KEY, "a", "r", "g", "b"])
     top = overlay.select(*KEY, *(F.col(c).alias(f"o{c}") for c in "argb"))
     k = F.lit(strength) * F.coalesce("oa", F.lit(0)) / F.lit(255.0)
     mixed = [F.floor(F.coalesce(f"o{c}", F.lit(0)) * k + F.col(c) * (F.lit(1.0) - k) + F.lit(0.5)).cast("int").alias(c) for c in "rgb"]
     return pixels.join(top, list(KEY), "left").select(*KEY, "a", *mixed)
 
 
+def _rim(planes: Planes) -> Planes:
+    return {"active": planes["active"] & ~eroded(planes["active"], 1, "ignore")}
+
+
+def rim(mask: DataFrame) -> DataFrame:
+    """Active cells next to one that is not."""
+    return per_image(mask, _rim, ["active"], {"active": "boolean"}, [*KEY, "active"])
+
+
 def checkerboard(cells: DataFrame, side: int = 12) -> DataFrame:
     """Squares of light grey and white, as shown behind transparent pixels."""
     level = F.when((F.expr(f"x div {side}") + F.expr(f"y div {side}")) % 2 == 0, 220).otherwise(255)
     return cells.select(*KEY, F.lit(255).alias("a"), *(level.alias(c) for c in "rgb"))
 
 
-def flatten(pixels: DataFrame, under: DataFrame) -> DataFrame:
-    """Pixels over an opaque background, by their alpha."""
-    below = under.select(*KEY, *(F.col(c).alias(f"u{c}") for c in "rgb"))
-    k = F.col("a") / F.lit(255.0)
-    mixed = [F.floor(F.col(c) * k + F.col(f"u{c}") * (F.lit(1.0) - k) + F.lit(0.5)).cast("int").alias(c) for c in "rgb"]
-    return pixels.join(below, list(KEY)).select(*KEY, F.lit(255).alias("a"), *mixed)
-
-
 def fit(width: Column, height: Column, view_width: int, view_height: int) -> tuple[Column, Column, Column]:
     """Scale, left and top at which an image lies centred in a view, with a margin of 10 beside and 20 above and below."""
     scale = F.least((F.lit(view_width) - 20) / width, (F.lit(view_height) - 40) / height)
     left = ((F.lit(view_width) - (width * scale).cast("int")) / 2).cast("int")
     top = ((F.lit(view_height) - (height * scale).cast("int")) / 2).cast("int")
     return scale, left, top
-
-

@@ -1,9 +1,17 @@
-"""From a map and a rough green overlay to the clipped region."""
+"""From a map and a rough green overlay to the clipped region.
+
+An image goes through all steps in one task, from pixels (:func:`stages`) or straight from its bytes (:func:`clip_images`), which never become
+rows of pixels. Images too large for a task take ``wide=True``: every step is then windows and joins over pixels.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,28 +20,48 @@ from ..functions.color import is_green, is_road
 from ..operators.gradient import sobel, threshold
 from ..operators.grid import count_active
 from ..operators.morphology import close, open_
-from ..operators.region import snap, snap_stages
-from ..operators.render import clip_smooth, mask_image
+from ..operators.planes import Planes, alphas, closed, decoded, eroded, greens, per_image, raw_road_cells, rows_of, summed, together
+from ..operators.region import snap, snapped
+from ..operators.render import RING_ALPHA, clip_smooth, cut, mask_image
 from ..schema import KEY
+from ..sources.images import png
+
+MADE = "image_id long, width int, height int, n_green long, n_roads long, n_region long, region binary, mask binary"
+_MADE = pa.schema([("image_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("n_green", pa.int64()), ("n_roads", pa.int64()), ("n_region", pa.int64()), ("region", pa.binary()), ("mask", pa.binary())])
+
 
+def _greens(planes: Planes) -> Planes:
+    return {"active": greens(planes)}
 
-def extract_green(pixels: DataFrame) -> DataFrame:
+
+def extract_green(pixels: DataFrame, wide: bool = False) -> DataFrame:
     """The green pixels, without specks."""
-    return open_(pixels.select(*KEY, is_green().alias("active")), 1)
+    if wide:
+        return open_(pixels.select(*KEY, is_green().alias("active")), 1, wide=True)
+    return per_image(pixels, _greens, ["a", "r", "g", "b"], {"active": "boolean"}, [*KEY])
+
 
+def _roads(planes: Planes, level: int, radius: int, border: str) -> Planes:
+    return {"active": closed(raw_road_cells(planes, level), radius, border)}
 
-def raw_roads(pixels: DataFrame, config: ClipConfig | None = None) -> DataFrame:
+
+def raw_roads(pixels: DataFrame, config: ClipConfig | None = None, wide: bool = False) -> DataFrame:
     """Pixels of a road's colour or with a strong edge."""
     config = config or ClipConfig()
     t = threshold(config.road_sensitivity)
-    strong = F.coalesce(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") >= t * t, F.lit(False))
-    return sobel(pixels).select(*KEY, (is_road() | strong).alias("active"))
+    if wide:
+        strong = F.coalesce(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") >= t * t, F.lit(False))
+        return sobel(pixels, wide=True).select(*KEY, (is_road() | strong).alias("active"))
+    return per_image(pixels, partial(_roads, level=t, radius=0, border=config.border), ["r", "g", "b"], {"active": "boolean"}, [*KEY])
 
 
-def detect_roads(pixels: DataFrame, config: ClipConfig | None = None) -> DataFrame:
+def detect_roads(pixels: DataFrame, config: ClipConfig | None = None, wide: bool = False) -> DataFrame:
     """The road network, small gaps closed."""
     config = config or ClipConfig()
-    return close(raw_roads(pixels, config), config.closing_radius, border=config.border)
+    if wide:
+        return close(raw_roads(pixels, config, wide=True), config.closing_radius, border=config.border, wide=True)
+    one = partial(_roads, level=threshold(config.road_sensitivity), radius=config.closing_radius, border=config.border)
+    return per_image(pixels, one, ["r", "g", "b"], {"active": "boolean"}, [*KEY])
 
 
 class Clip(NamedTuple):
@@ -44,12 +72,35 @@ class Clip(NamedTuple):
     mask: DataFrame
 
 
+def _stages(pixels: Planes, overlay: Planes, config: ClipConfig) -> Planes:
+    """All stages of one image: green, roads, active (the grown region), core (it, eroded by the smoothing radius), and the clipped channels."""
+    green = greens(overlay)
+    roads = closed(raw_road_cells(pixels, threshold(config.road_sensitivity)), config.closing_radius, config.border)
+    region = snapped(green, roads, config)
+    core = eroded(region, config.smooth_radius)
+    return {"green": green, "roads": roads, "active": region, "core": core, **cut(pixels, alphas(region, core, RING_ALPHA))}
+
+
+def stages(pixels: DataFrame, overlay: DataFrame, config: ClipConfig | None = None) -> DataFrame:
+    """Cells of every image of ``pixels`` with green, roads, active, core, and a, r, g, b of the clipped picture, each image once in one task.
+
+    An image without an overlay, or one without green, gives an empty region: see :func:`without_green`.
+    """
+    made = {"green": "boolean", "roads": "boolean", "active": "boolean", "core": "boolean"} | {c: "int" for c in "argb"}
+    return together(pixels, overlay, partial(_stages, config=config or ClipConfig()), (["r", "g", "b"], ["a", "r", "g", "b"]), made, [*KEY])
+
+
 def clip(pixels: DataFrame, overlay: DataFrame, config: ClipConfig | None = None, wide: bool = False) -> Clip:
-    """Masks and pictures of every image of ``pixels`` with its overlay. Images without green give empty masks: see :func:`without_green`."""
+    """Masks and pictures of every image of ``pixels`` with its overlay. They are columns of one relation, :func:`stages`: who needs several
+    of them writes that once. Images without green give empty masks: see :func:`without_green`."""
     config = config or ClipConfig()
-    green, roads = extract_green(overlay), detect_roads(pixels, config)
-    region = snap(green, roads, config, wide)
-    return Clip(green, roads, region, clip_smooth(pixels, region, config.smooth_radius), mask_image(region))
+    if wide:
+        green, roads = extract_green(overlay, wide), detect_roads(pixels, config, wide)
+        region = snap(green, roads, config, wide)
+        return Clip(green, roads, region, clip_smooth(pixels, region, config.smooth_radius, wide), mask_image(region))
+    made = stages(pixels, overlay, config)
+    as_mask = lambda c: made.select(*KEY, F.col(c).alias("active"))
+    return Clip(as_mask("green"), as_mask("roads"), as_mask("active"), made.select(*KEY, "a", "r", "g", "b"), mask_image(as_mask("active")))
 
 
 def without_green(green: DataFrame) -> DataFrame:
@@ -57,12 +108,35 @@ def without_green(green: DataFrame) -> DataFrame:
     return count_active(green).where("n_active = 0").select("image_id")
 
 
+def _counts(pixels: Planes, overlay: Planes, config: ClipConfig) -> dict[str, int]:
+    made = _stages(pixels, overlay, config)
+    numbers = {"n_green": made["green"], "n_roads": made["roads"], "n_region": made["active"], "n_opaque": made["core"], "n_ring": made["active"] & ~made["core"]}
+    return {name: plane.sum() for name, plane in numbers.items()}
+
+
 def counts(pixels: DataFrame, overlay: DataFrame, config: ClipConfig | None = None) -> DataFrame:
-    """Active cells of each stage of :func:`clip`, and opaque and half-transparent pixels of the result, for each image.
+    """Active cells of each stage of :func:`clip`, and opaque and half-transparent pixels of the result, for each image."""
+    schema = "image_id long, n_green long, n_roads long, n_region long, n_opaque long, n_ring long"
+    return summed(pixels, overlay, partial(_counts, config=config or ClipConfig()), (["r", "g", "b"], ["a", "r", "g", "b"]), schema)
+
 
-    Every stage is computed once: the masks stay side by side in one relation of cells.
+def _clipped(batches: Iterator[pa.RecordBatch], config: ClipConfig) -> Iterator[pa.RecordBatch]:
+    for row in rows_of(batches):
+        size, other = (row["width"], row["height"]), (row["over_width"], row["over_height"])
+        if size != other:
+            raise ValueError(f"sizes differ: {size[0]}x{size[1]} and {other[0]}x{other[1]} (image {row['image_id']})")
+        made = _stages(decoded(size[0], row["n_channels"], row["data"]), decoded(size[0], row["over_channels"], row["over_data"]), config)
+        region = png(np.stack([made[c] for c in "rgba"], -1))
+        mask = png(np.repeat(np.where(made["active"], 255, 0)[..., None], 3, -1))
+        values = (row["image_id"], *size, *(int(made[c].sum()) for c in ("green", "roads", "active")), region, mask)
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _MADE, strict=True)], schema=_MADE)
+
+
+def clip_images(maps: DataFrame, overlays: DataFrame, config: ClipConfig | None = None) -> DataFrame:
+    """image_id, width, height, n_green, n_roads, n_region and the PNGs ``region`` and ``mask`` of each of ``maps`` that has one of ``overlays``.
+
+    Both are ``images``; two sizes for one image are an error. No row of a pixel is made.
     """
-    config = config or ClipConfig()
-    made = snap_stages(extract_green(overlay), detect_roads(pixels, config), config)
-    numbers = {"n_green": F.col("rough"), "n_roads": F.col("barrier"), "n_region": F.col("active"), "n_opaque": F.col("core"), "n_ring": F.col("active") & ~F.col("core")}
-    return made.groupBy("image_id").agg(*(F.count_if(c).alias(name) for name, c in numbers.items()))
+    over = overlays.select("image_id", *(F.col(c).alias(f"over_{n}") for c, n in (("width", "width"), ("height", "height"), ("n_channels", "channels"), ("data", "data"))))
+    rows = maps.select("image_id", "width", "height", "n_channels", "data").join(over, "image_id")
+    return rows.mapInArrow(partial(_clipped, config=config or ClipConfig()), MADE)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import uuid
 from collections.abc import Callable
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli, streaming
 from ..config import ClipConfig
 from ..functions import color
-from ..operators import gradient, grid, morphology, region, render
-from ..schema import KEY
-from ..sources import tiles
+from ..operators import gradient, grid, morphology, planes, region, render
+from ..schema import KEY, shared_folder
+from ..sources import images, tiles
 from . import clip
 
 CONFIG = ClipConfig()
@@ -45,8 +50,8 @@ def _snap(config: ClipConfig) -> Query:
     return lambda spark, sf: region.snap(_rough(spark, sf), _roads(spark, sf), config)
 
 
-def _snap_split(config: ClipConfig) -> Query:
-    return lambda spark, sf: region.snap(tiles.split_rough(spark, sf), tiles.split_barrier(spark, sf), config)
+def _snap_split(config: ClipConfig, wide: bool = False) -> Query:
+    return lambda spark, sf: region.snap(tiles.split_rough(spark, sf), tiles.split_barrier(spark, sf), config, wide)
 
 
 def _clip_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,8 +69,94 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _size_check(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = grid.sizes(tiles.patches(spark, sf)), grid.sizes(tiles.split_rough(spark, sf))
-    return a.join(b.select("image_id", F.col("width").alias("other_width"), F.col("height").alias("other_height")), "image_id").withColumn("same", F.expr("width = other_width and height = other_height"))
+    return grid.compared(tiles.images(spark, sf), tiles.images(spark, sf, tiles.SPLIT_SIDE))
+
+
+def _mask_size_check(spark: SparkSession, sf: str) -> DataFrame:
+    return grid.compared(grid.sizes(tiles.patches(spark, sf)), grid.sizes(tiles.scattered(spark, sf)))
+
+
+def _bounds(spark: SparkSession, sf: str) -> DataFrame:
+    at = tiles.images(spark, sf).select("image_id", "width", "height", F.explode(F.array(*[F.lit(v) for v in (-1, 0, 63, 64)])).alias("x"))
+    at = at.select("*", F.explode(F.array(*[F.lit(v) for v in (-5, 0, 31, 63, 64)])).alias("y"))
+    return at.select(*KEY, grid.inside(F.col("x"), F.col("y"), F.col("width"), F.col("height")).alias("inside"))
+
+
+def _fitted(spark: SparkSession, sf: str) -> DataFrame:
+    sized = tiles.images(spark, sf).select("image_id", (64 + F.col("image_id") % 70).cast("int").alias("width"), F.lit(48).alias("height"))
+    scale, left, top = render.fit(F.col("width"), F.col("height"), 220, 140)
+    return sized.select("image_id", "width", "height", scale.alias("scale"), left.alias("left"), top.alias("top"))
+
+
+def _hsv(spark: SparkSession, sf: str) -> DataFrame:
+    hue, saturation, value = color.hsv()
+    return tiles.colours(spark, sf).select(*KEY, hue.alias("hue"), saturation.alias("saturation"), value.alias("value"))
+
+
+def _thin(spark: SparkSession, sf: str) -> DataFrame:
+    """A mask of lines that no erosion leaves anything of."""
+    return grid.cells(tiles.images(spark, sf)).withColumn("active", F.expr("(x + image_id) % 5 < 2"))
+
+
+def _files(spark: SparkSession, pixels: DataFrame, alpha: bool = True) -> tuple[DataFrame, str]:
+    """PNG files of pixels in a folder of their own: what was written, and where."""
+    folder = f"{shared_folder(spark)}/tesselle-png-{uuid.uuid4().hex}"
+    return images.save(images.encode(pixels, alpha), folder), folder
+
+
+def _sink(spark: SparkSession, sf: str) -> DataFrame:
+    return _files(spark, tiles.colours(spark, sf))[0]
+
+
+def _scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels written as PNG files and read again; a file's name is its image's id."""
+    written, folder = _files(spark, tiles.colours(spark, sf))
+    written.count()
+    found = images.scan(spark, folder).withColumn("image_id", F.regexp_extract("origin", "([0-9]+)[.]png$", 1).cast("long"))
+    return images.pixels(found)
+
+
+def _command(spark: SparkSession, sf: str) -> DataFrame:
+    """The command line on the files of the first tile: the pixels of its two outputs."""
+    first = spark.read.parquet(f"{sf}/supplier.parquet").agg(F.min("s_suppkey")).first()[0]
+    folder = f"{shared_folder(spark)}/tesselle-cli-{uuid.uuid4().hex}"
+    for name, pixels in (("map", tiles.maps(spark, sf)), ("overlay", tiles.overlays(spark, sf))):
+        images.save(images.encode(pixels.where(F.col("image_id") == first), False), folder, F.lit(f"{name}.png")).collect()
+    with contextlib.redirect_stdout(io.StringIO()):
+        code = cli.run(["--map", f"{folder}/map.png", "--mask", f"{folder}/overlay.png", "--output", f"{folder}/out.png"], spark)
+    read = lambda name: images.pixels(images.scan(spark, f"{folder}/{name}.png").withColumn("image_id", F.lit(first).cast("long")))
+    return read("out").join(read("mask_out").select(*KEY, F.col("r").alias("mask")), list(KEY)).withColumn("code", F.lit(code))
+
+
+def _options(spark: SparkSession, sf: str) -> DataFrame:
+    """What the command line makes of its options, and its exit codes without any and for help."""
+    args = ["--SNAP-distance", "7", "--Road-Sensitivity", "x1", "--output", "--smooth", "--mask"]
+    with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+        rows = [("snap", str(cli.number(args, "--snap-distance", 40, int))), ("sensitivity", str(cli.number(args, "--road-sensitivity", 1.0, float)))]
+        rows += [("output", cli.option(args, "--output")), ("mask", cli.option(args, "--mask", "none")), ("nothing", str(cli.run([], spark))), ("help", str(cli.run(["--help"], spark)))]
+        rows.append(("no mask", str(cli.run(["--map", "m.png"], spark))))
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+def _config(config: ClipConfig) -> Query:
+    return lambda spark, sf: spark.createDataFrame([(n, str(v)) for n, v in asdict(config).items()], "name string, value string")
+
+
+def _as_images(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return images.gathered(tiles.maps(spark, sf), False), images.gathered(tiles.overlays(spark, sf), False)
+
+
+def _clip_images(spark: SparkSession, sf: str) -> DataFrame:
+    return clip.clip_images(*_as_images(spark, sf), CONFIG).drop("region", "mask")
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Maps that arrive before their overlays."""
+    folder = f"{shared_folder(spark)}/tesselle-stream-{uuid.uuid4().hex}"
+    for role, rows in zip(("map", "overlay"), _as_images(spark, sf), strict=True):
+        rows.withColumn("role", F.lit(role)).write.mode("append").parquet(f"{folder}/in")
+        streaming.clip_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", CONFIG).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("image_id", "n_active")
 
 
 def _unpacked(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,8 +171,7 @@ def _inner(spark: SparkSession, sf: str) -> DataFrame:
 def _white_contrast(spark: SparkSession, sf: str) -> DataFrame:
     """White pixels next to a cell that is not white."""
     white = tiles.warm(spark, sf).select(*KEY, (F.least("r", "g", "b") > 230).alias("active"))
-    core = morphology.erode(white.withColumn("core", F.col("active")), 1, "core", "ignore")
-    return core.select(*KEY, (F.col("active") & ~F.col("core")).alias("active"))
+    return render.rim(white)
 
 
 def _preview(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +203,34 @@ def queries() -> dict[str, Query]:
         "sobel_gx_gy": lambda spark, sf: gradient.sobel(colours(spark, sf)).select(*KEY, "gx", "gy"),
         "sobel_mask": lambda spark, sf: gradient.edges(colours(spark, sf), 0.5),
         "road_barrier": _roads,
+        "hsv": _hsv,
+        "fit_scale": _fitted,
+        "bounds_check": _bounds,
         "interior_cells": _inner,
+        "mask_size_check": _mask_size_check,
+        "mask_blank": lambda spark, sf: grid.blank(spark, 7, 5, 3),
+        "mask_wrap": lambda spark, sf: grid.wrap(spark, 6, 4, [i % 3 == 0 for i in range(24)], 2),
+        "mask_copy": lambda spark, sf: grid.copy(tiles.scattered(spark, sf)),
+        "image_scan": _scan,
+        "png_sink": _sink,
+        "config_defaults": _config(CONFIG),
+        "config_built": _config(replace(CONFIG, snap_distance=50, road_sensitivity=1.5, smooth_radius=2, seed_erosion_radius=6, closing_radius=3)),
+        "cli_clip": _command,
+        "cli_options": _options,
+        "clip_pipeline": lambda spark, sf: clip.clip(tiles.maps(spark, sf), tiles.overlays(spark, sf), CONFIG).clipped,
+        "clip_pipeline_mask": lambda spark, sf: clip.clip(tiles.maps(spark, sf), tiles.overlays(spark, sf), CONFIG).mask,
+        "clip_images": _clip_images,
+        "clip_stream": _stream,
+        "seed_fallback": lambda spark, sf: region.adaptive_seed(_thin(spark, sf), 8),
+        # Forms for images too large for one task.
+        "road_barrier_wide": lambda spark, sf: clip.detect_roads(tiles.maps(spark, sf), CONFIG, wide=True),
+        "sobel_gx_gy_wide": lambda spark, sf: gradient.sobel(colours(spark, sf), wide=True).select(*KEY, "gx", "gy"),
+        "mask_or_wide": lambda spark, sf: grid.union(tiles.scattered(spark, sf), tiles.striped(spark, sf), wide=True),
+        "dilate_r40_wide": _mask(lambda m: morphology.dilate(m, 40, wide=True), tiles.split_rough),
+        "erode_r1_wide": _mask(lambda m: morphology.erode(m, 1, wide=True)),
+        "seed_adaptive_wide": _mask(lambda m: region.adaptive_seed(m, 8, wide=True)),
+        "snap_wide": _snap_split(SPLIT, wide=True),
+        "clip_smooth_wide": lambda spark, sf: render.clip_smooth(tiles.colours(spark, sf), tiles.patches(spark, sf), wide=True),
         "mask_get": _points,
         "mask_set": lambda spark, sf: grid.set_cell(tiles.scattered(spark, sf), 3, 5, True, 1),
         "mask_or": _pair(grid.union),
@@ -232,17 +349,15 @@ _ROUGH = _sql_dilate(_sql_erode(_active(_OVERLAYS, _GREEN), 1), 1)
 
 def _sql_seed(source: str, first: int) -> str:
     """A with clause that ends in ``seed``."""
-    tried = region.radii(first)
-    parts = [f"s0 as (select * from {source})"] + [f"s{r} as (select * from {_sql_erode('s0', r)})" for r in tried]
-    any_ = ", ".join(f"bool_or(s{r}.active) as any{r}" for r in tried)
+    tried = planes.radii(first)
+    parts = [f"s0 as materialized (select * from {source})"] + [f"s{r} as materialized (select * from {_sql_erode('s0', r)})" for r in tried]
     joins = " ".join(f"join s{r} using (image_id, x, y)" for r in tried)
-    whens = " ".join(f"when any{r} then s{r}.active" for r in tried)
-    parts.append(f"chosen as (select image_id, {any_} from s0 {joins} group by image_id)")
-    parts.append(f"seed as (select image_id, x, y, case {whens} else s0.active end as active from s0 {joins} join chosen using (image_id))")
+    parts.append(f"tried as materialized (select s0.image_id, s0.x, s0.y, s0.active as a0, {', '.join(f's{r}.active as a{r}' for r in tried)} from s0 {joins})")
+    parts.append(f"chosen as (select image_id, {', '.join(f'bool_or(a{r}) as any{r}' for r in tried)} from tried group by image_id)")
+    parts.append(f"seed as (select image_id, x, y, case {' '.join(f'when any{r} then a{r}' for r in tried)} else a0 end as active from tried join chosen using (image_id))")
     return ", ".join(parts)
 
 
-_NEAR = "(abs(a.x - b.x) + abs(a.y - b.y) = 1)"
 _STEPS = "(values (1, 0), (-1, 0), (0, 1), (0, -1)) step(dx, dy)"
 
 
@@ -293,11 +408,17 @@ def oracle_sql() -> dict[str, str]:
         "ends as (select image_id, count(*) filter (region.active) as n_region, count(*) filter (core.active) as n_opaque, count(*) filter (region.active and not core.active) as n_ring from region join core using (image_id, x, y) group by all) "
         "select * from green join roads using (image_id) join ends using (image_id)"
     )
+    finished = f"with region as materialized ({snapped}), core as (select * from {_sql_erode('region', 1)}), made as (select m.image_id, m.x, m.y, case when core.active then 255 when region.active then 160 else 0 end as a, m.r, m.g, m.b, region.active from {_MAPS} m join region using (image_id, x, y) join core using (image_id, x, y))"
+    shown = ", ".join(f"(case when a > 0 then {c} else 0 end)::int as {c}" for c in "rgb")
+    named = lambda rows: "select * from (values " + ", ".join(f"('{n}', '{v}')" for n, v in rows) + ") t(name, value)"
+    defaults = {"snap_distance": 40, "road_sensitivity": 1.0, "smooth_radius": 1, "seed_erosion_radius": 8, "closing_radius": 2, "seed_policy": "largest", "border": "inactive"}
+    built = defaults | {"snap_distance": 50, "road_sensitivity": 1.5, "smooth_radius": 2, "seed_erosion_radius": 6, "closing_radius": 3}
+    thin = _from(f"((x + {_ID}) % 5 < 2) as active")
     sizes = lambda source, w, h: f"(select image_id, max(x) + 1 as {w}, max(y) + 1 as {h} from {source} group by image_id)"
     return {
         "greeting_loop": "select i::int as i, 'i = ' || i as line from range(1, 6) t(i)",
         "pixel_unpack": _select(_COLOURS, "((case when a > 127 then a - 256 else a end)::bigint * 16777216 + r * 65536 + g * 256 + b)::int as argb, a, r, g, b"),
-        "size_check": f"select *, (width = other_width and height = other_height) as same from {sizes(_PATCHES, 'width', 'height')} join {sizes(_SPLIT_ROUGH, 'other_width', 'other_height')} using (image_id)",
+        "size_check": f"select s_suppkey::bigint as image_id, {tiles.SIDE} as width, {tiles.SIDE} as height, {tiles.SPLIT_SIDE} as other_width, {tiles.SPLIT_SIDE} as other_height, false as same from supplier",
         "luminance": _select(_COLOURS, f"{_LUM} as lum"),
         "opaque": _select(_COLOURS, "a >= 30 as active"),
         "rgb_green": _select(_COLOURS, f"{_LEADS} as active"),
@@ -313,6 +434,32 @@ def oracle_sql() -> dict[str, str]:
         "sobel_gx_gy": _select(_sql_sobel(_COLOURS), "gx, gy"),
         "sobel_mask": _select(_sql_sobel(_COLOURS), f"{_sql_edges(150)} as active"),
         "road_barrier": plain(_BARRIER),
+        "hsv": _select(_COLOURS, f"case when {_D} > 0 then (60.0::double * {_HUE}) / {_D}::double end as hue, case when greatest(r,g,b) > 0 then {_D}::double / greatest(r,g,b)::double else 0.0::double end as saturation, greatest(r,g,b)::double / 255.0::double as value"),
+        "fit_scale": "select *, trunc((220 - trunc(width * scale)::int) / 2.0)::int as left, trunc((140 - trunc(height * scale)::int) / 2.0)::int as top from (select *, least(200.0::double / width, 100.0::double / height) as scale from (select s_suppkey::bigint as image_id, (64 + s_suppkey % 70)::int as width, 48 as height from supplier))",
+        "bounds_check": "select s_suppkey::bigint as image_id, x::int as x, y::int as y, (x between 0 and 63 and y between 0 and 63) as inside from supplier, (values (-1), (0), (63), (64)) t(x), (values (-5), (0), (31), (63), (64)) u(y)",
+        "mask_size_check": f"select image_id, width, height, other_width, other_height, (width = other_width and height = other_height) as same from {sizes(_PATCHES, 'width', 'height')} full join {sizes(_SCATTERED, 'other_width', 'other_height')} using (image_id)",
+        "mask_blank": "select 3::bigint as image_id, x::int as x, y::int as y, false as active from range(7) u(x), range(5) v(y)",
+        "mask_wrap": "select 2::bigint as image_id, x::int as x, y::int as y, ((y * 6 + x) % 3 = 0) as active from range(6) u(x), range(4) v(y)",
+        "mask_copy": _select(_SCATTERED, "active"),
+        "image_scan": _select(_COLOURS, "a, r, g, b"),
+        "png_sink": "select s_suppkey::bigint as image_id, s_suppkey || '.png' as name from supplier",
+        "config_defaults": named(defaults.items()),
+        "config_built": named(built.items()),
+        "cli_clip": f"{finished} select image_id, x, y, a, {shown}, (case when active then 255 else 0 end)::int as mask, 0 as code from made where image_id = (select min(s_suppkey) from supplier)",
+        "cli_options": named([("snap", "7"), ("sensitivity", "1.0"), ("output", "--smooth"), ("mask", "none"), ("nothing", "1"), ("help", "0"), ("no mask", "1")]),
+        "clip_pipeline": f"{finished} select image_id, x, y, a::int as a, {shown} from made",
+        "clip_pipeline_mask": f"{finished} select image_id, x, y, 255 as a, {white_black} from made",
+        "clip_images": f"select image_id, {tiles.SIDE} as width, {tiles.SIDE} as height, n_green, n_roads, n_region from ({counted})",
+        "clip_stream": f"select image_id, n_region as n_active from ({counted})",
+        "seed_fallback": f"with {_sql_seed(thin, 8)} select * from seed",
+        "road_barrier_wide": plain(_BARRIER),
+        "sobel_gx_gy_wide": _select(_sql_sobel(_COLOURS), "gx, gy"),
+        "mask_or_wide": pair("or"),
+        "dilate_r40_wide": plain(_sql_dilate(_SPLIT_ROUGH, 40)),
+        "erode_r1_wide": plain(_sql_erode(_PATCHES, 1)),
+        "seed_adaptive_wide": f"with {_sql_seed(_PATCHES, 8)} select * from seed",
+        "snap_wide": _sql_snap(_SPLIT_ROUGH, _SPLIT_BARRIER, SPLIT, tiles.SPLIT_SIDE),
+        "clip_smooth_wide": _sql_clip("case when m.core then 255 when m.active then 160 else 0 end", core),
         "interior_cells": f"select image_id, x, y from {_SCATTERED} where x between 1 and 62 and y between 1 and 62",
         "mask_get": f"select p.image_id, p.x, p.y, coalesce(m.active, false) as active from (select s_suppkey::bigint as image_id, x::int as x, 9 as y from supplier, (values (-3), (0), (17), (40), (70)) t(x)) p left join {_SCATTERED} m using (image_id, x, y)",
         "mask_set": _select(_SCATTERED, "(active or (image_id = 1 and x = 3 and y = 5)) as active"),

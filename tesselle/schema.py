@@ -14,6 +14,14 @@ MASK = "image_id long, x int, y int, active boolean"
 KEY = ("image_id", "x", "y")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, which the cluster names; a session on one machine may do without and gets a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (named or "file:///tmp/tesselle").rstrip("/")
+
+
 def prepare(spark: SparkSession) -> None:
     """Let joins by cell use the partitions by image that their sides already have, instead of dealing both out anew."""
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")

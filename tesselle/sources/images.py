@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import PIXELS
+from ..operators.grid import compared
+from ..operators.planes import Cells
+from ..schema import IMAGES, PIXELS
 
 #: Pixels of one record batch.
 BATCH = 1 << 18
@@ -52,11 +54,9 @@ def pixels(images: DataFrame) -> DataFrame:
 
 def check_same_size(images: DataFrame, others: DataFrame) -> None:
     """Raises where an image and the other of its id differ in size, or one has no other; names both sizes."""
-    left = images.select("image_id", F.col("width").alias("w1"), F.col("height").alias("h1"))
-    right = others.select("image_id", F.col("width").alias("w2"), F.col("height").alias("h2"))
-    bad = left.join(right, "image_id", "full").where("not (w1 <=> w2 and h1 <=> h2)").first()
+    bad = compared(images, others).where("not same").first()
     if bad is not None:
-        raise ValueError(f"sizes differ: {bad.w1}x{bad.h1} and {bad.w2}x{bad.h2}")
+        raise ValueError(f"sizes differ: {bad.width}x{bad.height} and {bad.other_width}x{bad.other_height}")
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -71,17 +71,30 @@ def png(samples: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
+def _samples(table: pa.Table, channels: str) -> np.ndarray:
+    cells = Cells(table)
+    return np.stack([cells.plane(c) for c in channels], -1).astype(np.uint8)
+
+
+def _png(table: pa.Table, channels: str) -> pa.Table:
+    return pa.table({"image_id": table.column("image_id").slice(0, 1), "png": pa.array([png(_samples(table, channels))], pa.binary())})
+
+
 def encode(pixels: DataFrame, alpha: bool = True) -> DataFrame:
     """(image_id, png) of dense pixels, an image in a task."""
+    return pixels.select("image_id", "x", "y", "a", "r", "g", "b").groupBy("image_id").applyInArrow(lambda table: _png(table, "rgba" if alpha else "rgb"), "image_id long, png binary")
+
+
+def _raw(table: pa.Table, channels: str) -> pa.Table:
+    samples = _samples(table, channels)
+    sizes = {"width": samples.shape[1], "height": samples.shape[0], "n_channels": samples.shape[2]}
+    columns = {n: pa.array([v], pa.int32()) for n, v in sizes.items()}
+    return pa.table({"image_id": table.column("image_id").slice(0, 1), "origin": pa.array([None], pa.string()), **columns, "data": pa.array([samples.tobytes()], pa.binary())})
 
-    def one(pdf: pd.DataFrame, channels: list[str]) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        out = np.zeros((y.max() + 1, x.max() + 1, len(channels)), np.uint8)
-        out[y, x] = pdf[channels].to_numpy()
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "png": [png(out)]})
 
-    channels = ["r", "g", "b", "a"] if alpha else ["r", "g", "b"]
-    return pixels.select("image_id", "x", "y", "a", "r", "g", "b").groupBy("image_id").applyInPandas(lambda pdf: one(pdf, channels), "image_id long, png binary")
+def gathered(pixels: DataFrame, alpha: bool = True) -> DataFrame:
+    """``images`` of dense pixels, an image in a task; their origin is null."""
+    return pixels.select("image_id", "x", "y", "a", "r", "g", "b").groupBy("image_id").applyInArrow(lambda table: _raw(table, "bgra" if alpha else "bgr"), IMAGES)
 
 
 def _save(frames: Iterator[pd.DataFrame], base: str) -> Iterator[pd.DataFrame]:

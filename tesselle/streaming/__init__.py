@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ClipConfig
-from ..plans.clip import clip
-from ..schema import IMAGES, by_image
-from ..sources.images import encode, pixels
+from ..plans.clip import clip_images
+from ..schema import IMAGES
+
+ARRIVING = IMAGES + ", role string"
+
+
+def sides(batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Maps and overlays of ``batch`` that have each other, and the rows that have not; of rows of one image and role one counts."""
+    rows = batch.where("role in ('map', 'overlay') and image_id is not null").dropDuplicates(["image_id", "role"])
+    counted = rows.withColumn("__roles", F.count("*").over(Window.partitionBy("image_id")))
+    paired = counted.where("__roles = 2").drop("__roles")
+    return paired.where("role = 'map'"), paired.where("role = 'overlay'"), counted.where("__roles = 1").drop("__roles")
 
 
 def clip_batch(batch: DataFrame, config: ClipConfig | None = None) -> DataFrame:
-    """(image_id, region, mask, n_active) PNGs of a batch of ``images`` rows whose role is ``map`` or ``overlay``."""
-    shown = by_image(pixels(batch.where("role = 'map'")))
-    over = by_image(pixels(batch.where("role = 'overlay'")))
-    made = clip(shown, over, config)
-    region = encode(made.clipped).withColumnRenamed("png", "region")
-    mask = encode(made.mask, alpha=False).withColumnRenamed("png", "mask")
-    size = made.region.groupBy("image_id").agg(F.count_if("active").alias("n_active"))
-    return region.join(mask, "image_id").join(size, "image_id")
+    """(image_id, region, mask, n_active): PNGs of the images of a batch that have a row of role ``map`` and one of role ``overlay``."""
+    maps, overlays, _ = sides(batch)
+    return clip_images(maps, overlays, config).select("image_id", "region", "mask", F.col("n_region").alias("n_active"))
 
 
-def clip_stream(spark: SparkSession, source: str, target: str, checkpoint: str, config: ClipConfig | None = None) -> StreamingQuery:
-    """Clips each map that a Parquet folder of ``images`` rows with ``role`` brings together with its overlay; a restart goes on where it was.
+def clip_stream(spark: SparkSession, source: str, target: str, checkpoint: str, config: ClipConfig | None = None, waiting: str | None = None) -> StreamingQuery:
+    """Clips each map of a Parquet folder of ``images`` rows with ``role`` as soon as its overlay is there too; a restart goes on where it was.
 
-    A map and its overlay belong to one batch: they are written in one file. Batches are written under their number, so that one that
-    runs again replaces itself.
+    What has no partner yet is kept under ``waiting`` (by default beside ``target``), as it stands after each batch, and joins the next. Batches
+    are written under their number, so that one that runs again replaces itself and starts from what waited before it.
     """
-    rows = spark.readStream.schema(IMAGES + ", role string").option("maxFilesPerTrigger", 64).parquet(source)
+    waiting = waiting or f"{target.rstrip('/')}_waiting"
+    rows = spark.readStream.schema(ARRIVING).option("maxFilesPerTrigger", 64).parquet(source)
+
+    def held(number: int, session: SparkSession) -> DataFrame:
+        try:
+            return session.read.schema(ARRIVING).parquet(f"{waiting}/batch={number}")
+        except AnalysisException:  # the first batch has none before it
+            return session.createDataFrame([], ARRIVING)
 
     def write(batch: DataFrame, number: int) -> None:
-        clip_batch(batch, config).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        known = batch.unionByName(held(number - 1, batch.sparkSession))
+        sides(known)[2].write.mode("overwrite").parquet(f"{waiting}/batch={number}")
+        clip_batch(known, config).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

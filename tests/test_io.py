@@ -53,6 +53,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.run([], spark) == 1 and cli.run(["--help"], spark) == 0 and cli.run(["--map", shown], spark) == 1
     assert cli.run(["--map", shown, "--mask", str(tmp_path / "gone.png")], spark) == 1
     assert cli.run(["--map", shown, "--mask", over, "--snap-distance", "0"], spark) == 1
+    capsys.readouterr()
+    assert cli.run(["--MAP", shown, "--Mask", over, "--output", str(tmp_path / "two.png"), "--mask-out", str(tmp_path / "m.png"), "--snap-distance", "far", "--smooth"], spark) == 0
+    told = capsys.readouterr()
+    assert "far is no number, 40 is taken" in told.err and "no road" in told.err and "region 900" in told.out
+    assert (tmp_path / "two.png").exists() and (tmp_path / "m.png").exists()
+    small = _write(tmp_path / "small.png", np.zeros((20, 30, 3), int))
+    assert cli.run(["--map", shown, "--mask", small], spark) == 1 and "30x30 and 30x20" in capsys.readouterr().err
 
 
 def test_stream(spark, tmp_path):
@@ -66,6 +73,21 @@ def test_stream(spark, tmp_path):
     assert [(r.image_id, r.n_active) for r in got] == [(1, 900)] and got[0].region[:4] == b"\x89PNG"
 
 
+def test_stream_waits_for_the_other_side(spark, tmp_path):
+    """A map and its overlay that come in different batches meet; what has no partner stays in sight."""
+    green = rect(30, 30, (5, 5, 20, 20, (0, 220, 0)), picture=(0, 0, 0))
+    over = lambda i: (i, "o", 30, 30, 3, green[..., ::-1].astype(np.uint8).tobytes(), "overlay")
+    shown = lambda i: (i, "m", 30, 30, 3, bytes(2700), "map")
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for rows in ([shown(1), shown(2), (9, "?", 1, 1, 3, bytes(3), None)], [over(1), shown(3), over(3)], [over(2), over(4)]):
+        spark.createDataFrame(rows, IMAGES + ", role string").coalesce(1).write.mode("append").parquet(source)
+        clip_stream(spark, source, target, checkpoint).awaitTermination()
+    got = spark.read.parquet(target).collect()
+    assert sorted((r.image_id, r.n_active, r.batch) for r in got) == [(1, 900, 1), (2, 900, 2), (3, 900, 1)]
+    waiting = spark.read.parquet(f"{target}_waiting").where("batch = 2").collect()
+    assert [(r.image_id, r.role) for r in waiting] == [(4, "overlay")]
+
+
 def test_wide_frames(spark):
     from tesselle.operators.grid import sizes
 

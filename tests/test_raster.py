@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselle.config import ClipConfig
 from tesselle.functions import color
-from tesselle.operators import gradient, grid, morphology, region, render
+from tesselle.operators import gradient, grid, morphology, planes, region, render
 from tesselle.plans import clip
 
 
@@ -40,8 +40,18 @@ def test_mask_algebra(spark):
     n = lambda m: grid.count_active(m).first().n_active
     assert (n(grid.union(a, b)), n(grid.intersection(a, b)), n(grid.complement(a)), n(grid.difference(a, b))) == (3, 1, 2, 1)
     grid.check_same_size(a, b)
+    other = grid.wrap(spark, 3, 1, [0, 0, 0])
     with pytest.raises(ValueError, match="2x2 and 3x1"):
-        grid.check_same_size(a, grid.wrap(spark, 3, 1, [0, 0, 0]))
+        grid.check_same_size(a, other)
+    for operator in (grid.union, grid.intersection, grid.difference):
+        assert plane(operator(a, b, wide=True)).tolist() == plane(operator(a, b)).tolist()
+        with pytest.raises(Exception, match="sizes differ: 2x2 and 3x1"):
+            operator(a, other).collect()
+        with pytest.raises(Exception, match="sizes differ"):
+            operator(a, other, wide=True).collect()
+        for lone in (a.limit(0), grid.wrap(spark, 2, 2, [0, 0, 0, 0], image_id=5)):
+            with pytest.raises(Exception, match="sizes differ"):
+                operator(a, lone).collect()
 
 
 @pytest.mark.parametrize(
@@ -138,8 +148,8 @@ def test_snap_against_model(spark, seed, wide):
 def test_labels_of_a_snake():
     snake = np.ones((41, 41), bool)
     snake[1::4, :-1] = snake[3::4, 1:] = False
-    assert (region.labels(snake)[snake] == 0).all()
-    assert (region.labels(np.zeros((3, 3), bool)) == -1).all()
+    assert (planes.labels(snake)[snake] == 0).all()
+    assert (planes.labels(np.zeros((3, 3), bool)) == -1).all()
 
 
 def test_renders(spark):
@@ -164,6 +174,34 @@ def test_renders(spark):
 def test_no_exchange_of_pixels(spark, tmp_path):
     """From dealt-out image rows, windows over lines and columns need no further exchange."""
     rows = spark.createDataFrame([(i, 8, 8) for i in range(6)], "image_id long, width int, height int").repartition("image_id")
-    m = morphology.close(grid.cells(rows).withColumn("active", F.col("x") > 3), 2)
-    plan = m._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    for wide in (False, True):
+        m = morphology.close(grid.cells(rows).withColumn("active", F.col("x") > 3), 2, wide=wide)
+        plan = m._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("size", [(1, 1), (2, 5), (13, 19)])
+def test_windows_and_planes_agree(spark, size):
+    """Every operator of an image in a task gives what its windows give, on random pictures and overlays."""
+    rng = np.random.default_rng(size[0])
+    colours = np.array([BG, ORANGE, YELLOW, (0, 220, 0), (250, 250, 250), (20, 180, 80)])
+    shown, over = (pixel_frame(spark, colours[rng.integers(0, 6, size)]) for _ in range(2))
+    mask = frame(spark, rng.random(size) < 0.8)
+    config = ClipConfig(snap_distance=2, seed_erosion_radius=1)
+    pairs = {
+        "dilate": lambda w: morphology.dilate(mask, 1, wide=w),
+        "open": lambda w: morphology.open_(mask, 1, wide=w),
+        "close": lambda w: morphology.close(mask, 2, border="ignore", wide=w),
+        "edges": lambda w: gradient.edges(shown, 1.0, wide=w),
+        "gx": lambda w: gradient.sobel(shown, wide=w).select("image_id", "x", "y", F.struct("gx", "gy").alias("active")),
+        "green": lambda w: clip.extract_green(over, wide=w),
+        "roads": lambda w: clip.detect_roads(shown, config, wide=w),
+        "seed": lambda w: region.adaptive_seed(mask, 8, wide=w),
+        "region": lambda w: clip.clip(shown, over, config, wide=w).region,
+        "clipped": lambda w: clip.clip(shown, over, config, wide=w).clipped.select("image_id", "x", "y", F.struct("a", "r", "g", "b").alias("active")),
+        "rings": lambda w: render.clip_progressive(shown, mask, wide=w).select("image_id", "x", "y", F.struct("a", "r", "g", "b").alias("active")),
+        "preview": lambda w: render.overlay_preview(shown, over, wide=w).select("image_id", "x", "y", F.struct("a", "r", "g", "b").alias("active")),
+    }
+    for name, make in pairs.items():
+        one, other = (sorted((r.x, r.y, str(r.active)) for r in make(w).collect()) for w in (False, True))
+        assert one == other, name
