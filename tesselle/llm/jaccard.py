@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import FOLDED, U, between, grams, mix, passes, prefix, signed, text_bytes, trimmed, words
-from .scratch import bucketed, drop, saved
+from .scratch import bucketed, drop, release, saved
 
 SHINGLE = 4
 PERCENT = 85
@@ -325,10 +325,14 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     signs = texts.select("doc_id", "text").mapInArrow(partial(_signed, size=size, percent=percent), "sig long, sid long")
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = saved(signs.repartition(dealt, "sig").sortWithinPartitions("sig", "sid").mapInArrow(_shared, "sig long, sid long, lead long"), "shared")
+    del signs
+    release(spark)  # the signatures' exchange is by far the largest
     wanted = spark.sparkContext.broadcast(bit_table(shared.select("sid")))
     columns = {"n": "long"} | {f"k{i}": "long" for i in range(SKETCH)} | {"wide": "binary", "elements": "array<long>"}
     found = texts.mapInArrow(partial(_elements, size=size, wanted=wanted), ", ".join(f"{n} {t}" for n, t in ({"sid": "long"} | columns).items()))
     sets = bucketed(found.groupBy("sid").agg(*[F.first(c).alias(c) for c in columns]), "elements", "sid")
+    del found
+    release(spark)
     small = sets.drop("wide", "elements")
 
     def across(roots: DataFrame, nearest: bool) -> DataFrame:
@@ -349,6 +353,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
             final = components(links)
             drop(old)
         drop(more)
+        release(spark)
     for table in (shared, sets, links):
         drop(table)
 

@@ -5,6 +5,7 @@ A written table cuts the lineage: a lost executor costs a re-read, not a recompu
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,9 @@ def drop(df: DataFrame) -> None:
     jvm, path = df.sparkSession._jvm, df._tesselle_path
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of results that are written and no longer referred to; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
