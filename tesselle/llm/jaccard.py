@@ -112,11 +112,12 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         kept = sums if parts == 1 else sums.sum(1, dtype=U, keepdims=True) - sums
         number = np.arange(first * parts, dtype=U) + U((instance + 1) << 40)
         own = mix(mix(kept.ravel()) + mix(number))
-        counts = np.bincount(place, minlength=first * parts).reshape(first, parts)
-        empty = (counts.sum(1, keepdims=True) == counts).ravel() & (1 <= k <= FEW)
-        out.append(own[~empty])
-        if empty.any():
-            out.append(mix(own[empty][:, None] + firsts[None, :]).ravel())
+        if 1 <= k <= FEW:
+            empty = (kept == 0).ravel()  # no elements have the sum 0
+            if empty.any():
+                out.append(mix(own[empty][:, None] + firsts[None, :]).ravel())
+                own = own[~empty]
+        out.append(own)
     return np.concatenate(out)
 
 
@@ -172,6 +173,20 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(list(seen.values())))), pa.array(np.repeat(np.array(list(seen), np.int64), [len(x) for x in seen.values()]))], names=["sig", "sid"])
 
 
+def larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The batches put together to at least so many rows, the last aside; none is empty."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
     """Columns of sorted batches, cut where ``key`` changes: the rows of one key or more."""
     held: list[dict[str, np.ndarray]] = []
@@ -194,9 +209,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (sig, sid): those whose signature several sets have, with the smallest of these. One row is remembered."""
     before: tuple[int, int, int] | None = None  # the last row's signature, set and smallest set
     waiting = False  # whether that row is its signature's only one so far
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in larger(batches):
         sig, sid = batch.column("sig").to_numpy(), batch.column("sid").to_numpy()
         same = np.zeros(len(sig), bool)
         same[1:] = (sig[1:] == sig[:-1]) & (sid[1:] == sid[:-1])
@@ -242,34 +255,30 @@ def _elements(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[
 def _across(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by ``meet``, those of a block of a signature and of another or the same: pairs of sets in different components
     whose sizes and sketches do not rule them out; or of each set of the first block the nearest such set alone."""
-    def groups() -> Iterator[dict[str, np.ndarray]]:
-        for now in runs(batches, "meet"):
-            cuts = np.flatnonzero(now["meet"][1:] != now["meet"][:-1]) + 1
-            for a, b in zip(np.append(0, cuts), np.append(cuts, len(now["meet"])), strict=True):
-                if b - a > 1:
-                    yield {n: v[a:b] for n, v in now.items()}
-
-    for now in groups():
-        if (now["root"] == now["root"][0]).all():
-            continue
-        first = now["block"] == now["block"].min()
-        x, y = (first, first) if first.all() else (first, ~first)
+    for now in runs(larger(batches), "meet"):
+        meet, roots = now["meet"], now["root"]
+        cuts = np.flatnonzero(meet[1:] != meet[:-1]) + 1
+        start, end = np.append(0, cuts), np.append(cuts, len(meet))
+        mixed = np.minimum.reduceat(roots, start) != np.maximum.reduceat(roots, start)
         bits = np.column_stack([now[f"k{i}"] for i in range(SKETCH)]).view(U)
-        n, root, sid = now["n"], now["root"], now["sid"]
-        total = n[x][:, None] + n[y][None, :]
-        apart = np.zeros(total.shape, np.int64)
-        for c in range(SKETCH):
-            apart += np.bitwise_count(bits[x, c][:, None] ^ bits[y, c][None, :])
-        ok = (root[x][:, None] != root[y][None, :]) & (apart * (100 + percent) <= total * (100 - percent))
-        ok &= np.minimum(n[x][:, None], n[y][None, :]) * 100 >= np.maximum(n[x][:, None], n[y][None, :]) * percent
-        if nearest:
-            left = np.flatnonzero(ok.any(1))
-            right = np.where(ok[left], apart[left], 1 << 40).argmin(1)
-        else:
-            left, right = np.nonzero(np.triu(ok, 1) if first.all() else ok)
-        if len(left):
-            p, q = sid[x][left], sid[y][right]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(apart[left, right])], names=["a", "b", "apart"])
+        for a, b in zip(start[mixed].tolist(), end[mixed].tolist(), strict=True):
+            n, root, sid, block, own = now["n"][a:b], roots[a:b], now["sid"][a:b], now["block"][a:b], bits[a:b]
+            first = block == block.min()
+            x, y = (first, first) if first.all() else (first, ~first)
+            total = n[x][:, None] + n[y][None, :]
+            apart = np.zeros(total.shape, np.int64)
+            for c in range(SKETCH):
+                apart += np.bitwise_count(own[x, c][:, None] ^ own[y, c][None, :])
+            ok = (root[x][:, None] != root[y][None, :]) & (apart * (100 + percent) <= total * (100 - percent))
+            ok &= np.minimum(n[x][:, None], n[y][None, :]) * 100 >= np.maximum(n[x][:, None], n[y][None, :]) * percent
+            if nearest:
+                left = np.flatnonzero(ok.any(1))
+                right = np.where(ok[left], apart[left], 1 << 40).argmin(1)
+            else:
+                left, right = np.nonzero(np.triu(ok, 1) if first.all() else ok)
+            if len(left):
+                p, q = sid[x][left], sid[y][right]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(apart[left, right])], names=["a", "b", "apart"])
 
 
 def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
