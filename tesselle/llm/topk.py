@@ -6,8 +6,8 @@ for the first time is scored whole. No row that is still unread can score more t
 stands, each times the query's, so reading stops when that bound cannot beat the k-th best score so far.
 
 The query set meets the blocks as blocks: neither grows with the other, and only a query's best of a block leave it. A query goes
-to a block only where the largest and smallest component of each dimension let it reach a score that k rows of a bounded sample do; the
-vectors of the two meet after that. Where the sample would be the whole table there is none.
+to a block only where the largest and smallest component of each dimension let it reach a score that k rows of a bounded sample, an eighth
+of the table at most, do; the vectors of the two meet after that.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ EVERY = 20
 K = 20
 #: Rows of a data block and of a query block.
 BLOCK, QUERIES = 8192, 256
-#: Rows of the sample that gives first bounds, and those of them that the directions are fitted on.
-SAMPLE, FITTED, DIRECTIONS = 16384, 2048, 32
+#: Rows of the sample that gives first bounds, at most and for how many rows of the table one, and those that the directions are fitted on.
+SAMPLE, ONE_IN, FITTED, DIRECTIONS = 16384, 8, 2048, 32
 #: Query blocks, and edges of data blocks, that one task compares at once.
 QUERY_PAGE, EDGE_PAGE = 32, 1024
 #: Places of each list that are read at first; every time as many more as have been read.
@@ -196,7 +196,7 @@ class Lists:
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         weights = query[np.concatenate([up, down])][None, :]
         n, depth, seen = len(self.ids), 0, self.ids == own
-        ids, scores = self.ids[:0], np.zeros(0, np.int64)
+        new, ids, scores = np.zeros(n, bool), self.ids[:0], np.zeros(0, np.int64)
         if not weights.size and low <= 0:  # all rows score 0 and no list tells them apart
             places = np.flatnonzero(~seen)
             top = best(self.ids[places], np.zeros(len(places), np.int64), k)
@@ -205,7 +205,9 @@ class Lists:
             upto = min(n, max(STEP, 2 * depth))
             places = np.concatenate([self.falling[up, depth:upto].ravel(), self.rising[down, depth:upto].ravel()])
             self.reads += len(places)
-            places = np.unique(places[~seen[places]])
+            new[:] = False
+            new[places] = True
+            places = np.flatnonzero(new & ~seen)
             seen[places] = True
             score = products(query[None, :], self.matrix[places])[0] if len(places) else np.zeros(0, np.int64)
             keep = score >= low
@@ -269,7 +271,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     matrix = stacked(found, dims)
     near = saved(rows.mapInArrow(partial(_rows, scale=scale, centres=_centres(matrix[:FITTED])), "near long, vec_id long, vector binary"), "vectors")
     n = near.count()
-    sample = spark.sparkContext.broadcast((ids, matrix)) if n > SAMPLE else None
+    some = min(len(ids), n // ONE_IN)
+    sample = spark.sparkContext.broadcast((ids[:some], matrix[:some])) if some >= k else None
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     make = lambda df, size, parts: df.repartitionByRange(max(1, min(tasks, parts)), "near", "vec_id").sortWithinPartitions("near", "vec_id").select("vec_id", "vector").mapInArrow(partial(_blocks, size=size, dims=dims), BLOCKS)
     data = saved(make(near, BLOCK, n // BLOCK + 1).mapInArrow(_with_edges, f"{BLOCKS}, edges binary"), "blocks")

@@ -172,7 +172,7 @@ def test_top_k_with_a_sample_and_many_blocks(spark, monkeypatch):
     rng = np.random.default_rng(7)
     centre = rng.normal(0, 1, (6, 10))
     m = (centre[rng.integers(0, 6, 900)] + rng.normal(0, 0.15, (900, 10))).astype(np.float32)
-    for name, value in (("BLOCK", 60), ("QUERIES", 7), ("SAMPLE", 200), ("QUERY_PAGE", 2), ("EDGE_PAGE", 4)):
+    for name, value in (("BLOCK", 60), ("QUERIES", 7), ("QUERY_PAGE", 2), ("EDGE_PAGE", 4)):
         monkeypatch.setattr(topk, name, value)
     counted = tuple(spark.sparkContext.accumulator(0) for _ in range(3))
     table = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<float>").repartition(3)
