@@ -1,203 +1,505 @@
-"""Suffix sorting by induction, with queues on disk.
+"""External suffix sorting by induction, with common prefixes.
 
-Suffixes are sorted by sorting the leftmost of each falling-to-rising turn (the LMS suffixes) and inducing the order of the
-others from them, a bucket of equal first symbols at a time: rising for the falling suffixes, falling for the rising ones.
-What a bucket induces waits in a queue that is ordered by first symbol and, within one, by arrival; beyond a bound
-the queue keeps its tuples on disk. LMS suffixes are sorted by naming their substrings and sorting the string of names in
-the same way, for as long as a bucket has enough suffixes for a vectorised pass; smaller alphabets' buckets end that, and the
-names' suffixes are then sorted by doubling ranks.
+The suffixes at the leftmost places of falling-to-rising turns (LMS) are sorted first, all others are induced from them: the falling ones in a
+sweep over symbols upwards, the rising ones in a sweep downwards. What a suffix induces, the suffix one place before it, waits in a
+queue ordered by symbol and then by arrival. The same two sweeps, begun from LMS places in no order, sort and name the pieces between LMS
+places; the string of names is sorted by recursion until no name repeats.
 
-Only the queue is external: the text's types, names, ranks and order are arrays in memory, some 63 bytes for each byte of a text of 16 MB.
+Tuples of the queue carry what they have in common with the tuple before them of the same symbol: while names are made, whether their
+pieces are equal so far; in the last sweeps, the length of the common prefix, up to a bound. That is one more than the least common
+prefix among the suffixes between the two that induced them. Only those of the LMS suffixes are found by comparing text.
+
+Text, places, names, orders and the queue are files that are read and written in blocks; ``memory`` bounds what is held of them, whatever
+the length of the text.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 
-from .hashing import U, mix, powers
-
-#: Bytes of waiting tuples that stay in memory.
+#: Bytes that may be held in memory.
 MEMORY = 64 << 20
-#: Suffixes a symbol must have on average for induction.
-DENSE = 128
+#: Symbols up to which each has a queue of its own, in texts of so many times as many suffixes; else symbols share queues, up to so many.
+SINGLE, LONG, SHARED = 512, 64, 1024
+#: Suffixes that a shared queue is meant for.
+TOGETHER = 5000
+#: Bytes of memory for a record of a block.
+PER_RECORD = 256
+
+
+class Block(NamedTuple):
+    """Suffixes in order; of each, what it carries, and whether it was induced in this sweep."""
+
+    suffix: np.ndarray
+    carry: np.ndarray
+    induced: np.ndarray
+
+
+class Files:
+    """Arrays on disk in a folder of their own."""
+
+    def __init__(self, memory: int):
+        self.folder, self.count, self.memory = tempfile.mkdtemp(prefix="tesselle-"), 0, memory
+        self.block = max(512, memory // PER_RECORD)
+
+    def path(self) -> str:
+        self.count += 1
+        return os.path.join(self.folder, str(self.count))
+
+    def array(self, size: int, dtype: type) -> np.ndarray:
+        """An array of zeros."""
+        return np.memmap(self.path(), dtype, "w+", shape=(size,)).view(np.ndarray) if size else np.zeros(0, dtype)
+
+    def written(self, parts: Iterator[np.ndarray], dtype: type) -> np.ndarray:
+        """The parts one after another, each an array of records of one length."""
+        path, width = self.path(), 1
+        with open(path, "wb") as f:
+            for part in parts:
+                width = part.shape[1] if part.ndim > 1 else 1
+                f.write(np.ascontiguousarray(part, dtype).tobytes())
+        if not os.path.getsize(path):
+            return np.zeros((0, width) if width > 1 else 0, dtype)
+        out = np.memmap(path, dtype, "r").view(np.ndarray)
+        return out.reshape(-1, width) if width > 1 else out
+
+    def close(self) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
 
 
 class Waiting:
-    """A monotone priority queue of suffixes: by symbol, then by arrival; on disk beyond ``memory`` bytes."""
+    """A monotone priority queue of (symbol, suffix, carry): by symbol, then by arrival; on disk beyond ``memory`` bytes.
+
+    Few symbols of a long text each have a queue of their own, which is read in blocks; others share queues, which are read whole.
+    """
+
+    def __init__(self, files: Files, symbols: int, n: int):
+        self.files, self.width = files, 1 if symbols <= SINGLE and n > LONG * symbols else -(-symbols // min(SHARED, max(8, n // TOGETHER)))
+        self.parts: list[list[np.ndarray]] = [[] for _ in range(-(-symbols // self.width))]
+        self.paths: dict[int, list] = {}  # queue: path, and how many bytes of it are read
+        self.new: list[np.ndarray] = []  # pushed and not dealt to queues yet
+        self.later: list[np.ndarray] = []  # as these, and not for the queue that is being read
+        self.held, self.limit = 0, files.memory // 4
+        self.at = -1  # the queue that is being read
 
-    def __init__(self, symbols: int, dtype: np.dtype, memory: int = MEMORY):
-        self.lists: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-        self.dtype, self.memory, self.held = dtype, memory, 0
-        self.folder: tempfile.TemporaryDirectory | None = None
-        self.spilled: set[int] = set()
+    def push(self, records: np.ndarray) -> None:
+        """Adds rows of (symbol, suffix, carry), each to the end of its queue."""
+        if len(records):
+            self.new.append(records)
+            self.held += records.nbytes
+            if self.held > self.limit:
+                self.new = self.later + self.new
+                self.later = []
+                self._deal()
+                self._spill()
 
-    def push(self, symbols: np.ndarray, suffixes: np.ndarray) -> None:
-        """Adds suffixes, in order, each to its symbol's end."""
-        if not len(suffixes):
+    def _deal(self) -> None:
+        if not self.new:
             return
-        order = np.argsort(symbols, kind="stable")
-        symbols, suffixes = symbols[order], suffixes[order]
-        cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-        for part, first in zip(np.split(suffixes, cuts), symbols[np.concatenate(([0], cuts))].tolist(), strict=True):
-            self.lists[first].append(part)
-        self.held += suffixes.nbytes
-        if self.held > self.memory:
-            self._spill()
+        records = np.concatenate(self.new)
+        queue = records[:, 0] // self.width
+        order = np.argsort(queue, kind="stable")
+        records, queue, self.new = records[order], queue[order], []
+        cuts = np.flatnonzero(queue[1:] != queue[:-1]) + 1
+        for part, q in zip(np.split(records, cuts), queue[np.append(0, cuts)].tolist(), strict=True):
+            self.parts[q].append(part)
 
     def _spill(self) -> None:
-        if self.folder is None:
-            self.folder = tempfile.TemporaryDirectory(prefix="tesselle-")
-        for symbol, parts in enumerate(self.lists):
+        for q, parts in enumerate(self.parts):
             if parts:
-                with open(os.path.join(self.folder.name, str(symbol)), "ab") as f:
-                    for p in parts:
-                        f.write(p.tobytes())
-                self.spilled.add(symbol)
-                self.lists[symbol] = []
+                known = self.paths.setdefault(q, [self.files.path(), 0])
+                with open(known[0], "ab") as f:
+                    for part in parts:
+                        f.write(part.tobytes())
+                self.parts[q] = []
         self.held = 0
 
-    def pop(self, symbol: int) -> np.ndarray:
-        """All suffixes that wait at a symbol, in order."""
-        parts, self.lists[symbol] = self.lists[symbol], []
-        self.held -= sum(p.nbytes for p in parts)
-        if symbol in self.spilled:
-            self.spilled.discard(symbol)
-            path = os.path.join(self.folder.name, str(symbol))
-            parts.insert(0, np.fromfile(path, self.dtype))
-            os.remove(path)
-        return np.concatenate(parts) if parts else np.zeros(0, self.dtype)
+    def pop(self, queue: int, most: int | None = None) -> np.ndarray:
+        """The first records of a queue, at most ``most`` or all. Queues are read one after another."""
+        if queue != self.at or most is not None:
+            self.new = self.later + self.new
+            self.later = []
+            self._deal()
+        elif self.new:  # of what has come since, only this queue's part is looked for
+            for records in self.new:
+                own = records[:, 0] < (queue + 1) * self.width
+                if own.any():
+                    self.parts[queue].append(records[own])
+                    records = records[~own]
+                if len(records):
+                    self.later.append(records)
+            self.new = []
+        self.at = queue
+        out = []
+        left = most if most is not None else 1 << 60
+        if queue in self.paths:
+            path, at = self.paths[queue]
+            found = np.fromfile(path, np.int64, 3 * left if most is not None else -1, offset=at).reshape(-1, 3)
+            if at + found.nbytes >= os.path.getsize(path):
+                del self.paths[queue]
+                os.remove(path)
+            else:
+                self.paths[queue][1] = at + found.nbytes
+            out.append(found)
+            left -= len(found)
+        while left and queue not in self.paths and self.parts[queue]:
+            part = self.parts[queue].pop(0)
+            if len(part) > left:
+                self.parts[queue].insert(0, part[left:])
+                part = part[:left]
+            self.held -= part.nbytes
+            out.append(part)
+            left -= len(part)
+        return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
-    def close(self) -> None:
-        if self.folder is not None:
-            self.folder.cleanup()
-
-
-def rising(text: np.ndarray) -> np.ndarray:
-    """Which suffixes are less than the one that follows them; the end is less than any symbol."""
-    step = np.empty(len(text), np.int8)
-    step[:-1] = np.where(text[1:] > text[:-1], 1, np.where(text[1:] < text[:-1], -1, 0))
-    step[-1] = -1
-    turns = np.flatnonzero(step)
-    return np.repeat(step[turns] > 0, np.diff(turns, prepend=-1))
-
-
-def doubled(text: np.ndarray) -> np.ndarray:
-    """Suffix order by doubling ranks; only suffixes that still tie take part in a round."""
-    n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    fresh = np.concatenate(([True], text[order[1:]] != text[order[:-1]]))
-    rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    size, places = 1, np.arange(n)
-    while True:
-        own = rank[order[places]]
-        first = np.concatenate(([True], own[1:] != own[:-1]))
-        alone = first & np.concatenate((first[1:], [True]))
-        places = places[~alone]
-        if not len(places) or size > n:
-            return order
-        own, suffix = own[~alone], order[places]
-        after = rank[np.minimum(suffix + size, n)]
-        by = np.lexsort((after, own))
-        suffix, own, after = suffix[by], own[by], after[by]
-        order[places] = suffix
-        fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (after[1:] != after[:-1])))
-        rank[suffix] = places[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        size *= 2
-
-
-def named(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The rank of each LMS substring (through the next LMS symbol, the last through the end) and how many differ."""
-    ends = np.append(starts[1:] + 1, len(text))
-    with np.errstate(over="ignore"):
-        up, down = powers(len(text))
-        sums = np.zeros(len(text) + 1, U)
-        np.cumsum(mix(text.astype(U) + U(1)) * up[: len(text)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
-    hashes[-1] = mix(hashes[-1:] + U(1))[0]
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    at, size = starts[first], (ends - starts)[first]
-    # the end of the text is less than any symbol; the end of another substring, rising, is more than a falling one
-    beyond = np.where(first == len(starts) - 1, -1, int(text.max()) + 1)
-    rank = np.zeros(len(first), np.int64)
-    active, depth = np.arange(len(first)), 0
-    while len(active):
-        inside = depth < size[active]
-        symbol = np.where(inside, text[np.where(inside, at[active] + depth, 0)].astype(np.int64), beyond[active])
-        by = np.lexsort((symbol, rank[active]))
-        active, symbol = active[by], symbol[by]
-        own = rank[active]
-        group = np.concatenate(([True], own[1:] != own[:-1]))
-        fresh = group | np.concatenate(([True], symbol[1:] != symbol[:-1]))
-        inner = np.arange(len(active))
-        rank[active] = own + inner[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] - inner[np.flatnonzero(group)[np.cumsum(group) - 1]]
-        active = active[~(fresh & np.concatenate((fresh[1:], [True])))]
-        depth += 1
-    return rank[which], len(first)
+
+def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of values[low .. high] for each pair, from a table of the least of each power of two in a row."""
+    out = np.empty(len(low), values.dtype)
+    level = np.frexp(high - low + 1)[1] - 1
+    table = values
+    most = int(level.max(initial=-1))
+    for k in range(most + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
+        if k < most:
+            table = np.minimum(table[: -(1 << k)], table[1 << k :])
+    return out
+
+
+class Sweep:
+    """One sweep over symbols. Upwards (``sign`` 1) it takes LMS suffixes and induces falling ones, downwards (-1) falling ones and induces rising ones.
+
+    ``carries`` is "" (nothing), "equal" (numbers that differ where pieces do) or "common" (common prefixes of up to ``length``).
+    """
+
+    def __init__(self, files: Files, text: np.ndarray, symbols: int, sign: int, carries: str = "", length: int = 0):
+        self.files, self.text, self.symbols, self.sign, self.carries, self.length = files, text, symbols, sign, carries, length
+        self.queue = Waiting(files, symbols, len(text))
+        self.last: tuple[int, int, int] | None = None  # symbol, kind and carry of the suffix before, for numbers
+        self.number = -1
+        self.before: tuple[int, int, bool] | None = None  # suffix, symbol and kind of the suffix before, for common prefixes
+        self.since = np.full(symbols if carries == "common" else 0, length, np.int64)  # least common prefix since a symbol's last push
+        self.pushed = np.zeros(len(self.since), bool)
+
+    def of(self, suffix: np.ndarray) -> np.ndarray:
+        symbol = self.text[suffix].astype(np.int64)
+        return symbol if self.sign > 0 else self.symbols - 1 - symbol
+
+    def _run(self, suffix: int) -> int:
+        """How often the suffix begins with its first symbol, up to ``length``."""
+        window = self.text[suffix : suffix + self.length]
+        other = np.flatnonzero(window != window[0])
+        return int(other[0]) if len(other) else len(window)
+
+    def run(self, records: np.ndarray) -> Block:
+        """As :meth:`take`, for induced suffixes of one symbol that are all there is of it: those that they induce at that symbol itself, again and
+        again, follow them wave by wave, each wave in the order of the one before."""
+        most, symbol = 4 * self.files.block + len(records), int(records[0, 0])
+        waves, place = [records[:, 1]], [np.arange(len(records))]
+        total, whole = len(records), False
+        while not whole and total <= most:
+            on = waves[-1] > 0
+            on[on] = self.of(waves[-1][on] - 1) == symbol
+            whole = not on.any()
+            if not whole:
+                waves.append(waves[-1][on] - 1)
+                place.append(place[-1][on])
+                total += len(place[-1])
+        if len(waves) == 1 and whole:
+            return self.take(records[:, 1], records[:, 0], records[:, 2], np.ones(len(records), bool))
+        wave = np.repeat(np.arange(len(waves)), [len(w) for w in waves])
+        suffix, place = np.concatenate(waves), np.concatenate(place)
+        carry = records[:, 2][place]
+        if self.carries == "common":
+            later = np.flatnonzero((wave[1:] > 0) & (wave[1:] == wave[:-1])) + 1
+            carry[later] = np.minimum(_least(records[:, 2], place[later - 1] + 1, place[later]) + wave[later], self.length)
+            for k in (np.flatnonzero(wave[1:] != wave[:-1]) + 1).tolist():  # one more of the symbol than all of the wave before have
+                carry[k] = self._run(int(suffix[k - 1]))
+        return self.take(suffix, np.full(total, symbol), carry, np.ones(total, bool), wave, not whole)
+
+    def take(self, suffix: np.ndarray, symbol: np.ndarray, carry: np.ndarray, induced: np.ndarray, wave: np.ndarray | None = None, more: bool = True) -> Block:
+        """Goes through sources in order: what each carries from now on, and the push of what they induce. Of waves, none but the last
+        (and that if there is ``more``) has its symbol's own suffixes to push."""
+        if self.carries == "equal":
+            now = np.stack([symbol, induced, carry] if wave is None else [symbol, induced, carry, wave])
+            first = np.ones(len(suffix), bool)
+            first[1:] = (now[:, 1:] != now[:, :-1]).any(0)
+            first[0] = self.last is None or self.last != tuple(now[:3, 0].tolist())
+            self.last = tuple(now[:3, -1].tolist()) if wave is None or not wave[-1] else None
+            carry = self.number + np.cumsum(first)
+            self.number = int(carry[-1])
+        elif self.carries == "common":
+            other = np.append(self.before[1] if self.before else -1, symbol[:-1]) != symbol
+            turn = ~other & (np.append(self.before[2] if self.before else False, induced[:-1]) != induced)
+            carry = np.where(other, 0, carry)
+            for k in np.flatnonzero(turn).tolist():  # a falling and a rising suffix have their first symbol's run in common, no more
+                carry[k] = min(self._run(int(suffix[k])), self._run(int(suffix[k - 1]) if k else self.before[0]), self.length)
+            self.before = (int(suffix[-1]), int(symbol[-1]), bool(induced[-1]))
+        at = np.flatnonzero(suffix > 0)
+        earlier = suffix[at] - 1
+        to = self.of(earlier)
+        ok = (to > symbol[at]) | ((to == symbol[at]) & induced[at])
+        at, earlier, to = at[ok], earlier[ok], to[ok]
+        if self.carries == "equal":
+            given = carry[at]
+        elif self.carries == "common":
+            given = self._given(carry, at, to)
+        else:
+            given = np.zeros(len(at), np.int64)
+        pushed = np.stack([to, earlier, given], 1)
+        if wave is not None:
+            pushed = pushed[(to != symbol[at]) | (more & (wave[at] == wave[-1]))]
+        self.queue.push(pushed)
+        return Block(suffix, carry, induced)
+
+    def _given(self, gap: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """The common prefix of each induced suffix with the one induced before it at the same symbol."""
+        out = np.zeros(len(at), np.int64)
+        order = np.argsort(to, kind="stable")
+        k, q = at[order], to[order]
+        head = np.ones(len(k), bool)
+        head[1:] = q[1:] != q[:-1]
+        if len(k):
+            upto = np.minimum.accumulate(gap)
+            found = np.zeros(len(k), np.int64)
+            found[head] = np.where(self.pushed[q[head]], np.minimum(self.since[q[head]], upto[k[head]]) + 1, 0)
+            inner = np.flatnonzero(~head)
+            found[inner] = _least(gap, k[inner - 1] + 1, k[inner]) + 1
+            out[order] = np.minimum(found, self.length)
+        rest = np.append(np.minimum.accumulate(gap[::-1])[::-1], self.length)
+        self.since = np.minimum(self.since, rest[0])
+        tail = np.append(head[1:], True)[: len(head)]
+        self.since[q[tail]] = rest[k[tail] + 1]
+        self.pushed[q[tail]] = True
+        return out
+
+    def blocks(self, feed: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[Block]:
+        """All suffixes of the sweep in order; ``feed`` gives blocks of (suffix, carry), in order of their symbols."""
+        feed = _Feed(feed, self)
+        for queue in range(len(self.queue.parts)):
+            if self.queue.width == 1:
+                alone = True
+                while len(now := self.queue.pop(queue, self.files.block)):
+                    alone = alone and len(now) < self.files.block
+                    yield self.run(now) if alone else self.take(now[:, 1], now[:, 0], now[:, 2], np.ones(len(now), bool))
+                while (fed := feed.below(queue + 1, self.files.block)) is not None:
+                    yield self.take(fed[:, 1], fed[:, 0], fed[:, 2], np.zeros(len(fed), bool))
+            else:
+                yield from self._shared(queue, feed)
+
+    def _shared(self, queue: int, feed: _Feed) -> Iterator[Block]:
+        """A queue of several symbols: all of those up to the first symbol that they induce themselves are gone through at once."""
+        end = (queue + 1) * self.queue.width
+        fed = [np.zeros((0, 3), np.int64)]
+        while (more := feed.below(end, None)) is not None:
+            fed.append(more)
+        rows = np.concatenate(fed)
+        induced, to = np.zeros(len(rows), bool), self._to(rows, False)
+        while True:
+            new = self.queue.pop(queue)
+            if len(new):  # after what is induced of the same symbol, before what is fed
+                new = new[np.argsort(new[:, 0], kind="stable")]
+                at = np.searchsorted(rows[:, 0] * 2 + ~induced, new[:, 0] * 2, "right") + np.arange(len(new))
+                old = np.ones(len(rows) + len(new), bool)
+                old[at] = False
+                for now, (known, added) in enumerate(((rows, new), (to, self._to(new, True)), (induced, True))):
+                    both = np.empty((len(old), *known.shape[1:]), known.dtype)
+                    both[old], both[at] = known, added
+                    rows, to, induced = (both, to, induced) if now == 0 else (rows, both, induced) if now == 1 else (rows, to, both)
+            if not len(rows):
+                return
+            symbol = rows[:, 0]
+            clash = symbol >= np.minimum.accumulate(to)
+            upto = int(clash.argmax()) if clash.any() else len(rows)  # from here on a symbol is one that was induced before
+            if 0 < upto < len(rows):
+                upto = int(np.searchsorted(symbol, symbol[upto]))  # all of a symbol or none
+            if upto:
+                yield self.take(rows[:upto, 1], symbol[:upto], rows[:upto, 2], induced[:upto])
+            else:  # the least symbol's own suffixes induce more of it, which come before those that are fed
+                upto = int(np.searchsorted(symbol * 2 + ~induced, symbol[0] * 2, "right"))
+                if upto:
+                    yield self.run(rows[:upto])
+                else:
+                    upto = int(np.searchsorted(symbol, symbol[0], "right"))
+                    yield self.take(rows[:upto, 1], symbol[:upto], rows[:upto, 2], induced[:upto])
+            rows, to, induced = rows[upto:], to[upto:], induced[upto:]
+
+    def _to(self, rows: np.ndarray, induced: bool) -> np.ndarray:
+        """The symbol that each induces a suffix at, or more than any."""
+        earlier = rows[:, 1] - 1
+        to = self.of(np.maximum(earlier, 0))
+        to[(earlier < 0) | ((to < rows[:, 0]) if induced else (to <= rows[:, 0]))] = self.symbols
+        return to
+
+
+class _Feed:
+    """Blocks of (suffix, carry) as records, up to a symbol."""
+
+    def __init__(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]], sweep: Sweep):
+        self.blocks, self.sweep, self.ready = blocks, sweep, np.zeros((0, 3), np.int64)
+
+    def below(self, end: int, most: int | None) -> np.ndarray | None:
+        if not len(self.ready):
+            for suffix, carry in self.blocks:
+                if len(suffix):
+                    self.ready = np.stack([self.sweep.of(suffix), suffix.astype(np.int64), carry.astype(np.int64)], 1)
+                    break
+            else:
+                return None
+        cut = int(np.searchsorted(self.ready[:, 0], end))
+        cut = cut if most is None else min(cut, most)
+        out, self.ready = self.ready[:cut], self.ready[cut:]
+        return out if cut else None
+
+
+def turns(files: Files, text: np.ndarray) -> np.ndarray:
+    """The LMS places, in rising order: rising suffixes with a falling one before them."""
+
+    def parts() -> Iterator[np.ndarray]:
+        rising_after, end = False, len(text)  # the last suffix falls, to the end of the text
+        while end > 0:
+            start = max(0, end - files.block)
+            part = text[start : min(end + 1, len(text))].astype(np.int64)
+            step = np.sign(part[1:] - part[:-1])
+            if end == len(text):
+                step = np.append(step, -1)
+            step[-1] = step[-1] or (1 if rising_after else -1)
+            known = np.flatnonzero(step)
+            rising = np.repeat(step[known] > 0, np.diff(known, prepend=-1))
+            found = start + 1 + np.flatnonzero(np.append(rising[1:], rising_after) & ~rising)
+            rising_after = bool(rising[0])
+            yield found[found < len(text)][::-1].astype(np.int64)
+            end = start
+
+    return files.written(parts(), np.int64)[::-1]
+
+
+def _blocks_of(array: np.ndarray, block: int, backwards: bool = False) -> Iterator[np.ndarray]:
+    starts = range(0, len(array), block)
+    for at in reversed(starts) if backwards else starts:
+        part = np.asarray(array[at : at + block])
+        yield part[::-1] if backwards else part
+
+
+def _by_symbol(files: Files, text: np.ndarray, places: np.ndarray, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in order of their symbols alone."""
+    queue = Waiting(files, symbols, len(text))
+    for part in _blocks_of(places, files.block):
+        queue.push(np.stack([text[part].astype(np.int64), part, np.zeros(len(part), np.int64)], 1))
+    for q in range(len(queue.parts)):
+        while len(now := queue.pop(q, files.block if queue.width == 1 else None)):
+            now = now[np.argsort(now[:, 0], kind="stable")]
+            yield now[:, 1], now[:, 2]
+
+
+def _falling(files: Files, sweep: Sweep, feed: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The upward sweep: falling suffixes in order, with what they carry."""
+    n = len(sweep.text)
+    sweep.queue.push(np.array([[int(sweep.text[n - 1]), n - 1, -1 if sweep.carries == "equal" else 0]], np.int64))
+    if sweep.carries == "common":
+        sweep.pushed[int(sweep.text[n - 1])] = True
+        sweep.since[int(sweep.text[n - 1])] = 0
+    return files.written((np.stack([b.suffix[b.induced], b.carry[b.induced]], 1) for b in sweep.blocks(feed)), np.int64)
+
+
+def _downwards(falling: np.ndarray, block: int, shift: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Falling suffixes backwards; a common prefix then belongs to the smaller of the two that have it."""
+    after = 0
+    for part in _blocks_of(falling, block, backwards=True):
+        suffix, carry = part[:, 0], part[:, 1]
+        if shift:
+            carry = np.append(after, carry[:-1])
+            after = int(part[-1, 1])
+        yield suffix, carry
+
+
+def _common(files: Files, text: np.ndarray, seeds: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted suffixes with the common prefix of each with the one before, found in the text."""
+    before = -1
+    for part in _blocks_of(seeds, files.block):
+        a = np.append(before, part[:-1])
+        out, alike, depth = np.zeros(len(part), np.int64), np.flatnonzero(a >= 0), 0
+        while len(alike) and depth < length:
+            x, y = a[alike] + depth, part[alike] + depth
+            inside = np.maximum(x, y) < len(text)
+            alike = alike[inside]
+            alike = alike[text[x[inside]] == text[y[inside]]]
+            depth += 1
+            out[alike] = depth
+        before = int(part[-1])
+        yield part, out
+
+
+def sorted_seeds(files: Files, text: np.ndarray, symbols: int) -> np.ndarray:
+    """The LMS places of the text in order of their suffixes."""
+    places = turns(files, text)
+    if len(places) < 2:
+        return places
+    up = Sweep(files, text, symbols, 1, "equal")
+    falling = _falling(files, up, _by_symbol(files, text, places, symbols))
+    # of the downward sweep, LMS places with their pieces' numbers; an LMS place is at least two after the one before
+    names = files.array(len(text) // 2 + 1, np.int64)
+    down = Sweep(files, text, symbols, -1, "equal")
+
+    def named() -> Iterator[np.ndarray]:
+        number, last = 0, None
+        for b in down.blocks(_downwards(falling, files.block, False)):
+            suffix, carry = b.suffix[b.induced], b.carry[b.induced]
+            some = suffix > 0
+            suffix, carry = suffix[some], carry[some]
+            turn = text[suffix - 1] > text[suffix]
+            suffix, carry = suffix[turn], carry[turn]
+            if not len(suffix):
+                continue
+            fresh = np.append(last is not None and carry[0] != last, carry[1:] != carry[:-1])
+            number_of = number + np.cumsum(fresh)
+            number, last = int(number_of[-1]), int(carry[-1])
+            names[suffix // 2] = number_of + 1
+            yield suffix
+        nonlocal different
+        different = number + 1
+
+    different = 0
+    backwards = files.written(named(), np.int64)
+    if different == len(places):
+        return backwards[::-1]
+    # numbers rise downwards: the names of the string rise upwards
+    string = files.written((different - part[part > 0] for part in _blocks_of(names, files.block)), np.int64)
+    seeds = sorted_seeds(files, string, different)
+    order = sorted_all(files, string, different, seeds)
+    return files.written((places[part] for part in order), np.int64)
+
+
+def sorted_all(files: Files, text: np.ndarray, symbols: int, seeds: np.ndarray) -> Iterator[np.ndarray]:
+    """All suffixes in order, from the sorted LMS places."""
+    falling = _falling(files, Sweep(files, text, symbols, 1), ((part, np.zeros(len(part), np.int64)) for part in _blocks_of(seeds, files.block)))
+    down = files.written((b.suffix for b in Sweep(files, text, symbols, -1).blocks(_downwards(falling, files.block, False))), np.int64)
+    return _blocks_of(down, files.block, backwards=True)
+
+
+def suffixes(text: np.ndarray, length: int, files: Files) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of suffixes of a text of bytes, from the greatest down, with the common prefix of each with the one before, up to ``length``."""
+    if not len(text):
+        return
+    seeds = sorted_seeds(files, text, 256)
+    falling = _falling(files, Sweep(files, text, 256, 1, "common", length), _common(files, text, seeds, length))
+    for b in Sweep(files, text, 256, -1, "common", length).blocks(_downwards(falling, files.block, True)):
+        yield b.suffix, b.carry
 
 
 def suffix_order(text: np.ndarray, memory: int = MEMORY) -> np.ndarray:
     """The suffixes of ``text``, non-negative integers, in order; the end of the text is less than any symbol."""
-    n = len(text)
-    if n < 2:
-        return np.arange(n)
-    symbols = int(text.max()) + 1
-    if n < 64 or symbols * DENSE > n and symbols > 1024:
-        return doubled(text)
-    place = np.int32 if n < 2**31 - 1 else np.int64
-    up = rising(text)
-    lms = (np.flatnonzero(up[1:] & ~up[:-1]) + 1).astype(place)
-    seeds = lms
-    if len(lms) > 1:
-        ranks, different = named(text, lms)
-        if different == len(lms):
-            seeds = lms[np.argsort(ranks)]
-        else:
-            _, ranks = np.unique(ranks, return_inverse=True)
-            seeds = lms[suffix_order(ranks, memory)]
-    return _induced(text, up, seeds, symbols, place, memory)
-
-
-def _induced(text: np.ndarray, up: np.ndarray, seeds: np.ndarray, symbols: int, place: type, memory: int) -> np.ndarray:
-    n = len(text)
-    size = np.bincount(text, minlength=symbols)
-    end = np.cumsum(size)
-    seed_end = np.searchsorted(text[seeds], np.arange(symbols), "right")
-    out = np.empty(n, place)
-    falling = np.zeros(symbols, np.int64)
-
-    def before(suffixes: np.ndarray, want: bool) -> tuple[np.ndarray, np.ndarray]:
-        found = suffixes[suffixes > 0] - 1
-        found = found[up[found] == want]
-        return text[found], found
-
-    queue = Waiting(symbols, np.dtype(place), memory)
-    queue.push(text[n - 1 : n], np.array([n - 1], place))
-    for s in np.flatnonzero(size).tolist():
-        at = end[s] - size[s]
-        now = queue.pop(s)
-        while len(now):  # a run of the symbol is induced into its own bucket
-            out[at + falling[s] : at + falling[s] + len(now)] = now
-            falling[s] += len(now)
-            first, found = before(now, False)
-            queue.push(first[first > s], found[first > s])
-            now = found[first == s]
-        queue.push(*before(seeds[seed_end[s - 1] if s else 0 : seed_end[s]], False))
-    queue.close()
-    queue = Waiting(symbols, np.dtype(place), memory)
-    for s in np.flatnonzero(size)[::-1].tolist():
-        at, now = end[s], queue.pop(s)
-        while len(now):
-            out[at - len(now) : at] = now[::-1]
-            at -= len(now)
-            first, found = before(now, True)
-            queue.push(first[first < s], found[first < s])
-            now = found[first == s]
-        start = end[s] - size[s]
-        queue.push(*before(out[start : start + falling[s]][::-1], True))
-    queue.close()
-    return out
+    files = Files(memory)
+    try:
+        if not len(text):
+            return np.zeros(0, np.int64)
+        symbols = int(text.max()) + 1
+        return np.concatenate(list(sorted_all(files, text, symbols, sorted_seeds(files, text, symbols))))
+    finally:
+        files.close()

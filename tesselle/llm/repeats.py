@@ -6,15 +6,13 @@ occur once are done with. Where all that picks own is equal, all their stretches
 with its bytes, to the shard of its pick; there the suffixes of all of them are put in order by induced sorting, and the
 stretches whose neighbour in that order begins with the same ``length`` bytes repeat.
 
-Rows of a pick are read as a sorted stream with one row of memory. All different contexts of a pick meet in one shard, which is sorted in
-memory, its waiting suffixes alone going to disk beyond a bound; a shard larger than a task's memory allows ends the query (README, Limits).
+Rows of a pick are read as a sorted stream with one row of memory. All different contexts of a pick meet in one shard, however many they are:
+a shard's text, and all that is made in sorting it, are files (:mod:`.induced`), so that its task needs time and disk for it but no memory.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import U, between, mix, passes, prefix, signed, text_bytes, trimmed
-from .induced import MEMORY, suffix_order
+from .induced import MEMORY, Files, suffixes
 from .scratch import saved
 
 LENGTH = 200
 #: Bytes of a pick.
 PICK = 48
 #: Bytes of text that a shard is planned for; a frequent pick can make one larger.
-SHARD = 1 << 20
+SHARD = 1 << 22
 #: Bytes of text of one vectorised pass.
 PASS = 1 << 18
 #: Bits of the table of kinds to send, eight for each up to this power of two; beyond it, more is sent than need be.
@@ -189,53 +187,72 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, wanted) -> Iterato
                 yield pa.RecordBatch.from_arrays([pa.array(pick[keep]), pa.array(key[keep]), pa.array((start - bounds[row])[keep]), pa.array(text, pa.binary())], names=["pick", "key", "start", "bytes"])
 
 
-def repeated(text: np.ndarray, owned: np.ndarray, length: int, memory: int = MEMORY) -> np.ndarray:
-    """Which places are owned and begin ``length`` bytes that also begin at another owned place."""
-    order = suffix_order(text, memory)
-    order = order[owned[order]].astype(np.int64)
-    out = np.zeros(len(text), bool)
-    if len(order) > 1:
-        a, b = order[:-1], order[1:]
-        alike = np.flatnonzero(np.maximum(a, b) + length <= len(text))
-        for k in range(length):  # neighbours agree byte by byte, or leave
-            alike = alike[text[a[alike] + k] == text[b[alike] + k]]
-        out[a[alike]] = out[b[alike]] = True
+def repeated(text: np.ndarray, owned: np.ndarray, length: int, files: Files) -> np.ndarray:
+    """Which places are owned and begin ``length`` bytes that also begin at another owned place: those whose neighbour among the owned
+    suffixes in order has as long a prefix in common, which is the least common prefix on the way there."""
+    out = files.array(len(text), bool)
+    last, least = -1, length
+    for suffix, common in suffixes(text, length, files):
+        at = np.flatnonzero(owned[suffix])
+        if not len(at):
+            least = min(least, int(common.min()))
+            continue
+        between_ = np.minimum.reduceat(common[: at[-1] + 1], np.append(0, at[:-1] + 1))
+        own = suffix[at]
+        before = np.append(last, own[:-1])
+        alike = between_ >= length
+        alike[0] = last >= 0 and min(least, int(between_[0])) >= length
+        out[own[alike]] = True
+        out[before[alike]] = True
+        last, least = int(own[-1]), int(common[at[-1] + 1 :].min(initial=length))
     return out
 
 
+def _true(flags: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First and last places of the runs of true flags, a block at a time."""
+    before, start = False, None
+    for at in range(0, len(flags), block):
+        part = flags[at : at + block]
+        step = np.diff(part.astype(np.int8), prepend=np.int8(before))
+        first, last = at + np.flatnonzero(step == 1), at + np.flatnonzero(step == -1) - 1
+        if start is not None:
+            first = np.append(start, first)
+        before, start = bool(part[-1]), None
+        if before:
+            start, first = first[-1], first[:-1]
+        if len(first):
+            yield first, last
+    if start is not None:
+        yield np.array([start]), np.array([len(flags) - 1])
+
+
 @trimmed
 def _shard(batches: Iterator[pa.RecordBatch], length: int, memory: int) -> Iterator[pa.RecordBatch]:
-    """Suffix-sorts the bytes of a shard, kept in a file, and gives the bytes [start, stop) of ``key`` that repeat."""
-    keys, starts, sizes = [], [], []
-    with tempfile.TemporaryDirectory(prefix="tesselle-") as folder:
-        path = os.path.join(folder, "text")
-        with open(path, "wb") as f:
+    """Suffix-sorts the bytes of a shard, kept in files, and gives the bytes [start, stop) of ``key`` that repeat."""
+    files = Files(memory)
+    try:
+        paths, at = [files.path() for _ in range(3)], 0
+        with open(paths[0], "wb") as text, open(paths[1], "wb") as owned, open(paths[2], "wb") as known:
             for batch in batches:
-                keys.append(batch.column("key").to_numpy())
-                starts.append(batch.column("start").to_numpy())
-                text = [x.as_buffer() for x in batch.column("bytes")]
-                sizes.append(np.array([t.size for t in text], np.int64))
-                for t in text:
-                    f.write(t)
-                    f.write(b"\xff")  # in no UTF-8 text
-        if not sizes or not sum(map(len, sizes)):
+                raw = [x.as_buffer() for x in batch.column("bytes")]
+                size = np.array([t.size for t in raw], np.int64)
+                for t in raw:
+                    text.write(t)
+                    text.write(b"\xff")  # in no UTF-8 text
+                    owned.write(b"\1" * (t.size - length + 1) + b"\0" * length)
+                begin = at + np.cumsum(size + 1) - (size + 1)
+                known.write(np.stack([begin, batch.column("key").to_numpy(), batch.column("start").to_numpy()], 1).tobytes())
+                at += int((size + 1).sum())
+        if not at:
             return
-        key, start, size = map(np.concatenate, (keys, starts, sizes))
-        text = np.memmap(path, np.uint8, "r")
-        begin = np.cumsum(size + 1) - (size + 1)
-        step = np.zeros(len(text) + 1, np.int8)
-        step[begin] += 1
-        np.subtract.at(step, begin + size - length + 1, 1)
-        owned = np.cumsum(step[:-1], dtype=np.int8) > 0
-        hit = repeated(text, owned, length, memory)
-        del text
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-    first, last = edges[::2], edges[1::2] - 1
-    which = np.searchsorted(begin, first, "right") - 1
-    offset = start[which] - begin[which]
-    for i in range(0, len(first), 100_000):
-        s = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(key[which][s]), pa.array((first + offset)[s]), pa.array((last + offset + length)[s])], names=["key", "start", "stop"])
+        text, owned = (np.memmap(path, kind, "r").view(np.ndarray) for path, kind in zip(paths, (np.uint8, bool), strict=False))
+        begin, key, start = np.memmap(paths[2], np.int64, "r").view(np.ndarray).reshape(-1, 3).T
+        for first, last in _true(repeated(text, owned, length, files), files.block):
+            which = np.searchsorted(begin, first, "right") - 1
+            offset = start[which] - begin[which]
+            yield pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(first + offset), pa.array(last + offset + length)], names=["key", "start", "stop"])
+    finally:
+        files.close()
 
 
 def spans(texts: DataFrame, length: int = LENGTH, memory: int = MEMORY) -> DataFrame:

@@ -167,28 +167,75 @@ def test_shared_signatures_across_batches(rows):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 3), min_size=1, max_size=150), st.integers(1, 9), st.booleans())
-def test_suffix_order(symbols, times, dense):
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=150), st.integers(1, 9), st.sampled_from([(512, 64), (512, 0), (2, 64)]), st.sampled_from([1, 1 << 20]))
+def test_suffix_order(symbols, times, queues, memory):
     text = np.array(symbols * times)
     expected = sorted(range(len(text)), key=lambda i: text[i:].tolist())
-    old, induced.DENSE = induced.DENSE, 1 if dense else induced.DENSE
-    try:
-        assert induced.suffix_order(text, memory=64).tolist() == expected
-        assert induced.doubled(text).tolist() == expected
-    finally:
-        induced.DENSE = old
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(induced, "SINGLE", queues[0])
+        patch.setattr(induced, "LONG", queues[1])
+        assert induced.suffix_order(text, memory).tolist() == expected
+
+
+def _common(a, b, most):
+    return next((k for k in range(most) if a[k : k + 1] != b[k : k + 1] or k >= len(a)), most)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(b"abc"), min_size=1, max_size=120), st.integers(1, 5), st.sampled_from([1, 3, 50]), st.sampled_from([3, 7, 512]), st.booleans())
+def test_common_prefixes(letters, times, length, block, single):
+    text = bytes(letters) * times
+    order = sorted(range(len(text)), key=lambda i: text[i:], reverse=True)
+    expected = [(i, _common(text[i:], text[order[k - 1] :], length) if k else 0) for k, i in enumerate(order)]
+    files = induced.Files(1)
+    files.block = block
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(induced, "LONG", 0 if single else 64)
+        got = [(int(a), int(c)) for s, p in induced.suffixes(np.frombuffer(text, np.uint8), length, files) for a, c in zip(s, p, strict=True)]
+    files.close()
+    assert got == expected
+
+
+def test_memory_of_sorting_does_not_grow_with_the_text():
+    import tracemalloc
+
+    rng, peaks = random.Random(8), []
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    for size in (200_000, 800_000):
+        files = induced.Files(1 << 20)
+        text = files.written(iter([np.frombuffer(" ".join(rng.choice(words) for _ in range(size // 5)).encode()[:size], np.uint8)]), np.uint8)
+        owned = files.array(size, bool)
+        owned[: size - 30] = True
+        tracemalloc.start()
+        repeats.repeated(text, owned, 30, files)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        files.close()
+    assert peaks[1] < 1.25 * peaks[0] and peaks[1] < 4 << 20
 
 
 def test_repeated_against_brute_force():
     rng = random.Random(4)
     for length in (3, 8):
-        text = "".join(rng.choice("abc") for _ in range(400)).encode()
-        owned = np.arange(400) % 7 != 0
-        owned[400 - length + 1 :] = False
-        got = repeats.repeated(np.frombuffer(text, np.uint8), owned, length)
-        at = [i for i in range(400) if owned[i]]
-        strings = [text[i : i + length] for i in at]
-        assert [i for i in at if strings.count(text[i : i + length]) > 1] == np.flatnonzero(got).tolist()
+        for memory in (1, 1 << 20):
+            text = "".join(rng.choice("abc") for _ in range(400)).encode()
+            owned = np.arange(400) % 7 != 0
+            owned[400 - length + 1 :] = False
+            files = induced.Files(memory)
+            files.block = 512 if memory > 1 else 5
+            got = np.flatnonzero(repeats.repeated(np.frombuffer(text, np.uint8), owned, length, files)).tolist()
+            files.close()
+            at = [i for i in range(400) if owned[i]]
+            strings = [text[i : i + length] for i in at]
+            assert [i for i in at if strings.count(text[i : i + length]) > 1] == got
+
+
+def test_runs_of_flags():
+    rng = np.random.default_rng(1)
+    for block in (1, 2, 5, 100):
+        flags = rng.random(60) < 0.6
+        runs = [(a, b) for x, y in repeats._true(flags, block) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        assert [i for a, b in runs for i in range(a, b + 1)] == np.flatnonzero(flags).tolist() and all(not flags[b + 1] for _, b in runs if b < 59)
 
 
 @pytest.mark.parametrize("rows", [1, 2, 3, 7])
