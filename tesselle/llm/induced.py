@@ -9,8 +9,8 @@ Tuples of the queue carry what they have in common with the tuple before them of
 pieces are equal so far; in the last sweeps, the length of the common prefix, up to a bound. That is one more than the least common
 prefix among the suffixes between the two that induced them. Only those of the LMS suffixes are found by comparing text.
 
-Text, places, names, orders and the queue are files that are read and written in blocks; ``memory`` bounds what is held of them, whatever
-the length of the text.
+Places, names, orders and the queue are read and written in blocks, and are files beyond what ``memory`` allows to be held of them, whatever
+the length of the text; each is given up once it is read. The text is a file of the caller's.
 """
 
 from __future__ import annotations
@@ -42,36 +42,70 @@ class Block(NamedTuple):
 
 
 class Files:
-    """Arrays on disk in a folder of their own."""
+    """Arrays of a sorting: in memory up to half of what may be held, beyond that on disk in a folder of their own."""
 
     def __init__(self, memory: int):
-        self.folder, self.count, self.memory = tempfile.mkdtemp(prefix="tesselle-"), 0, memory
+        self.folder, self.count, self.memory, self.left = tempfile.mkdtemp(prefix="tesselle-"), 0, memory, memory // 2
         self.block = max(512, memory // PER_RECORD)
+        self.kept: dict[int, tuple[str | None, int]] = {}  # by array: its file, or its bytes in memory
 
     def path(self) -> str:
         self.count += 1
         return os.path.join(self.folder, str(self.count))
 
+    def _mapped(self, path: str, dtype: type, mode: str = "r", size: int | None = None) -> np.ndarray:
+        out = np.memmap(path, dtype, mode, shape=None if size is None else (size,))
+        self.kept[id(out)] = (path, 0)
+        return out.view(np.ndarray)
+
+    def _held(self, out: np.ndarray) -> np.ndarray:
+        self.left -= out.nbytes
+        self.kept[id(out)] = (None, out.nbytes)
+        return out.view(np.ndarray)
+
     def array(self, size: int, dtype: type) -> np.ndarray:
         """An array of zeros."""
-        return np.memmap(self.path(), dtype, "w+", shape=(size,)).view(np.ndarray) if size else np.zeros(0, dtype)
+        if size * np.dtype(dtype).itemsize <= self.left:
+            return self._held(np.zeros(size, dtype))
+        return self._mapped(self.path(), dtype, "w+", size)
 
     def written(self, parts: Iterator[np.ndarray], dtype: type) -> np.ndarray:
         """The parts one after another, each an array of records of one length."""
-        path, width = self.path(), 1
-        with open(path, "wb") as f:
-            for part in parts:
-                width = part.shape[1] if part.ndim > 1 else 1
-                f.write(np.ascontiguousarray(part, dtype).tobytes())
-        if not os.path.getsize(path):
-            return np.zeros((0, width) if width > 1 else 0, dtype)
-        out = np.memmap(path, dtype, "r").view(np.ndarray)
+        path, width, file, held, total = self.path(), 1, None, [], 0
+        for part in parts:
+            width = part.shape[1] if part.ndim > 1 else 1
+            held.append(np.array(part, dtype).ravel())
+            total += held[-1].nbytes
+            if file is not None or total > self.left:
+                file = file or open(path, "wb")  # noqa: SIM115
+                for h in held:
+                    file.write(h.tobytes())
+                held = []
+        if file is not None:
+            file.close()
+            out = self._mapped(path, dtype)
+        else:
+            out = self._held(np.concatenate(held) if held else np.zeros(0, dtype))
         return out.reshape(-1, width) if width > 1 else out
 
+    def free(self, array: np.ndarray) -> None:
+        """Forgets an array that nothing will read any more."""
+        while isinstance(array.base, np.ndarray):
+            array = array.base
+        path, size = self.kept.pop(id(array), (None, 0))
+        self.left += size
+        if path:
+            os.remove(path)
+
     def close(self) -> None:
         shutil.rmtree(self.folder, ignore_errors=True)
 
 
+def place(n: int) -> type:
+    """The type of places in a text."""
+    return np.int32 if n < 2**31 else np.int64
+
+
 class Waiting:
     """A monotone priority queue of (symbol, suffix, carry): by symbol, then by arrival; on disk beyond ``memory`` bytes.
 
@@ -377,7 +411,7 @@ def turns(files: Files, text: np.ndarray) -> np.ndarray:
             yield found[found < len(text)][::-1].astype(np.int64)
             end = start
 
-    return files.written(parts(), np.int64)[::-1]
+    return files.written(parts(), place(len(text)))[::-1]
 
 
 def _blocks_of(array: np.ndarray, block: int, backwards: bool = False) -> Iterator[np.ndarray]:
@@ -405,7 +439,7 @@ def _falling(files: Files, sweep: Sweep, feed: Iterator[tuple[np.ndarray, np.nda
     if sweep.carries == "common":
         sweep.pushed[int(sweep.text[n - 1])] = True
         sweep.since[int(sweep.text[n - 1])] = 0
-    return files.written((np.stack([b.suffix[b.induced], b.carry[b.induced]], 1) for b in sweep.blocks(feed)), np.int64)
+    return files.written((np.stack([b.suffix[b.induced], b.carry[b.induced]], 1) for b in sweep.blocks(feed)), place(n))
 
 
 def _downwards(falling: np.ndarray, block: int, shift: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -444,7 +478,7 @@ def sorted_seeds(files: Files, text: np.ndarray, symbols: int) -> np.ndarray:
     up = Sweep(files, text, symbols, 1, "equal")
     falling = _falling(files, up, _by_symbol(files, text, places, symbols))
     # of the downward sweep, LMS places with their pieces' numbers; an LMS place is at least two after the one before
-    names = files.array(len(text) // 2 + 1, np.int64)
+    names = files.array(len(text) // 2 + 1, place(len(text)))
     down = Sweep(files, text, symbols, -1, "equal")
 
     def named() -> Iterator[np.ndarray]:
@@ -466,21 +500,31 @@ def sorted_seeds(files: Files, text: np.ndarray, symbols: int) -> np.ndarray:
         different = number + 1
 
     different = 0
-    backwards = files.written(named(), np.int64)
+    backwards = files.written(named(), place(len(text)))
+    files.free(falling)
     if different == len(places):
+        files.free(names)
+        files.free(places)
         return backwards[::-1]
+    files.free(backwards)
     # numbers rise downwards: the names of the string rise upwards
-    string = files.written((different - part[part > 0] for part in _blocks_of(names, files.block)), np.int64)
+    string = files.written((different - part[part > 0] for part in _blocks_of(names, files.block)), place(len(text)))
+    files.free(names)
     seeds = sorted_seeds(files, string, different)
-    order = sorted_all(files, string, different, seeds)
-    return files.written((places[part] for part in order), np.int64)
+    seeds = files.written((places[part] for part in sorted_all(files, string, different, seeds)), place(len(text)))
+    files.free(string)
+    files.free(places)
+    return seeds
 
 
 def sorted_all(files: Files, text: np.ndarray, symbols: int, seeds: np.ndarray) -> Iterator[np.ndarray]:
-    """All suffixes in order, from the sorted LMS places."""
+    """All suffixes in order, from the sorted LMS places, which are freed."""
     falling = _falling(files, Sweep(files, text, symbols, 1), ((part, np.zeros(len(part), np.int64)) for part in _blocks_of(seeds, files.block)))
-    down = files.written((b.suffix for b in Sweep(files, text, symbols, -1).blocks(_downwards(falling, files.block, False))), np.int64)
-    return _blocks_of(down, files.block, backwards=True)
+    files.free(seeds)
+    down = files.written((b.suffix for b in Sweep(files, text, symbols, -1).blocks(_downwards(falling, files.block, False))), place(len(text)))
+    files.free(falling)
+    yield from _blocks_of(down, files.block, backwards=True)
+    files.free(down)
 
 
 def suffixes(text: np.ndarray, length: int, files: Files) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -489,8 +533,10 @@ def suffixes(text: np.ndarray, length: int, files: Files) -> Iterator[tuple[np.n
         return
     seeds = sorted_seeds(files, text, 256)
     falling = _falling(files, Sweep(files, text, 256, 1, "common", length), _common(files, text, seeds, length))
+    files.free(seeds)
     for b in Sweep(files, text, 256, -1, "common", length).blocks(_downwards(falling, files.block, True)):
         yield b.suffix, b.carry
+    files.free(falling)
 
 
 def suffix_order(text: np.ndarray, memory: int = MEMORY) -> np.ndarray:

@@ -25,13 +25,13 @@ from pyspark.sql import types as T
 
 from .hashing import U, between, mix, passes, prefix, signed, text_bytes, trimmed
 from .induced import MEMORY, Files, suffixes
-from .scratch import saved
+from .scratch import free, saved
 
 LENGTH = 200
 #: Bytes of a pick.
 PICK = 48
 #: Bytes of text that a shard is planned for; a frequent pick can make one larger.
-SHARD = 1 << 22
+SHARD = 1 << 21
 #: Bytes of text of one vectorised pass.
 PASS = 1 << 18
 #: Bits of the table of kinds to send, eight for each up to this power of two; beyond it, more is sent than need be.
@@ -277,12 +277,12 @@ def spans(texts: DataFrame, length: int = LENGTH, memory: int = MEMORY) -> DataF
 
 
 @trimmed
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in passes(whole, most=PASS):
             data, bounds = text_bytes(batch.column("text"))
             key = signed(row_keys(batch, data, bounds, prefix(data)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, name])
 
 
 def merged(listed: list[int] | None) -> list[tuple[int, int]]:
@@ -305,38 +305,40 @@ def _rest(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], spans: str) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     for batch in batches:
         rows = []
-        for doc, text, listed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "__spans")), strict=True):
+        for doc, text, listed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", spans)), strict=True):
             raw, runs = (text or "").encode(), merged(listed)
             rows.append((doc, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_rest(raw, runs)).hexdigest()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str], count: str | None) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], count: str | None, spans: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t if not s else _rest(t.encode(), merged(s)).decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+        listed = batch.column(spans).to_pylist()
+        texts = [t if not s else _rest(t.encode(), merged(s)).decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), listed, strict=True)]
         columns = []
         for n in names:
             column = batch.column(n)
             if n == "text":
                 column = pa.array(texts, column.type)
             elif n == count:
-                column = pa.array([old if not s else len(t) for old, s, t in zip(column.to_pylist(), batch.column("__spans").to_pylist(), texts, strict=True)], column.type)
+                column = pa.array([old if not s else len(t) for old, s, t in zip(column.to_pylist(), listed, texts, strict=True)], column.type)
             columns.append(column)
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _marked(docs: DataFrame, length: int, memory: int) -> DataFrame:
-    """``docs`` with ``__spans``, the flat list of its repeated bytes, or null."""
+def _marked(docs: DataFrame, length: int, memory: int) -> tuple[DataFrame, str]:
+    """``docs`` with the flat list of its repeated bytes, or null, and the name of that column."""
+    key, of, spans_ = (free(docs, f"__{n}") for n in ("key", "of", "spans"))
     found = spans(docs.select("doc_id", "text"), length, memory)
     pair: Column = F.array("start", "stop")
-    listed = found.groupBy(F.col("key").alias("__of")).agg(F.flatten(F.collect_set(pair)).alias("__spans"))  # a document's own spans
-    keyed = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())])
-    return docs.mapInArrow(_keyed, keyed).join(listed, F.col("__key") == F.col("__of"), "left").drop("__of", "__key")
+    listed = found.groupBy(F.col("key").alias(of)).agg(F.flatten(F.collect_set(pair)).alias(spans_))  # a document's own spans
+    keyed = T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())])
+    return docs.mapInArrow(partial(_keyed, name=key), keyed).join(listed, F.col(key) == F.col(of), "left").drop(of, key), spans_
 
 
 def digest(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY) -> DataFrame:
@@ -346,8 +348,8 @@ def digest(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY) -> DataF
     judged on the input. A null text is empty. Repeated rows repeat each other's bytes. Null ids are kept; an empty table gives no
     rows; other columns are ignored.
     """
-    marked = _marked(docs.select("doc_id", "text"), length, memory)
-    return marked.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked, name = _marked(docs.select("doc_id", "text"), length, memory)
+    return marked.mapInArrow(partial(_digest, spans=name), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY, count: str | None = "n_chars") -> DataFrame:
@@ -356,5 +358,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, memory: int = MEMORY,
     Where a cut goes through a character its other bytes go too. ``count`` names the column, if there is one, that holds the characters of
     the text; it is renewed where the text changes.
     """
-    names = docs.columns
-    return _marked(docs, length, memory).mapInArrow(partial(_cut, names=names, count=count), docs.schema)
+    marked, name = _marked(docs, length, memory)
+    return marked.mapInArrow(partial(_cut, names=docs.columns, count=count, spans=name), docs.schema)
