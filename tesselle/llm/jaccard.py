@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import FOLDED, U, between, grams, mix, passes, prefix, signed, text_bytes, trimmed, words
-from .scratch import bucketed, drop, release, saved
+from .scratch import bucketed, drop, free, release, saved
 
 SHINGLE = 4
 PERCENT = 85
@@ -379,11 +379,11 @@ def without_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     Of rows equal in doc_id and text one stays; rows of one doc_id with other texts go or stay together. Rows with a null doc_id or
     without words stay.
     """
-    names = docs.columns
-    found = linked(docs, size, percent).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(found.distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "again")
+    names, gone, twice = docs.columns, free(docs, "__gone"), free(docs, "__again")
+    found = linked(docs, size, percent).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias(gone))
+    kept = docs.join(found.distinct(), F.col("doc_id") == F.col(gone), "left_anti")
+    again = saved(docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(twice)), "again")
     if again.isEmpty():
         return kept
-    single = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    return single.unionByName(kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"])).select(*[F.col(f"`{n}`") for n in names])
+    single = kept.join(again, F.col("doc_id") == F.col(twice), "left_anti")
+    return single.unionByName(kept.join(again, F.col("doc_id") == F.col(twice), "left_semi").dropDuplicates(["doc_id", "text"])).select(*[F.col(f"`{n}`") for n in names])

@@ -14,7 +14,8 @@ def fold() -> Column:
 
 
 def sample_ids(labels: DataFrame, column: str, value: int, most: int, learnable: bool = True) -> list[int]:
-    """At most ``most`` ids that carry the label, taken by a hash of the id; held-out folds never enter."""
+    """At most ``most`` ids that carry the label, taken by a hash of the id. The held-out fold does not enter if they are to be
+    learnt from (``learnable``)."""
     rows = labels.where((F.col(column) == value) & F.col("doc_id").isNotNull())
     rows = rows.where(fold() != 0) if learnable else rows
     return [r[0] for r in rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]

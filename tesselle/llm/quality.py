@@ -48,7 +48,7 @@ def _count(batches: Iterator[pa.RecordBatch], target: np.ndarray, buckets: int,
             bucket, row = bucketed(batch, buckets, orders)
             totals[0] += np.bincount(bucket, minlength=buckets)
             ids = np.array(batch.column("doc_id").fill_null(-1).to_pylist(), np.int64)
-            if (chosen := np.isin(ids, target)).any():
+            if (chosen := np.isin(ids, target) & np.array(batch.column("doc_id").is_valid())).any():
                 totals[1] += np.bincount(bucket[chosen[row]], minlength=buckets)
     kind, bucket = np.nonzero(totals)
     yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(totals[kind, bucket])], names=["target", "bucket", "n"])
@@ -97,7 +97,7 @@ def resample(docs: DataFrame, target_ids: list[int], keep: float = KEEP, buckets
     """doc_id, n_grams, log_weight, selected (boolean) for each row of ``docs`` (doc_id, text).
 
     ``ceil(keep * rows)`` rows are selected; rows that tie with the last one (repeated rows do) are selected too.
-    A null or empty text has weight 0 by no n-grams, a null id draws the noise of id -1; an empty table gives no rows.
+    A null or empty text has weight 0 by no n-grams; a null id is never a target and draws the noise of id -1; an empty table gives no rows.
     """
     ratio = fit(docs, target_ids, buckets, orders)
     weighed = saved(docs.select("doc_id", "text").mapInArrow(partial(_weigh, ratio=ratio, orders=orders, seed=seed), SCORES), "weights")

@@ -21,27 +21,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log weight and whether it is selected, the rows labelled of quality 1 being the target."""
     return quality.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the places of licence phrases and its labels."""
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that it holds within a tenth of edits."""
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows of every query, all rows whose id is divisible by 20 being queries."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score; labels of the held-out fold are not learnt from."""
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document, counted in flat token files of all of them."""
     from pyspark.sql import functions as F
 
     files = saved(token_counts.token_files(_table(spark, sf_dir, "documents"), public_path(TOKENIZER), END_OF_TEXT), "tokens")
@@ -51,18 +57,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set's size and its component of links."""
     return jaccard.linked(_table(spark, sf_dir, "documents"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document id with its slot and shard."""
     return sharding.assign(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_path(TOKENIZER))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the bytes that repeated strings of 200 bytes cover."""
     return repeats.digest(_table(spark, sf_dir, "documents"))
 
 

@@ -10,15 +10,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where ``spark.checkpoint.dir`` is unset, as in tests on one machine.
-LOCAL_FOLDER = "file:///tmp/checkpoints"
+from ..schema import shared_folder
+
 #: Rows that go to a Python worker at once; texts are long, so far below Spark's 10,000.
 BATCH_ROWS = 512
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a local one where it names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
+    """The shared folder the cluster names; a session on one machine may do without, on a cluster a missing one is an error."""
+    return shared_folder(spark)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -26,6 +26,14 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet: ``name``, with as many underscores before it as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     path = f"{folder(df.sparkSession)}/tesselle-{name}-{uuid.uuid4().hex}"

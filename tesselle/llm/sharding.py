@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import free
+
 #: Slots; prime, and far more than shards.
 SLOTS = 65537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
@@ -55,11 +57,12 @@ def assign(df: DataFrame, key: Column | str, shards: tuple[str, ...] = SHARDS, s
     """
     spark = df.sparkSession
     listed = F.split(F.lit(",".join(map(str, lookup_table(shards, slots)))), ",").cast("array<int>")
-    table = spark.range(slots).select(F.col("id").alias("__slot"), F.element_at(listed, (F.col("id") + 1).cast("int")).alias("__shard"))
+    at, slot, shard = (free(df, f"__{n}") for n in ("at", "slot", "shard"))
+    table = spark.range(slots).select(F.col("id").alias(slot), F.element_at(listed, (F.col("id") + 1).cast("int")).alias(shard))
     key = F.col(key) if isinstance(key, str) else key
-    placed = df.withColumn("__at", slot_of(key, slots)).join(F.broadcast(table), F.col("__at") == F.col("__slot"), "left")
+    placed = df.withColumn(at, slot_of(key, slots)).join(F.broadcast(table), F.col(at) == F.col(slot), "left")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (slot_col, shard_col)]
-    return placed.select(*kept, F.col("__at").alias(slot_col), F.col("__shard").alias(shard_col))
+    return placed.select(*kept, F.col(at).alias(slot_col), F.col(shard).alias(shard_col))
 
 
 def write(df: DataFrame, path: str, key: Column | str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, salts: int = 8) -> None:

@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs, and texts to try them on."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -92,3 +93,53 @@ def edits_within(item, text):
             row[i] = min(last[i] + 1, row[i - 1] + 1, last[i - 1] + (item[i - 1] != c))
         best = min(best, row[-1])
     return best
+
+
+class KneserNey:
+    """A byte model of words: discounted counts of one class over continuation counts that all classes share, by dictionaries."""
+
+    def __init__(self, words, counts, shared_words, shared, order, discount, size):
+        self.order, self.discount, self.size = order, discount, size
+        self.top = defaultdict(lambda: defaultdict(float))
+        seen = set()
+        for word, n in zip(words, counts, strict=True):
+            for gram in self.grams(word):
+                if n:
+                    self.top[gram[:-1]][gram[-1]] += n
+        for word in shared_words:
+            seen.update(self.grams(word))
+        self.contexts = list(self.top)
+        self.lower = []  # by the length of the context: continuation counts
+        for n in range(order - 1, 0, -1):
+            table = defaultdict(lambda: defaultdict(float))
+            shorter = set()
+            for gram in seen:
+                table[gram[1:-1]][gram[-1]] += 1
+                shorter.add(gram[1:])
+            self.lower.append(table)
+            seen = shorter
+
+    def grams(self, word):
+        codes = [0] * (self.order - 1) + [b + 1 for b in word] + [257]
+        return [tuple(codes[i : i + self.order]) for i in range(len(codes) - self.order + 1)]
+
+    def _shared(self, level, context, byte):
+        if level == len(self.lower):
+            return 1 / self.size
+        below = self._shared(level + 1, context[1:], byte)
+        found = self.lower[level].get(context)
+        if not found:
+            return below
+        total = sum(found.values())
+        return (max(found.get(byte, 0) - self.discount, 0) + self.discount * len(found) * below) / total
+
+    def chance(self, context, byte):
+        below = self._shared(0, context[1:], byte)
+        found = self.top.get(context)
+        if not found:
+            return below
+        total = sum(found.values())
+        return max(found.get(byte, 0) - self.discount, 0) / total + self.discount * len(found) / total * below
+
+    def log_chance(self, word):
+        return sum(math.log(self.chance(g[:-1], g[-1])) for g in self.grams(word))

@@ -8,12 +8,13 @@ from functools import partial
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.brute import DOCS, FOLD, ODD, components, digest, edits_within, families, frame, prose, removed
 from pyspark.sql import functions as F
 
 from tesselle.llm import components as links
-from tesselle.llm import decontamination, jaccard, license_scan, packing, quality, repeats, scratch, sharding, token_counts, tokens, topk, toxicity
+from tesselle.llm import decontamination, hashing, jaccard, license_scan, packing, quality, repeats, scratch, sharding, token_counts, tokens, topk, toxicity
 
 PATH = tokens.public_path("word_bpe_49k.json")
 
@@ -242,6 +243,70 @@ def test_quality(spark, docs):
     assert quality.resample(frame(spark, []), []).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Buckets, log weights, noise and the selected rows, all anew in plain Python."""
+    rng = random.Random(12)
+    out = [(i, prose(rng, rng.randrange(0, 40), 60).upper() if i % 3 else prose(rng, 30, 20)) for i in range(80)] + [(-1, "w1 w2 w3"), (None, "w1 w2 w3"), (7, "w5"), (90, "z " * 20000)]
+    target = [i for i in range(80) if i % 3 == 0] + [-1]
+    got = quality.resample(frame(spark, out).withColumn("bucket", F.lit(1)).repartition(3), target, 0.5, buckets=97).collect()
+
+    def grams_of(text):
+        batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([text])], names=["doc_id", "text"])
+        found, _ = quality.bucketed(batch, 97)
+        words = (text or "").translate(FOLD).split()
+        assert len(found) == max(0, 2 * len(words) - 1)
+        return found.tolist()
+
+    raw, good = [1] * 97, [1] * 97
+    for d, t in out:
+        for b in grams_of(t):
+            raw[b] += 1
+            good[b] += d is not None and d in target
+    ratio = [math.log(g / sum(good)) - math.log(r / sum(raw)) for g, r in zip(good, raw, strict=True)]
+    weights = [sum(ratio[b] for b in grams_of(t)) for _, t in out]
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_grams)
+    mine = sorted(((d, len(grams_of(t)), w) for (d, t), w in zip(out, weights, strict=True)), key=lambda r: (r[0] is None, r[0], r[1]))
+    for r, (d, n, w) in zip(sorted(got, key=key), mine, strict=True):
+        assert (r.doc_id, r.n_grams) == (d, n) and math.isclose(r.log_weight, w, abs_tol=1e-8)
+
+    def noise(d):
+        x = int(hashing.mix(hashing.mix(np.array([-1 if d is None else d], np.int64).view(np.uint64)) ^ np.uint64(11))[0]) >> 11
+        return -math.log(-math.log((x + 0.5) / 2**53))
+
+    keys = sorted((w + noise(d) for d, _, w in mine), reverse=True)
+    last = keys[math.ceil(0.5 * len(out)) - 1]
+    assert [r.selected for r in sorted(got, key=key)] == [w + noise(d) >= last - 1e-9 for d, _, w in mine]
+
+
+def test_long_texts(spark):
+    """A text of 20,000 words and one of a single word of 100,000 bytes, whole: counts, items, tokens and pieces."""
+    rng = random.Random(2)
+    long, item = prose(rng, 20000), prose(rng, 30)
+    out = [(1, long), (2, f"{long} {item}"), (3, "ab" * 50000), (4, item)]
+    docs = frame(spark, out).withColumn("n_grams", F.lit(0)).withColumn("block", F.lit(0))
+    assert {r.doc_id: r.n_grams for r in quality.resample(docs, [1]).collect()} == {1: 39999, 2: 40059, 3: 1, 4: 59}
+    benchmark = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.leaks(docs, benchmark).collect()) == [2, 4]
+    if Path(PATH).exists():
+        from tokenizers import Tokenizer
+
+        inner = Tokenizer.from_file(PATH)
+        sizes = {d: len(inner.encode(t, add_special_tokens=False).ids) for d, t in out}
+        pieces = packing.pack(docs, PATH).collect()
+        assert {r.doc_id: r.doc_tokens - 1 for r in pieces} == sizes and sum(r.length for r in pieces) == sum(sizes.values()) + 4
+        files = scratch.saved(token_counts.token_files(docs, PATH, 49407, block=1000), "files")
+        assert sorted(r.n_tokens for r in token_counts.count_tokens(files.where("content is not null"), 49407).collect()) == sorted(sizes.values())
+
+
+def test_helper_columns_of_the_same_names(spark):
+    docs = frame(spark, [(1, "a b c d e"), (2, "a b c d e"), (3, None)])
+    for name in ("__at", "__slot", "__shard", "__key", "__of", "__spans", "__gone", "__again"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    for made in (sharding.assign(docs, "doc_id"), repeats.without_repeats(docs), jaccard.without_copies(docs)):
+        rows = made.collect()
+        assert len(rows) in (2, 3) and all(r[n] == "mine" for r in rows for n in docs.columns if n.startswith("__"))
+
+
 def test_kth_largest(spark):
     rng = random.Random(4)
     values = [rng.randrange(-(2**63), 2**63) for _ in range(200)] + [5] * 20 + [-1, 0, 2**63 - 1, -(2**63)]
@@ -290,6 +355,19 @@ def test_held_out_and_repeated_labels_do_not_weigh(spark):
     assert (one == other).all()
 
 
+def test_held_out_labels_flipped_change_no_score(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(["plain", "text", "good", "vilix" if i % 4 == 1 else "day"]) for _ in range(12))) for i in range(200)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    true = [(i, int(i % 4 == 1)) for i, _ in rows]
+    scores = []
+    for marks in (true, [(i, 1 - t if held(i) else t) for i, t in true], [(i, t) for i, t in true if not held(i)]):
+        docs = frame(spark, rows)
+        model = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+        scores.append(sorted((r.doc_id, r.score) for r in toxicity.score(docs, model).collect()))
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     marks = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
     from tesselle.llm.labelled import sample_ids
@@ -301,10 +379,11 @@ def test_labels_of_held_out_rows_are_not_used(spark):
 @pytest.mark.skipif(not Path(PATH).exists(), reason="no tokenizer file")
 def test_packing(spark, rows, docs):
     got = packing.pack(docs, PATH).collect()
-    encode = tokens.Encoder(PATH)
-    whole: dict = {}
-    for (d, _), ids in zip(rows, encode([t for _, t in rows]), strict=True):
-        whole.setdefault(d, []).append(ids + b"\1\0\0\0")
+    from tokenizers import Tokenizer
+
+    inner, whole = Tokenizer.from_file(PATH), {}
+    for d, t in rows:
+        whole.setdefault(d, []).append(np.array([*inner.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
     assert sum(r.length for r in got) == sum(len(ids) // 4 for own in whole.values() for ids in own)
     for d, own in whole.items():  # every id of each row in one piece, and pieces as they say
         mine = [r for r in got if r.doc_id == d]

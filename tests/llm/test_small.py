@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm.brute import edits_within, families, removed, shingles
+from llm.brute import KneserNey, edits_within, families, removed, shingles
 
 from tesselle.llm import decontamination, hashing, induced, jaccard, license_scan, packing, repeats, sharding, tokens, topk, toxicity
 
@@ -403,6 +403,24 @@ def test_models_are_distributions():
     codes, _ = toxicity.spelt(data, np.append(0, ends[:-1]), ends)
     model = toxicity.fit(words, tox, ord_)
     assert set(model["seen"]) == set(np.unique(codes)) and np.isfinite(model["ratio"]).all() and np.isfinite(model["open"]).all()
+    for counts in (tox, ord_):
+        plain = KneserNey(words, counts, words, tox + ord_, toxicity.ORDER, toxicity.DISCOUNT, 258)
+        for context in [*plain.contexts, (0, 0, 0, 0, 99), (1, 2, 3, 4, 5)]:
+            assert np.isclose(sum(plain.chance(context, b) for b in range(258)), 1)
+
+
+def test_ratios_against_a_plain_kneser_ney():
+    """Log ratios of words, seen or not, by dictionaries of counts, order by order."""
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))) for _ in range(40)})
+    words = [w.encode() for w in words]
+    tox, ord_ = (np.array([float(rng.randrange(4)) for _ in words]) for _ in "xy")
+    model = toxicity.fit(words, tox, ord_)
+    both = [KneserNey(words, c, words, np.ones(len(words)), toxicity.ORDER, toxicity.DISCOUNT, 258) for c in (tox, ord_)]
+    for word in [*words, b"abcabcabcabc", b"cab", b"zz", b"az", b"a"]:
+        raw = np.frombuffer(word, np.uint8)
+        got = toxicity.word_ratios(model, raw, np.array([0]), np.array([len(word)]))[0]
+        assert np.isclose(got, both[0].log_chance(word) - both[1].log_chance(word)), word
 
 
 def test_templates():
