@@ -3,7 +3,8 @@
 The suffixes at the leftmost places of falling-to-rising turns (LMS) are sorted first, all others are induced from them: the falling ones in a
 sweep over symbols upwards, the rising ones in a sweep downwards. What a suffix induces, the suffix one place before it, waits in a
 queue ordered by symbol and then by arrival. The same two sweeps, begun from LMS places in no order, sort and name the pieces between LMS
-places; the string of names is sorted by recursion until no name repeats.
+places; the string of names, a third as long at most as a rule, is sorted by recursion until no name repeats or a string is so short that all
+of its sorting fits in memory, where doubling of ranks ends it.
 
 Tuples of the queue carry what they have in common with the tuple before them of the same symbol: while names are made, whether their
 pieces are equal so far; in the last sweeps, the length of the common prefix, up to a bound. That is one more than the least common
@@ -29,6 +30,8 @@ MEMORY = 64 << 20
 SINGLE, LONG, SHARED = 512, 64, 1024
 #: Suffixes that a shared queue is meant for.
 TOGETHER = 5000
+#: Bytes of memory that sorting a short string in memory takes for each symbol.
+IN_MEMORY = 64
 #: Bytes of memory for a record of a block.
 PER_RECORD = 256
 
@@ -470,6 +473,32 @@ def _common(files: Files, text: np.ndarray, seeds: np.ndarray, length: int) -> I
         yield part, out
 
 
+def doubled(text: np.ndarray) -> np.ndarray:
+    """The suffixes of a short string in order, by doubling ranks; only suffixes that still tie take part in a round."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    fresh = np.concatenate(([True], text[order[1:]] != text[order[:-1]]))
+    rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    size, places = 1, np.arange(n)
+    while True:
+        own = rank[order[places]]
+        first = np.concatenate(([True], own[1:] != own[:-1]))
+        alone = first & np.concatenate((first[1:], [True]))
+        places = places[~alone]
+        if not len(places) or size > n:
+            return order
+        own, suffix = own[~alone], order[places]
+        after = rank[np.minimum(suffix + size, n)]
+        by = np.lexsort((after, own))
+        suffix, own, after = suffix[by], own[by], after[by]
+        order[places] = suffix
+        fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (after[1:] != after[:-1])))
+        rank[suffix] = places[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        size *= 2
+
+
 def sorted_seeds(files: Files, text: np.ndarray, symbols: int) -> np.ndarray:
     """The LMS places of the text in order of their suffixes."""
     places = turns(files, text)
@@ -510,8 +539,11 @@ def sorted_seeds(files: Files, text: np.ndarray, symbols: int) -> np.ndarray:
     # numbers rise downwards: the names of the string rise upwards
     string = files.written((different - part[part > 0] for part in _blocks_of(names, files.block)), place(len(text)))
     files.free(names)
-    seeds = sorted_seeds(files, string, different)
-    seeds = files.written((places[part] for part in sorted_all(files, string, different, seeds)), place(len(text)))
+    if len(string) * IN_MEMORY <= files.memory:
+        order = iter([doubled(string)])
+    else:
+        order = sorted_all(files, string, different, sorted_seeds(files, string, different))
+    seeds = files.written((places[part] for part in order), place(len(text)))
     files.free(string)
     files.free(places)
     return seeds
