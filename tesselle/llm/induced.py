@@ -33,7 +33,7 @@ TOGETHER = 5000
 #: Bytes of memory that sorting a short string in memory takes for each symbol.
 IN_MEMORY = 64
 #: Bytes of memory for a record of a block.
-PER_RECORD = 256
+PER_RECORD = 1024
 
 
 class Block(NamedTuple):
@@ -457,20 +457,31 @@ def _downwards(falling: np.ndarray, block: int, shift: bool) -> Iterator[tuple[n
 
 
 def _common(files: Files, text: np.ndarray, seeds: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted suffixes with the common prefix of each with the one before, found in the text."""
-    before = -1
+    """Sorted suffixes with the common prefix of each with the one before, found in the text eight bytes at a time."""
+    n, before = len(text), -1
+    eights = np.ndarray((max(0, n - 7),), "<u8", text, 0, (1,)) if n > 7 else np.zeros(0, np.uint64)
     for part in _blocks_of(seeds, files.block):
+        part = part.astype(np.int64)
         a = np.append(before, part[:-1])
         out, alike, depth = np.zeros(len(part), np.int64), np.flatnonzero(a >= 0), 0
         while len(alike) and depth < length:
             x, y = a[alike] + depth, part[alike] + depth
-            inside = np.maximum(x, y) < len(text)
-            alike = alike[inside]
-            alike = alike[text[x[inside]] == text[y[inside]]]
-            depth += 1
-            out[alike] = depth
+            inside = np.maximum(x, y) < len(eights)
+            for k in alike[~inside].tolist():  # the last few of the text
+                i, j, d = int(a[k]), int(part[k]), depth
+                while d < length and max(i, j) + d < n and text[i + d] == text[j + d]:
+                    d += 1
+                out[k] = d
+            alike, x, y = alike[inside], x[inside], y[inside]
+            apart = eights[x] ^ eights[y]
+            other = apart != 0
+            low = apart[other]
+            out[alike[other]] = depth + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8
+            alike = alike[~other]
+            depth += 8
+        out[alike] = length
         before = int(part[-1])
-        yield part, out
+        yield part, np.minimum(out, length)
 
 
 def doubled(text: np.ndarray) -> np.ndarray:
