@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, license_scan, repeats, sharding, topk
+from . import divergence, jaccard, license_scan, merkle, repeats, sharding, topk, url_filter
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -118,3 +118,121 @@ doc as materialized (
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels,
     coalesce(labels, '') as labels, coalesce(score, 0)::double as score, coalesce(n_notices, 0)::bigint as n_notices
 from doc left join summed using (n)"""
+
+
+def url_filter_sql() -> str:
+    u = url_filter
+    rest = "(case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end)"
+    split = f"translate(regexp_extract({rest}, '^[^/?#]*'), '{u.UPPER}', '{u.LOWER}') as host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) as path"
+
+    def grams(text: str, by: tuple[int, ...]) -> str:
+        hashed = " + ".join(f"unicode(c[i + {k}])::bigint * {m}" for k, m in enumerate(by))
+        cut = f"string_split('^' || {text} || '$', '')"
+        return f"flatten(list_transform([{cut}], lambda c: case when len(c) < {u.N} then [0] else list_transform(range(1, len(c) - {u.N} + 2), lambda i: (1 + ({hashed}) % {u.BUCKETS - 1})::int) end))"
+
+    buckets = f"list_distinct(list_concat([0], list_concat({grams('host', u.HOST)}, {grams('path', u.PATH)})))"
+    chance = lambda total: f"floor({u.ONE}::double / (1.0::double + exp(-({total})::double / {u.ONE}::double)))::bigint"
+    listed = ", ".join(f"({_quoted(url)}, {y})" for y, urls in ((1, u.BLOCKED), (0, u.ALLOWED)) for url in urls)
+    ruled = sorted(u.RULES, key=lambda r: (-len(r.name), r.name))
+    fits = lambda r: f"(host = {_quoted(r.host)} or ends_with(host, {_quoted('.' + r.host)})) and starts_with(path, {_quoted(r.path)})"
+    pick = lambda field: "case " + " ".join(f"when {fits(r)} then {_quoted(getattr(r, field))}" for r in ruled) + " end"
+    return f"""
+with recursive given(url, y) as (values {listed}), known as materialized (
+    select row_number() over () as n, y::bigint as y, {buckets} as b from (select y, {split} from given)
+), entry as materialized (
+    select n, unnest(b) as x from known
+), used as materialized (
+    select x, row_number() over (order by x) as slot, list(n order by n) as p from entry group by x
+), shape as materialized (
+    select (select list(y order by n) from known) as y, (select list(d order by n) from (select e.n, list(slot) as d from entry e join used using (x) group by e.n)) as b, (select list(p order by slot) from used) as p
+), fold(k, w) as (
+    select 0, list_transform(p, lambda v: 0::bigint) from shape
+    union all
+    select k + 1, list_transform(range(1, len(w) + 1), lambda v: (w[v] + (floor(list_sum(list_transform(p[v], lambda i: err[i]))::double / {u.RATE}) - floor(w[v]::double / {u.DECAY}))::bigint))
+    from (select k, w, p, list_transform(range(1, len(y) + 1), lambda i: y[i] * {u.ONE} - {chance("list_sum(list_transform(b[i], lambda d: w[d]))")}) as err from fold, shape where k < {u.STEPS})
+), weight as materialized (
+    select x, w[slot] as w from used, (select w from fold where k = {u.STEPS})
+), page as materialized (
+    select row_number() over () as n, page_id, {split} from pages
+), summed as (
+    select n, coalesce(sum(w), 0) as z from (select n, unnest({buckets}) as x from page) left join weight using (x) group by n
+)
+select page_id, host, path, {pick('name')} as rule, coalesce({pick('verdict')}, case when {chance('z')} * 2 > {u.ONE} then 'block' else 'allow' end) as verdict, {chance('z')}::double / {u.ONE}::double as score
+from page join summed using (n)"""
+
+
+def merkle_sql() -> str:
+    m, fields = merkle, ("doc_id", "source", "lang", "n_chars")
+    shown = lambda v: f"coalesce(strlen({v}::varchar) || ':' || {v}::varchar, '-')"
+    head = " || ".join(map(shown, fields))
+    table = "list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+    crc = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda ch: unicode(ch)::bigint)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+    fold = f"lambda h, s: sha256(substr(s, 2, {m.HEX} * substr(s, 1, 1)::int) || h || substr(s, 2 + {m.HEX} * substr(s, 1, 1)::int))"
+
+    def levels(name: str, first: str) -> str:
+        """Every level of each tree, as lists of digests."""
+        above = f"list_transform(range((len(nodes) + {m.ARITY - 1}) // {m.ARITY}), lambda k: sha256(array_to_string(nodes[{m.ARITY} * k + 1:{m.ARITY} * k + {m.ARITY}], '')))"
+        return f"{name} as ({first} union all select tree, level + 1, {above} from {name} where len(nodes) > 1)"
+
+    def steps(name: str, tree: str) -> str:
+        """The steps of a node's path, from its index (from 0) in the lowest level."""
+        at = f"(i // ({m.ARITY} ** level)::bigint)"
+        run = f"nodes[{at} - {at} % {m.ARITY} + 1:{at} - {at} % {m.ARITY} + {m.ARITY}]"
+        others = f"array_to_string(list_concat({run}[1:{at} % {m.ARITY}], {run}[{at} % {m.ARITY} + 2:]), '')"
+        return f"select n, list(({at} % {m.ARITY})::varchar || {others} order by level) as steps from {name} join {tree} using (tree) where len(nodes) > 1 group by n"
+
+    return f"""
+with recursive crc_table as materialized (select {table} as t), raw as materialized (
+    select row_number() over () as n, doc_id, coalesce('=' || source, '') as tree, {head} as head, text, case when doc_id is not null and {crc} % 2 = 0 then replace(text, chr(10), '') else text end as changed from documents, crc_table
+), hashed as materialized (
+    select n, doc_id, tree, sha256(head || {shown('text')}) as leaf, sha256(head || {shown('changed')}) as shown from raw
+), leaf as materialized (
+    select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i from hashed
+), {levels('low', "select tree, 0 as level, list(leaf order by i) as nodes from leaf group by tree")}, sub as materialized (
+    select tree as name, nodes[1] as subroot, '' as tree, row_number() over (order by tree) - 1 as i, row_number() over (order by tree) as n from low where len(nodes) = 1
+), {levels('high', "select tree, 0 as level, list(subroot order by i) as nodes from sub group by tree")}, lower_part as materialized (
+    {steps('leaf', 'low')}
+), upper_part as materialized (
+    {steps('sub', 'high')}
+), way as materialized (
+    select l.doc_id, l.leaf, l.shown, s.subroot, (select nodes[1] from high where len(nodes) = 1) as root, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) as steps
+    from leaf l join sub s on s.name = l.tree left join lower_part a on a.n = l.n left join upper_part b on b.n = s.n
+)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: substr(s, 2)), '')) as proof_sha256,
+    list_reduce(list_concat([shown], steps), {fold}) as folded_root, list_reduce(list_concat([shown], steps), {fold}) = root as verified
+from way"""
+
+
+def divergence_sql() -> str:
+    d = divergence
+    share = lambda n, size: f"(1 + ({d.ONE}::hugeint * ({n} + 1)) // ({size} + kinds))::hugeint"
+    gap = "(((p - q) * (p - q)) // q)"
+    return f"""
+with raw as materialized (
+    select row_number() over () as n, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_FOLDED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents
+), one as materialized (
+    select n, lang, source, unnest(w) as term from raw
+), kept as materialized (
+    select lang, term, count(*) as total from one group by lang, term having count(distinct n) >= {d.LEAST_DOCS}
+), groups as materialized (
+    select lang, source from raw group by lang, source
+), counted as materialized (
+    select lang, source, term, count(*) as c from one join kept using (lang, term) group by all
+), sizes as (
+    select lang, source, sum(c) as size from counted group by all
+), langs as materialized (
+    select lang, count(*) as kinds, sum(total) as lang_size from kept group by lang
+), dense as materialized (
+    select g.lang, g.source, k.term, coalesce(c.c, 0) as c, {share("coalesce(c.c, 0)", "coalesce(s.size, 0)")} as p, {share("k.total", "lang_size")} as q
+    from groups g join kept k on k.lang = g.lang join langs l on l.lang = g.lang left join counted c on c.lang = g.lang and c.source = g.source and c.term = k.term left join sizes s on s.lang = g.lang and s.source = g.source
+), pair as (
+    select g.lang, g.source, h.source as item from groups g join groups h on h.lang = g.lang and h.source <> g.source
+), apart as (
+    select lang, source, item, sum({gap}) as value from (select a.lang, a.source, b.source as item, a.p, b.p as q from dense a join dense b on b.lang = a.lang and b.term = a.term and b.source <> a.source) group by all
+), found as (
+    select lang, source, 'pair' as part, item, coalesce(value, 0) as value from pair left join apart using (lang, source, item)
+    union all select lang, source, 'term', term, {gap} from dense where c > 0 and p > q
+), ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found
+)
+select lang, source, part, item, value::bigint as value, rank from ranked where part = 'pair' or rank <= {d.RANKS}"""

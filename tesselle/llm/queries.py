@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, license_scan, oracle, packing, quality, repeats, sharding, token_counts, topk, toxicity
+from . import decontamination, divergence, jaccard, license_scan, merkle, oracle, packing, quality, repeats, sharding, token_counts, topk, toxicity, url_filter
 from .scratch import prepare, saved
 from .tokens import public_path
 
@@ -76,6 +76,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: by the written rules, else by the model of the labelled urls."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.fit(url_filter.labelled_urls(spark)))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof, and whether it still holds after tampering."""
+    return merkle.verified(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's terms are from the other sources' of its language, and the terms it has most more of."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_resampling": op1_quality_resampling,
@@ -88,6 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "op11_url_filter": op11_url_filter,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -99,4 +117,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_jaccard_join": oracle.jaccard_sql(),
         "op8_sharding": oracle.sharding_sql(),
         "op10_suffix_array_dedup": oracle.repeats_sql(),
+        "op11_url_filter": oracle.url_filter_sql(),
+        "op12_merkle_manifest": oracle.merkle_sql(),
+        "op13_source_divergence": oracle.divergence_sql(),
     }

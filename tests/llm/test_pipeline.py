@@ -64,5 +64,5 @@ def _without_items(kept, items):
 
 def test_every_number_has_a_query():
     names = list(queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(queries.oracle_sql()) <= set(names)
     assert list(corpus_pipeline.queries()) == ["pipeline"] and len(corpus_pipeline.STAGES) == 5
