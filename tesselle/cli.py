@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ClipConfig
 from .plans.clip import clip_images
-from .sources.images import check_same_size, save, scan
+from .sources.images import check_same_size, save_pair, scan
+
+#: The share of an outline that may meet no road before a warning.
+OPEN_SHARE = 0.05
 
 HELP = """usage: tesselle --map MAP --mask OVERLAY [options]
 
@@ -21,7 +24,7 @@ Clips a region out of a map, its rough outline snapped to roads. Names of option
   --map FILE               the map image
   --mask FILE              the overlay, whose green pixels are the rough selection
   --output FILE            the clipped region (clipped_output.png)
-  --mask-out FILE          the final mask (mask_ and the output's name, beside it)
+  --mask-out FILE          the final mask (mask_output.png)
   --snap-distance N        how far the outline may move (40)
   --road-sensitivity X     over 1 finds weaker edges (1.0)
   --smooth N               width of the half-transparent edge (1)
@@ -44,6 +47,17 @@ def number(args: list[str], name: str, default: float, read: Callable[[str], flo
         return default
 
 
+def option_of(args: Column, name: str) -> Column:
+    """:func:`option` for rows of arguments: what follows the first place of an option, null where it is missing or last."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(args) - 1, F.lit(1))), lambda i: (i < F.size(args)) & (F.lower(F.element_at(args, i)) == name))
+    return F.when(F.size(places) > 0, F.try_element_at(args, F.try_element_at(places, F.lit(1)) + 1))
+
+
+def number_of(args: Column, name: str, default: float, kind: str) -> Column:
+    """:func:`number` for rows of arguments, of a type of Spark's."""
+    return F.coalesce(option_of(args, name).try_cast(kind), F.lit(default).cast(kind))
+
+
 def _one(images: DataFrame) -> DataFrame:
     return images.withColumn("image_id", F.lit(0).cast("long"))
 
@@ -64,8 +78,7 @@ def run(args: list[str], spark: SparkSession | None = None) -> int:
         print(f"error: --map and --mask are needed\n{HELP}", file=sys.stderr)
         return 1
     output = option(args, "--output", "clipped_output.png")
-    folder, name = _place(output)
-    mask_out = option(args, "--mask-out") or f"{folder}/mask_{name}"
+    mask_out = option(args, "--mask-out", "mask_output.png")
     try:
         default = ClipConfig()
         config = ClipConfig(number(args, "--snap-distance", default.snap_distance, int), number(args, "--road-sensitivity", default.road_sensitivity, float), number(args, "--smooth", default.smooth_radius, int))
@@ -76,16 +89,19 @@ def run(args: list[str], spark: SparkSession | None = None) -> int:
         shown, over = _one(scan(spark, shown_at)), _one(scan(spark, over_at))
         check_same_size(shown, over)
         made = clip_images(shown, over, config).persist()  # one image, asked for its numbers and for two files
-        numbers = made.select("n_green", "n_roads", "n_region").first()
-        if numbers.n_green == 0:
-            print("warning: the overlay has no green pixel, nothing is written", file=sys.stderr)
-            return 1
-        if numbers.n_roads == 0:
-            print("warning: no road was found; the region ends at the snap distance", file=sys.stderr)
-        for column, path in (("region", output), ("mask", mask_out)):
-            to, file = _place(path)
-            save(made.select("image_id", F.col(column).alias("png")), to, F.lit(file)).collect()
-        made.unpersist()
+        try:
+            numbers = made.select("n_green", "n_roads", "n_region", "n_open", "n_sides").first()
+            if numbers.n_green == 0:
+                print("warning: the overlay has no green pixel, nothing is written", file=sys.stderr)
+                return 1
+            if numbers.n_roads == 0:
+                print("warning: no road was found; the region ends at the snap distance", file=sys.stderr)
+            elif numbers.n_open > OPEN_SHARE * numbers.n_sides:
+                print(f"warning: {numbers.n_open * 100 // numbers.n_sides} % of the outline meets no road; the network is broken there and the region ends at the snap distance", file=sys.stderr)
+            places = [(column, *_place(path)) for column, path in (("region", output), ("mask", mask_out))]
+            save_pair(made, places)
+        finally:
+            made.unpersist()
         print(f"green {numbers.n_green}, roads {numbers.n_roads}, region {numbers.n_region} pixels")
     except (OSError, ValueError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)

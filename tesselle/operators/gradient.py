@@ -4,33 +4,37 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import luminance
 from ..schema import KEY
+from .packed import unpack
 from .planes import Planes, gradients, per_image
+from .tiled import on_windows, picture
 
 
 def _sobel(planes: Planes) -> Planes:
     return dict(zip(("gx", "gy"), gradients(planes["r"], planes["g"], planes["b"]), strict=True))
 
 
+def _sobel_beside(planes: Planes) -> Planes:
+    return planes | _sobel(planes)
+
+
 def sobel(pixels: DataFrame, wide: bool = False) -> DataFrame:
-    """``pixels`` with gx and gy, null on the image's edge: a difference along one axis and a weighted sum along the other."""
+    """``pixels`` with gx and gy, null on the image's edge: a difference along one axis and a weighted sum along the other.
+
+    With ``wide`` only image_id, x, y and the channels are kept of other columns.
+    """
     if not wide:
         return per_image(pixels, _sobel, ["r", "g", "b"], {"gx": "int", "gy": "int"})
-    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    lum = pixels.withColumn("__lum", luminance())
-    before, after = F.lag("__lum").over(row), F.lead("__lum").over(row)
-    lum = lum.withColumn("__d", after - before).withColumn("__s", before + 2 * F.col("__lum") + after)
-    gx = F.lag("__d").over(column) + 2 * F.col("__d") + F.lead("__d").over(column)
-    gy = F.lead("__s").over(column) - F.lag("__s").over(column)
-    return lum.withColumn("gx", gx).withColumn("gy", gy).drop("__lum", "__d", "__s")
+    made = on_windows(picture(pixels), _sobel_beside, ["argb"], dict.fromkeys(("a", "r", "g", "b", "gx", "gy"), "int"), 1)
+    kept = [c for c in pixels.columns if c in "argb"]
+    return unpack(made, {c: c for c in (*kept, "gx", "gy")})
 
 
 def threshold(sensitivity: float) -> int:
-    """The least magnitude of an edge: 75 over the sensitivity, in single precision and cut off, at least 30."""
+    """The least magnitude of an edge: 75 over the sensitivity, in single precision and cut off, at least 30 (fixed values)."""
     single = lambda v: struct.unpack("f", struct.pack("f", v))[0]
     return max(30, int(single(75.0 / single(sensitivity))))
 

@@ -1,4 +1,4 @@
-"""Masks: construction, points, counts and cell-wise algebra."""
+"""Masks as rows of cells: construction, points, counts and algebra, which works on bit planes (:mod:`~tesselle.operators.packed`)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import KEY, MASK
-from .planes import Planes, together
+from . import packed, tiled
 
 
 def cells(images: DataFrame) -> DataFrame:
@@ -37,6 +37,22 @@ def wrap(spark: SparkSession, width: int, height: int, values: Sequence[bool], i
     return spark.createDataFrame([(image_id, i % width, i // width, bool(v)) for i, v in enumerate(values)], MASK)
 
 
+def blanks(images: DataFrame) -> DataFrame:
+    """A mask without active cells for each of ``images`` (image_id, width, height); a size that is not positive raises when it is reached."""
+    bad = F.raise_error(F.concat(F.lit("a mask needs a positive size, not "), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))).cast("int")
+    checked = images.withColumn("width", F.when((F.col("width") > 0) & (F.col("height") > 0), F.col("width")).otherwise(bad))
+    return cells(checked).withColumn("active", F.lit(False))
+
+
+def wrapped(rows: DataFrame) -> DataFrame:
+    """A mask of the row-by-row ``values`` (an array of booleans) of each row (image_id, width, height, values); an array of another length
+    than width * height raises when it is reached, a null value is inactive."""
+    bad = F.raise_error(F.concat(F.size("values").cast("string"), F.lit(" values do not fill "), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))).cast("array<boolean>")
+    fits = (F.col("width") > 0) & (F.col("height") > 0) & (F.size("values") == F.col("width") * F.col("height"))
+    at = rows.select("image_id", "width", F.posexplode(F.when(fits, F.col("values")).otherwise(bad)).alias("i", "value"))
+    return at.select("image_id", (F.col("i") % F.col("width")).cast("int").alias("x"), F.expr("cast(i div width as int)").alias("y"), F.coalesce("value", F.lit(False)).alias("active"))
+
+
 def sizes(mask: DataFrame) -> DataFrame:
     """Width and height of each image's mask, from its largest cell."""
     return mask.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
@@ -77,40 +93,25 @@ def check_same_size(a: DataFrame, b: DataFrame) -> None:
         raise ValueError(f"masks differ in size: {bad.width}x{bad.height} and {bad.other_width}x{bad.other_height} (image {bad.image_id})")
 
 
-def _either(a: Planes, b: Planes) -> Planes:
-    return {"active": a["active"] | b["active"]}
-
-
-def _both(a: Planes, b: Planes) -> Planes:
-    return {"active": a["active"] & b["active"]}
-
-
-def _first_only(a: Planes, b: Planes) -> Planes:
-    return {"active": a["active"] & ~b["active"]}
-
-
-def _paired(a: DataFrame, b: DataFrame, function: Callable[[Planes, Planes], Planes], value: Column, wide: bool) -> DataFrame:
-    """Both masks cell by cell. An image of two sizes, or one that a mask lacks, raises when it is reached."""
-    if not wide:
-        return together(a, b, function, (["active"], ["active"]), {"active": "boolean"}, [*KEY], exact=True)
-    left, right = a.select(*KEY, F.col("active").alias("__a")), b.select(*KEY, F.col("active").alias("__b"))
-    alone = F.raise_error(F.concat(F.lit("sizes differ in image "), F.col("image_id").cast("string"))).cast("boolean")
-    return left.join(right, list(KEY), "full").select(*KEY, F.when(F.col("__a").isNull() | F.col("__b").isNull(), alone).otherwise(value).alias("active"))
+def _paired(a: DataFrame, b: DataFrame, operator: Callable[[DataFrame, DataFrame], DataFrame], wide: bool) -> DataFrame:
+    """Both masks as bit planes, word by word. An image of two sizes, or one that a mask lacks, raises when it is reached."""
+    side = tiled.SIDE if wide else None
+    return packed.unpack(operator(packed.pack(a, side), packed.pack(b, side)))
 
 
 def union(a: DataFrame, b: DataFrame, wide: bool = False) -> DataFrame:
     """Cells active in either; masks of different sizes are an error."""
-    return _paired(a, b, _either, F.col("__a") | F.col("__b"), wide)
+    return _paired(a, b, packed.union, wide)
 
 
 def intersection(a: DataFrame, b: DataFrame, wide: bool = False) -> DataFrame:
     """Cells active in both; masks of different sizes are an error."""
-    return _paired(a, b, _both, F.col("__a") & F.col("__b"), wide)
+    return _paired(a, b, packed.intersection, wide)
 
 
 def difference(a: DataFrame, b: DataFrame, wide: bool = False) -> DataFrame:
     """Cells active in the first alone; masks of different sizes are an error."""
-    return _paired(a, b, _first_only, F.col("__a") & ~F.col("__b"), wide)
+    return _paired(a, b, packed.difference, wide)
 
 
 def copy(mask: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Dilation, erosion, closing and opening with a square of side 2r + 1.
 
-Images are whole planes in a task; with ``wide=True`` windows pass over lines and then over columns instead.
+Masks go through as bit planes: of whole images, or with ``wide=True`` of tiles with halos, whose windows reach as far as an operator does.
 """
 
 from __future__ import annotations
@@ -8,93 +8,42 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .planes import Planes, closed, dilated, eroded, opened, per_image
+from ..schema import KEY
+from .packed import pack, unpack
+from .planes import Planes, closed, dilated, eroded, opened
+from .tiled import masks, on_windows
 
-#: Radii over this use running sums, whose cost does not grow with the radius.
-FRAME_RADIUS = 4
-AXES = (("y", "x"), ("x", "y"))
 
+def _apply(planes: Planes, operator: Callable) -> Planes:
+    return {"bits": operator(planes["bits"])}
 
-def _counted(value: Column, line: str, along: str, radius: int) -> tuple[Column, Column]:
-    """Active cells within ``radius`` along a line, and how many cells there are."""
-    order = Window.partitionBy("image_id", line).orderBy(along)
-    number = value.cast("int")
-    if radius <= FRAME_RADIUS:
-        frame = order.rangeBetween(-radius, radius)
-        return F.sum(number).over(frame), F.count(F.lit(1)).over(frame)
-    running = F.sum(number).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = Window.partitionBy("image_id", line)
-    last = F.max(along).over(whole)
-    return running, last
 
-
-def _pass(mask: DataFrame, column: str, line: str, along: str, radius: int, decide) -> DataFrame:
-    found, cells = _counted(F.col(column), line, along, radius)
-    if radius <= FRAME_RADIUS:
-        return mask.withColumn(column, decide(found, cells))
-    order = Window.partitionBy("image_id", line).orderBy(along)
-    mask = mask.withColumn("__run", found).withColumn("__last", cells)
-    total = F.max("__run").over(Window.partitionBy("image_id", line))
-    upto = F.coalesce(F.lead("__run", radius).over(order), total)
-    under = F.coalesce(F.lag("__run", radius + 1).over(order), F.lit(0))
-    here = F.least(F.col(along) + radius, F.col("__last")) - F.greatest(F.col(along) - radius, F.lit(0)) + 1
-    return mask.withColumn(column, decide(upto - under, here)).drop("__run", "__last")
-
-
-def squares(mask: DataFrame, wanted: dict[str, tuple[str, int]], border: str = "inactive") -> DataFrame:
-    """Columns dilated or eroded, each by a radius of its own, in one pass over lines and one over columns.
-
-    ``wanted`` gives ``("dilate" or "erode", radius)`` for a column; a radius of 0 or less leaves it.
-    """
-    for line, along in AXES:
-        for column, (how, radius) in wanted.items():
-            if radius <= 0:
-                continue
-            side = 2 * radius + 1
-            if how == "dilate":
-                decide = lambda found, cells: found > 0
-            elif border == "inactive":
-                decide = lambda found, cells, side=side: found == side
-            else:
-                decide = lambda found, cells: found == cells
-            mask = _pass(mask, column, line, along, radius, decide)
-    return mask
-
-
-def _apply(planes: Planes, column: str, operator: Callable) -> Planes:
-    return {column: operator(planes[column])}
-
-
-def _on_planes(mask: DataFrame, column: str, operator: Callable) -> DataFrame:
-    return per_image(mask, partial(_apply, column=column, operator=operator), [column], {column: "boolean"})
+def on_bits(mask: DataFrame, operator: Callable, halo: int, wide: bool = False, column: str = "active") -> DataFrame:
+    """``mask`` with a column replaced by what ``operator`` makes of its plane; ``halo`` is how far a cell's result looks."""
+    tiles = masks(mask.select(*KEY, F.col(column).alias("active"))) if wide else pack(mask, column=column)
+    made = unpack(on_windows(tiles, partial(_apply, operator=operator), ["bits"], {"bits": "boolean"}, halo if wide else 0), {"bits": column})
+    others = [c for c in mask.columns if c not in (*KEY, column)]
+    return (mask.select(*KEY, *others).join(made, list(KEY)) if others else made).select(*mask.columns)
 
 
 def dilate(mask: DataFrame, radius: int, column: str = "active", wide: bool = False) -> DataFrame:
     """Cells with an active one in their square; the square is cut at the image's edge. A radius of 0 or less changes nothing."""
-    if wide or radius <= 0:
-        return squares(mask, {column: ("dilate", radius)})
-    return _on_planes(mask, column, partial(dilated, radius=radius))
+    return on_bits(mask, partial(dilated, radius=radius), radius, wide, column) if radius > 0 else mask
 
 
 def erode(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive", wide: bool = False) -> DataFrame:
     """Cells whose whole square is active. Outside the image counts as inactive, or with ``border="ignore"`` does not count."""
-    if wide or radius <= 0:
-        return squares(mask, {column: ("erode", radius)}, border)
-    return _on_planes(mask, column, partial(eroded, radius=radius, border=border))
+    return on_bits(mask, partial(eroded, radius=radius, border=border), radius, wide, column) if radius > 0 else mask
 
 
 def close(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive", wide: bool = False) -> DataFrame:
     """Dilation, then erosion. With an inactive border cells near the image's edge are lost."""
-    if wide or radius <= 0:
-        return erode(dilate(mask, radius, column, wide), radius, column, border, wide)
-    return _on_planes(mask, column, partial(closed, radius=radius, border=border))
+    return on_bits(mask, partial(closed, radius=radius, border=border), 2 * radius, wide, column) if radius > 0 else mask
 
 
 def open_(mask: DataFrame, radius: int, column: str = "active", border: str = "inactive", wide: bool = False) -> DataFrame:
     """Erosion, then dilation."""
-    if wide or radius <= 0:
-        return dilate(erode(mask, radius, column, border, wide), radius, column, wide)
-    return _on_planes(mask, column, partial(opened, radius=radius, border=border))
+    return on_bits(mask, partial(opened, radius=radius, border=border), 2 * radius, wide, column) if radius > 0 else mask

@@ -1,7 +1,7 @@
 """Images whole in one task: their rows of cells become planes, which one function of planes takes through as many steps as it needs.
 
-An image of some hundred million cells fits in a task. Larger ones take the window forms of the operators (``wide=True``), in which
-no task holds an image.
+An image of some hundred million cells fits in a task. Larger ones are cut into tiles (``wide=True``, :mod:`~tesselle.operators.tiled`), which
+go through the same functions of planes.
 """
 
 from __future__ import annotations
@@ -120,6 +120,19 @@ def _sum(left: pa.Table, right: pa.Table, function: Callable, columns: tuple[lis
 # What is done with planes.
 
 
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of those of 0..n-1 that each is connected with by links (a, b)."""
+    root = np.arange(n)
+    while True:  # hook the larger root under the smaller, then shorten all paths
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (shorter := root[root] != root).any():
+            root = np.where(shorter, root[root], root)
+
+
 def labels(domain: np.ndarray) -> np.ndarray:
     """4-connected components of a 2-D boolean array: the smallest row-by-row place of a cell's component, -1 off the domain."""
     height, width = domain.shape
@@ -136,15 +149,7 @@ def labels(domain: np.ndarray) -> np.ndarray:
     count = np.maximum(high - low, 0)
     a = np.repeat(np.arange(len(first)), count)
     b = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    root = np.arange(len(first))
-    while True:  # hook the larger root under the smaller, then shorten all paths
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            break
-        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-        while (shorter := root[root] != root).any():
-            root = np.where(shorter, root[root], root)
+    root = joined(len(first), a, b)
     start = first // (width + 1) * width + first % (width + 1)
     out[domain] = np.repeat(start[root], last - first)
     return out
@@ -194,24 +199,102 @@ def seeded(mask: np.ndarray, radius: int, border: str = "inactive") -> np.ndarra
     return next((s for r in radii(radius) if (s := eroded(mask, r, border)).any()), mask)
 
 
+def seeded_each(mask: np.ndarray, radius: int, border: str = "inactive") -> np.ndarray:
+    """As :func:`seeded`, with the radius found for each component by itself."""
+    parts = labels(mask)
+    left, out = mask, np.zeros(mask.shape, bool)
+    for r in radii(radius):  # a square within the mask lies within one component
+        core = eroded(mask, r, border) & left
+        out |= core
+        left = left & ~np.isin(parts, np.unique(parts[core]))
+    return out | left
+
+
 def largest(mask: np.ndarray) -> np.ndarray:
     """The largest component alone; of equal ones, the one with the smallest place."""
+    return largest_within(mask, mask[:0]) if mask.any() else mask
+
+
+def largest_within(mask: np.ndarray, strokes: np.ndarray) -> np.ndarray:
+    """Of each component of ``strokes`` the largest component of ``mask`` in it, of equal ones that with the smallest place; without strokes, of all."""
     if not mask.any():
         return mask
     parts = labels(mask)
-    names, sizes = np.unique(parts[mask], return_counts=True)
-    return parts == names[np.argmax(sizes)]
+    names, first, sizes = np.unique(parts[mask], return_index=True, return_counts=True)
+    of = labels(strokes)[mask][first] if strokes.size else np.zeros(len(names), np.int64)
+    order = np.lexsort((names, -sizes, of))
+    best = order[np.concatenate(([True], of[order][1:] != of[order][:-1]))]
+    return np.isin(parts, names[best])
 
 
-def grown(seed: np.ndarray, allowed: np.ndarray, barrier: np.ndarray, policy: str) -> np.ndarray:
-    """The components of allowed cells off the barrier that hold a seed; with ``largest``, of the seed's largest component alone."""
+def grown(seed: np.ndarray, allowed: np.ndarray, barrier: np.ndarray, policy: str, strokes: np.ndarray | None = None) -> np.ndarray:
+    """The components of allowed cells off the barrier that hold a seed: of the seed's largest component alone with ``largest``, of the
+    largest in each component of ``strokes`` with ``stroke``, else of all."""
     free, seed = allowed & ~barrier, seed & ~barrier
     if policy == "largest":
         seed = largest(seed)
+    elif policy == "stroke":
+        seed = largest_within(seed, strokes)
     region = labels(free)
     return np.isin(region, np.unique(region[seed & free])) & free
 
 
+def distances(mask: np.ndarray) -> np.ndarray:
+    """How far each cell is from the nearest inactive one or from outside the image, in steps to any of eight neighbours; 0 where inactive.
+
+    Exact, in one pass down and one up: a line follows from its neighbour, and along a line the least sum with the way is a running minimum.
+    """
+    height, width = mask.shape
+    out = np.zeros((height + 2, width + 2), np.int32)  # with a line of outside on each side
+    out[1:-1, 1:-1] = np.where(mask, np.int32(height + width), 0)
+    along = np.arange(width + 2, dtype=np.int32)
+    for lines in (range(1, height + 1), range(height, 0, -1)):
+        for y in lines:
+            near = out[y - 1] if lines.step > 0 else out[y + 1]
+            line = np.minimum(out[y], near + 1)
+            line[1:] = np.minimum(line[1:], near[:-1] + 1)
+            line[:-1] = np.minimum(line[:-1], near[1:] + 1)
+            line[0] = line[-1] = 0
+            line = np.minimum.accumulate(line - along) + along
+            line = (np.minimum.accumulate((line + along)[::-1]) - along[::-1])[::-1]
+            out[y] = np.where(out[y] > 0, line, 0)
+    return out[1:-1, 1:-1]
+
+
+def extreme(values: np.ndarray, radius: int, of: np.ufunc) -> np.ndarray:
+    """The minimum or maximum (``of``) of the square around each cell, cut at the edge: along each axis the running extremes of blocks from both ends,
+    three comparisons a cell whatever the radius."""
+    side = 2 * radius + 1
+    for _ in range(2):
+        height, width = values.shape
+        rest = np.iinfo(values.dtype).max if of is np.minimum else np.iinfo(values.dtype).min
+        padded = np.full((height, -(-(width + 2 * radius) // side) * side), rest, values.dtype)
+        padded[:, radius : radius + width] = values
+        blocks = padded.reshape(height, -1, side)
+        ahead = of.accumulate(blocks, axis=2).reshape(height, -1)
+        back = of.accumulate(blocks[:, :, ::-1], axis=2)[:, :, ::-1].reshape(height, -1)
+        values = of(back[:, :width], ahead[:, side - 1 : side - 1 + width]).T
+    return values
+
+
+def spread(values: np.ndarray, radius: int) -> np.ndarray:
+    """The largest less the smallest value of the square around each cell."""
+    return extreme(values, radius, np.maximum) - extreme(values, radius, np.minimum)
+
+
+def outline(region: np.ndarray, barrier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many sides of each cell of a region end at the barrier, at the image's edge, and elsewhere."""
+    on, wall = np.pad(region, 1), np.pad(barrier & ~region, 1)
+    outside = np.pad(np.zeros(region.shape, bool), 1, constant_values=True)
+    counts = [np.zeros(region.shape, np.int32) for _ in range(3)]
+    for dy, dx in ((0, 1), (2, 1), (1, 0), (1, 2)):
+        at = (slice(dy, dy + region.shape[0]), slice(dx, dx + region.shape[1]))
+        ends = region & ~on[at]
+        for count, kind in zip(counts, (wall[at], outside[at], ~wall[at] & ~outside[at]), strict=True):
+            count += ends & kind
+    return tuple(counts)
+
+
 def gradients(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ma.MaskedArray, np.ma.MaskedArray]:
     """Sobel gradients of the luminance along lines and along columns, masked on the edge."""
     lum = luminance(r, g, b)

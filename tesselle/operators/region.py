@@ -1,8 +1,8 @@
 """Regions: seeds, zones, 4-connected components and growth under a barrier.
 
-The growth needs no iteration over pixels in Spark: with D the allowed cells that are no barrier, the result is those
-4-connected components of D that hold a seed. An image's components are found in one task from runs of cells
-(:func:`~tesselle.operators.planes.labels`), or, for images too large for that, from a table of runs whose links contract in rounds (:func:`grow_wide`).
+The growth needs no iteration over pixels: with D the allowed cells that are no barrier, the result is those 4-connected components of D
+that hold a seed. An image's components are found in one task from runs of cells (:func:`~tesselle.operators.planes.labels`), or with
+``wide=True`` tile by tile, the tiles' labels being linked where they meet.
 """
 
 from __future__ import annotations
@@ -10,57 +10,42 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ClipConfig
-from ..schema import KEY, shared_folder
-from .morphology import dilate, squares
-from .planes import Planes, dilated, grown, labels, largest, per_image, radii, seeded, together
+from ..schema import KEY
+from . import tiled
+from .morphology import dilate, on_bits
+from .packed import PLACE, pack, unpack
+from .planes import Planes, dilated, grown, labels, largest, outline, seeded, seeded_each, summed, together
 
 
 def _components(planes: Planes) -> Planes:
-    found = labels(planes["active"])
-    return {"component": np.ma.masked_less(found, 0)}
+    return {"bits": planes["bits"], "component": np.ma.masked_less(labels(planes["bits"]), 0)}
 
 
-def components(mask: DataFrame) -> DataFrame:
+def components(mask: DataFrame, wide: bool = False) -> DataFrame:
     """``mask`` with ``component``: the smallest y * width + x of the cell's 4-connected component, null where inactive."""
-    return per_image(mask, _components, ["active"], {"component": "long"}, [*KEY, "active"])
-
-
-def _largest(planes: Planes) -> Planes:
-    return {"active": largest(planes["active"])}
+    if wide:
+        return tiled.component_cells(tiled.masks(mask))
+    made = tiled.on_windows(pack(mask), _components, ["bits"], {"bits": "boolean", "component": "int"}, 0)
+    return unpack(made, {"bits": "active", "component": "component"}).withColumn("component", F.col("component").cast("long"))
 
 
-def largest_component(mask: DataFrame) -> DataFrame:
+def largest_component(mask: DataFrame, wide: bool = False) -> DataFrame:
     """Each image's largest component alone; of equal ones, the one with the smallest place."""
-    return per_image(mask, _largest, ["active"], {"active": "boolean"}, [*KEY, "active"])
-
+    return unpack(tiled.largest(tiled.masks(mask))) if wide else on_bits(mask.select(*KEY, "active"), largest, 0)
 
-def with_seed(mask: DataFrame, radius: int, distance: int = 0, border: str = "inactive") -> DataFrame:
-    """By windows: ``mask`` with ``seed``: eroded by the largest radius of :func:`radii` that leaves a cell of the image, or unchanged if none does;
-    and with ``allowed``: dilated by ``distance``. All radii are tried in the same two passes."""
-    tried, image = radii(radius), Window.partitionBy("image_id")
-    for name in (*(f"__{r}" for r in tried), "allowed"):
-        mask = mask.withColumn(name, F.col("active"))
-    mask = squares(mask, {f"__{r}": ("erode", r) for r in tried} | {"allowed": ("dilate", distance)}, border)
-    seed = F.col("active")
-    for r in reversed(tried):
-        mask = mask.withColumn(f"__any{r}", F.max(F.col(f"__{r}").cast("int")).over(image) > 0)
-        seed = F.when(F.col(f"__any{r}"), F.col(f"__{r}")).otherwise(seed)
-    return mask.withColumn("seed", seed).drop(*(f"__{r}" for r in tried), *(f"__any{r}" for r in tried))
 
+def adaptive_seed(mask: DataFrame, radius: int, border: str = "inactive", wide: bool = False, each: bool = False) -> DataFrame:
+    """The mask eroded by the largest of ``radius`` and its halves that leaves a cell of the image; where none does, the mask itself.
 
-def _seeded(planes: Planes, radius: int, border: str) -> Planes:
-    return {"active": seeded(planes["active"], radius, border)}
-
-
-def adaptive_seed(mask: DataFrame, radius: int, border: str = "inactive", wide: bool = False) -> DataFrame:
-    """The mask eroded by the largest of ``radius`` and its halves that leaves a cell of the image; where none does, the mask itself."""
+    With ``each`` the radius is found for each component by itself.
+    """
     if wide:
-        return with_seed(mask.select(*KEY, "active"), radius, border=border).select(*KEY, F.col("seed").alias("active"))
-    return per_image(mask, partial(_seeded, radius=radius, border=border), ["active"], {"active": "boolean"}, [*KEY, "active"])
+        return unpack(tiled.seeds(tiled.masks(mask), radius, border=border, each=each), {"seed": "active"})
+    return on_bits(mask.select(*KEY, "active"), partial(seeded_each if each else seeded, radius=radius, border=border), 0)
 
 
 def allowed_zone(mask: DataFrame, distance: int, wide: bool = False) -> DataFrame:
@@ -68,90 +53,51 @@ def allowed_zone(mask: DataFrame, distance: int, wide: bool = False) -> DataFram
     return dilate(mask, distance, wide=wide)
 
 
-def zones(rough: DataFrame, barrier: DataFrame, config: ClipConfig) -> DataFrame:
-    """Cells with rough, seed, allowed and barrier; a cell the barrier does not have is free."""
-    cells = with_seed(rough.select(*KEY, "active"), config.seed_erosion_radius, config.snap_distance, config.border).withColumnRenamed("active", "rough")
-    return cells.join(_walled(rough, barrier).drop("rough"), list(KEY))
-
-
-def _walled(rough: DataFrame, barrier: DataFrame) -> DataFrame:
-    """Cells with rough and barrier; a cell the barrier does not have is free."""
-    wall = barrier.select(*KEY, F.col("active").alias("barrier"))
-    return rough.select(*KEY, F.col("active").alias("rough")).join(wall, list(KEY), "left").withColumn("barrier", F.coalesce("barrier", F.lit(False)))
-
-
 def snapped(rough: np.ndarray, barrier: np.ndarray, config: ClipConfig) -> np.ndarray:
     """The region that grows from the seed of a rough selection, on the planes of one image."""
-    seed = seeded(rough, config.seed_erosion_radius, config.border)
-    return grown(seed, dilated(rough, config.snap_distance), barrier, config.seed_policy)
+    seed = (seeded_each if config.seed_policy == "stroke" else seeded)(rough, config.seed_erosion_radius, config.border)
+    return grown(seed, dilated(rough, config.snap_distance), barrier, config.seed_policy, rough)
 
 
 def _snapped(rough: Planes, barrier: Planes, config: ClipConfig) -> Planes:
     return {"active": snapped(rough["active"], barrier["active"], config)}
 
 
-def runs(domain: DataFrame, column: str = "active") -> DataFrame:
-    """Maximal horizontal runs of active cells: image_id, y, x0, x1, and run, the id y * width + x0 of the first cell."""
-    line = Window.partitionBy("image_id", "y").orderBy("x")
-    on = domain.where(F.col(column)).withColumn("part", F.col("x") - F.row_number().over(line))
-    width = domain.groupBy("image_id").agg((F.max("x").cast("long") + 1).alias("width"))
-    found = on.groupBy("image_id", "y", "part").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).join(width, "image_id")
-    return found.select("image_id", "y", "x0", "x1", (F.col("y") * F.col("width") + F.col("x0")).alias("run"))
+def snap(rough: DataFrame, barrier: DataFrame, config: ClipConfig | None = None, wide: bool = False) -> DataFrame:
+    """The rough selection grown from its core to the barrier, no farther than the snap distance; a cell the barrier does not have is free.
+
+    With ``wide``, rough selection and barrier of an image must have one size.
+    """
+    config = config or ClipConfig()
+    if wide:
+        return unpack(tiled.snap(tiled.masks(rough), tiled.masks(barrier), config))
+    return together(rough, barrier, partial(_snapped, config=config), (["active"], ["active"]), {"active": "boolean"}, [*KEY, "active"])
+
 
+def _sides(planes: Planes) -> Planes:
+    return dict(zip(("at_barrier", "at_edge", "open"), outline(planes["bits"], planes["wall"]), strict=True))
 
-def grow_wide(cells: DataFrame, policy: str = "largest") -> DataFrame:
-    """The components of allowed cells off the barrier that hold a seed, with ``largest`` of the seed's largest component alone, and no image in one task: runs are linked to those they touch and contract to their smallest in rounds.
 
-    Rounds are written under ``spark.checkpoint.dir``, which must be set.
-    """
-    spark = cells.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-    def named(domain: DataFrame) -> DataFrame:
-        own = runs(domain).checkpoint()
-        above = own.select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("up"))
-        # touching runs of neighbouring lines share a column: the line's runs are spread over column buckets, so the join has equal keys
-        bucket = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div 64"), F.expr(f"{b} div 64")))
-        links = own.withColumn("c", bucket("x0", "x1")).join(above.withColumn("c", bucket("u0", "u1")), ["image_id", "y", "c"]).where("x0 <= u1 and u0 <= x1")
-        links = links.select("image_id", F.col("run").alias("a"), F.col("up").alias("b")).distinct().checkpoint()
-        both = links.unionByName(links.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
-        roots = own.select("image_id", "run", F.col("run").alias("root"))
-        while True:
-            near = both.join(roots.select("image_id", F.col("run").alias("b"), F.col("root").alias("r")), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("run")).agg(F.min("r").alias("r"))
-            hooked = roots.join(near, ["image_id", "run"], "left").select("image_id", "run", "root", F.least("root", F.coalesce("r", "root")).alias("new"))
-            # a run also takes what its root's run has found
-            best = hooked.groupBy("image_id", F.col("root").alias("run")).agg(F.min("new").alias("best"))
-            jump = hooked.join(best.withColumnRenamed("run", "root"), ["image_id", "root"]).select("image_id", "run", "root", F.least("new", "best").alias("new")).checkpoint()
-            changed = jump.where("new != root").limit(1).count()
-            roots = jump.select("image_id", "run", F.col("new").alias("root"))
-            if not changed:
-                return own.join(roots, ["image_id", "run"])
-
-    line = Window.partitionBy("image_id", "y").orderBy("x")
-
-    def placed(domain: DataFrame, into: str) -> DataFrame:
-        """Cells of the domain with their component."""
-        on = domain.where("active").withColumn("__p", F.col("x") - F.row_number().over(line)).withColumn("x0", F.min("x").over(Window.partitionBy("image_id", "y", "__p")))
-        return on.join(named(domain).select("image_id", "y", "x0", F.col("root").alias(into)), ["image_id", "y", "x0"]).select(*KEY, into)
-
-    seed = cells.select(*KEY, (F.col("seed") & ~F.col("barrier")).alias("active"))
-    free = cells.select(*KEY, (F.col("allowed") & ~F.col("barrier")).alias("active"))
-    if policy == "largest":
-        parts = placed(seed, "part")
-        top = parts.groupBy("image_id", "part").count().groupBy("image_id").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("part"))
-        starts = parts.join(top, ["image_id", "part"], "left_semi").select(*KEY)
-    else:
-        starts = seed.where("active").select(*KEY)
-    regions = placed(free, "region").checkpoint()
-    chosen = regions.join(starts, list(KEY), "left_semi").select("image_id", "region").distinct()
-    inside = regions.join(chosen, ["image_id", "region"], "left_semi").select(*KEY, F.lit(True).alias("in"))
-    return cells.select(*KEY).join(inside, list(KEY), "left").select(*KEY, F.coalesce("in", F.lit(False)).alias("active"))
+def _side_counts(region: Planes, barrier: Planes) -> dict[str, int]:
+    found = outline(region["active"], barrier["active"])
+    return {n: plane.sum() for n, plane in zip(("at_barrier", "at_edge", "open"), found, strict=True)}
 
 
-def snap(rough: DataFrame, barrier: DataFrame, config: ClipConfig | None = None, wide: bool = False) -> DataFrame:
-    """The rough selection grown from its core to the barrier, no farther than the snap distance; a cell the barrier does not have is free."""
-    config = config or ClipConfig()
+def open_share(at_barrier: Column, at_edge: Column, open_: Column) -> Column:
+    """The part of an outline that ends at neither; 0 without an outline."""
+    total = at_barrier + at_edge + open_
+    return F.when(total > 0, open_ / total).otherwise(F.lit(0.0))
+
+
+def open_outline(region: DataFrame, barrier: DataFrame, wide: bool = False) -> DataFrame:
+    """image_id, at_barrier, at_edge, open and share: how many sides of a region's cells end at a barrier, at the image's edge, and at neither, where the
+    growth only stopped at the snap distance because the barrier is broken or absent; and the part that these are of all."""
     if wide:
-        return grow_wide(zones(rough, barrier, config), config.seed_policy)
-    return together(rough, barrier, partial(_snapped, config=config), (["active"], ["active"]), {"active": "boolean"}, [*KEY, "active"])
+        walls = tiled.masks(barrier).select(*PLACE, F.col("bits").alias("wall"))
+        both = tiled.masks(region).join(walls, list(PLACE), "left")
+        sides = tiled.on_windows(both, _sides, ["bits", "wall"], dict.fromkeys(("at_barrier", "at_edge", "open"), "int"), 1)
+        summed_up = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda s, n: s + n)).alias(c)
+        counts = sides.groupBy("image_id").agg(*map(summed_up, ("at_barrier", "at_edge", "open")))
+    else:
+        counts = summed(region, barrier, _side_counts, (["active"], ["active"]), "image_id long, at_barrier long, at_edge long, open long")
+    return counts.withColumn("share", open_share(F.col("at_barrier"), F.col("at_edge"), F.col("open")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -9,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY
-from .morphology import erode
-from .planes import Planes, alphas, eroded, per_image, together
+from .morphology import on_bits
+from .packed import PLACE
+from .planes import Planes, alphas, distances, eroded, together
+from .tiled import masks, on_windows, picture, pixels_of
 
 #: Alpha of the ring between the eroded and the whole mask.
 RING_ALPHA = 160
@@ -22,15 +25,6 @@ def mask_image(mask: DataFrame) -> DataFrame:
     return mask.select(*KEY, F.lit(255).alias("a"), *(level.alias(c) for c in "rgb"))
 
 
-def _shown(pixels: DataFrame, alpha: Column) -> DataFrame:
-    shown = pixels.withColumn("__alpha", alpha)
-    return shown.select(*KEY, F.col("__alpha").alias("a"), *(F.when(F.col("__alpha") > 0, F.col(c)).otherwise(0).alias(c) for c in "rgb"))
-
-
-def _masked(pixels: DataFrame, mask: DataFrame) -> DataFrame:
-    return pixels.join(mask, list(KEY), "left")
-
-
 _ARGB = {c: "int" for c in "argb"}
 
 
@@ -39,42 +33,45 @@ def cut(planes: Planes, alpha: np.ndarray) -> Planes:
     return {"a": alpha, **{c: np.where(alpha > 0, planes[c], 0).astype(np.int32) for c in "rgb"}}
 
 
-def _cut_smooth(pixels: Planes, mask: Planes, radius: int) -> Planes:
+def cut_smooth(pixels: Planes, mask: Planes, radius: int) -> Planes:
     return cut(pixels, alphas(mask["active"], eroded(mask["active"], radius), RING_ALPHA))
 
 
 def _cut_progressive(pixels: Planes, mask: Planes, radius: int) -> Planes:
-    depth = sum((eroded(mask["active"], r).astype(np.int32) for r in range(1, radius + 1)), mask["active"].astype(np.int32))
+    depth = np.minimum(distances(mask["active"]), radius + 1)
     return cut(pixels, depth * 255 // (radius + 1))
 
 
+def clipped_tiles(pictures: DataFrame, tiles: DataFrame, function: Callable[..., Planes], radius: int) -> DataFrame:
+    """Tiles with ``argb`` clipped by tiles with ``bits``; tiles without a mask are inactive."""
+    both = pictures.join(tiles.select(*PLACE, "bits"), list(PLACE), "left")
+    return on_windows(both, partial(_cut_window, function=function, radius=radius), ["argb", "bits"], {"argb": "argb"}, radius)
+
+
+def _cut_window(planes: Planes, function: Callable[..., Planes], radius: int) -> Planes:
+    made = function(planes, {"active": planes["bits"]}, radius=radius)
+    return {"argb": np.stack([made[c] for c in "argb"], -1)}
+
+
+def _clip(pixels: DataFrame, mask: DataFrame, function: Callable[..., Planes], radius: int, wide: bool) -> DataFrame:
+    if wide:
+        return pixels_of(clipped_tiles(picture(pixels), masks(mask), function, radius))
+    return together(pixels, mask, partial(function, radius=radius), (["r", "g", "b"], ["active"]), _ARGB, [*KEY])
+
+
 def clip_hard(pixels: DataFrame, mask: DataFrame, wide: bool = False) -> DataFrame:
     """Pixels opaque where the mask is active and gone elsewhere; their own alpha is not used."""
-    if not wide:
-        return together(pixels, mask, partial(_cut_smooth, radius=0), (["r", "g", "b"], ["active"]), _ARGB, [*KEY])
-    return _shown(_masked(pixels.drop("a"), mask.select(*KEY, "active")), F.when(F.col("active"), 255).otherwise(0))
+    return _clip(pixels, mask, cut_smooth, 0, wide)
 
 
 def clip_smooth(pixels: DataFrame, mask: DataFrame, radius: int = 1, wide: bool = False) -> DataFrame:
     """As :func:`clip_hard`, with a half-transparent ring ``radius`` wide within the mask's edge."""
-    if not wide:
-        return together(pixels, mask, partial(_cut_smooth, radius=radius), (["r", "g", "b"], ["active"]), _ARGB, [*KEY])
-    if radius <= 0:
-        return clip_hard(pixels, mask, wide)
-    core = erode(mask.select(*KEY, "active").withColumn("core", F.col("active")), radius, "core", wide=True)
-    alpha = F.when(F.col("core"), 255).when(F.col("active"), RING_ALPHA).otherwise(0)
-    return _shown(_masked(pixels.drop("a"), core), alpha)
+    return _clip(pixels, mask, cut_smooth, max(radius, 0), wide)
 
 
 def clip_progressive(pixels: DataFrame, mask: DataFrame, radius: int = 2, wide: bool = False) -> DataFrame:
-    """As :func:`clip_hard`, with alpha rising from the mask's edge over ``radius`` rings to opaque."""
-    if not wide:
-        return together(pixels, mask, partial(_cut_progressive, radius=radius), (["r", "g", "b"], ["active"]), _ARGB, [*KEY])
-    cells = mask.select(*KEY, "active")
-    for r in range(1, radius + 1):
-        cells = erode(cells.withColumn(f"__{r}", F.col("active")), r, f"__{r}", wide=True)
-    depth = sum((F.col(f"__{r}").cast("int") for r in range(1, radius + 1)), F.col("active").cast("int"))
-    return _shown(_masked(pixels.drop("a"), cells), F.floor(depth * 255 / (radius + 1)).cast("int"))
+    """As :func:`clip_hard`, with alpha rising from the mask's edge over ``radius`` rings to opaque; a cell's ring is its distance from the edge, so their number costs nothing."""
+    return _clip(pixels, mask, _cut_progressive, max(radius, 0), wide)
 
 
 def _laid_over(pixels: Planes, overlay: Planes, strength: float) -> Planes:
@@ -94,13 +91,13 @@ def overlay_preview(pixels: DataFrame, overlay: DataFrame | None, strength: floa
     return pixels.join(top, list(KEY), "left").select(*KEY, "a", *mixed)
 
 
-def _rim(planes: Planes) -> Planes:
-    return {"active": planes["active"] & ~eroded(planes["active"], 1, "ignore")}
+def _rim(mask: np.ndarray) -> np.ndarray:
+    return mask & ~eroded(mask, 1, "ignore")
 
 
-def rim(mask: DataFrame) -> DataFrame:
+def rim(mask: DataFrame, wide: bool = False) -> DataFrame:
     """Active cells next to one that is not."""
-    return per_image(mask, _rim, ["active"], {"active": "boolean"}, [*KEY, "active"])
+    return on_bits(mask.select(*KEY, "active"), _rim, 1, wide)
 
 
 def checkerboard(cells: DataFrame, side: int = 12) -> DataFrame:

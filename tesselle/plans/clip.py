@@ -1,7 +1,7 @@
 """From a map and a rough green overlay to the clipped region.
 
 An image goes through all steps in one task, from pixels (:func:`stages`) or straight from its bytes (:func:`clip_images`), which never become
-rows of pixels. Images too large for a task take ``wide=True``: every step is then windows and joins over pixels.
+rows of pixels. Images too large for a task take ``wide=True``: every step then works on tiles with halos.
 """
 
 from __future__ import annotations
@@ -16,28 +16,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ClipConfig
-from ..functions.color import is_green, is_road
-from ..operators.gradient import sobel, threshold
+from ..operators import tiled
+from ..operators.gradient import threshold
 from ..operators.grid import count_active
-from ..operators.morphology import close, open_
-from ..operators.planes import Planes, alphas, closed, decoded, eroded, greens, per_image, raw_road_cells, rows_of, summed, together
-from ..operators.region import snap, snapped
-from ..operators.render import RING_ALPHA, clip_smooth, cut, mask_image
+from ..operators.packed import unpack
+from ..operators.planes import Planes, alphas, closed, decoded, eroded, greens, outline, per_image, raw_road_cells, rows_of, summed, together
+from ..operators.region import snapped
+from ..operators.render import RING_ALPHA, clipped_tiles, cut, cut_smooth, mask_image
 from ..schema import KEY
 from ..sources.images import png
 
-MADE = "image_id long, width int, height int, n_green long, n_roads long, n_region long, region binary, mask binary"
-_MADE = pa.schema([("image_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("n_green", pa.int64()), ("n_roads", pa.int64()), ("n_region", pa.int64()), ("region", pa.binary()), ("mask", pa.binary())])
+MADE = "image_id long, width int, height int, n_green long, n_roads long, n_region long, n_open long, n_sides long, region binary, mask binary"
+_MADE = pa.schema([("image_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), *((n, pa.int64()) for n in ("n_green", "n_roads", "n_region", "n_open", "n_sides")), ("region", pa.binary()), ("mask", pa.binary())])
 
 
 def _greens(planes: Planes) -> Planes:
     return {"active": greens(planes)}
 
 
+def _as_bits(planes: Planes, function) -> Planes:
+    return {"bits": function(planes)["active"]}
+
+
+def green_tiles(pictures: DataFrame) -> DataFrame:
+    """The green cells of tiles with ``argb``, without specks."""
+    return tiled.on_windows(pictures, partial(_as_bits, function=_greens), ["argb"], {"bits": "boolean"}, 2)
+
+
+def road_tiles(pictures: DataFrame, level: int, radius: int, border: str) -> DataFrame:
+    """The road network of tiles with ``argb``."""
+    one = partial(_roads, level=level, radius=radius, border=border)
+    return tiled.on_windows(pictures, partial(_as_bits, function=one), ["argb"], {"bits": "boolean"}, 1 + 2 * radius)
+
+
 def extract_green(pixels: DataFrame, wide: bool = False) -> DataFrame:
     """The green pixels, without specks."""
     if wide:
-        return open_(pixels.select(*KEY, is_green().alias("active")), 1, wide=True)
+        return unpack(green_tiles(tiled.picture(pixels)))
     return per_image(pixels, _greens, ["a", "r", "g", "b"], {"active": "boolean"}, [*KEY])
 
 
@@ -50,8 +65,7 @@ def raw_roads(pixels: DataFrame, config: ClipConfig | None = None, wide: bool =
     config = config or ClipConfig()
     t = threshold(config.road_sensitivity)
     if wide:
-        strong = F.coalesce(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") >= t * t, F.lit(False))
-        return sobel(pixels, wide=True).select(*KEY, (is_road() | strong).alias("active"))
+        return unpack(road_tiles(tiled.picture(pixels), t, 0, config.border))
     return per_image(pixels, partial(_roads, level=t, radius=0, border=config.border), ["r", "g", "b"], {"active": "boolean"}, [*KEY])
 
 
@@ -59,7 +73,7 @@ def detect_roads(pixels: DataFrame, config: ClipConfig | None = None, wide: bool
     """The road network, small gaps closed."""
     config = config or ClipConfig()
     if wide:
-        return close(raw_roads(pixels, config, wide=True), config.closing_radius, border=config.border, wide=True)
+        return unpack(road_tiles(tiled.picture(pixels), threshold(config.road_sensitivity), config.closing_radius, config.border))
     one = partial(_roads, level=threshold(config.road_sensitivity), radius=config.closing_radius, border=config.border)
     return per_image(pixels, one, ["r", "g", "b"], {"active": "boolean"}, [*KEY])
 
@@ -95,9 +109,11 @@ def clip(pixels: DataFrame, overlay: DataFrame, config: ClipConfig | None = None
     of them writes that once. Images without green give empty masks: see :func:`without_green`."""
     config = config or ClipConfig()
     if wide:
-        green, roads = extract_green(overlay, wide), detect_roads(pixels, config, wide)
-        region = snap(green, roads, config, wide)
-        return Clip(green, roads, region, clip_smooth(pixels, region, config.smooth_radius, wide), mask_image(region))
+        shown = tiled.picture(pixels)
+        green, roads = green_tiles(tiled.picture(overlay)), road_tiles(shown, threshold(config.road_sensitivity), config.closing_radius, config.border)
+        region = tiled.snap(green, roads, config)
+        clipped = tiled.pixels_of(clipped_tiles(shown, region, cut_smooth, config.smooth_radius))
+        return Clip(unpack(green), unpack(roads), unpack(region), clipped, mask_image(unpack(region)))
     made = stages(pixels, overlay, config)
     as_mask = lambda c: made.select(*KEY, F.col(c).alias("active"))
     return Clip(as_mask("green"), as_mask("roads"), as_mask("active"), made.select(*KEY, "a", "r", "g", "b"), mask_image(as_mask("active")))
@@ -128,12 +144,14 @@ def _clipped(batches: Iterator[pa.RecordBatch], config: ClipConfig) -> Iterator[
         made = _stages(decoded(size[0], row["n_channels"], row["data"]), decoded(size[0], row["over_channels"], row["over_data"]), config)
         region = png(np.stack([made[c] for c in "rgba"], -1))
         mask = png(np.repeat(np.where(made["active"], 255, 0)[..., None], 3, -1))
-        values = (row["image_id"], *size, *(int(made[c].sum()) for c in ("green", "roads", "active")), region, mask)
+        sides = [int(n.sum()) for n in outline(made["active"], made["roads"])]
+        values = (row["image_id"], *size, *(int(made[c].sum()) for c in ("green", "roads", "active")), sides[2], sum(sides), region, mask)
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _MADE, strict=True)], schema=_MADE)
 
 
 def clip_images(maps: DataFrame, overlays: DataFrame, config: ClipConfig | None = None) -> DataFrame:
-    """image_id, width, height, n_green, n_roads, n_region and the PNGs ``region`` and ``mask`` of each of ``maps`` that has one of ``overlays``.
+    """image_id, width, height, n_green, n_roads, n_region, n_open of n_sides (of the region's outline, see :func:`~tesselle.operators.region.open_outline`)
+    and the PNGs ``region`` and ``mask`` of each of ``maps`` that has one of ``overlays``.
 
     Both are ``images``; two sizes for one image are an error. No row of a pixel is made.
     """

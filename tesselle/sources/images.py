@@ -5,10 +5,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.grid import compared
 from ..operators.planes import Cells
 from ..schema import IMAGES, PIXELS
+from .sink import write_files
 
 #: Pixels of one record batch.
 BATCH = 1 << 18
@@ -24,14 +23,40 @@ BATCH = 1 << 18
 def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``images`` of the image files at a path. A file that cannot be read or decoded raises when it is reached.
 
-    Files of one channel are refused: their samples would need a colour conversion first.
+    Samples of files of one channel are linear greys, and become the levels of three equal channels that such a grey is shown with.
     """
     if not path:
         raise ValueError("a path is needed")
     raw = spark.read.format("image").load(path).select("image.*")
     bad = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("origin")))
-    checked = F.when(F.col("width") <= 0, bad("not an image")).when(~F.col("nChannels").isin(3, 4), bad("only three or four channels are read")).otherwise(F.col("data"))
-    return raw.select(F.xxhash64("origin").alias("image_id"), "origin", "width", "height", F.col("nChannels").alias("n_channels"), checked.alias("data"))
+    checked = F.when(F.col("width") <= 0, bad("not an image")).when(~F.col("nChannels").isin(1, 3, 4), bad("only one, three or four channels are read")).otherwise(F.col("data"))
+    found = raw.select(F.xxhash64("origin").alias("image_id"), "origin", "width", "height", F.col("nChannels").alias("n_channels"), checked.alias("data"))
+    return found.mapInArrow(_coloured, IMAGES)
+
+
+def grey_level(sample: int) -> int:
+    """The level of each channel that a linear grey of 8 bits is shown with: the transfer curve of sRGB (fixed values)."""
+    v = sample / 255
+    return int(255 * (12.92 * v if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055) + 0.5)
+
+
+GREYS = np.array([grey_level(v) for v in range(256)], np.uint8)
+
+
+def _coloured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Images of one channel as such of three."""
+    for batch in batches:
+        grey = [n == 1 for n in batch.column("n_channels").to_pylist()]
+        if not any(grey):
+            yield batch
+            continue
+        for i, is_grey in enumerate(grey):
+            row = batch.slice(i, 1)
+            if is_grey:
+                data = np.repeat(GREYS[np.frombuffer(row.column("data")[0].as_buffer(), np.uint8)], 3).tobytes()
+                columns = [pa.array([3], pa.int32()) if n == "n_channels" else pa.array([data], pa.binary()) if n == "data" else row.column(n) for n in row.schema.names]
+                row = pa.RecordBatch.from_arrays(columns, names=row.schema.names)
+            yield row
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,10 +89,10 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def png(samples: np.ndarray) -> bytes:
-    """A PNG of 8-bit samples of shape (height, width, 3 or 4)."""
+    """A PNG of 8-bit samples of shape (height, width, 1, 3 or 4)."""
     height, width, n = samples.shape
     lines = np.concatenate([np.zeros((height, 1), np.uint8), samples.astype(np.uint8).reshape(height, width * n)], 1)
-    head = struct.pack(">IIBBBBB", width, height, 8, 6 if n == 4 else 2, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[n], 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
@@ -80,9 +105,10 @@ def _png(table: pa.Table, channels: str) -> pa.Table:
     return pa.table({"image_id": table.column("image_id").slice(0, 1), "png": pa.array([png(_samples(table, channels))], pa.binary())})
 
 
-def encode(pixels: DataFrame, alpha: bool = True) -> DataFrame:
-    """(image_id, png) of dense pixels, an image in a task."""
-    return pixels.select("image_id", "x", "y", "a", "r", "g", "b").groupBy("image_id").applyInArrow(lambda table: _png(table, "rgba" if alpha else "rgb"), "image_id long, png binary")
+def encode(pixels: DataFrame, alpha: bool = True, channels: str | None = None) -> DataFrame:
+    """(image_id, png) of dense pixels, an image in a task: of four channels or three, or of those named (one is written as grey samples)."""
+    channels = channels or ("rgba" if alpha else "rgb")
+    return pixels.select("image_id", "x", "y", "a", "r", "g", "b").groupBy("image_id").applyInArrow(lambda table: _png(table, channels), "image_id long, png binary")
 
 
 def _raw(table: pa.Table, channels: str) -> pa.Table:
@@ -97,20 +123,16 @@ def gathered(pixels: DataFrame, alpha: bool = True) -> DataFrame:
     return pixels.select("image_id", "x", "y", "a", "r", "g", "b").groupBy("image_id").applyInArrow(lambda table: _raw(table, "bgra" if alpha else "bgr"), IMAGES)
 
 
-def _save(frames: Iterator[pd.DataFrame], base: str) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
-    for pdf in frames:
-        for name, data in zip(pdf["name"], pdf["png"], strict=True):
-            system, path = fs.FileSystem.from_uri(f"{base}/{name}")
-            system.create_dir(path.rpartition("/")[0], recursive=True)
-            with system.open_output_stream(path) as f:
-                f.write(data)
-        yield pdf[["image_id", "name"]]
-
-
 def save(encoded: DataFrame, base: str, name=None) -> DataFrame:
-    """Writes each PNG under ``base`` (a URI or an absolute path that all machines share), by default as its id; gives what was written."""
-    base = base if "://" in base else f"file://{base}"
+    """Writes each PNG under ``base`` (a URI or an absolute path that all machines share), by default as its id: all of them or none.
+    Gives (image_id, name) of what was written."""
     named = encoded.withColumn("name", name if name is not None else F.concat(F.col("image_id").cast("string"), F.lit(".png")))
-    return named.select("image_id", "name", "png").mapInPandas(partial(_save, base=base.rstrip("/")), "image_id long, name string")
+    write_files(named.select("name", F.col("png").alias("content")), base)
+    return named.select("image_id", "name")
+
+
+def save_pair(made: DataFrame, places: list[tuple[str, str, str]]) -> None:
+    """Writes columns of PNGs of one row, each (column, folder, name) to its place. Files of one folder appear together, or none of them."""
+    for folder in dict.fromkeys(folder for _, folder, _ in places):
+        here = [F.struct(F.lit(name).alias("name"), F.col(column).alias("content")) for column, to, name in places if to == folder]
+        write_files(made.select(F.inline(F.array(*here))), folder)

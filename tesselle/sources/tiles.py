@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.grid import cells
 from ..schema import by_image
 
-SIDE, SPLIT_SIDE = 64, 40
+SIDE, SPLIT_SIDE, WIDE_SIDE = 64, 40, 150
 #: Colours of the ground, of the two kinds of road, and of the overlay.
 GROUND, ORANGE, YELLOW, GREEN = (230, 226, 219), (245, 165, 100), (250, 230, 140), (0, 220, 0)
 
@@ -86,3 +86,18 @@ def split_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(images(spark, sf_dir, SPLIT_SIDE)).withColumn("active", F.expr("x = 20 + image_id % 3"))
+
+
+def two_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rough selection of two strokes, each on both sides of :func:`strokes_barrier`."""
+    return cells(images(spark, sf_dir)).withColumn("active", F.expr("x between 8 and 34 and (y between 6 and 22 or y between 40 and 40 + 8 + image_id % 9)"))
+
+
+def strokes_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A road through both strokes, broken in some images."""
+    return cells(images(spark, sf_dir)).withColumn("active", F.expr("x = 20 + image_id % 3 and (y < 44 or image_id % 4 != 0)"))
+
+
+def large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mask of winding bands on a square that is not a multiple of any tile."""
+    return cells(images(spark, sf_dir, WIDE_SIDE)).withColumn("active", F.expr("(x + y div 3 + image_id) % 17 < 9 and (y % 31 < 27 or x % 50 < 6)"))

@@ -20,7 +20,8 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables"
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    con.sql(f"create view supplier as select * from '{DATA}/supplier.parquet'")
+    for name in ("region", "supplier"):
+        con.sql(f"create view {name} as select * from '{DATA}/{name}.parquet'")
     return con
 
 

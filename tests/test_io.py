@@ -40,14 +40,15 @@ def test_bad_files(spark, tmp_path):
         images.check_same_size(a, b)
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
     black = np.zeros((30, 30, 3), int)
     green = rect(30, 30, (5, 5, 20, 20, (0, 220, 0)), picture=(0, 0, 0))
     shown, over, none = _write(tmp_path / "map.png", black), _write(tmp_path / "over.png", green), _write(tmp_path / "none.png", black)
     out = tmp_path / "made" / "out.png"
     assert cli.run(["--map", shown, "--mask", over, "--output", str(out), "--snap-distance", "15"], spark) == 0
     made = plane(images.pixels(images.scan(spark, str(out)).withColumn("image_id", F.lit(0).cast("long"))), "a")
-    assert ((made == 255).sum(), (made == 160).sum()) == (784, 116) and (tmp_path / "made" / "mask_out.png").exists()
+    assert ((made == 255).sum(), (made == 160).sum()) == (784, 116) and (tmp_path / "mask_output.png").exists()
     assert "green 400, roads 0, region 900" in capsys.readouterr().out
     assert cli.run(["--map", shown, "--mask", none, "--output", str(tmp_path / "no.png")], spark) == 1 and not (tmp_path / "no.png").exists()
     assert cli.run([], spark) == 1 and cli.run(["--help"], spark) == 0 and cli.run(["--map", shown], spark) == 1
