@@ -24,8 +24,8 @@ from ..schema import KEY, shared_folder
 from .packed import PLACE, TILE, TILE_KINDS, pack, to_plane, to_words, unpack
 from .planes import Planes, dilated, eroded, joined, labels, radii
 
-#: Cells of a tile's side, a multiple of 64.
-SIDE = 1024
+#: Cells of a tile's side, a multiple of 64, and of a batch of strips or tiles that a task hands on.
+SIDE, BATCH_CELLS = 1024, 1 << 18
 #: How a made plane is stored: booleans as words, channels as bytes, others as numbers, null where masked.
 KINDS = {"boolean": "array<long>", "int": "array<int>", "argb": "binary"}
 
@@ -51,15 +51,25 @@ def _plane(name: str, value: pa.Scalar, w: int, h: int) -> np.ndarray:
     return to_plane(value.values.to_numpy(zero_copy_only=False), w, h)
 
 
-def _stored(name: str, plane: np.ndarray) -> pa.Array:
-    """A plane as a column of one row."""
+def _stored(name: str, planes: list[np.ndarray]) -> pa.Array:
+    """Planes as a column, a row each."""
     if name == "argb":
-        return pa.array([np.ascontiguousarray(plane, np.uint8).tobytes()], pa.binary())
-    if plane.dtype == bool:
-        return pa.array([to_words(plane)], pa.list_(pa.int64()))
-    hidden = np.ma.getmaskarray(plane).ravel() if isinstance(plane, np.ma.MaskedArray) else None
-    values = pa.array(np.ma.getdata(plane).ravel().astype(np.int32), pa.int32(), mask=hidden)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.array([np.ascontiguousarray(p, np.uint8).tobytes() for p in planes], pa.binary())
+    if planes[0].dtype == bool:
+        values = [to_words(p) for p in planes]
+        flat = pa.array(np.concatenate(values))
+    else:
+        values = [np.ma.getdata(p).ravel().astype(np.int32) for p in planes]
+        hidden = [np.ma.getmaskarray(p).ravel() if isinstance(p, np.ma.MaskedArray) else np.zeros(p.size, bool) for p in planes]
+        flat = pa.array(np.concatenate(values), pa.int32(), mask=np.concatenate(hidden))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))), pa.int32()), flat)
+
+
+def _batch(places: list[tuple], names: list[str], planes: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+    """Rows of places, of which the first number is an image's id, and of planes."""
+    kinds = [pa.int64()] + [pa.int32()] * (len(names) - 1)
+    columns = [pa.array(c, k) for c, k in zip(zip(*places, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, *(_stored(c, p) for c, p in planes.items())], names=[*names, *planes])
 
 
 def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.RecordBatch, int]]:
@@ -70,7 +80,8 @@ def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Rec
 
 def _strips(batches: Iterator[pa.RecordBatch], columns: list[str], side: int, halo: int) -> Iterator[pa.RecordBatch]:
     """Each tile itself, and for each tile near it the part of it that lies in that one's window."""
-    reach = -(-halo // side)
+    reach, names = -(-halo // side), [*TILE, "px", "py", "pw", "ph"]
+    places, cut, size = [], {c: [] for c in columns}, 0
     for tile, batch, row in _tile_rows(batches):
         planes = {c: _plane(c, batch.column(c)[row], tile["w"], tile["h"]) for c in columns}
         x0, y0, x1, y1 = tile["x0"], tile["y0"], tile["x0"] + tile["w"], tile["y0"] + tile["h"]
@@ -83,10 +94,15 @@ def _strips(batches: Iterator[pa.RecordBatch], columns: list[str], side: int, ha
                 top, bottom = max(y0, ty - halo), min(y1, ty + side + halo)
                 if left >= right or top >= bottom:
                     continue
-                place = (tile["image_id"], tile["width"], tile["height"], tx, ty, min(side, tile["width"] - tx), min(side, tile["height"] - ty), left, top, right - left, bottom - top)
-                cut = [_stored(c, planes[c][top - y0 : bottom - y0, left - x0 : right - x0]) for c in columns]
-                kinds = [pa.int64()] + [pa.int32()] * 10
-                yield pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(place, kinds, strict=True)), *cut], names=[*TILE, "px", "py", "pw", "ph", *columns])
+                places.append((tile["image_id"], tile["width"], tile["height"], tx, ty, min(side, tile["width"] - tx), min(side, tile["height"] - ty), left, top, right - left, bottom - top))
+                for c in columns:
+                    cut[c].append(planes[c][top - y0 : bottom - y0, left - x0 : right - x0])
+                size += (right - left) * (bottom - top)
+        if size > BATCH_CELLS:
+            yield _batch(places, names, cut)
+            places, cut, size = [], {c: [] for c in columns}, 0
+    if places:
+        yield _batch(places, names, cut)
 
 
 def _window(rows: pa.Table, columns: list[str], side: int, halo: int) -> tuple[dict, Area, Planes]:
@@ -115,15 +131,23 @@ def _one_window(rows: pa.Table, function: Callable, columns: list[str], made: di
     tile, area, planes = _window(rows, columns, side, halo)
     left, top = tile["x0"] - area.left, tile["y0"] - area.top
     found = function(channels(planes))
-    cut = [found[c][top : top + tile["h"], left : left + tile["w"]] for c in made]
-    kinds = [pa.int64()] + [pa.int32()] * 6
-    return pa.Table.from_arrays([*(pa.array([tile[c]], k) for c, k in zip(TILE, kinds, strict=True)), *(_stored(c, p) for c, p in zip(made, cut, strict=True))], names=[*TILE, *made])
+    cut = {c: [found[c][top : top + tile["h"], left : left + tile["w"]]] for c in made}
+    return pa.Table.from_batches([_batch([tuple(tile.values())], list(TILE), cut)])
 
 
 def _one_tile(batches: Iterator[pa.RecordBatch], function: Callable, columns: list[str], made: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    places, planes, size = [], {c: [] for c in made}, 0
     for tile, batch, row in _tile_rows(batches):
         found = function(channels({c: _plane(c, batch.column(c)[row], tile["w"], tile["h"]) for c in columns}))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in TILE), *(_stored(c, found[c]) for c in made)], names=[*TILE, *made])
+        places.append(tuple(tile.values()))
+        for c in made:
+            planes[c].append(found[c])
+        size += tile["w"] * tile["h"]
+        if size > BATCH_CELLS:
+            yield _batch(places, list(TILE), planes)
+            places, planes, size = [], {c: [] for c in made}, 0
+    if places:
+        yield _batch(places, list(TILE), planes)
 
 
 # Tiles.
@@ -154,9 +178,7 @@ def _gathered(rows: pa.Table, side: int) -> pa.Table:
     argb = np.zeros((h, w, 4), np.uint8)
     for i, c in enumerate("argb"):
         argb[rows.column("y").to_numpy() - y0, rows.column("x").to_numpy() - x0, i] = rows.column(c).to_numpy()
-    kinds = [pa.int64()] + [pa.int32()] * 6
-    place = (tile["image_id"], tile["width"], tile["height"], x0, y0, w, h)
-    return pa.Table.from_arrays([*(pa.array([v], k) for v, k in zip(place, kinds, strict=True)), _stored("argb", argb)], names=[*TILE, "argb"])
+    return pa.Table.from_batches([_batch([(tile["image_id"], tile["width"], tile["height"], x0, y0, w, h)], list(TILE), {"argb": [argb]})])
 
 
 def picture(pixels: DataFrame, side: int | None = None) -> DataFrame:
@@ -178,8 +200,7 @@ def _cut(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatc
                     part = samples[y0 : y0 + side, x0 : x0 + side]
                     argb = np.concatenate([part[..., 3:] if n == 4 else np.full((*part.shape[:2], 1), 255, np.uint8), part[..., 2::-1]], 2)
                     place = (image_id, width, height, x0, y0, part.shape[1], part.shape[0])
-                    kinds = [pa.int64()] + [pa.int32()] * 6
-                    yield pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(place, kinds, strict=True)), _stored("argb", argb)], names=[*TILE, "argb"])
+                    yield _batch([place], list(TILE), {"argb": [argb]})
 
 
 def cut_images(images: DataFrame, side: int | None = None) -> DataFrame:
@@ -229,7 +250,8 @@ def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
                 edges.append(np.stack([np.full(len(on), axis), np.full(len(on), line), on + first, cells[on]]))
         axis, line, at, label = np.concatenate(edges, 1) if edges else np.zeros((4, 0), np.int64)
         lists = [names, counts, axis.astype(np.int32), line.astype(np.int32), at.astype(np.int32), label]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in TILE), *(pa.array([v.tolist()], pa.list_(pa.int32() if v.dtype == np.int32 else pa.int64())) for v in lists)], names=[*TILE, "labels", "counts", "axis", "line", "at", "label"])
+        arrays = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in lists]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in TILE), *arrays], names=[*TILE, "labels", "counts", "axis", "line", "at", "label"])
 
 
 def _united(rows: pa.Table) -> pa.Table:
@@ -264,7 +286,7 @@ def _named(tile: pa.Table, names: pa.Table, column: str, function: Callable, mad
     place = {c: tile.column(c)[0].as_py() for c in TILE}
     found = global_labels(_plane(column, tile.column(column)[0], place["w"], place["h"]), place)
     plane = function(found, names.column("label").to_numpy(), names.column("root").to_numpy())
-    out = plane if isinstance(plane, pa.Array) else _stored("bits", plane)
+    out = plane if isinstance(plane, pa.Array) else _stored("bits", [plane])
     return pa.Table.from_arrays([*(tile.column(c) for c in TILE), out], names=[*TILE, made])
 
 

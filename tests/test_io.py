@@ -84,9 +84,24 @@ def test_stream_waits_for_the_other_side(spark, tmp_path):
         spark.createDataFrame(rows, IMAGES + ", role string").coalesce(1).write.mode("append").parquet(source)
         clip_stream(spark, source, target, checkpoint).awaitTermination()
     got = spark.read.parquet(target).collect()
-    assert sorted((r.image_id, r.n_active, r.batch) for r in got) == [(1, 900, 1), (2, 900, 2), (3, 900, 1)]
-    waiting = spark.read.parquet(f"{target}_waiting").where("batch = 2").collect()
-    assert [(r.image_id, r.role) for r in waiting] == [(4, "overlay")]
+    assert sorted((r.image_id, r.n_active) for r in got) == [(1, 900), (2, 900), (3, 900)]
+    assert spark.read.parquet(f"{target}_unmatched").count() == 0
+
+
+def test_stream_gives_up_waiting_and_keeps_no_state(spark, tmp_path):
+    """A lone side comes out after its time, once, and a partner that comes later still finds one of its own."""
+    green = rect(30, 30, (5, 5, 20, 20, (0, 220, 0)), picture=(0, 0, 0))
+    over = lambda i: (i, "o", 30, 30, 3, green[..., ::-1].astype(np.uint8).tobytes(), "overlay")
+    shown = lambda i, origin="m": (i, origin, 30, 30, 3, bytes(2700), "map")
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for rows in ([shown(1), shown(2), shown(2, "b")], [shown(3), over(3), over(3)], [over(1), over(5)], [shown(5), shown(1)]):
+        spark.createDataFrame(rows, IMAGES + ", role string").coalesce(1).write.mode("append").parquet(source)
+        clip_stream(spark, source, target, checkpoint, wait_ms=1).awaitTermination()
+    got = spark.read.parquet(target).collect()
+    lone = spark.read.parquet(f"{target}_unmatched").collect()
+    assert sorted((r.image_id, r.n_active) for r in got) == [(1, 900), (3, 900), (5, 900)]
+    # of image 2 the smaller row of one batch waited and came out once, with its bytes
+    assert sorted((r.image_id, r.role, r.origin, len(r.data)) for r in lone) == [(1, "map", "m", 2700), (2, "map", "b", 2700)]
 
 
 def test_wide_frames(spark):
