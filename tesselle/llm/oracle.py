@@ -26,9 +26,11 @@ with whole as (
     select row_number() over () as n, vec_id, v from whole
 ), cell as (
     select n, vec_id, unnest(v) as x, generate_subscripts(v, 1) as d from part
+), asked as (
+    select vec_id, min(v) as v from part where vec_id % {topk.EVERY} = 0 group by vec_id
 ), scored as (
     select q.vec_id as query_id, c.n, c.vec_id, sum(q.x * c.x)::bigint as score
-    from (select distinct vec_id, d, x from cell where vec_id % {topk.EVERY} = 0) q join cell c on c.d = q.d and c.vec_id <> q.vec_id group by all
+    from (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as d from asked) q join cell c on c.d = q.d and c.vec_id <> q.vec_id group by all
 ), ranked as (
     select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored
 )

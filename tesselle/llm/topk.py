@@ -96,16 +96,9 @@ def _rows(batches: Iterator[pa.RecordBatch], scale: int, centres: np.ndarray) ->
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One query of each id: of different vectors the sum of the different components of each dimension."""
+    """One query of each id: of different vectors the first by its components."""
     for batch in batches:
-        queries = []
-        for vectors in batch.column("vectors").to_pylist():
-            if len(vectors) > 1:
-                own = [unpacked(v, 1)[0] for v in vectors]
-                matrix = np.sort(stacked(own, max(map(len, own))), 0)
-                matrix[1:][matrix[1:] == matrix[:-1]] = 0
-                vectors = [packed(matrix.sum(0))]
-            queries.append(vectors[0])
+        queries = [min(vectors, key=lambda v: unpacked(v, 1)[0].tolist()) for vectors in batch.column("vectors").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("near"), batch.column("vec_id"), pa.array(queries, pa.binary())], names=["near", "vec_id", "vector"])
 
 
@@ -258,7 +251,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     Null ids, and vectors that are null, empty or hold a null or non-finite component, take no part. Shorter vectors are continued with
     zeros. Repeated rows each count as candidates, and a repeated query is asked once; where an id stands with different vectors, the
-    query has in each dimension the sum of their different components, as in the SQL. A score beyond 64 bits is the outermost one. An
+    query is the row whose vector comes first by its components, and all its rows stay candidates of others. A score beyond 64 bits is the outermost one. An
     empty table gives no rows. ``counted`` are three accumulators: pairs of a query and a block, places read in lists, places there were.
     """
     spark = vectors.sparkSession
