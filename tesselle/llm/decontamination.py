@@ -6,7 +6,10 @@ windows a few edits apart agree in most places. Each of several samples of the p
 fall into buckets of an item's windows often enough, at shifts no further apart than the allowed edits move them, the exact edit
 distance decides, over all that such a stretch can cover.
 
-An item is as many windows as it has words: a window is about 24 bytes, fewer for shorter items (:data:`KINDS`), because
+An item that allows one edit is found without buckets: one of its halves stands as it is (:data:`HALF`). Buckets that many items share say little of any
+of them: they are left out where an item has others enough (:data:`COMMON`).
+
+Any other item is as many windows as it has words: a window is about 24 bytes, fewer for shorter items (:data:`KINDS`), because
 of long windows with a tenth of edits the walks part for good. What the buckets find was measured against the exact distance (README): it is a
 search with a recall, and no item is found that is not within the limit.
 """
@@ -34,6 +37,10 @@ KINDS = ((128, 48, 10, 3), (64, 32, 8, 3), (24, 20, 7, 2), (10, 12, 5, 1))
 MET = 0.05
 #: Samples of the places of a window.
 SAMPLES = 8
+#: Bytes at both ends of a half of an item with one edit, by which it is sought at every place.
+HALF = 5
+#: Items that share a bucket from which on it is common, and the share of an item's buckets that are kept however common they are, the rarest first.
+COMMON, LEAST_KEPT = 32, 0.4
 #: Bytes of a word after which windows also begin within it, at bytes that their surroundings choose.
 RUN = 12
 #: Bytes of the character that each byte begins; of a byte within one, 1.
@@ -137,6 +144,37 @@ def buckets(walks: np.ndarray, kind: int) -> np.ndarray:
     return out
 
 
+def _ends(data: np.ndarray) -> np.ndarray:
+    """The next :data:`HALF` bytes of each place as one number."""
+    out = np.zeros(len(data) - HALF + 1, U)
+    for k in range(HALF):
+        out = out << U(8) | data[k : len(data) - HALF + 1 + k].astype(U)
+    return out
+
+
+def _halves(text: str) -> list[tuple[int, int, int, int]]:
+    """Of both halves of a text: its offset, the numbers of its first and its last bytes, and how far these are apart; none where a half has too few bytes."""
+    middle = len(text) // 2
+    halves = [np.frombuffer(h.encode(), np.uint8) for h in (text[:middle], text[middle:])]
+    if any(len(h) < HALF for h in halves):
+        return []
+    return [(at, int(_ends(h)[0]), int(_ends(h)[-1]), len(h) - HALF) for at, h in zip((0, len(halves[0])), halves, strict=True)]
+
+
+def _told_apart(keys: np.ndarray, owner: np.ndarray, items: int) -> np.ndarray:
+    """Which places of the index are kept: those whose bucket is not common, and of each item the rarest in any case."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    pairs = np.unique(np.stack([keys, owner.astype(U)], 1), axis=0)
+    names, spread = np.unique(pairs[:, 0], return_counts=True)
+    shared = spread[np.searchsorted(names, keys)]
+    order = np.lexsort((shared, owner))
+    total = np.bincount(owner, minlength=items)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys)) - (np.cumsum(total) - total)[owner[order]]
+    return (shared < COMMON) | (rank < np.ceil(LEAST_KEPT * total[owner]))
+
+
 class Finder:
     """Finds the items in batches of texts."""
 
@@ -152,10 +190,12 @@ class Finder:
         kind = [next((k for k, x in enumerate(KINDS) if len(i.text) >= x[0]), -1) if i.edits else -1 for i in self.items]
         self.exact = [i for i, k in enumerate(kind) if k < 0 and not self.edits[i]]  # these stand in a text as they are
         self.often = np.array([KINDS[k][3] if k >= 0 else 1 for k in kind], np.int64)
-        self.kinds = sorted({k for k in kind if k >= 0} | ({len(KINDS) - 1} if any(k < 0 and e for k, e in zip(kind, self.edits, strict=True)) else set()))
+        halves = [(number, *h) for number, item in enumerate(self.items) if item.edits == 1 for h in _halves(item.text)]
+        halved = {number for number, *_ in halves}
+        self.kinds = sorted({k for i, k in enumerate(kind) if i not in halved and i not in self.exact and k >= 0} | ({len(KINDS) - 1} if any(k < 0 and i not in halved and i not in self.exact for i, k in enumerate(kind)) else set()))
         keys, owner, offset = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for number, item in enumerate(self.items):
-            if number in self.exact:
+            if number in self.exact or number in halved:
                 continue
             own = kind[number] if kind[number] >= 0 else len(KINDS) - 1
             steps = KINDS[own][1]
@@ -163,12 +203,22 @@ class Finder:
             whole = at[at + steps // 2 <= len(item.raw)]  # a walk reads about half as many bytes as it has steps
             at = whole if len(whole) else at[:1]
             found = buckets(embedded(item.raw, at, steps), own)
-            self.often[number] = max(self.often[number], int(MET * found.size))
             keys.append(found.ravel())
             owner.append(np.full(found.size, number))
             offset.append(np.tile(at, SAMPLES))
-        order = np.argsort(np.concatenate(keys), kind="stable")
-        self.keys, self.owner, self.offset = (np.concatenate(x)[order] for x in (keys, owner, offset))
+        keys, owner, offset = (np.concatenate(x) for x in (keys, owner, offset))
+        kept = _told_apart(keys, owner, len(self.items))
+        keys, owner, offset = keys[kept], owner[kept], offset[kept]
+        self.often = np.maximum(self.often, (MET * np.bincount(owner, minlength=len(self.items))).astype(np.int64))
+        self.often[list(halved)] = 1
+        order = np.argsort(keys, kind="stable")
+        # the ends of halves follow the buckets as places in the index
+        first = np.array([h[2] for h in halves], U)
+        sorted_ = np.argsort(first, kind="stable")
+        pick = lambda k: np.array([h[k] for h in halves], np.int64)[sorted_]
+        self.keys, self.first = keys[order], first[sorted_]
+        self.last, self.apart = np.array([h[3] for h in halves], U)[sorted_], pick(4)
+        self.owner, self.offset = np.concatenate([owner[order], pick(0)]), np.concatenate([offset[order], pick(1)])
         self.table_bits = min(26, max(20, (8 * len(self.keys)).bit_length()))
         self.table = np.zeros(1 << self.table_bits, bool)
         self.table[self._cell(self.keys)] = True
@@ -190,6 +240,17 @@ class Finder:
                     count = np.searchsorted(self.keys, keys[hit], "right") - low
                     place.append(np.repeat(at[hit], count))
                     found.append(np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
+        if len(self.first) and len(text) >= HALF:
+            ends = _ends(text)
+            low = np.searchsorted(self.first, ends)
+            hit = np.flatnonzero(self.first[np.minimum(low, len(self.first) - 1)] == ends)
+            low, count = low[hit], np.searchsorted(self.first, ends[hit], "right") - low[hit]
+            at, index = np.repeat(hit, count), np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            other = at + self.apart[index]
+            both = other < len(ends)
+            both[both] = ends[other[both]] == self.last[index[both]]
+            place.append(at[both])
+            found.append(len(self.keys) + index[both])
         return np.concatenate(place), np.concatenate(found)
 
     def stretches(self, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -340,6 +340,39 @@ def test_recall_of_items_at_the_limit(size):
         assert least <= find.items[n].edits and least == decontamination.nearest(find.items[n].text, decontamination.plain(docs[at]))
 
 
+@pytest.mark.parametrize("size", [10, 11, 13, 15, 17, 19])
+def test_short_items_are_all_found(size):
+    """Of items that allow one edit none is missed, wherever it stands."""
+    rng = random.Random(size)
+    items = [_prose(rng, size).ljust(size, "s") for _ in range(25)]
+    find = decontamination.Finder(list(enumerate(items)))
+    docs, of = [], []
+    for number, item in enumerate(find.items):
+        for k in range(4):
+            changed = _mutated(rng, item.text, 1)
+            docs.append([f"{_prose(rng, 90)} {changed} {_prose(rng, 90)}", f"{changed} {_prose(rng, 90)}", f"{_prose(rng, 90)}{changed}", changed][k].strip())
+            of.append(number)
+    found = find(_batch(docs))
+    held = [(at, n) for at, n in enumerate(of) if decontamination.nearest(find.items[n].text, decontamination.plain(docs[at])) <= 1]
+    assert len(held) >= 90 and all(h in found for h in held)
+    assert all(decontamination.nearest(find.items[n].text, decontamination.plain(docs[at])) == d for (at, n), d in found.items())
+
+
+def test_a_shared_opener_does_not_call_for_every_item():
+    """Items that begin alike: a text of their opener alone meets none often enough, and each is still found by the rest."""
+    rng = random.Random(12)
+    opener = "which of the following statements about the "
+    rest = lambda: " ".join("".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(3, 9))) for _ in range(18))
+    items = [opener + rest() for _ in range(300)]
+    find = decontamination.Finder(list(enumerate(items)))
+    text = decontamination.folded(*decontamination.text_bytes(_batch([opener * 40]).column("text")))
+    assert len(find.stretches(*text)[0]) < 30
+    docs = [f"{_prose(rng, 80)} {_mutated(rng, items[n], len(items[n]) // 12)} {_prose(rng, 80)}" for n in range(0, 300, 6)]
+    found = find(_batch(docs))
+    held = [(at, n) for at, n in enumerate(range(0, 300, 6)) if decontamination.nearest(find.items[n].text, decontamination.plain(docs[at])) <= find.items[n].edits]
+    assert len(held) > 40 and sum(h in found for h in held) >= 0.95 * len(held)
+
+
 def test_items_without_spaces_and_with_wide_characters():
     rng = random.Random(4)
     kanji = "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(120))
