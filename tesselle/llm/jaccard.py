@@ -300,6 +300,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
+def distinct_groups(shared: DataFrame) -> DataFrame:
+    """Of signatures (sig, sid, lead) that the very same sets share, one alone: similar sets share many, and each would compare them anew.
+
+    Groups are told apart by their size and by 128 bits of hashes of their sets.
+    """
+    marks = shared.groupBy("sig").agg(F.bit_xor(F.xxhash64("sid")).alias("f"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("g"), F.count("*").alias("n"))
+    return shared.join(marks.groupBy("f", "g", "n").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
 def stars(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """For each set, the smallest set (a) of one of its signatures whose sketch is nearest to its own (b), unless all are too far.
 
@@ -336,6 +345,8 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     shared = saved(signs.repartition(dealt, "sig").sortWithinPartitions("sig", "sid").mapInArrow(_shared, "sig long, sid long, lead long"), "shared")
     del signs
     release(spark)  # the signatures' exchange is by far the largest
+    every, shared = shared, saved(distinct_groups(shared), "groups")
+    drop(every)
     wanted = spark.sparkContext.broadcast(bit_table(shared.select("sid")))
     columns = {"n": "long"} | {f"k{i}": "long" for i in range(SKETCH)} | {"wide": "binary", "elements": "array<long>"}
     found = texts.mapInArrow(partial(_elements, size=size, wanted=wanted), ", ".join(f"{n} {t}" for n, t in ({"sid": "long"} | columns).items()))

@@ -74,6 +74,17 @@ def test_links_beyond_the_first_star(spark):
     assert [got[i] for i in range(60)] == components(out, 4, 85) and 1 < len({c for _, c in got.values()}) < 60
 
 
+def test_groups_of_the_same_sets_stay_once(spark):
+    groups = [(1, 10), (1, 11), (2, 10), (2, 11), (3, 10), (3, 11), (3, 12), (4, 11), (4, 12), (5, 12), (5, 11), (6, 10), (6, 12)]
+    lead = {s: min(x for t, x in groups if t == s) for s, _ in groups}
+    rows = spark.createDataFrame([(s, x, lead[s]) for s, x in groups], "sig long, sid long, lead long").repartition(3)
+    got = {}
+    for r in jaccard.distinct_groups(rows).collect():
+        got.setdefault(r.sig, set()).add(r.sid)
+        assert r.lead == lead[r.sig]
+    assert got == {1: {10, 11}, 3: {10, 11, 12}, 4: {11, 12}, 6: {10, 12}}
+
+
 def test_blocks_of_a_frequent_signature(spark, monkeypatch):
     """Each two rows of a signature meet once, however many blocks they are dealt to, and links are the same."""
     frequent = spark.range(50).select(F.lit(7).cast("long").alias("sig"), F.col("id").alias("sid"), F.lit(50).cast("long").alias("count"))
