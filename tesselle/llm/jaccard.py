@@ -2,12 +2,14 @@
 
 Sets whose sizes lie in one band, or in two bands that follow each other, differ in at most k elements if they are
 similar enough. The domain of hashed n-grams is cut into first-level partitions, few enough that in one of them at
-most one element differs; that one is cut again, and every choice of all but one of its parts is a signature.
+most one element differs; that one is cut again, and every choice of all but one of its parts (of two, so each) is a signature.
 Sets that are similar enough thus share a signature. Sets that share one are compared on their whole elements.
 
-Parts without elements say nothing, and unrelated sets would share them. A signature that keeps only such parts goes on with an element:
-the smallest that two similar sets have in common is, in either, preceded by no more elements than the other may lack, so each set puts
-one signature for each of its first elements in the empty one's place (:func:`signatures`).
+Parts without elements say nothing, and unrelated sets would share them, so a signature that keeps only such parts is left out. There are
+spare first-level partitions for those that lose one by that: with m of them, m + 1 have at most one differing element in any similar pair.
+A set in which more than m partitions have an empty signature, of whatever size, lets these go on with an element instead: the smallest that
+two similar sets have in common is, in either, preceded by no more elements than the other may lack, so such a set puts one signature for
+each of its first elements in the empty one's place (:func:`signatures`).
 
 Copies are one set from the start. Within the sets that share a signature not all pairs are made: each set is compared with one
 that leads a signature of its own, then twice with the nearest one of another component; only where that leaves several components are
@@ -17,6 +19,7 @@ Signatures of more than BLOCK sets are cut into blocks there, and each two block
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache, partial
 
@@ -32,10 +35,7 @@ from .scratch import bucketed, drop, free, release, saved
 SHINGLE = 4
 PERCENT = 85
 #: Second-level parts of a partition; a signature leaves out one.
-PARTS = 3
-#: Instances of at most so many differences put elements in the place of empty parts; of more, so many elements would be needed that
-#: signatures grew with the square of the set. Larger sets are rare, and their frequent signatures go in blocks.
-FEW = 48
+PARTS = 2
 #: Bits of the table that keeps most sets without candidates out of the second pass.
 FILTER_BITS = 24
 #: Members of a signature compared at once with as many others.
@@ -88,23 +88,45 @@ def differing(percent: int, largest: int) -> int:
     return (largest + other) * (100 - percent) // (100 + percent)
 
 
+@cache
+def partitions(percent: int, smallest: int, k: int) -> tuple[int, int]:
+    """First-level partitions for sets of ``smallest`` elements or more that differ in at most k, and how many of these are spare.
+
+    As many are spare as give the fewest signatures, their own parts and those of first elements taken together: the number of partitions
+    with an empty signature is taken as normal about its mean. Right results do not depend on how many are spare.
+    """
+    least = k // 2 + 1  # of so many partitions one has at most one differing element
+    firsts = smallest + percent * smallest // -100 + 1
+    best, spare = math.inf, 0
+    for more in range(least + 1 if k else 0):
+        if PARTS * more >= best:
+            break
+        mean = smallest / (least + more)
+        empty = (least + more) * (PARTS * math.exp(mean / PARTS - mean) - (PARTS - 1) * math.exp(-mean))
+        cost = PARTS * more + empty * firsts * math.erfc((more + 0.5 - empty) / math.sqrt(2 * empty)) / 2
+        if cost < best:
+            best, spare = cost, more
+    return least + spare, spare
+
+
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a sorted set in the instances of its band and of the band below; of small sets each is of one element at least.
+    """Signatures of a sorted set in the instances of its band and of the band below; each is of one element at least.
 
-    No pair is lost: where two similar sets share a signature of empty parts, both have it with each of their first elements, so far as
-    they may differ and one further; the smallest element they share is among these in both.
+    No pair is lost. Of two similar sets at least ``spare`` + 1 partitions have at most one differing element, and leaving out its part gives
+    both the same signature there. Either it is not empty in one of these partitions, and both have it; or it is empty in all of them, in
+    both sets, so both have more than ``spare`` partitions with an empty signature, and both have these with each of their first elements, so
+    far as they may differ and one further: the smallest element they share is among these in both.
     """
     n, out = len(elements), []
     ends = bands(percent, 1 << max(4, n.bit_length()))
     band = int(np.searchsorted(ends, n, "right")) - 1
     value = mix(elements ^ U(0x5BD1E995))
-    firsts = value[: n + percent * n // -100 + 1]
     high, low = (value >> U(32)).astype(float), (value & U(0xFFFFFFFF)).astype(float)
     for instance in (band, band - 1):
         if instance < 0:
             continue
         k = differing(percent, ends[instance + 1] - 1)
-        first = 1 if k == 0 else (k + 2) // 2  # so many partitions that one has at most one differing element
+        first, spare = partitions(percent, ends[instance], k)
         parts = 1 if k == 0 else PARTS
         place = (elements % U(first * parts)).astype(np.int64)
         sums = (np.bincount(place, high, first * parts).astype(U) << U(32)) + np.bincount(place, low, first * parts).astype(U)
@@ -112,12 +134,11 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         kept = sums if parts == 1 else sums.sum(1, dtype=U, keepdims=True) - sums
         number = np.arange(first * parts, dtype=U) + U((instance + 1) << 40)
         own = mix(mix(kept.ravel()) + mix(number))
-        if 1 <= k <= FEW:
-            empty = (kept == 0).ravel()  # no elements have the sum 0
-            if empty.any():
-                out.append(mix(own[empty][:, None] + firsts[None, :]).ravel())
-                own = own[~empty]
-        out.append(own)
+        empty = kept == 0  # no elements have the sum 0
+        if int(empty.any(1).sum()) > spare:
+            firsts = value[: n + percent * n // -100 + 1]
+            out.append(mix(own[empty.ravel()][:, None] + firsts[None, :]).ravel())
+        out.append(own[~empty.ravel()])
     return np.concatenate(out)
 
 
@@ -158,7 +179,7 @@ def _named(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
     for whole in batches:
         for batch in passes(whole):
             sets = [s for _, s in shingle_sets(batch, size)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "sid"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "key", "n_shingles", "sid"])
 
 
 @trimmed
@@ -338,8 +359,14 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     one without words, links with nothing. Repeated rows link with each other. A null id is never the smallest; a component of
     null ids alone has a null component_id. An empty table gives no rows; other columns are ignored.
     """
+    return _classes(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """As :func:`linked`, with ``key``, a hash of the row's text, and ``root``, which the rows of a component share; without words that is the key."""
     spark, texts = docs.sparkSession, docs.select("doc_id", "text")
-    named = saved(texts.mapInArrow(partial(_named, size=size), "doc_id long, n_shingles long, sid long"), "sets")
+    keyed = texts.withColumn("key", F.xxhash64("text"))
+    named = saved(keyed.mapInArrow(partial(_named, size=size), "doc_id long, key long, n_shingles long, sid long"), "sets")
     signs = texts.select("doc_id", "text").mapInArrow(partial(_signed, size=size, percent=percent), "sig long, sid long")
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = saved(signs.repartition(dealt, "sig").sortWithinPartitions("sig", "sid").mapInArrow(_shared, "sig long, sid long, lead long"), "shared")
@@ -377,24 +404,27 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     for table in (shared, sets, links):
         drop(table)
 
-    root = named.join(final, F.col("sid") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root"))
+    root = named.join(final, F.col("sid") == F.col("node"), "left").select("doc_id", "key", "n_shingles", F.coalesce("root", "sid").alias("root"))
     some = root.where("n_shingles > 0")
     least = saved(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")  # a table, so that rows of a frequent root can be split
-    none = root.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return some.join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(none)
+    none = root.where("n_shingles = 0").withColumn("root", F.col("key")).withColumn("component_id", F.col("doc_id"))
+    return some.join(least, "root").select("doc_id", "key", "n_shingles", "component_id", "root").unionByName(none)
 
 
 def without_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Of each component of :func:`linked` the rows of ``docs`` with the smallest doc_id, with all their columns.
+    """Of each component of :func:`linked` the row of ``docs`` with the smallest doc_id, with all its columns.
 
-    Of rows equal in doc_id and text one stays; rows of one doc_id with other texts go or stay together. Rows with a null doc_id or
-    without words stay.
+    Rows of one doc_id are judged each by its own text: of those with the smallest id that one component holds, one stays (of texts the
+    one of the smallest hash), and texts in no other component stay as well. Rows with a null doc_id stay, and so do those without words,
+    of those equal in doc_id and text one.
     """
-    names, gone, twice = docs.columns, free(docs, "__gone"), free(docs, "__again")
-    found = linked(docs, size, percent).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias(gone))
-    kept = docs.join(found.distinct(), F.col("doc_id") == F.col(gone), "left_anti")
+    names, own, key, twice = docs.columns, free(docs, "__doc"), free(docs, "__text"), free(docs, "__again")
+    rows = _classes(docs, size, percent).where("doc_id is not null").select(F.col("doc_id").alias(own), F.col("key").alias(key), "component_id", "root")
+    same = (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(key))
+    kept = docs.join(rows.where(F.col(own) != F.col("component_id")).select(own, key).distinct(), same, "left_anti")
     again = saved(docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(twice)), "again")
     if again.isEmpty():
         return kept
     single = kept.join(again, F.col("doc_id") == F.col(twice), "left_anti")
-    return single.unionByName(kept.join(again, F.col("doc_id") == F.col(twice), "left_semi").dropDuplicates(["doc_id", "text"])).select(*[F.col(f"`{n}`") for n in names])
+    several = rows.join(again, F.col(own) == F.col(twice), "left_semi").groupBy(own, "root").agg(F.min(key).alias(key)).select(own, key)
+    return single.unionByName(kept.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*[F.col(f"`{n}`") for n in names])

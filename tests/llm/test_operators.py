@@ -113,6 +113,17 @@ def test_one_of_each_group_stays(rows, docs):
     assert sorted(got, key=str) == expected and kept.where("doc_id is null").count() == 2
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = f"{d} more"
+    rows = [(1, a), (1, b), (2, a), (2, c), (2, None), (2, None), (3, d), (3, near), (3, d), (4, near), (5, ""), (None, a), (None, a)]
+    got = [(r.doc_id, r.text) for r in jaccard.without_copies(frame(spark, rows), 5, 80).collect()]
+    third = [r for r in got if r[0] == 3]
+    assert len(third) == 1 and third[0][1] in (d, near)
+    assert sorted((r for r in got if r[0] != 3), key=str) == sorted([(1, a), (1, b), (2, c), (2, None), (5, ""), (None, a), (None, a)], key=str)
+
+
 def test_repeats(rows, docs):
     got = sorted(map(tuple, repeats.digest(docs.withColumn("key", F.lit(5))).collect()), key=str)
     raw, gone = removed([t for _, t in rows], 200)
@@ -311,7 +322,7 @@ def test_long_texts(spark):
 
 def test_helper_columns_of_the_same_names(spark):
     docs = frame(spark, [(1, "a b c d e"), (2, "a b c d e"), (3, None)])
-    for name in ("__at", "__slot", "__shard", "__key", "__of", "__spans", "__gone", "__again"):
+    for name in ("__at", "__slot", "__shard", "__key", "__of", "__spans", "__gone", "__again", "__doc", "__text"):
         docs = docs.withColumn(name, F.lit("mine"))
     for made in (sharding.assign(docs, "doc_id"), repeats.without_repeats(docs), jaccard.without_copies(docs)):
         rows = made.collect()

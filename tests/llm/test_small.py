@@ -146,13 +146,30 @@ def test_small_similar_sets_share_a_signature(percent):
                 assert len(np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)))
 
 
-@pytest.mark.parametrize("size", [6, 12, 24, 60])
-def test_unrelated_sets_share_no_signature(size):
-    rng, seen = np.random.default_rng(size), {}
-    for i in range(1500):
-        for sig in set(jaccard.signatures(np.unique(rng.integers(0, 2**62, size).astype(np.uint64)), 85).tolist()):
-            seen.setdefault(sig, set()).add(i)
-    assert max(map(len, seen.values())) == 1
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("spare", [True, False])
+def test_large_similar_sets_share_a_signature(percent, spare, monkeypatch):
+    """Sets at the limit of similarity, with the spare partitions and without any, so that sets put elements in the place of empty parts."""
+    if not spare:
+        monkeypatch.setattr(jaccard, "partitions", lambda percent, smallest, k: (k // 2 + 1, 0))
+    rng, close = np.random.default_rng(percent), 0
+    for _ in range(60):
+        n = int(rng.integers(200, 3000))
+        a = np.unique(rng.integers(0, 2**62, n).astype(np.uint64))
+        both = -(-n * 2 * percent // (100 + percent))
+        b = np.unique(np.concatenate([a[rng.permutation(n)[:both]], rng.integers(0, 2**62, n - both).astype(np.uint64)]))
+        if 100 * both >= percent * (2 * n - both):
+            close += 1
+            assert len(np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)))
+    assert close > 50
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("size", [6, 12, 24, 60, 400, 1000])
+def test_unrelated_sets_share_no_signature(size, percent):
+    rng = np.random.default_rng(size)
+    found = [np.unique(jaccard.signatures(np.unique(rng.integers(0, 2**62, size).astype(np.uint64)), percent)) for _ in range(1500)]
+    assert np.unique(np.concatenate(found), return_counts=True)[1].max() == 1
 
 
 @pytest.mark.parametrize("rows", [1, 2, 3, 50])
