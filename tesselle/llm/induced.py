@@ -56,7 +56,8 @@ class Files:
         self.count += 1
         return os.path.join(self.folder, str(self.count))
 
-    def _mapped(self, path: str, dtype: type, mode: str = "r", size: int | None = None) -> np.ndarray:
+    def mapped(self, path: str, dtype: type, mode: str = "r", size: int | None = None) -> np.ndarray:
+        """The array that is a file."""
         out = np.memmap(path, dtype, mode, shape=None if size is None else (size,))
         self.kept[id(out)] = (path, 0)
         return out.view(np.ndarray)
@@ -70,7 +71,7 @@ class Files:
         """An array of zeros."""
         if size * np.dtype(dtype).itemsize <= self.left:
             return self._held(np.zeros(size, dtype))
-        return self._mapped(self.path(), dtype, "w+", size)
+        return self.mapped(self.path(), dtype, "w+", size)
 
     def written(self, parts: Iterator[np.ndarray], dtype: type) -> np.ndarray:
         """The parts one after another, each an array of records of one length."""
@@ -86,7 +87,7 @@ class Files:
                 held = []
         if file is not None:
             file.close()
-            out = self._mapped(path, dtype)
+            out = self.mapped(path, dtype)
         else:
             out = self._held(np.concatenate(held) if held else np.zeros(0, dtype))
         return out.reshape(-1, width) if width > 1 else out

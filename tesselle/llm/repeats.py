@@ -3,7 +3,8 @@
 Every stretch of ``length`` bytes picks the least of its short substrings (by hash); equal stretches pick the same one at
 the same place, so they meet where picks meet. A pick owns the run of stretches that picked it, and so the bytes these span. Picks that
 occur once are done with. Where all that picks own is equal, all their stretches repeat. Where it differs, one of each kind is sent,
-with its bytes, to the shard of its pick; there the suffixes of all of them are put in order by induced sorting, and the
+with its bytes, to the shard of its pick. Stretches that lie alike about their pick share a core of bytes with those that begin a few places
+from them; whose core no other context has about that pick cannot repeat and stays out. The suffixes of all the rest are put in order by induced sorting, and the
 stretches whose neighbour in that order begins with the same ``length`` bytes repeat.
 
 Rows of a pick are read as a sorted stream with one row of memory. All different contexts of a pick meet in one shard, however many they are:
@@ -34,8 +35,12 @@ PICK = 48
 SHARD = 1 << 21
 #: Bytes of text of one vectorised pass.
 PASS = 1 << 18
-#: Bits of the table of kinds to send, eight for each up to this power of two; beyond it, more is sent than need be.
-MOST_BITS = 27
+#: Bits of the table of kinds to send, eight for each at least up to this power of two; beyond it, more is sent than need be.
+MOST_BITS = 28
+#: First bits of the parts of an id that set a bit each in its word of that table.
+PARTS = (0, 58, 52, 46)
+#: Places before a pick whose stretches share a core.
+STEP = 20
 PICKS = "pick long, kind long, key long, start long, stop long, sure boolean"
 _PICK_NAMES = ["pick", "kind", "key", "start", "stop"]
 
@@ -79,14 +84,14 @@ def picks(data: np.ndarray, bounds: np.ndarray, sums: np.ndarray, length: int =
 
 
 def _owned(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
-    """Bytes, bounds, pick hash, kind hash, row key, and the owned bytes [start, stop) in the batch, with their rows."""
+    """Bytes, bounds, pick hash, kind hash, row key, and the owned bytes [start, stop) in the batch, with their rows and the pick's place."""
     data, bounds = text_bytes(batch.column("text"))
     sums = prefix(data)
     row, place, first, last = picks(data, bounds, sums, length)
     pick = between(sums, place, place + PICK)
     with np.errstate(over="ignore"):
         kind = mix(between(sums, first, last + length) + (place - first).astype(U) * U(3) + (last - first).astype(U))
-    return data, bounds, signed(pick), signed(kind), signed(row_keys(batch, data, bounds, sums)[row]), row, first, last + length
+    return data, bounds, signed(pick), signed(kind), signed(row_keys(batch, data, bounds, sums)[row]), row, first, last + length, place
 
 
 @trimmed
@@ -95,7 +100,7 @@ def _picked(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     at once (``sure``) and go wherever there is room, so that a pick that is everywhere sends each task few rows."""
     for whole in batches:
         for batch in passes(whole, most=PASS):
-            _, bounds, pick, kind, key, row, start, stop = _owned(batch, length)
+            _, bounds, pick, kind, key, row, start, stop, _ = _owned(batch, length)
             if not len(pick):
                 continue
             own = np.stack([pick, kind, key, start - bounds[row], stop - bounds[row]])[:, np.lexsort((kind, pick))]
@@ -170,21 +175,39 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made
 
 
+def wanted_ids(sent: DataFrame, kinds: int) -> np.ndarray:
+    """A table of the ids in ``sent``, words in which each sets a bit for each of ``PARTS``."""
+    bits = min(MOST_BITS, max(16, (8 * kinds).bit_length()))
+    cell = F.shiftright(F.col("sent").bitwiseAND((1 << bits) - 1), 6)
+    own = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(sent, {part}) & 63 as int))" for part in PARTS)
+    cells = sent.select(cell.alias("cell"), F.expr(own).alias("own")).groupBy("cell").agg(F.expr("bit_or(own)").alias("bits")).toArrow()
+    table = np.zeros(1 << bits - 6, np.int64)
+    table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
+    return table.view(U)
+
+
+def is_wanted(table: np.ndarray, sent: np.ndarray) -> np.ndarray:
+    """Whether all bits of each id are set: for all that the table was made of, and a few others."""
+    sent, bits = sent.view(U), np.zeros(len(sent), U)
+    for part in PARTS:
+        bits |= U(1) << (sent >> U(part) & U(63))
+    return table[(sent >> U(6) & U(len(table) - 1)).astype(np.int64)] & bits == bits
+
+
 @trimmed
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, wanted) -> Iterator[pa.RecordBatch]:
     table = wanted.value
-    cells = U(len(table) * 64 - 1)
     for whole in batches:
         for batch in passes(whole, most=PASS):
-            data, bounds, pick, kind, key, row, start, stop = _owned(batch, length)
+            data, bounds, pick, kind, key, row, start, stop, place = _owned(batch, length)
             if not len(pick):
                 continue
-            cell = sent_id(pick, kind, key, start - bounds[row]).view(U) & cells
-            keep = np.flatnonzero(table[(cell >> U(6)).astype(np.int64)] >> (cell & U(63)) & U(1))
+            keep = np.flatnonzero(is_wanted(table, sent_id(pick, kind, key, start - bounds[row])))
             if len(keep):
                 raw = data.tobytes()
                 text = [raw[a:b] for a, b in zip(start[keep].tolist(), stop[keep].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(pick[keep]), pa.array(key[keep]), pa.array((start - bounds[row])[keep]), pa.array(text, pa.binary())], names=["pick", "key", "start", "bytes"])
+                rows = [pick[keep], key[keep], (start - bounds[row])[keep], (place - start)[keep].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(text, pa.binary())], names=["pick", "key", "start", "place", "bytes"])
 
 
 def repeated(text: np.ndarray, owned: np.ndarray, length: int, files: Files) -> np.ndarray:
@@ -226,27 +249,99 @@ def _true(flags: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield np.array([start]), np.array([len(flags) - 1])
 
 
+def cores(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, pick: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Context, first and last stretch (places in the context) and a hash for each group of stretches that share a core.
+
+    Of a pick's contexts, stretches are equal only if they begin as many places before it. Groups are stretches of the same ``STEP`` such
+    numbers of places; the core, which every one of a group covers, lies between the last one's start and the first one's end, for each context
+    at the same places about the pick. Contexts with an equal stretch so have the core of its group in common.
+    """
+    sums = prefix(data)
+    low = place - (size - length)  # places between the last stretch and the pick
+    groups = place // STEP - low // STEP + 1
+    of = np.repeat(np.arange(len(size)), groups)
+    group = np.arange(len(of)) - np.repeat(np.cumsum(groups) - groups, groups) + (low // STEP)[of]
+    least, most = group * STEP, np.minimum(group * STEP + STEP, length - PICK + 1) - 1
+    at = (begin + place)[of]
+    with np.errstate(over="ignore"):
+        tag = mix(between(sums, at - least, at - most + length) + mix(pick[of].view(U) + group.astype(U)))
+    return of, np.maximum(place[of] - most, 0), np.minimum(place[of] - least, (size - length)[of]), tag
+
+
+def shared(tags: np.ndarray, files: Files) -> Iterator[np.ndarray]:
+    """Whether each tag occurs again, a block at a time, by tables of at least 32 places a tag; where memory allows fewer, some that do not are taken to."""
+    cells = 1 << max(9, min((32 * len(tags)).bit_length(), (files.memory // 16).bit_length()))
+    once, again = np.zeros(cells, bool), np.zeros(cells, bool)
+    blocks = [tags[at : at + files.block] for at in range(0, len(tags), files.block)]
+    for tag in blocks:
+        cell, times = np.unique(tag & U(cells - 1), return_counts=True)
+        again[cell] |= once[cell] | (times > 1)
+        once[cell] = True
+    for tag in blocks:
+        yield again[tag & U(cells - 1)]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], length: int, files: Files) -> tuple[np.ndarray, ...]:
+    """Of all contexts, as files: bytes, groups of stretches (place in the bytes, number of stretches, key, start in the row), their tags."""
+    paths, at = [files.path() for _ in range(3)], 0
+    with open(paths[0], "wb") as raw, open(paths[1], "wb") as groups, open(paths[2], "wb") as tags:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("bytes")
+            bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            data = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+            pick, key, start, place = (batch.column(c).to_numpy().astype(np.int64) for c in ("pick", "key", "start", "place"))
+            begin = bounds[:-1] - bounds[0]
+            of, first, last, tag = cores(data, begin, np.diff(bounds), place, pick, length)
+            raw.write(data)
+            groups.write(np.stack([at + begin[of] + first, last - first + 1, key[of], start[of] + first], 1).tobytes())
+            tags.write(tag.tobytes())
+            at += len(data)
+    return tuple(files.mapped(path, kind) if at else np.zeros(0, kind) for path, kind in zip(paths, (np.uint8, np.int64, U), strict=True))
+
+
+def _kept(batches: Iterator[pa.RecordBatch], length: int, files: Files) -> tuple[np.ndarray, ...]:
+    """As files: the text to sort, its owned places, and of each run of stretches in it where it begins, its key and its start in the row.
+
+    Stretches whose core occurs once are left out; groups that follow each other make one run.
+    """
+    raw, groups, tags = _gathered(batches, length, files)
+    groups = groups.reshape(-1, 4)
+    paths, at, row, few = [files.path() for _ in range(3)], 0, 0, files.block // length + 1
+    with open(paths[0], "wb") as text, open(paths[1], "wb") as owned, open(paths[2], "wb") as known:
+        for again in shared(tags, files):
+            kept = groups[row : row + len(again)][again]
+            row += len(again)
+            if not len(kept):
+                continue
+            kept = kept[np.argsort(kept[:, 0])]
+            follows = (kept[1:, 0] == kept[:-1, 0] + kept[:-1, 1]) & (kept[1:, 2] == kept[:-1, 2]) & (kept[1:, 3] == kept[:-1, 3] + kept[:-1, 1])
+            head = np.flatnonzero(np.append(True, ~follows))
+            begin, count = kept[head], np.add.reduceat(kept[:, 1], head)
+            for lo in range(0, len(begin), few):
+                own, some = begin[lo : lo + few], count[lo : lo + few]
+                size = some + length  # with a byte between
+                to = np.cumsum(size) - size
+                within = np.arange(int(size.sum())) - np.repeat(to, size)
+                out = raw[np.minimum(np.repeat(own[:, 0], size) + within, len(raw) - 1)]
+                out[to + size - 1] = 255  # in no UTF-8 text
+                text.write(out)
+                owned.write((within < np.repeat(some, size)).tobytes())
+                known.write(np.stack([at + to, own[:, 2], own[:, 3]], 1).tobytes())
+                at += len(out)
+    for read in (raw, groups, tags):
+        files.free(read)
+    return tuple(files.mapped(path, kind) if at else np.zeros(0, kind) for path, kind in zip(paths, (np.uint8, bool, np.int64), strict=True))
+
+
 @trimmed
 def _shard(batches: Iterator[pa.RecordBatch], length: int, memory: int) -> Iterator[pa.RecordBatch]:
     """Suffix-sorts the bytes of a shard, kept in files, and gives the bytes [start, stop) of ``key`` that repeat."""
     files = Files(memory)
     try:
-        paths, at = [files.path() for _ in range(3)], 0
-        with open(paths[0], "wb") as text, open(paths[1], "wb") as owned, open(paths[2], "wb") as known:
-            for batch in batches:
-                raw = [x.as_buffer() for x in batch.column("bytes")]
-                size = np.array([t.size for t in raw], np.int64)
-                for t in raw:
-                    text.write(t)
-                    text.write(b"\xff")  # in no UTF-8 text
-                    owned.write(b"\1" * (t.size - length + 1) + b"\0" * length)
-                begin = at + np.cumsum(size + 1) - (size + 1)
-                known.write(np.stack([begin, batch.column("key").to_numpy(), batch.column("start").to_numpy()], 1).tobytes())
-                at += int((size + 1).sum())
-        if not at:
-            return
-        text, owned = (np.memmap(path, kind, "r").view(np.ndarray) for path, kind in zip(paths, (np.uint8, bool), strict=False))
-        begin, key, start = np.memmap(paths[2], np.int64, "r").view(np.ndarray).reshape(-1, 3).T
+        text, owned, known = _kept(batches, length, files)
+        begin, key, start = known.reshape(-1, 3).T
         for first, last in _true(repeated(text, owned, length, files), files.block):
             which = np.searchsorted(begin, first, "right") - 1
             offset = start[which] - begin[which]
@@ -263,13 +358,8 @@ def spans(texts: DataFrame, length: int = LENGTH, memory: int = MEMORY) -> DataF
     out = saved(found.mapInArrow(_sorted_out, "key long, start long, stop long, sent long"), "picks")
     sent = out.where("sent is not null").select("sent")
     kinds = sent.count()
-    bits = min(MOST_BITS, max(16, (8 * kinds).bit_length()))
-    cell = F.col("sent").bitwiseAND((1 << bits) - 1)
-    cells = sent.select(F.shiftright(cell, 6).alias("cell"), F.expr("shiftleft(1L, cast(sent & 63 as int))").alias("bit")).groupBy("cell").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
-    table = np.zeros(1 << bits - 6, np.int64)
-    table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    wanted = spark.sparkContext.broadcast(table.view(U))
-    context = texts.mapInArrow(partial(_contexts, length=length, wanted=wanted), "pick long, key long, start long, bytes binary")
+    wanted = spark.sparkContext.broadcast(wanted_ids(sent, kinds))
+    context = texts.mapInArrow(partial(_contexts, length=length, wanted=wanted), "pick long, key long, start long, place int, bytes binary")
     shards = max(tasks, kinds * (length + length // 2) // SHARD + 1)
     sorted_ = context.repartition(shards, "pick").mapInArrow(partial(_shard, length=length, memory=memory), "key long, start long, stop long")
     repeats = saved(sorted_, "repeats")

@@ -140,6 +140,13 @@ def test_repeats_of_frequent_passages_and_small_memory(spark):
     assert [got[i] for i in range(80)] == [digest(r, g) for r, g in zip(raw, gone, strict=True)]
 
 
+def test_few_unwanted_kinds_are_sent(spark):
+    ids = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 60_000)
+    table = repeats.wanted_ids(spark.createDataFrame([(int(x),) for x in ids[:10_000]], "sent long"), 10_000)
+    assert repeats.is_wanted(table, ids[:10_000]).all()
+    assert repeats.is_wanted(table, ids[10_000:]).mean() < 0.03  # by one bit of eight to sixteen for each, 0.06 to 0.12
+
+
 def test_texts_without_repeats(rows, docs):
     kept = repeats.without_repeats(docs)
     raw, gone = removed([t for _, t in rows], 200)

@@ -511,3 +511,22 @@ def test_other_spaces_and_punctuation_end_words():
     x = toxicity.features(model, _batch(texts))
     assert (x == x[0]).all() and x[0, 4] == 2
     assert toxicity.features(model, _batch(["é", "", "日本", "🙂", "naïve\u200dx"]))[:, 4].tolist() == [1, 0, 1, 1, 1]
+
+
+def test_what_cannot_repeat_is_not_sorted(monkeypatch):
+    """Nearly all contexts that have the pick alone in common stay out of the sorting; those that have more are judged as by brute force, in any memory."""
+    rng, sizes, real = random.Random(6), [], repeats.repeated
+    pick, *tail = (bytes(rng.choices(b"abcdefgh ", k=n)) for n in (48, 90, 90))
+    texts = [bytes(rng.choices(b"abcdefgh ", k=100)) + pick + bytes(rng.choices(b"abcdefgh ", k=140)) for _ in range(400)]
+    texts += [texts[k][:10] + tail[0] + pick + tail[1] + texts[k][-50:] for k in range(3)]
+    columns = {"pick": [5] * len(texts), "key": list(range(len(texts))), "start": [7] * len(texts), "place": [100] * len(texts)}
+    table = pa.table({k: pa.array(v, pa.int32() if k == "place" else pa.int64()) for k, v in columns.items()} | {"bytes": pa.array(texts, pa.binary())})
+    monkeypatch.setattr(repeats, "repeated", lambda text, *rest: sizes.append(len(text)) or real(text, *rest))
+    for memory in (1, 1 << 20):
+        got = {(r["key"], i) for b in repeats._shard(iter(table.to_batches(64)), 200, memory) for r in b.to_pylist() for i in range(r["start"], r["stop"])}
+        strings = {}
+        for k, t in enumerate(texts):
+            for i in range(len(t) - 199):
+                strings.setdefault(t[i : i + 200], []).append((k, i))
+        assert got == {(k, 7 + i + j) for own in strings.values() if len(own) > 1 for k, i in own for j in range(200)} and got
+    assert sizes[1] < sum(map(len, texts)) / 4, sizes
