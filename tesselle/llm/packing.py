@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .hashing import passes
+from .hashing import passes, trim, trimmed
 from .tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -127,6 +127,7 @@ def grouped(sequences: list[tuple[int, list[Piece]]], step_tokens: int, first: i
     return out, first
 
 
+@trimmed
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, tiers: tuple[int, ...], end_id: int, step_tokens: int) -> Iterator[pa.RecordBatch]:
     encode, packer = encoder(tokenizer), Packer(tiers)
     base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
@@ -156,7 +157,8 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, tiers: tuple[int, .
             if len(waiting) >= WAITING:
                 if rows := list(packer.add(waiting)):
                     yield out(rows)
-                waiting = []
+                waiting, rows = [], []
+                trim()
     if rows := [*packer.add(waiting), *packer.finish()]:
         yield out(rows)
 

@@ -530,3 +530,14 @@ def test_what_cannot_repeat_is_not_sorted(monkeypatch):
                 strings.setdefault(t[i : i + 200], []).append((k, i))
         assert got == {(k, 7 + i + j) for own in strings.values() if len(own) > 1 for k, i in own for j in range(200)} and got
     assert sizes[1] < sum(map(len, texts)) / 4, sizes
+
+
+def test_what_an_encoder_remembers_is_not_copied(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    encode, whole = (tokens.Encoder(tokens.public_path("word_bpe_49k.json")) for _ in range(2))
+    texts = ["one two three four", "two five", "six seven eight nine", "one Two"]
+    encode([texts[0]])
+    before = encode.known
+    encode([texts[1]])
+    assert encode.known.older is before and not before.older
+    assert [encode([t]) for t in texts] == [[whole._whole(t)] for t in texts]
