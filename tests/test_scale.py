@@ -28,3 +28,10 @@ def test_images_are_dealt_out_by_their_cells(spark):
 def test_clip_images_sends_no_image_to_all(spark):
     made = clip.clip_images(*queries._as_images(spark, DATA))
     assert "Broadcast" not in plan(made) and made.count() == 10
+
+
+def test_the_names_of_saved_files_encode_nothing_again(spark):
+    """What was written is told without a second encoding, which would double the work."""
+    told = queries._sink(spark, DATA)
+    assert "Python" not in plan(told) and "Arrow" not in plan(told)
+    assert sorted(map(tuple, told.collect())) == [(i, f"{i}.png") for i in range(10)]
