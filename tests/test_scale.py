@@ -35,3 +35,8 @@ def test_the_names_of_saved_files_encode_nothing_again(spark):
     told = queries._sink(spark, DATA)
     assert "Python" not in plan(told) and "Arrow" not in plan(told)
     assert sorted(map(tuple, told.collect())) == [(i, f"{i}.png") for i in range(10)]
+
+
+def test_packed_points_send_no_mask_to_all(spark):
+    """Neither the words of masks nor the steps of their lattices are broadcast, whose size Spark does not know."""
+    assert "Broadcast" not in plan(queries._packed_points(spark, DATA))
