@@ -384,6 +384,18 @@ def test_held_out_and_repeated_labels_do_not_weigh(spark):
     assert (one == other).all()
 
 
+def test_every_labelled_row_is_learnt_from(spark):
+    """More rows of a class than any sample held: each one's word is among the codes seen."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(i, word(i)) for i in range(6500)]
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame([(i, int(i >= 6000)) for i, _ in rows], "doc_id long, toxic int"))
+    learnt = [w.encode() for i, w in rows if zlib.crc32(str(i).encode()) % 5 > 1]
+    ends = np.cumsum([len(w) for w in learnt])
+    codes, _ = toxicity.spelt(np.frombuffer(b"".join(learnt), np.uint8), np.append(0, ends[:-1]), ends)
+    assert sum(zlib.crc32(str(i).encode()) % 5 > 1 for i in range(6000)) < 4000 < sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(6000))
+    assert np.array_equal(model["seen"], np.unique(codes))
+
+
 def test_held_out_labels_flipped_change_no_score(spark):
     rng = random.Random(21)
     rows = [(i, " ".join(rng.choice(["plain", "text", "good", "vilix" if i % 4 == 1 else "day"]) for _ in range(12))) for i in range(200)]
