@@ -9,6 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 
+from tesselle import streaming  # noqa: E402
 from tesselle.operators import tiled  # noqa: E402
 from tesselle.plans import clip, queries  # noqa: E402
 from tesselle.schema import by_image  # noqa: E402
@@ -60,3 +61,10 @@ def test_tiles_are_not_sent_to_all_nor_grouped_one_by_one(spark, name):
     """A small tile costs a task little more than its cells: no group in Python for each, and no broadcast of tiles."""
     made = plan(queries.queries()[name](spark, DATA))
     assert "Groups" not in made and made.count("BroadcastHashJoin") <= made.count("max(x")  # sizes of images alone are small
+
+
+def test_arriving_pairs_are_not_sent_to_all(spark):
+    """The two sides of a stream's batch, as it clips them: rows of whole images, however few they are thought to be."""
+    rows = spark.createDataFrame([(1, None, 2, 2, 3, bytes(12), role) for role in streaming.ROLES], streaming.ARRIVING)
+    made = clip.clip_images(*streaming.sides(rows))
+    assert "Broadcast" not in plan(made) and made.count() == 1
